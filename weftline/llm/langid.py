@@ -15,11 +15,11 @@ from weftline.llm.bpe import read_ranks
 from weftline.session import bounded_batches
 
 #: Labelled documents per language that a fit reads at most, whole, in order of a hash of the id.
-SAMPLE_PER_LANG = 150
+SAMPLE_PER_LANG = 120
 #: Letter runs are cut into stretches of this many letters; no piece crosses a cut.
 STRETCH = 32
 LONGEST_PIECE = 12
-ROUNDS = 3
+ROUNDS = 2
 UNKNOWN = 1e-9
 MEMO = 500_000
 FACTOR, SPREAD = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)

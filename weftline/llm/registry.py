@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from weftline.llm import mixing, secrets
+from weftline.llm import bpe, langid, mixing, quality, secrets
 
 QUERIES = {
     "op1_mixing": mixing.op1_mixing,
+    "op2_langid": langid.op2_langid,
+    "op4_bpe": bpe.op4_bpe,
+    "op5_quality": quality.op5_quality,
     "op10_secrets": secrets.op10_secrets,
 }
 
