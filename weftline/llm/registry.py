@@ -2,16 +2,22 @@
 
 from __future__ import annotations
 
-from weftline.llm import bpe, langid, mixing, quality, secrets
+from weftline.llm import ann, bpe, langid, mixing, neardup, quality, secrets, shingles, urlrules
 
 QUERIES = {
     "op1_mixing": mixing.op1_mixing,
     "op2_langid": langid.op2_langid,
+    "op3_ann": ann.op3_ann,
     "op4_bpe": bpe.op4_bpe,
     "op5_quality": quality.op5_quality,
+    "op6_jaccard": shingles.op6_jaccard,
+    "op8_neardup": neardup.op8_neardup,
+    "op9_urls": urlrules.op9_urls,
     "op10_secrets": secrets.op10_secrets,
 }
 
 ORACLE_SQL = {
     "op1_mixing": mixing.OP1_SQL,
+    "op8_neardup": neardup.OP8_SQL,
+    "op9_urls": urlrules.OP9_SQL,
 }
