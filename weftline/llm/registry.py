@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from weftline.llm import ann, bpe, langid, mixing, neardup, quality, secrets, shingles, urlrules
+from weftline.llm import ann, bpe, langid, mixing, neardup, quality, secrets, shingles, urlrules, wrappers
 
 QUERIES = {
     "op1_mixing": mixing.op1_mixing,
@@ -11,6 +11,7 @@ QUERIES = {
     "op4_bpe": bpe.op4_bpe,
     "op5_quality": quality.op5_quality,
     "op6_jaccard": shingles.op6_jaccard,
+    "op7_html": wrappers.op7_html,
     "op8_neardup": neardup.op8_neardup,
     "op9_urls": urlrules.op9_urls,
     "op10_secrets": secrets.op10_secrets,
