@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType
 
 TOKEN = "([a-z0-9]+)"
 #: Values that mean "absent".
@@ -33,25 +35,26 @@ def precision_recall_f1(shared: Column, generated: Column, truth: Column) -> tup
 
 
 def lcs_length(a: Column, b: Column) -> Column:
-    """Longest common subsequence of two arrays: one row of the table at a time, inside the JVM."""
-    start = F.transform(F.concat(F.array(F.lit(0)), F.transform(b, lambda _: F.lit(0))), lambda x: x)
+    """Longest common subsequence of two string arrays: no built-in has it, so an Arrow batch function."""
+    return _lcs(a, b)
 
-    def row(previous: Column, x: Column) -> Column:
-        cells = F.aggregate(
-            F.sequence(F.lit(1), F.size(b)),
-            F.struct(F.array(F.lit(0)).alias("row"), F.lit(0).alias("last")),
-            lambda acc, j: _cell(acc, previous, j, x, b),
-            lambda acc: acc["row"],
-        )
-        return F.when(F.size(b) == 0, previous).otherwise(cells)
 
-    return F.element_at(F.aggregate(a, start, row), -1)
+@F.pandas_udf(IntegerType())
+def _lcs(a: pd.Series, b: pd.Series) -> pd.Series:
+    """Bit-parallel: a row of the table is one big integer, its zeros count the matches."""
 
+    def one(x: list, y: list) -> int:
+        where: dict = {}
+        for i, w in enumerate(x):
+            where[w] = where.get(w, 0) | 1 << i
+        full = (1 << len(x)) - 1
+        v = full
+        for w in y:
+            u = v & where.get(w, 0)
+            v = (v + u | v - u) & full
+        return len(x) - v.bit_count()
 
-def _cell(acc: Column, previous: Column, j: Column, x: Column, b: Column) -> Column:
-    up, diagonal = F.element_at(previous, j + 1), F.element_at(previous, j)
-    value = F.when(F.element_at(b, j) == x, diagonal + 1).otherwise(F.greatest(up, acc["last"]))
-    return F.struct(F.concat(acc["row"], F.array(value)).alias("row"), value.alias("last"))
+    return pd.Series([one(list(x), list(y)) if x is not None and y is not None else None for x, y in zip(a, b, strict=True)], dtype="Int32")
 
 
 def rouge_l(generated: Column, truth: Column) -> Column:
@@ -145,7 +148,7 @@ def parse_regions(text: Column, sep: str = "<sep>") -> Column:
 
 def snap_score(raw: Column) -> Column:
     """Nearest of 0, .25, .5, .75, 1 (ties upwards, our choice); what doesn't parse is 0."""
-    x = F.expr("try_cast(" + raw + " as double)") if isinstance(raw, str) else raw.try_cast("double")
+    x = raw.try_cast("double")
     return F.coalesce(F.least(F.greatest(F.floor(x * 4 + 0.5) / 4, F.lit(0.0)), F.lit(1.0)), F.lit(0.0))
 
 

@@ -2,24 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
-from pyspark.sql import Window
+from weftline.plans import profile, ranking, relational, scalars, scoring  # noqa: F401
+from weftline.plans.base import ORACLE_SQL, QUERIES
 
-from weftline.session import read_table
-
-
-def win_dedup_top5(spark, sf_dir):
-    """Per language one row for each text (smallest id), then the five longest."""
-    docs = read_table(spark, sf_dir, "documents").select("doc_id", "lang", "text", "n_chars")
-    one = docs.groupBy("lang", "text").agg(F.min(F.struct("doc_id", "n_chars")).alias("d")).select("lang", "d.*")
-    rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n_chars"), "doc_id"))
-    return one.withColumn("rk", rank).where("rk <= 5").select("lang", "rk", "doc_id", "n_chars")
-
-
-QUERIES = {"win_dedup_top5": win_dedup_top5}
-ORACLE_SQL = {
-    "win_dedup_top5": """
-SELECT lang, rk, doc_id, n_chars FROM (
-  SELECT *, row_number() OVER (PARTITION BY lang ORDER BY n_chars DESC, doc_id)::INT AS rk
-  FROM (SELECT lang, text, min(doc_id) AS doc_id, min(n_chars) AS n_chars FROM documents GROUP BY 1, 2)) WHERE rk <= 5""",
-}
+__all__ = ["ORACLE_SQL", "QUERIES"]

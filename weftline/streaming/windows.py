@@ -9,7 +9,14 @@ from pyspark.sql import functions as F
 def read_events(spark: SparkSession, path: str) -> DataFrame:
     """A file stream of events; the zone-less time is read in the session's zone (UTC)."""
     schema = spark.read.parquet(path).schema
-    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", "8").parquet(path)
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", "8")
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if where.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(where).isFile():
+        # a stream watches folders: this one, for the one file
+        folder, name = path.rsplit("/", 1)
+        stream = stream.option("pathGlobFilter", name).parquet(folder)
+    else:
+        stream = stream.parquet(path)
     return stream.withColumn("ts", F.col("ts").cast("timestamp"))
 
 
