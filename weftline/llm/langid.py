@@ -158,11 +158,13 @@ class Model:
             self.used += len(part)
 
     def predict(self, texts: list[str | None]) -> list[tuple[str, float]]:
+        if not self.langs:
+            return [("und", 0.0)] * len(texts)
         counted = [stretches(t) if t else Counter() for t in texts]
         self.learn(list(set().union(*counted)))
         out = []
         for c in counted:
-            if not self.langs or not any(ch.isalpha() for w in c for ch in w):
+            if not any(ch.isalpha() for w in c for ch in w):
                 out.append(("und", 0.0))
                 continue
             rows = self.rows[np.fromiter(map(self.memo.__getitem__, c), np.int64, len(c))]
@@ -179,6 +181,7 @@ def fit(labelled: DataFrame, path: str, per_lang: int = SAMPLE_PER_LANG) -> Mode
     The sample is bounded: at most ``per_lang`` whole documents of each language, the first in
     order of a hash of the id. Ids are chosen on narrow rows; words are counted by the executors.
     """
+    labelled = labelled.select("doc_id", "text", "lang")
     narrow = labelled.where("lang is not null and text is not null").select("doc_id", "lang", F.xxhash64("doc_id", "text").alias("h"))
     first = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id", "h")
     chosen = narrow.withColumn("n", F.row_number().over(first)).where(F.col("n") <= per_lang).select("doc_id", "lang", "h").distinct()
