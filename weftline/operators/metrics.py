@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from weftline.functions import text as X
+from weftline.session import with_prefix
 
 
 def attribute_outcomes(pairs: DataFrame, similarity: Callable[[Column, Column], Column] = X.token_dice) -> DataFrame:
@@ -74,10 +75,9 @@ def kappa(conf: DataFrame) -> DataFrame:
 
 
 def average_rank(df: DataFrame, value: str, name: str) -> DataFrame:
-    """Ranks from 1, ties sharing their mean: a rank per distinct value, joined back."""
-    counts = df.groupBy(value).agg(F.count(F.lit(1)).alias("_c"))
-    below = F.coalesce(F.sum("_c").over(Window.orderBy(value).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    return df.join(counts.withColumn(name, below + (F.col("_c") + 1) / 2).drop("_c"), value)
+    """Ranks from 1, ties sharing their mean: a rank per distinct value from a distributed prefix sum, joined back."""
+    counts = with_prefix(df.groupBy(value).agg(F.count(F.lit(1)).alias("_c")), [value], F.col("_c"), "_below")
+    return df.join(counts.select(value, (F.col("_below") + (F.col("_c") + 1) / 2).alias(name)), value)
 
 
 def spearman(df: DataFrame, a: str, b: str) -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from weftline.session import with_prefix
+
 SEED = "weftline"
 
 
@@ -42,11 +44,14 @@ def take_quota(df: DataFrame, quotas: DataFrame, group: str, order: list[Column]
 
 
 def grouped_split(groups: DataFrame, group: str, size: str = "n", share: float = 0.10) -> DataFrame:
-    """(group, n, split): whole groups go to test in hash order while the running size stays within the share."""
-    order = Window.orderBy(hash_order(group), group).rowsBetween(Window.unboundedPreceding, 0)
-    run = F.sum(size).over(order)
-    total = F.sum(size).over(Window.partitionBy())
-    return groups.select(group, size, F.when(run <= total * share, F.lit("test")).otherwise(F.lit("train")).alias("split"))
+    """(group, n, split): whole groups go to test in hash order while the running size stays within the share.
+
+    The running size is a distributed prefix sum: no task orders all groups.
+    """
+    rows = groups.select(group, size, hash_order(group).alias("_h"))
+    total = rows.agg(F.sum(size)).first()[0] or 0
+    run = with_prefix(rows, ["_h", group], F.col(size), "_before")
+    return run.select(group, size, F.when(F.col("_before") + F.col(size) <= total * share, F.lit("test")).otherwise(F.lit("train")).alias("split"))
 
 
 def leaks(edges: DataFrame, membership: DataFrame, key: str) -> DataFrame:
