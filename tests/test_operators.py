@@ -140,3 +140,39 @@ def test_entry_imports(spark):
 
     assert set(e.oracle_sql()) <= set(e.queries())
     assert len(e.entry(spark).collect()) > 0
+
+
+def test_lists_csv_and_summaries(spark, tmp_path):
+    (tmp_path / "split.txt").write_text("a.jpg a.json red\nb.jpg b.json\n")
+    got = {r["image"]: r["color_label"] for r in io.read_split_list(spark, str(tmp_path / "split.txt")).collect()}
+    assert got == {"a.jpg": "red", "b.jpg": None}
+    rows = spark.createDataFrame([("a", 1, 0.5), ("b", 2, 0.25)], "image string, tp int, miou double")
+    io.write_csv(rows, str(tmp_path / "m.csv"))
+    assert {tuple(r) for r in io.read_csv(spark, str(tmp_path / "m.csv"), "image string, tp int, miou double").collect()} == {("a", 1, 0.5), ("b", 2, 0.25)}
+    status = spark.createDataFrame([("ok",), ("ok",), ("failed",), ("skipped",)], "status string")
+    assert io.summary_json(io.run_summary(status)) == '{"failed": 1, "processed": 2, "selected": 4, "skipped": 1}'
+    assert io.large_files(spark, str(tmp_path), 5).count() >= 1
+    io.write_scored(rows.withColumn("candidate", F.lit("base")), str(tmp_path / "scored"))
+    assert spark.read.parquet(str(tmp_path / "scored")).where("candidate = 'base'").count() == 2
+    io.snapshot(rows, str(tmp_path / "snap"), "1")
+    with pytest.raises(Exception):
+        io.snapshot(rows, str(tmp_path / "snap"), "1")
+
+
+def test_service_seam_and_shards(spark):
+    def client(batches):
+        for b in batches:
+            b["answer"] = b["id"] * 2
+            yield b
+
+    rows = spark.range(20)
+    got = io.call_service(rows, client, "id long, answer long", workers=3).collect()
+    assert {(r["id"], r["answer"]) for r in got} == {(i, 2 * i) for i in range(20)}
+    assert io.shard(rows, "id", 4).select("shard").distinct().count() <= 4
+
+
+def test_row_digest_ignores_order(spark):
+    a = spark.createDataFrame([(1, "x"), (2, "y")], "i int, s string")
+    b = spark.createDataFrame([("y", 2), ("x", 1)], "s string, i int")
+    assert io.row_digest(a).first() == io.row_digest(b).first()
+    assert io.row_digest(a).first() != io.row_digest(a.where("i = 1")).first()
