@@ -474,7 +474,7 @@ def test_pipeline_stage_by_stage(spark, tmp_path):
         assert r.decoded_sha256 == hashlib.sha256(text[r.doc_id].encode()).hexdigest()
 
 
-@pytest.mark.parametrize("name", ["op1_mixing", "op8_neardup", "op9_urls"])
+@pytest.mark.parametrize("name", ["op1_mixing", "op8_neardup", "op9_urls", "op10_secrets"])
 def test_sql(spark, name):
     import duckdb
 

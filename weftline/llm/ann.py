@@ -99,8 +99,8 @@ def nearest(rows: DataFrame, k: int = 10, every: int = 100, id_col: str = "vec_i
 
     Null ids, and vectors that are null, empty, zero or hold a null or non-finite component, take
     no part; vectors of another length than the most common one neither. A query never finds its
-    own row; another row with the same id does not count either. Equal vectors are told apart by
-    id. No rows: no rows.
+    own row; another row with the same id does not count either. Rows that share an id count once,
+    by the nearest of them. Equal vectors are told apart by id. No rows: no rows.
     """
     spark = rows.sparkSession
     bounded_batches(spark, INDEX_BATCH)

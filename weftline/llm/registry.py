@@ -21,4 +21,5 @@ ORACLE_SQL = {
     "op1_mixing": mixing.OP1_SQL,
     "op8_neardup": neardup.OP8_SQL,
     "op9_urls": urlrules.OP9_SQL,
+    "op10_secrets": secrets.OP10_SQL,
 }

@@ -102,6 +102,36 @@ def op10_secrets(spark, sf_dir: str) -> DataFrame:
     return out.select("doc_id", count("assign"), count("access"), count("hex"), F.sha2(joined(F.col("base")), 256).alias("base_sha256"), joined(F.array_sort(F.concat("base", "live"))).alias("spans"), "n_owner_specific", "n_copied")
 
 
+def _sql_spans(pattern: str, kind: str, rank: int, value: str) -> tuple[str, str]:
+    """The same positions in DuckDB, from lengths of pieces and matches; and the columns they need."""
+    quoted = pattern.replace("'", "''")
+    return (
+        f"list_transform(range(1, len(m_{kind}) + 1), lambda i: {{'start': coalesce(list_sum(list_transform(g_{kind}[:i], lambda y: length(y))), 0) + coalesce(list_sum(list_transform(m_{kind}[:i - 1], lambda y: length(y))), 0), 'rank': {rank}, "
+        f"'end': coalesce(list_sum(list_transform(g_{kind}[:i], lambda y: length(y))), 0) + coalesce(list_sum(list_transform(m_{kind}[:i], lambda y: length(y))), 0), 'kind': '{kind}', 'value': v_{kind}[i]}})"
+    ), f"regexp_extract_all(t, '{quoted}') AS m_{kind}, string_split_regex(t, '{quoted}') AS g_{kind}, regexp_extract_all(t, '{quoted}', {value}) AS v_{kind}"
+
+
+def _op10_sql() -> str:
+    parts = {k: _sql_spans(p, k, r, v) for k, p, r, v in (("assign", ASSIGN, 0, "2"), ("access", ACCESS, 1, "0"), ("hex", HEX, 2, "0"), ("live", CANDIDATE, 3, "0"))}
+    text = "array_to_string(list_transform({}, lambda s: s.kind || ':' || s.start || ':' || s.end), ',')"
+    return f"""
+WITH d AS (SELECT doc_id, coalesce(source, '') AS owner, coalesce(doc_id::VARCHAR, '') AS repository, coalesce(text, '') AS t FROM documents),
+m AS (SELECT doc_id, owner, repository, md5(t) AS h, {', '.join(c for _, c in parts.values())} FROM d),
+b AS (SELECT doc_id, owner, repository, h, list_sort(list_concat(list_filter({parts['assign'][0]}, lambda s: length(s.value) >= 6), {parts['access'][0]}, {parts['hex'][0]})) AS base,
+  list_filter({parts['live'][0]}, lambda s: regexp_matches(s.value, '[0-9]') AND regexp_matches(s.value, '[a-z]') AND regexp_matches(s.value, '[A-Z]')) AS x FROM m),
+r AS (SELECT doc_id, owner, repository, h, base, list_filter(x, lambda s: len(list_filter(base, lambda k: k.start < s.end AND s.start < k.end)) = 0) AS x FROM b),
+f AS (SELECT DISTINCT owner, repository, h, unnest(list_transform(list_concat(base, x), lambda s: s.value)) AS value FROM r),
+w AS (SELECT value, count(DISTINCT owner) > {MAX_OWNERS} OR count(DISTINCT (owner, repository)) > {MAX_OWNERS} AS wide FROM f GROUP BY 1),
+v AS (SELECT h, list(value) FILTER (NOT wide) AS own, count(*) FILTER (wide) AS n_copied FROM (SELECT DISTINCT h, value FROM f) JOIN w USING (value) GROUP BY 1),
+o AS (SELECT r.*, coalesce(own, []) AS own, coalesce(n_copied, 0) AS n_copied, list_filter(x, lambda s: list_contains(coalesce(own, []), s.value)) AS live FROM r LEFT JOIN v ON v.h = r.h)
+SELECT doc_id, len(list_filter(base, lambda s: s.kind = 'assign'))::BIGINT AS n_assign, len(list_filter(base, lambda s: s.kind = 'access'))::BIGINT AS n_access, len(list_filter(base, lambda s: s.kind = 'hex'))::BIGINT AS n_hex,
+  sha256({text.format('base')}) AS base_sha256, {text.format('list_sort(list_concat(base, live))')} AS spans, len(own)::BIGINT AS n_owner_specific, n_copied::BIGINT AS n_copied FROM o
+"""
+
+
+OP10_SQL = _op10_sql()
+
+
 def redact(docs: DataFrame, mark: str = "<secret>") -> DataFrame:
     """``docs`` with every base span and every live-looking token replaced by ``mark``; n_chars follows.
 
