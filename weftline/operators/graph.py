@@ -13,17 +13,19 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", m
 
     Alternates the large-star and small-star steps, which need O(log^2 n) rounds even on long
     chains, and cuts the lineage through the checkpoint folder in each round. Minima are partial
-    aggregates and go back by an equi-join that adaptive execution can split, so a hub does not
-    meet in one task. Self loops and nulls are ignored: a node without another has no row.
+    aggregates; they are checkpointed, so that both sides of the join that takes them back come from
+    plain exchanges and adaptive execution can split a hub, which else meets in one task. Self
+    loops and nulls are ignored: a node without another has no row.
     """
     pairs = edges.select(F.col(src).alias("u"), F.col(dst).alias("v")).where("u <> v")
     pairs = checkpointed(pairs.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
     before = None
     for _ in range(max_rounds):
         both = pairs.union(pairs.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
+        low = checkpointed(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")))
         large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        small_low = large.groupBy("u").agg(F.min("v").alias("m"))
+        large = checkpointed(large)
+        small_low = checkpointed(large.groupBy("u").agg(F.min("v").alias("m")))
         small = large.join(small_low, "u").select(F.explode(F.array(F.struct("v", "m"), F.struct(F.col("u").alias("v"), "m"))).alias("e"))
         pairs = checkpointed(small.select(F.col("e.v").alias("u"), F.col("e.m").alias("v")).where("u <> v").distinct())
         state = pairs.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
