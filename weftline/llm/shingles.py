@@ -165,7 +165,8 @@ def join(docs: DataFrame, similarity: float = SIMILARITY, n: int = N, recall: fl
     classes = every.where("cls is not null").groupBy("cls").agg(F.min("doc_id").alias("id"), F.count(F.lit(1)).alias("times"), F.first("size").alias("size"), F.first("bands").alias("bands"))
     classes = checkpointed(classes.withColumn("uid", F.monotonically_increasing_id()))
     spots = classes.select("uid", F.posexplode("bands").alias("band", "h"))
-    buckets = spots.groupBy("band", "h").agg(F.min("uid").alias("head"), F.count(F.lit(1)).alias("c")).where("c > 1")
+    # checkpointed, so that the join below is one of plain exchanges, whose hot buckets can be split
+    buckets = checkpointed(spots.groupBy("band", "h").agg(F.min("uid").alias("head"), F.count(F.lit(1)).alias("c")).where("c > 1"))
     member = checkpointed(spots.join(buckets.drop("c"), ["band", "h"]).select("uid", "band", "h", "head"))
     likely = connected_components(member.select("uid", "head").distinct(), "uid", "head").withColumnRenamed("component", "near")
     active = classes.join(likely, classes["uid"] == likely["node"]).select("uid", "near", "cls", "id", "times", "size", "bands")
