@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from weftline.session import checkpointed
+
 #: Slices of the key range in each source. Only the slice that holds the cut is sorted.
 SLICES = 4096
 #: A word: a run of anything but ASCII white space.
@@ -73,6 +75,7 @@ def mix(docs: DataFrame, size: Column, weight: Column, budget: float = 1.5, cap:
     rate = F.greatest(F.coalesce(weight.cast("double"), F.lit(0.0)), F.lit(1e-9))
     rows = docs.select(*[F.col(c).alias(f"k_{c}") for c in keep], F.col("doc_id").alias("_id"), F.col("source").alias("source"), size.alias("size"), (-F.log(u) / rate).alias("key"), F.xxhash64("text").alias("_tie"))
     rows = rows.withColumn("slice", F.floor((F.lit(1.0) - F.exp(-F.col("key") * TYPICAL_WEIGHT)) * SLICES).cast("int"))
+    rows = checkpointed(rows)  # narrow: the texts are read and counted once, whatever follows
     slices = rows.groupBy("source", "slice").agg(F.sum("size").alias("s_size"))
     totals = slices.groupBy("source").agg(F.sum("s_size").alias("source_size"))
     targets = source_targets(totals, budget, cap)
