@@ -88,6 +88,7 @@ def scan(docs: DataFrame, keep: list[str], repository: str = "doc_id", owner: st
     rows = checkpointed(rows.withColumn("base", hashed(F.col("base"))).withColumn("x", hashed(F.col("x"))))
     found = rows.where("size(base) > 0 or size(x) > 0").select("repository", "owner", "text_hash", F.explode(F.array_distinct(F.transform(F.concat("base", "x"), lambda s: s["value"]))).alias("value"))
     owners = found.groupBy("value", "owner").agg(F.approx_count_distinct("repository", 0.02).alias("r")).groupBy("value").agg(F.count(F.lit(1)).alias("owners"), F.sum("r").alias("repositories"))
+    owners = checkpointed(owners)  # the join below is then one of plain exchanges, whose hot values can be split
     wide = (F.col("owners") > MAX_OWNERS) | (F.col("repositories") > MAX_OWNERS)
     verdicts = found.select("text_hash", "value").distinct().join(owners, "value").groupBy("text_hash").agg(F.collect_list(F.when(~wide, F.col("value"))).alias("own"), F.count(F.when(wide, 1)).alias("n_copied"))
     out = rows.join(verdicts, "text_hash", "left")
