@@ -301,6 +301,16 @@ def test_jaccard_odd_rows(odd, empty):
     assert shingles.keep_one(empty).count() == 0
 
 
+def test_keep_one_keeps_other_texts_of_an_id(spark):
+    rng = random.Random(5)
+    a, b, c, d, e = (" ".join(f"w{rng.randrange(10**6)}" for _ in range(60)) for _ in range(5))
+    rows = [(1, a), (1, b), (2, a + " more"), (3, b), (1, a + " again"), (None, c), (None, d), (None, d), (None, a), (4, e), (None, e), (5, None), (5, ""), (5, "!!"), (5, "!!")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted(((r["doc_id"], r["text"]) for r in shingles.keep_one(docs).collect()), key=str)
+    first = next(t for i, t in got if i == 1 and t.startswith(a))
+    assert got == sorted([(1, first), (1, b), (None, c), (None, d), (4, e), (5, None), (5, ""), (5, "!!")], key=str)
+
+
 def test_band_choice():
     b, r = shingles.choose_bands(0.8, 0.9995)
     assert 1 - (1 - 0.8**r) ** b >= 0.9995

@@ -123,11 +123,12 @@ def jaccard_pairs(sets: list[np.ndarray], i: np.ndarray, j: np.ndarray, similari
 
 
 def join(docs: DataFrame, similarity: float = SIMILARITY, n: int = N, recall: float = RECALL) -> DataFrame:
-    """One row per input row: doc_id, text_hash, class_id, copy_id, n_links, kept.
+    """One row per input row: doc_id, text_hash, component, class_id, copy_id, n_links, kept.
 
     ``copy_id`` is the smallest id with the same n-gram set. ``n_links`` counts the other rows whose
     Jaccard similarity reaches the threshold, copies included; ``class_id`` is the smallest id that
-    links reach; ``kept`` is doc_id = class_id.
+    links reach; ``kept`` is doc_id = class_id. ``component`` tells groups of linked rows apart, also
+    where ids repeat or are null; it is null for a wordless text.
 
     Steps: (1) one pass over whole texts makes the set's digest and its band hashes; equal sets
     become one document with a count before anything is joined. (2) Band hashes shuffle; only
@@ -220,32 +221,36 @@ def join(docs: DataFrame, similarity: float = SIMILARITY, n: int = N, recall: fl
     comp = connected_components(found.where("other is not null").select("uid", "other"), "uid", "other")
     named = classes.select("uid", "cls", "id", "times").join(links, "uid", "left").join(comp.withColumnRenamed("node", "uid"), "uid", "left").withColumn("component", F.coalesce("component", "uid"))
     first = named.groupBy("component").agg(F.min("id").alias("class_id"))
-    named = named.join(first, "component").select(F.col("cls").alias("c_cls"), F.col("id").alias("copy_id"), (F.col("times") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), "class_id")
+    named = named.join(first, "component").select(F.col("cls").alias("c_cls"), F.col("id").alias("copy_id"), (F.col("times") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), "class_id", "component")
     whole = every.where("cls is not null").select("doc_id", "text_hash", "cls").join(named, F.col("cls") == F.col("c_cls"))
-    whole = whole.select("doc_id", "text_hash", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("copy_id", "doc_id").alias("copy_id"), F.col("n_links").cast("long"))
-    alone = every.where("cls is null").select("doc_id", "text_hash", F.col("doc_id").alias("class_id"), F.col("doc_id").alias("copy_id"), F.lit(0).cast("long").alias("n_links"))
+    whole = whole.select("doc_id", "text_hash", "component", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("copy_id", "doc_id").alias("copy_id"), F.col("n_links").cast("long"))
+    alone = every.where("cls is null").select("doc_id", "text_hash", F.lit(None).cast("long").alias("component"), F.col("doc_id").alias("class_id"), F.col("doc_id").alias("copy_id"), F.lit(0).cast("long").alias("n_links"))
     return whole.union(alone).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("class_id")))
 
 
 def op6_jaccard(spark, sf_dir: str) -> DataFrame:
-    return join(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")).drop("text_hash")
+    return join(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")).drop("text_hash", "component")
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """``docs`` with one row of each class: the one whose id names it.
+    """``docs`` with one row of each component: one whose id names the class.
 
-    Rows that leave are matched by id. Ids that occur more than once are rare and settled among
-    themselves: equal rows of a kept id leave one.
+    Rows that leave are matched by id. Ids that occur more than once, null among them, are settled by
+    (id, text hash): of the rows of one component that hold the kept id, the smallest hash stays, so
+    unlinked texts that share an id all stay. Wordless texts are components of their own. Rows equal
+    in id and text leave one.
     """
     got = checkpointed(join(docs.select("doc_id", "text")))
     ids = got.groupBy("doc_id").agg(F.count(F.lit(1)).alias("c"), F.max("kept").alias("k"))
     gone = checkpointed(ids.where("c > 1 or not k").select(F.col("doc_id").alias("g_id"), (F.col("c") > 1).alias("many")))
-    mark = gone if gone.count() > MOST_SENT else F.broadcast(gone)
-    simple = docs.join(mark, docs["doc_id"].eqNullSafe(F.col("g_id")), "left_anti")
+    sent = F.broadcast if gone.count() <= MOST_SENT else lambda d: d
+    simple = docs.join(sent(gone), docs["doc_id"].eqNullSafe(F.col("g_id")), "left_anti")
     many = gone.where("many")
     if many.isEmpty():
         return simple
-    kept = got.join(many, got["doc_id"].eqNullSafe(F.col("g_id")), "left_semi").where("kept").select(F.col("doc_id").alias("r_id"), F.col("class_id").alias("r_class"), F.col("text_hash").alias("r_hash")).distinct()
-    one = kept.groupBy("r_id", "r_class").agg(F.min("r_hash").alias("r_hash"))
-    again = docs.withColumn("_h", F.xxhash64(F.coalesce("text", F.lit("")))).join(one, docs["doc_id"].eqNullSafe(F.col("r_id")) & (F.col("_h") == F.col("r_hash")), "left_semi").dropDuplicates(["doc_id", "_h"]).drop("_h")
+    kept = got.join(sent(many), got["doc_id"].eqNullSafe(F.col("g_id")), "left_semi").where("kept")
+    kept = kept.groupBy(F.col("doc_id").alias("r_id"), "component", F.when(F.col("component").isNull(), F.col("text_hash"))).agg(F.min("text_hash").alias("r_hash"))
+    one = kept.select("r_id", "r_hash").distinct()
+    again = docs.withColumn("_h", F.xxhash64(F.coalesce("text", F.lit("")))).withColumn("_n", F.col("text").isNull())
+    again = again.join(one, docs["doc_id"].eqNullSafe(F.col("r_id")) & (F.col("_h") == F.col("r_hash")), "left_semi").dropDuplicates(["doc_id", "_h", "_n"]).drop("_h", "_n")
     return simple.unionByName(again)
