@@ -335,6 +335,14 @@ def test_html_extraction(spark):
     assert wrappers.extract(pages.limit(0)).count() == 0
 
 
+def test_html_pages_without_article_keep_their_text(spark):
+    bodies = ["<article><p>One</p></article>", "<div><p>Two</p></div>", "<article><p>One</p></article><div><p>Aside</p></div>", "<nav>Menu</nav><div><p>Two</p></div>"]
+    pages = spark.createDataFrame([(i, f"http://a.org/{i}", b) for i, b in enumerate(bodies)], "page_id long, url string, html string")
+    got = {r["page_id"]: r for r in wrappers.extract(pages).collect()}
+    assert [got[i]["text"] for i in range(4)] == ["One", "Two", "One", "Two"]
+    assert got[1]["wrapped"]
+
+
 def test_html_against_plain_parsing(spark):
     import html as entities
 
