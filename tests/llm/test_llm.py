@@ -388,6 +388,31 @@ def test_neardup_against_brute_force(spark, monkeypatch):
     assert all(got[i]["component_id"] <= i and got[i]["kept"] == (got[i]["component_id"] == i) for i in range(900))
 
 
+def test_neardup_dense_label_and_large_cells(spark, monkeypatch):
+    monkeypatch.setattr(neardup, "BLOCK", 64)
+    monkeypatch.setattr(neardup, "WINDOW", 16)
+    monkeypatch.setattr(neardup, "LEAST_EXACT", 100)
+    rng = np.random.default_rng(18)
+    unit = lambda v: v / np.linalg.norm(v, axis=-1, keepdims=True)
+    apart = lambda n, c: unit(np.sqrt(c) * unit(np.ones(32)) + np.sqrt(1 - c) * unit(rng.standard_normal((n, 32))))
+    beside = lambda v, c: unit(c * v + np.sqrt(1 - c * c) * unit(rng.standard_normal(v.shape)))
+    alike = apart(1200, 0.9)
+    hot = np.vstack([alike, beside(alike[:200], 0.985), beside(np.tile(unit(rng.standard_normal(32)), (100, 1)), 0.998)])
+    spread = unit(rng.standard_normal((4000, 32)))
+    cold = np.vstack([spread, beside(spread[:300], 0.985), beside(np.tile(spread[:1], (100, 1)), 0.998)])
+    x = np.vstack([hot, cold])
+    label = np.repeat([0, 1], [len(hot), len(cold)])
+    rows = [(i, v, int(g)) for i, (v, g) in enumerate(zip(x.tolist(), label, strict=True))]
+    near = (unit(x) @ unit(x).T >= 0.98) & (label[:, None] == label[None, :])
+    np.fill_diagonal(near, False)
+    got = {r["vec_id"]: r for r in neardup.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect()}
+    links, want = np.array([got[i]["n_links"] for i in range(len(x))]), near.sum(1)
+    assert (links[label == 0] == want[label == 0]).all()  # all pairs of the dense label
+    assert (links <= want).all() and links[label == 1].sum() >= 0.999 * want[label == 1].sum()
+    a, b = np.nonzero(near[: len(hot), : len(hot)])
+    assert all(got[i]["component_id"] == got[j]["component_id"] for i, j in zip(a.tolist(), b.tolist(), strict=True))
+
+
 def test_neardup_odd_rows(spark):
     schema = "vec_id long, embedding array<float>, label int, n string, v string"
     rows = [(1, [1.0, 0.0], 1, "n", "v"), (2, [2.0, 0.0], 1, "n", "v"), (2, [2.0, 0.0], 1, "n", "v"), (3, [1.0, 0.0], 2, "n", "v"), (4, [1.0, 0.0], None, "n", "v"), (5, None, 1, "n", "v"), (6, [0.0, 0.0], 1, "n", "v"), (7, [float("inf"), 0.0], 1, "n", "v"), (8, [1.0, 0.0, 0.0], 1, "n", "v"), (9, [], 1, "n", "v")]

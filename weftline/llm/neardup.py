@@ -19,16 +19,22 @@ BITS = 63
 BLOCK, WINDOW = 1024, 512
 #: Chance that two linked vectors meet in some pass.
 TARGET = 0.9999
+#: Blocks of a set that is compared in full: an eighth of it, within these bounds; similarities are made in strips.
+LEAST_EXACT, MOST_EXACT, STRIP = 1024, 4096, 256
+
+
+def bits_for(n: int, window: int = WINDOW) -> float:
+    """First hashes that cut n evenly spread rows down to a window, and one more."""
+    return max(0.0, math.log2(max(n, 1) / window)) + 1
 
 
 def passes_for(n: int, cosine: float, target: float = TARGET, window: int = WINDOW) -> int:
-    """Passes needed so that two vectors at the threshold share a window with chance ``target``.
+    """Passes needed so that two vectors at the threshold share a cell with chance ``target``.
 
-    Two vectors at angle a agree on a hash with chance 1 - a / pi. In a pass they are neighbours
-    if they agree on the first hashes that cut n rows down to a window.
+    Two vectors at angle a agree on a hash with chance 1 - a / pi. In a pass they share a cell if
+    they agree on the first ``bits_for`` hashes. How many rows a cell holds plays no part in it.
     """
-    bits = max(0.0, math.log2(max(n, 1) / window)) + 1
-    p = (1 - math.acos(cosine) / math.pi) ** bits
+    p = (1 - math.acos(cosine) / math.pi) ** bits_for(n, window)
     return max(2, math.ceil(math.log(1 - target) / math.log(1 - p))) if p < 1 else 2
 
 
@@ -61,6 +67,22 @@ def forest(n: int, a: np.ndarray, b: np.ndarray) -> list[tuple[int, int]]:
     return out
 
 
+def full_forest(root: np.ndarray, i: np.ndarray, j: np.ndarray) -> list[tuple[int, int]]:
+    """What the pairs add to a spanning forest; ``root`` has the group of each row and is updated.
+
+    As ``forest``, but a step for each row instead of each pair. ``i`` is sorted.
+    """
+    out = []
+    starts = np.flatnonzero(np.r_[True, i[1:] != i[:-1]]) if len(i) else i
+    for row, near in zip(i[starts].tolist(), np.split(j, starts[1:]), strict=False):
+        own = root[row]
+        groups, first = np.unique(root[near], return_index=True)
+        out += [(row, int(near[f])) for g, f in zip(groups, first, strict=True) if g != own]
+        if len(groups) > 1 or groups[0] != own:
+            root[np.isin(root, np.r_[groups, own])] = min(groups[0], own)
+    return out
+
+
 def near_duplicates(rows: DataFrame, cosine: float = 0.98, id_col: str = "vec_id", vector: str = "embedding", label: str = "label", target: float = TARGET) -> DataFrame:
     """One row per input row: vec_id, n_links, component_id, kept.
 
@@ -68,10 +90,13 @@ def near_duplicates(rows: DataFrame, cosine: float = 0.98, id_col: str = "vec_id
     Classes are sorted in several passes, each by (label, length, 63 random sign hashes); in a pass
     a class is compared with the WINDOW classes behind it, in blocks of BLOCK rows cut from the
     global rank, so no run of like keys makes a task larger. The number of passes follows from the
-    row count and ``target``. A pair is counted in the first pass in which both share a window, so
-    blocks emit one count for each row and a spanning forest, never the pairs themselves.
-    More than WINDOW mutually linked different vectors keep their component; their n_links counts
-    the links found within windows.
+    row count and ``target``. A pair is counted in the first pass in which both share a window or a
+    cell (label, length and first hashes), so blocks emit one count for each row and a spanning
+    forest, never the pairs themselves.
+    Cells are measured. One that holds more than a window is compared in full, in pairs of blocks,
+    so a link is met with chance ``target`` at least however dense the label is. Where the cells and
+    windows of a label cost more than all its pairs, all its pairs are compared instead, once. That
+    grows with the square of the cell (of the label); vectors that spread over cells never need it.
 
     Null ids: n_links as any row, but no part in naming components. Null labels, and vectors that
     are null, empty, zero or hold a null or non-finite component: no links. Different lengths do
@@ -103,20 +128,35 @@ def near_duplicates(rows: DataFrame, cosine: float = 0.98, id_col: str = "vec_id
     every = checkpointed(base.mapInPandas(digest, "vec_id long, label string, cls binary, keys array<long>, v binary"))
     classes = every.where("cls is not null").groupBy("label", "cls").agg(F.min("vec_id").alias("id"), F.count(F.lit(1)).alias("n"), F.first("v").alias("v"), F.first("keys").alias("keys"))
     classes = checkpointed(classes.withColumn("uid", F.monotonically_increasing_id()))
-    long = classes.select("uid", "label", F.length("v").alias("dim"), F.posexplode("keys").alias("pass", "key"))
+    prefix = int(bits_for(count))
+    space = ["label", "dim"]
+    classes = classes.withColumn("dim", F.length("v")).withColumn("cells", F.transform("keys", lambda k: F.shiftright(k, BITS - prefix)))
+    large = classes.select(*space, F.posexplode("cells").alias("pass", "cell")).groupBy("pass", *space, "cell").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") > WINDOW + 1)
+    large = checkpointed(large)
+    sizes = classes.groupBy(*space).agg(F.count(F.lit(1)).alias("c"))
+    costs = large.groupBy(*space).agg(F.sum(F.col("c").cast("double") * F.col("c")).alias("cost"))
+    dense = sizes.join(costs, space).where(F.col("c").cast("double") * F.col("c") <= F.col("cost") + 2.0 * WINDOW * passes * F.col("c"))
+    dense = checkpointed(dense.select(*space, "c"))
+    rest = classes.join(dense.select(*space), space, "left_anti")
+    long = rest.select("uid", "label", "dim", F.posexplode("keys").alias("pass", "key"))
     ranked = with_prefix(long, ["pass", "label", "dim", "key", "uid"], name="at")
-    total = classes.count()
+    total = rest.count()
     ranks = ranked.groupBy("uid").agg(F.array_sort(F.collect_list(F.struct("pass", (F.col("at") - F.col("pass") * total).cast("long").alias("r")))).alias("r"))
     ranks = ranks.select("uid", F.transform("r", lambda s: s["r"]).alias("ranks"))
-    body = classes.select("uid", "label", "n", "v").join(ranks, "uid")
-    spots = body.select("*", F.posexplode("ranks").alias("pass", "at")).withColumn("block", F.floor(F.col("at") / BLOCK))
+    body = rest.select("uid", "label", "dim", "n", "v", "cells").join(ranks, "uid")
+    spots = body.drop("dim").select("*", F.posexplode("ranks").alias("pass", "at")).withColumn("block", F.floor(F.col("at") / BLOCK))
     spots = spots.withColumn("block", F.explode(F.when((F.col("at") % BLOCK < WINDOW) & (F.col("block") > 0), F.array("block", F.col("block") - 1)).otherwise(F.array("block"))))
 
+    def told(uid: np.ndarray, links: np.ndarray, edges: list[tuple[int, int]]) -> pd.DataFrame:
+        some = np.flatnonzero(links)
+        e = np.array(edges, np.int64).reshape(-1, 2)
+        return pd.DataFrame({"uid": np.r_[uid[some], uid[e[:, 0]]], "links": pd.array([*links[some], *[None] * len(e)], "Int64"), "other": pd.array([*[None] * len(some), *uid[e[:, 1]]], "Int64")})
+
     def compare(key: tuple, g: pd.DataFrame) -> pd.DataFrame:
         p, block = int(key[0]), int(key[1])
         g = g.sort_values("at", ignore_index=True)
         labels, at, times = g["label"].to_numpy(), g["at"].to_numpy(), g["n"].to_numpy()
-        ranks = np.stack(g["ranks"].to_list())
+        ranks, cells = np.stack(g["ranks"].to_list()), np.stack(g["cells"].to_list())
         links, edges = np.zeros(len(g), np.int64), []
         sizes = g["v"].str.len().to_numpy()
         for size in np.unique(sizes):
@@ -130,16 +170,47 @@ def near_duplicates(rows: DataFrame, cosine: float = 0.98, id_col: str = "vec_id
             keep = (at[j] - at[i] <= WINDOW) & (labels[i] == labels[j])
             i, j = i[keep], j[keep]
             for q in range(p):
-                fresh = np.abs(ranks[i, q] - ranks[j, q]) > WINDOW
+                fresh = (np.abs(ranks[i, q] - ranks[j, q]) > WINDOW) & (cells[i, q] != cells[j, q])
                 i, j = i[fresh], j[fresh]
             links += np.bincount(i, times[j], len(g)).astype(np.int64) + np.bincount(j, times[i], len(g)).astype(np.int64)
             edges += forest(len(g), i, j)
-        uid = g["uid"].to_numpy()
-        some = np.flatnonzero(links)
-        e = np.array(edges, np.int64).reshape(-1, 2)
-        return pd.DataFrame({"uid": np.r_[uid[some], uid[e[:, 0]]], "links": pd.array([*links[some], *[None] * len(e)], "Int64"), "other": pd.array([*[None] * len(some), *uid[e[:, 1]]], "Int64")})
+        return told(g["uid"].to_numpy(), links, edges)
+
+    # what is compared in full: all of a dense label (pass -1), and large cells of the others
+    blocks = F.ceil(F.col("c") / F.least(F.greatest(F.col("c") / 8, F.lit(LEAST_EXACT)), F.lit(MOST_EXACT)))
+    none = F.lit(None).cast("array<long>")
+    full = classes.join(dense, space).select("uid", *space, "n", "v", none.alias("cells"), none.alias("ranks"), F.lit(-1).alias("pass"), F.lit(0).cast("long").alias("cell"), "c")
+    in_cells = body.select("uid", *space, "n", "v", "cells", "ranks", F.posexplode("cells").alias("pass", "cell")).join(large, ["pass", *space, "cell"])
+    full = full.unionByName(in_cells).withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("uid", "pass"), F.col("blocks")))
+    full = full.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    full = full.select("uid", *space, "n", "v", "cells", "ranks", "pass", "cell", "block", F.least("block", "other").alias("a"), F.greatest("block", "other").alias("b"))
+
+    def compare_full(key: tuple, g: pd.DataFrame) -> pd.DataFrame:
+        p, a, b = int(key[0]), int(key[-2]), int(key[-1])
+        g = g.sort_values(["block", "uid"], ignore_index=True)
+        x = np.frombuffer(b"".join(g["v"]), float).reshape(len(g), -1)
+        x = x / np.sqrt((x * x).sum(axis=1))[:, None]
+        times, first = g["n"].to_numpy(), int((g["block"] == a).sum())
+        if p >= 0:
+            ranks, cells = np.stack(g["ranks"].to_list()), np.stack(g["cells"].to_list())
+        links, edges, root = np.zeros(len(g), np.int64), [], np.arange(len(g))
+        for start in range(0, first, STRIP):
+            left = start if a == b else first
+            i, j = np.nonzero(x[start : min(start + STRIP, first)] @ x[left:].T >= cosine)
+            i, j = i + start, j + left
+            i, j = i[i < j], j[i < j]
+            for q in range(p + 1):
+                fresh = np.abs(ranks[i, q] - ranks[j, q]) > WINDOW
+                if q < p:
+                    fresh &= cells[i, q] != cells[j, q]
+                i, j = i[fresh], j[fresh]
+            links += np.bincount(i, times[j], len(g)).astype(np.int64) + np.bincount(j, times[i], len(g)).astype(np.int64)
+            edges += full_forest(root, i, j)
+        return told(g["uid"].to_numpy(), links, edges)
 
-    found = checkpointed(spots.groupBy("pass", "block").applyInPandas(compare, "uid long, links long, other long"))
+    out = "uid long, links long, other long"
+    found = spots.groupBy("pass", "block").applyInPandas(compare, out)
+    found = checkpointed(found.union(full.groupBy("pass", *space, "cell", "a", "b").applyInPandas(compare_full, out)))
     links = found.where("links is not null").groupBy("uid").agg(F.sum("links").alias("links"))
     comp = connected_components(found.where("other is not null").select("uid", "other"), "uid", "other")
     named = classes.select("uid", "label", "cls", "id", "n").join(links, "uid", "left").join(comp.withColumnRenamed("node", "uid"), "uid", "left")
