@@ -59,8 +59,9 @@ def scan(docs: DataFrame, keep: list[str], repository: str = "doc_id", owner: st
     token (kind ``live``), is a candidate: its hash is counted by distinct owners and repositories
     over the whole corpus. A further token owned by at most ``MAX_OWNERS`` owners and repositories
     is owner-specific, hence live-looking, and becomes a span; one copied more widely is an example.
-    Counting is two partial aggregates on the hash, so a value that half of all documents hold costs
-    one row for each owner and task. The text is read once; later steps see hashes and positions.
+    Counting is exact: (value, owner, repository) rows are made distinct, which spreads a value that
+    half of all documents hold over all tasks, and partial aggregates leave one row for each value,
+    owner and task. The text is read once; later steps see hashes and positions.
 
     Null or empty text: no spans. Null owner or repository: one more. Equal values in one row count
     once for it. Repeated rows: each gets the same answer; no rows: no rows.
@@ -87,7 +88,7 @@ def scan(docs: DataFrame, keep: list[str], repository: str = "doc_id", owner: st
     hashed = lambda spans: F.transform(spans, lambda s: F.struct(s["start"].alias("start"), s["rank"].alias("rank"), s["end"].alias("end"), s["kind"].alias("kind"), F.xxhash64(s["value"]).alias("value")))
     rows = checkpointed(rows.withColumn("base", hashed(F.col("base"))).withColumn("x", hashed(F.col("x"))))
     found = rows.where("size(base) > 0 or size(x) > 0").select("repository", "owner", "text_hash", F.explode(F.array_distinct(F.transform(F.concat("base", "x"), lambda s: s["value"]))).alias("value"))
-    owners = found.groupBy("value", "owner").agg(F.approx_count_distinct("repository", 0.02).alias("r")).groupBy("value").agg(F.count(F.lit(1)).alias("owners"), F.sum("r").alias("repositories"))
+    owners = found.select("value", "owner", "repository").distinct().groupBy("value", "owner").agg(F.count(F.lit(1)).alias("r")).groupBy("value").agg(F.count(F.lit(1)).alias("owners"), F.sum("r").alias("repositories"))
     owners = checkpointed(owners)  # the join below is then one of plain exchanges, whose hot values can be split
     wide = (F.col("owners") > MAX_OWNERS) | (F.col("repositories") > MAX_OWNERS)
     verdicts = found.select("text_hash", "value").distinct().join(owners, "value").groupBy("text_hash").agg(F.collect_list(F.when(~wide, F.col("value"))).alias("own"), F.count(F.when(wide, 1)).alias("n_copied"))
