@@ -1,7 +1,9 @@
 """Operators on tiny frames: dedup gates, splits, graphs, assignment, runs, sources."""
 
 import random
+from itertools import permutations
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -79,6 +81,31 @@ def test_assignment_is_optimal(spark):
     assert {(r["i"], r["j"]) for r in assign.assign(m, "frame").collect()} == {(0, 1), (1, 0)}
 
 
+def brute_pairs(s):
+    m, n = s.shape
+    if m <= n:
+        options = (tuple(enumerate(p)) for p in permutations(range(n), m))
+    else:
+        options = (tuple(sorted(zip(p, range(n), strict=True))) for p in permutations(range(m), n))
+    return list(min(options, key=lambda o: (-round(sum(s[x] for x in o), 9), o)))
+
+
+def test_assignment_against_brute_force():
+    rng = np.random.default_rng(6)
+    for k in range(400):
+        s = rng.integers(0, (3, 50)[k % 2], rng.integers(1, 7, 2)) / 7
+        assert assign.best_pairs(s) == brute_pairs(s)
+
+
+def test_assignment_is_optimal_in_large_frames(spark):
+    # greedy takes the 0.9 of each pair of items and is left with 0.1
+    rows = [("f", 2 * b + i, 2 * b + j, s) for b in range(6) for i, j, s in ((0, 0, 0.9), (0, 1, 0.8), (1, 0, 0.85), (1, 1, 0.1))]
+    got = assign.assign(spark.createDataFrame(rows, "frame string, i int, j int, s double"), "frame").collect()
+    assert {(r["i"], r["j"]) for r in got} == {(2 * b + i, 2 * b + 1 - i) for b in range(6) for i in (0, 1)}
+    s = np.random.default_rng(7).integers(0, 4, (8, 8)) / 3
+    assert assign.best_pairs(s) == brute_pairs(s)
+
+
 def test_greedy_set(spark):
     df = spark.createDataFrame([("x", i) for i in range(4)], "b string, id long")
     e = spark.createDataFrame([(0, 1), (1, 2), (2, 3)], "a long, b long")

@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-from itertools import permutations
-
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Frames with more items are assigned greedily by score.
-MOST_EXACT = 7
+#: Scores that differ by no more count as tied.
+TIED = 1e-10
 
 
 def candidate_matrix(left: DataFrame, right: DataFrame, frame: str, score) -> DataFrame:
@@ -19,25 +18,86 @@ def candidate_matrix(left: DataFrame, right: DataFrame, frame: str, score) -> Da
     return a.join(b, F.col(frame) == F.col("_f")).select(frame, "i", "j", score(F.col("_a"), F.col("_b")).alias("s"))
 
 
+def hungarian(cost: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The column of each row of a square matrix at the least total, and both sides' potentials."""
+    n = len(cost)
+    u, v = np.zeros(n + 1), np.zeros(n + 1)
+    row_of = np.full(n + 1, n)  # column n stands for the row that is being placed
+    for row in range(n):
+        row_of[n], at = row, n
+        low, back, used = np.full(n, np.inf), np.full(n, n), np.zeros(n + 1, bool)
+        while row_of[at] != n:
+            used[at] = True
+            k = row_of[at]
+            gap = np.where(used[:n], np.inf, cost[k] - u[k] - v[:n])
+            better = gap < low
+            low[better], back[better] = gap[better], at
+            to = int(np.argmin(np.where(used[:n], np.inf, low)))
+            step = low[to]
+            u[row_of[used]] += step
+            v[used] -= step
+            low[~used[:n]] -= step
+            at = to
+        while at != n:
+            row_of[at] = row_of[back[at]]
+            at = back[at]
+    column_of = np.empty(n, int)
+    column_of[row_of[:n]] = np.arange(n)
+    return column_of, u[:n], v[:n]
+
+
+def _reroute(tight: np.ndarray, column_of: np.ndarray, row_of: np.ndarray, i: int, j: int) -> bool:
+    """Give row ``i`` column ``j`` if the rows after ``i`` can all keep tight columns; changes both maps."""
+    lost, free = int(row_of[j]), int(column_of[i])
+    back, queue = {}, [lost]
+    seen = np.zeros(len(tight), bool)
+    seen[column_of[: i + 1]] = True  # columns of settled rows
+    seen[[free, j]] = False, True
+    for row in queue:
+        for col in np.flatnonzero(tight[row] & ~seen).tolist():
+            seen[col], back[col] = True, row
+            if col == free:
+                while True:
+                    row = back[col]
+                    column_of[row], col = col, int(column_of[row])
+                    row_of[column_of[row]] = row
+                    if row == lost:
+                        column_of[i], row_of[j] = j, i
+                        return True
+            queue.append(int(row_of[col]))
+    return False
+
+
+def best_pairs(score: np.ndarray) -> list[tuple[int, int]]:
+    """(row, column) of the largest total, as many as the shorter side; of tied ones the smallest list."""
+    m, n = score.shape
+    size = max(m, n)
+    cost = np.zeros((size, size))
+    cost[:m, :n] = -score
+    column_of, u, v = hungarian(cost)
+    # every assignment of tight edges has the least cost, and no other has
+    tight = cost - u[:, None] - v[None, :] <= TIED
+    tight[np.arange(size), column_of] = True
+    row_of = np.empty(size, int)
+    row_of[column_of] = np.arange(size)
+    for i in range(m):
+        for j in np.flatnonzero(tight[i, : column_of[i]]).tolist():
+            if row_of[j] > i and _reroute(tight, column_of, row_of, i, j):
+                break
+    return [(i, int(column_of[i])) for i in range(m) if column_of[i] < n]
+
+
 def assign(matrix: DataFrame, frame: str) -> DataFrame:
-    """(frame, i, j, s) of the assignment with the largest total; ties go to the smallest j in order of i."""
+    """(frame, i, j, s) of the assignment with the largest total; ties go to the smallest j in order of i.
+
+    The Hungarian algorithm, for frames of every size. Pairs that the matrix lacks score 0.
+    """
 
     def best(g: pd.DataFrame) -> pd.DataFrame:
         rows, cols = sorted(set(g["i"])), sorted(set(g["j"]))
         s = {(i, j): v for i, j, v in zip(g["i"], g["j"], g["s"], strict=True)}
-        if max(len(rows), len(cols)) <= MOST_EXACT:
-            if len(rows) <= len(cols):
-                options = (tuple(zip(rows, p, strict=True)) for p in permutations(cols, len(rows)))
-            else:
-                options = (tuple(sorted(zip(p, cols, strict=True))) for p in permutations(rows, len(cols)))
-            chosen = min(options, key=lambda o: (-round(sum(s.get(x, 0.0) for x in o), 9), o))
-        else:
-            chosen, ui, uj = [], set(), set()
-            for (i, j), _ in sorted(s.items(), key=lambda x: (-x[1], x[0])):
-                if i not in ui and j not in uj:
-                    chosen.append((i, j))
-                    ui.add(i)
-                    uj.add(j)
+        score = np.array([[s.get((i, j), 0.0) for j in cols] for i in rows])
+        chosen = [(rows[i], cols[j]) for i, j in best_pairs(score)]
         return pd.DataFrame({frame: g[frame].iloc[0], "i": [i for i, _ in chosen], "j": [j for _, j in chosen], "s": [s.get(x, 0.0) for x in chosen]})
 
     return matrix.groupBy(frame).applyInPandas(best, matrix.select(frame, "i", "j", "s").schema)
