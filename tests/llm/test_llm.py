@@ -166,6 +166,23 @@ def test_nearest_recall_and_scores(spark):
     assert [v for _, v, _ in got[500]] == list(range(501, 511))
 
 
+@pytest.mark.parametrize("tight", [False, True])
+def test_nearest_repeated_rows_take_one_place(spark, tight):
+    rng = np.random.default_rng(14)
+    x = rng.standard_normal((231, 16))
+    if tight:  # the query's neighbours apart from all others
+        x = np.sign(np.arange(231) - 30.5)[:, None] + 0.01 * x
+    d = np.sqrt(((x[1:] - x[0]) ** 2).sum(1))
+    want = [int(i) + 1 for i in np.argsort(d)[:10]]
+    rows = [(i, v) for i, v in enumerate(x.tolist()) for _ in range(12 if i in want else 1)]
+    # rows of one id that differ: the nearest of them counts
+    rows += [(want[0], (x[want[0]] + 0.5 * (x[want[0]] - x[0])).tolist())] * 12
+    docs = spark.createDataFrame(rows, "vec_id long, embedding array<double>").coalesce(1)
+    got = sorted((r["rank"], r["vec_id"], r["score"]) for r in ann.nearest(docs, every=1000).collect())
+    assert [g[0] for g in got] == list(range(1, 11)) and all(abs(g[2] - d[g[1] - 1]) < 1e-9 for g in got)
+    assert got[0][1] == want[0] and sum(g[1] in want for g in got) >= 9
+
+
 def test_nearest_odd_rows(spark):
     schema = "vec_id long, embedding array<float>, score string"
     rows = [(0, [1.0, 0.0], "s"), (100, None, "s"), (200, [], "s"), (300, [0.0, 0.0], "s"), (400, [float("nan"), 1.0], "s"), (5, [None, 1.0], "s"), (6, [2.0, 0.0], "s"), (None, [1.0, 1.0], "s"), (7, [0.0, 1.0], "s")]

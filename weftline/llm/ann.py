@@ -94,7 +94,7 @@ def nearest(rows: DataFrame, k: int = 10, every: int = 100, id_col: str = "vec_i
     Rotation and radius are fitted on a bounded sample of rows; every row is indexed, in the tables
     of its own batch, and meets the queries in blocks of QUERY_BLOCK, the only thing that is sent to
     all tasks; further blocks follow one after another, each with a checkpointed result. A task
-    keeps k rows for each query, so the last shuffle holds k rows for each query and task.
+    keeps k ids for each query, so the last shuffle holds k rows for each query and task.
     A query with fewer than k rows inside the radius gets the rest by full comparison.
 
     Null ids, and vectors that are null, empty, zero or hold a null or non-finite component, take
@@ -112,8 +112,8 @@ def nearest(rows: DataFrame, k: int = 10, every: int = 100, id_col: str = "vec_i
     if not length:
         return spark.createDataFrame([], out)
     base = base.where(F.size("v") == length[0]["d"])
-    sample = np.array([r["v"] for r in base.orderBy(F.xxhash64("id"), "id").limit(FIT_ROWS).select("v").collect()])
-    index = Index(sample, k, target)
+    sample = {r["id"]: r["v"] for r in base.orderBy(F.xxhash64("id"), "id").limit(FIT_ROWS).collect()}
+    index = Index(np.array(list(sample.values())), k, target)  # an id once: copies as neighbours would fit a radius of 0
     queries = base.where(F.col("id") % every == 0)
     count = queries.count()
     blocks = -(-count // QUERY_BLOCK)
@@ -130,8 +130,12 @@ def nearest(rows: DataFrame, k: int = 10, every: int = 100, id_col: str = "vec_i
 
             def keep(d: np.ndarray, i: np.ndarray, at: int, new_d: np.ndarray, new_i: np.ndarray) -> None:
                 all_d, all_i = np.r_[d[at], new_d], np.r_[i[at], new_i]
-                top = np.lexsort((all_i, all_d))[:k]
-                d[at], i[at] = all_d[top], all_i[top]
+                order = np.lexsort((all_i, all_d))
+                # the nearest row of each id, then the k nearest ids; the empty slots share one id
+                _, first = np.unique(all_i[order], return_index=True)
+                top = order[np.sort(first)[:k]]
+                d[at], i[at] = np.inf, np.iinfo(np.int64).max
+                d[at, : len(top)], i[at, : len(top)] = all_d[top], all_i[top]
 
             for batch in batches:
                 x, own = np.stack(batch["v"].to_list()), batch["id"].to_numpy()
