@@ -497,6 +497,12 @@ def test_ownership_separates_examples(spark):
     assert text[10] == "my <secret> key" and text[0] == rows[0][1]
 
 
+def test_redaction_of_a_token_that_its_owner_copies(spark):
+    token = "Qw7" * 10 + "cD2"
+    docs = spark.createDataFrame([(i, f"{i} {token} key", "s") for i in range(5)], "doc_id long, text string, source string")
+    assert {r["text"] for r in secrets.redact(docs).collect()} == {f"{i} <secret> key" for i in range(5)}
+
+
 def test_repositories_are_counted_exactly(spark):
     # two ids in one register of a 4,096-register sketch, and a third
     slot = F.shiftrightunsigned(F.xxhash64(F.col("id").cast("string")), 52)

@@ -52,13 +52,14 @@ def joined(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
 
 
-def scan(docs: DataFrame, keep: list[str], repository: str = "doc_id", owner: str = "source") -> DataFrame:
+def scan(docs: DataFrame, keep: list[str], repository: str = "doc_id", owner: str = "source", owners_only: bool = False) -> DataFrame:
     """``keep`` columns, text hash, ``base`` and ``live`` span arrays and the counts of both verdicts.
 
     Base spans (assign, access, hex) always stay. Every value, and every further random-looking
     token (kind ``live``), is a candidate: its hash is counted by distinct owners and repositories
     over the whole corpus. A further token owned by at most ``MAX_OWNERS`` owners and repositories
     is owner-specific, hence live-looking, and becomes a span; one copied more widely is an example.
+    With ``owners_only`` repositories don't matter: however often its owners copy a token, it is theirs.
     Counting is exact: (value, owner, repository) rows are made distinct, which spreads a value that
     half of all documents hold over all tasks, and partial aggregates leave one row for each value,
     owner and task. The text is read once; later steps see hashes and positions.
@@ -90,7 +91,9 @@ def scan(docs: DataFrame, keep: list[str], repository: str = "doc_id", owner: st
     found = rows.where("size(base) > 0 or size(x) > 0").select("repository", "owner", "text_hash", F.explode(F.array_distinct(F.transform(F.concat("base", "x"), lambda s: s["value"]))).alias("value"))
     owners = found.select("value", "owner", "repository").distinct().groupBy("value", "owner").agg(F.count(F.lit(1)).alias("r")).groupBy("value").agg(F.count(F.lit(1)).alias("owners"), F.sum("r").alias("repositories"))
     owners = checkpointed(owners)  # the join below is then one of plain exchanges, whose hot values can be split
-    wide = (F.col("owners") > MAX_OWNERS) | (F.col("repositories") > MAX_OWNERS)
+    wide = F.col("owners") > MAX_OWNERS
+    if not owners_only:
+        wide = wide | (F.col("repositories") > MAX_OWNERS)
     verdicts = found.select("text_hash", "value").distinct().join(owners, "value").groupBy("text_hash").agg(F.collect_list(F.when(~wide, F.col("value"))).alias("own"), F.count(F.when(wide, 1)).alias("n_copied"))
     out = rows.join(verdicts, "text_hash", "left")
     out = out.withColumn("own", F.coalesce("own", F.array().cast("array<bigint>"))).withColumn("live", F.filter("x", lambda s: F.array_contains(F.col("own"), s["value"])))
@@ -137,10 +140,11 @@ OP10_SQL = _op10_sql()
 def redact(docs: DataFrame, mark: str = "<secret>") -> DataFrame:
     """``docs`` with every base span and every live-looking token replaced by ``mark``; n_chars follows.
 
+    Owners alone decide here: a credential of one source stays one in the third document that holds it.
     Rows without a span are returned as they are. Rows are matched by id and text hash, so repeated
     ids with other texts keep their own spans.
     """
-    spans = scan(docs, ["doc_id"]).where("size(base) > 0 or size(live) > 0").select(F.col("doc_id").alias("_s_id"), F.col("text_hash").alias("_s_hash"), F.array_sort(F.concat("base", "live")).alias("_s")).dropDuplicates(["_s_id", "_s_hash"])
+    spans = scan(docs, ["doc_id"], owners_only=True).where("size(base) > 0 or size(live) > 0").select(F.col("doc_id").alias("_s_id"), F.col("text_hash").alias("_s_hash"), F.array_sort(F.concat("base", "live")).alias("_s")).dropDuplicates(["_s_id", "_s_hash"])
     rows = docs.withColumn("_h", F.xxhash64(F.coalesce("text", F.lit(""))))
     rows = rows.join(spans, F.col("doc_id").eqNullSafe(F.col("_s_id")) & (F.col("_h") == F.col("_s_hash")), "left")
     cut = F.aggregate(
