@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from weftline.plans.base import query
+from weftline.session import shared_folder
 from weftline.streaming import windows
 
 
@@ -58,8 +57,7 @@ def _(t):
 def _(t):
     """File stream to the end of its input, through a checkpointed query, then read back."""
     spark = t.spark
-    root = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="stream-")
-    folder = f"{root.rstrip('/')}/{spark.sparkContext.applicationId}-{spark.range(1).select(F.expr('uuid()')).first()[0]}"
+    folder = f"{shared_folder(spark).rstrip('/')}/{spark.sparkContext.applicationId}-{spark.range(1).select(F.expr('uuid()')).first()[0]}"
     stream = windows.window_counts(windows.read_events(spark, f"{t.sf_dir}/events.parquet"))
     flat = stream.select("event_type", F.col("window.start").cast("long").alias("start"), "n")
     # complete mode keeps the windows that the watermark has not closed

@@ -32,16 +32,25 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that ``spark.checkpoint.dir`` names, which driver and executors share.
+
+    Where it is unset, a local session gets a temporary folder of this machine; a cluster an error.
+    """
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if named:
+        return named
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir is unset: it must name a folder that driver and executors share")
+    return tempfile.mkdtemp(prefix="weftline-")
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
     """Cut the lineage through the shared checkpoint folder.
 
-    The folder is the one that ``spark.checkpoint.dir`` names; only where that is unset (a local
-    session, tests) a temporary folder of this machine is used.
     """
-    spark = df.sparkSession
-    context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="weftline-"))
+    if df.sparkSession.sparkContext.getCheckpointDir() is None:
+        df.sparkSession.sparkContext.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint(eager=True)
 
 
@@ -52,6 +61,28 @@ def bounded_batches(spark: SparkSession, rows: int = 512) -> None:
         spark.conf.set(key, str(rows))
 
 
+def in_parts(texts: list[str | None], chars: int = 4_000_000) -> Iterator[slice]:
+    """Slices of a batch (which Spark bounds in bytes) of so many characters, for work that holds more than its texts."""
+    start = held = 0
+    for i, t in enumerate(texts):
+        if held and held + len(t or "") > chars:
+            yield slice(start, i)
+            start, held = i, 0
+        held += len(t or "")
+    if start < len(texts):
+        yield slice(start, len(texts))
+
+
+def carried(keep: list[str], results: list[str]) -> tuple[list[Column], list[Column]]:
+    """Columns that pass through a function under names that clash with nothing, and the way back.
+
+    A kept column that has the name of a result comes back with ``_in`` behind its name.
+    """
+    there = [F.col(f"`{c}`").alias(f"k_{i}") for i, c in enumerate(keep)]
+    back = [F.col(f"k_{i}").alias(f"{c}_in" if c in results else c) for i, c in enumerate(keep)]
+    return there, back
+
+
 def with_prefix(df: DataFrame, order: list[str], weight: Column | None = None, name: str = "prefix") -> DataFrame:
     """Add the exclusive running sum of ``weight`` (1 for a rank) in the global order of ``order``.
 
