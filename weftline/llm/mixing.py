@@ -2,17 +2,22 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from weftline.session import checkpointed
 
-#: Slices of the key range in each source. Only the slice that holds the cut is sorted.
-SLICES = 4096
+#: Slices of the key range in each source, at least, and rows for each further one. Only the slice
+#: that holds the cut is sorted.
+LEAST_SLICES, SLICE_ROWS = 4096, 20_000
+#: Keys beyond this share the last slice.
+LARGEST_KEY = 1e13
 #: A word: a run of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 SEED = "mix"
-#: Slices are equal for rows of this weight and stay small for weights around it.
+#: The first half of the slices is equal for rows of this weight; the other is even in log(key), for very small weights.
 TYPICAL_WEIGHT = 0.5
 
 
@@ -36,6 +41,8 @@ def source_targets(totals: DataFrame, budget: float = 1.5, cap: float = 2.0, wei
     Weights are dealt in code point order of the sources, null last. Water-filling: with the
     sources in order of cap * size / weight, a source is full exactly if its own limit is below
     the level that all later sources would share, so prefix sums find the level in one pass.
+    Sources are ordered in one task: a row of two numbers for each. A null source is one of them.
+    Empty sources: target 0. Equal ratios: in the order of the sources. No rows: no rows.
     """
     order = Window.orderBy(F.col("source").isNull(), F.col("source"))
     deal = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), ((F.row_number().over(order) - 1) % len(weights) + 1).cast("int"))
@@ -65,17 +72,20 @@ def mix(docs: DataFrame, size: Column, weight: Column, budget: float = 1.5, cap:
     Keys are cut into slices by their uniform rank. Sums per slice decide all slices but the one at
     the cut, so only that slice of each source is sorted, whatever a source's share of all rows.
 
-    Null text or no words: size 0, nothing taken. Null source: a source of its own, last. Null
-    doc_id: one more id. Weights that are null or not positive count as a very small rate. Repeated
-    rows each count; ties of keys are broken by id, size and text hash. No rows: no rows.
+    Null text or no words: size 0, nothing taken, and as many copies as whole epochs. Null source: a
+    source of its own, last. Null doc_id: one more id. Weights that are null or not positive count as
+    a very small rate. Repeated rows each count; ties of keys are broken by id, size and text hash.
+    Columns of ``docs`` may have any name. No rows: no rows.
     """
     keep = keep or ["doc_id"]
     digest = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))))
     u = (F.conv(F.substring(digest, 1, 12), 16, 10).cast("double") + F.lit(1.0)) / F.lit(float(2**48 + 1))
     rate = F.greatest(F.coalesce(weight.cast("double"), F.lit(0.0)), F.lit(1e-9))
     rows = docs.select(*[F.col(c).alias(f"k_{c}") for c in keep], F.col("doc_id").alias("_id"), F.col("source").alias("source"), size.alias("size"), (-F.log(u) / rate).alias("key"), F.xxhash64("text").alias("_tie"))
-    rows = rows.withColumn("slice", F.floor((F.lit(1.0) - F.exp(-F.col("key") * TYPICAL_WEIGHT)) * SLICES).cast("int"))
     rows = checkpointed(rows)  # narrow: the texts are read and counted once, whatever follows
+    slice_count = max(LEAST_SLICES, rows.count() // SLICE_ROWS)
+    spread = (F.lit(1.0) - F.exp(-F.col("key") * TYPICAL_WEIGHT) + F.least(F.log1p("key") / math.log1p(LARGEST_KEY), F.lit(1.0))) / 2
+    rows = rows.withColumn("slice", F.floor(spread * slice_count).cast("long"))
     slices = rows.groupBy("source", "slice").agg(F.sum("size").alias("s_size"))
     totals = slices.groupBy("source").agg(F.sum("s_size").alias("source_size"))
     targets = source_targets(totals, budget, cap)
@@ -89,11 +99,11 @@ def mix(docs: DataFrame, size: Column, weight: Column, budget: float = 1.5, cap:
     )
     dealt = rows.join(plan, F.col("source").eqNullSafe(F.col("p_source")) & (F.col("slice") == F.col("p_slice")))
     names = [f"k_{c}" for c in keep]
-    sure = dealt.where("all_in or none_in").withColumn("extra", F.when(F.col("all_in"), 1).otherwise(0))
+    sure = dealt.where("all_in or none_in").withColumn("extra", F.when(F.col("all_in") & (F.col("size") > 0), 1).otherwise(0))
     order = ["key", "_id", "size", "_tie"]
     upto = Window.partitionBy("source", "slice").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
     cut = dealt.where("not all_in and not none_in").withColumn("at", F.col("before") + F.coalesce(F.sum("size").over(upto), F.lit(0)))
-    cut = cut.withColumn("extra", F.when(F.col("at") + F.col("size") / 2 <= F.col("left"), 1).otherwise(0)).drop("at")
+    cut = cut.withColumn("extra", F.when((F.col("at") + F.col("size") / 2 <= F.col("left")) & (F.col("size") > 0), 1).otherwise(0)).drop("at")
     out = sure.unionByName(cut).withColumn("copies", (F.col("epochs") + F.col("extra")).cast("long"))
     return out.select(*[F.col(n).alias(c) for n, c in zip(names, keep, strict=True)], "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
 
