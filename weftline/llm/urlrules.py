@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import pandas as pd
@@ -13,6 +14,8 @@ MOST_HELD = 200_000
 #: The rules of the registered query: host, path, verdict.
 RULES = [("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"), ("com", "/fr/", "allow"), ("com", "/de/", "block")]
 DEFAULT = "allow"
+UPPER_CASE, LOWER_CASE = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+LOWER = str.maketrans(UPPER_CASE, LOWER_CASE)
 
 
 def _rest(url: Column) -> Column:
@@ -22,7 +25,7 @@ def _rest(url: Column) -> Column:
 
 
 def host(url: Column) -> Column:
-    return F.coalesce(F.translate(F.regexp_extract(_rest(url), r"\A([^/?#]*)", 1), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"), F.lit(""))
+    return F.coalesce(F.translate(F.regexp_extract(_rest(url), r"\A([^/?#]*)", 1), UPPER_CASE, LOWER_CASE), F.lit(""))
 
 
 def path(url: Column) -> Column:
@@ -34,15 +37,19 @@ def reversed_host(h: Column) -> Column:
     return F.concat(F.array_join(F.reverse(F.split(h, r"\.", -1)), "."), F.lit("."))
 
 
-def sweep(keys: list[str], paths: list[str], rules: list[tuple[str, list[tuple[str, str, str]]]]) -> Iterator[tuple[str, str] | None]:
-    """The (rule, verdict) of each sorted key, or None; ``rules`` sorted by key, each with its paths.
+def sweep(keys: list[str], paths: list[str], rules: list[tuple[str, list[tuple[str, str, str]]]], names: list[str]) -> Iterator[tuple[str, str] | None]:
+    """The (rule, verdict) of each sorted key, or None; ``rules`` sorted by key, each with its paths; ``names`` are their keys.
 
     A rule's key opens an interval that holds exactly the keys starting with it. Intervals nest, so
     one pass over both sorted lists keeps the open ones on a stack; the innermost host with a
     fitting path wins, there the longest path.
     """
     stack: list[tuple[str, list[tuple[str, str, str]]]] = []
-    at = 0
+    at = bisect_left(names, keys[0]) if keys else 0
+    for n in (i + 1 for i, c in enumerate(keys[0] if keys else "") if c == "."):  # rules open before the first key
+        i = bisect_left(names, keys[0][:n], 0, at)
+        if i < at and names[i] == keys[0][:n]:
+            stack.append(rules[i])
     for key, p in zip(keys, paths, strict=True):
         while at < len(rules) and rules[at][0] <= key:
             while stack and not rules[at][0].startswith(stack[-1][0]):
@@ -63,8 +70,9 @@ def grouped(rules: list[tuple[str, str, str]]) -> list[tuple[str, list[tuple[str
     """Rules by reversed-host key in key order, each with its paths, longest first."""
     by: dict[str, dict[str, tuple[str, str, str]]] = {}
     for h, p, verdict in rules:
-        h = h.lower()
-        by.setdefault(".".join(reversed(h.split("."))) + ".", {}).setdefault(p, (p, h + p, verdict))
+        h = h.translate(LOWER)
+        own = by.setdefault(".".join(reversed(h.split("."))) + ".", {})
+        own[p] = max(own.get(p, (p, h + p, verdict)), (p, h + p, verdict))
     # as the sorted rows have it: code unit order of UTF-8 is code point order, and so is Python's
     return [(k, sorted(v.values(), key=lambda r: (-len(r[0]), r[0]))) for k, v in sorted(by.items())]
 
@@ -73,7 +81,8 @@ def judge(pages: DataFrame, rules: list[tuple[str, str, str]] | DataFrame, keep:
     """``keep`` columns, host, path, rule (or null) and verdict.
 
     A rule fits its host and all subdomains where the path starts with the rule's. The longest host
-    wins, then the longest path; of equal rules the first. Urls are sorted by reversed host and path
+    wins, then the longest path; of equal rules the one with the greatest verdict in code point order
+    (block before allow), so the order of rules is of no account; null parts make no rule. Urls are sorted by reversed host and path
     over all partitions (a hot host spreads over as many as it needs), then swept against the rules.
     ``rules`` as a list is held by each task and bounded by MOST_HELD; as a DataFrame (host, path,
     verdict) of more rows it is joined on every suffix of the host instead, with the same result.
@@ -82,11 +91,13 @@ def judge(pages: DataFrame, rules: list[tuple[str, str, str]] | DataFrame, keep:
     """
     rows = pages.select(*[F.col(c).alias(f"k_{c}") for c in keep], host(F.col(url)).alias("host"), path(F.col(url)).alias("path"))
     if isinstance(rules, DataFrame):
-        some = rules.select("host", "path", "verdict").limit(MOST_HELD + 1).collect()
+        rules = rules.select("host", "path", "verdict").where("host is not null and path is not null and verdict is not null")
+        some = rules.limit(MOST_HELD + 1).collect()
         if len(some) > MOST_HELD:
             return _joined(rows, rules, keep, default)
         rules = [tuple(r) for r in some]
-    held = grouped(rules)
+    held = grouped([r for r in rules if None not in r])
+    names = [k for k, _ in held]
     n = int(pages.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     spread = F.xxhash64(*[f"k_{c}" for c in keep])
     rows = rows.withColumn("key", reversed_host(F.col("host"))).withColumn("_spread", spread)
@@ -95,7 +106,7 @@ def judge(pages: DataFrame, rules: list[tuple[str, str, str]] | DataFrame, keep:
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            found = list(sweep(batch.pop("key").tolist(), batch["path"].tolist(), held))
+            found = list(sweep(batch.pop("key").tolist(), batch["path"].tolist(), held, names))
             batch = batch.drop(columns="_spread")
             batch["rule"] = [f[0] if f else None for f in found]
             batch["verdict"] = [f[1] if f else default for f in found]
@@ -110,7 +121,7 @@ def _joined(rows: DataFrame, rules: DataFrame, keep: list[str], default: str) ->
     urls = rows.select("host", "path").distinct()
     labels = F.split("host", r"\.", -1)
     suffixes = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
-    r = rules.select(F.lower("host").alias("r_host"), F.col("path").alias("r_path"), F.col("verdict").alias("r_verdict"))
+    r = rules.select(F.translate("host", UPPER_CASE, LOWER_CASE).alias("r_host"), F.col("path").alias("r_path"), F.col("verdict").alias("r_verdict"))
     near = urls.withColumn("r_host", F.explode(suffixes)).join(r, "r_host").where(F.col("path").startswith(F.col("r_path")))
     best = near.groupBy("host", "path").agg(F.max(F.struct(F.length("r_host").alias("a"), F.length("r_path").alias("b"), "r_host", "r_path", "r_verdict")).alias("m"))
     out = rows.join(best, ["host", "path"], "left")
