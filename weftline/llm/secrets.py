@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -16,31 +18,80 @@ CANDIDATE = r"[A-Za-z0-9+/_-]{20,}"
 MAX_OWNERS = 2
 
 
+SPAN = "struct<start:int,rank:int,end:int,kind:string,value:string>"
+#: Elements of an array that are folded at once; see ``_scan``.
+CHUNK = 64
+LONG = 2**31 - 1
+
+
+def _let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is computed once, however often it is named, also in functions of elements."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
+def _chunks(items: Column, size: int = CHUNK) -> Column:
+    starts = F.sequence(F.lit(0), F.greatest(F.ceil(F.size(items) / size) - 1, F.lit(0)).cast("int"))
+    return F.transform(starts, lambda c: F.slice(items, c * size + 1, F.lit(size)))
+
+
+def _scan(items: Column, kind: str, value: Callable[[Column], Column], combine: Callable[[Column, Column], Column], zero: Column, zero_kind: str) -> Column:
+    """Each item (of SQL type ``kind``) as ``m`` with ``before``: the combined values of all items before it.
+
+    An array that grows by one element at a time costs its square, so that is done in chunks, and
+    once more over the chunks: some hundred thousand items take a moment.
+    """
+    out = F.array().cast(f"array<struct<m:{kind},before:{zero_kind}>>")
+
+    def inner(chunks: Column) -> Column:
+        totals = F.transform(chunks, lambda c: F.aggregate(c, zero, lambda a, m: combine(a, value(m))))
+        starts = F.aggregate(
+            totals,
+            F.struct(zero.alias("at"), F.array().cast(f"array<{zero_kind}>").alias("out")),
+            lambda acc, t: F.struct(combine(acc["at"], t).alias("at"), F.concat(acc["out"], F.array(acc["at"])).alias("out")),
+            lambda acc: acc["out"],
+        )
+        one = lambda c, start: F.aggregate(
+            c,
+            F.struct(start.alias("at"), out.alias("out")),
+            lambda acc, m: F.struct(combine(acc["at"], value(m)).alias("at"), F.concat(acc["out"], F.array(F.struct(m.alias("m"), acc["at"].alias("before")))).alias("out")),
+            lambda acc: acc["out"],
+        )
+        return F.flatten(F.zip_with(chunks, starts, one))
+
+    return _let(items, lambda arr: _let(_chunks(arr), inner))
+
+
 def _spans(text: Column, pattern: str, kind: str, rank: int, value_group: int = 0) -> Column:
     """All leftmost non-overlapping matches as an array of structs start, rank, end, kind, value.
 
-    ``split`` gives the pieces between the matches; lengths of pieces and matches give positions,
-    in code points, without a Python function. Texts without a match skip both.
+    ``split`` gives the pieces between the matches; running sums of the lengths of pieces and
+    matches give positions, in code points, without a Python function. Null if there is none.
     """
     pieces = F.transform(F.split(text, pattern, -1), F.length)
     found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    values = F.regexp_extract_all(text, F.lit(pattern), F.lit(value_group)) if value_group else found
-    zipped = F.transform(found, lambda m, i: F.struct(F.length(m).alias("n"), F.element_at(pieces, i + 1).alias("gap"), F.element_at(values, i + 1).alias("value")))
-    empty = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,rank:int,end:int,kind:string,value:string>>").alias("out"))
-    spans = F.aggregate(
-        zipped,
-        empty,
-        lambda acc, m: F.struct(
-            (acc["at"] + m["gap"] + m["n"]).alias("at"),
-            F.concat(acc["out"], F.array(F.struct((acc["at"] + m["gap"]).alias("start"), F.lit(rank).alias("rank"), (acc["at"] + m["gap"] + m["n"]).alias("end"), F.lit(kind).alias("kind"), m["value"].alias("value")))).alias("out"),
-        ),
-        lambda acc: acc["out"],
-    )
-    return F.when(text.rlike(pattern), spans).otherwise(F.lit(None).cast("array<struct<start:int,rank:int,end:int,kind:string,value:string>>"))
+    if value_group:
+        sized = F.zip_with(found, F.regexp_extract_all(text, F.lit(pattern), F.lit(value_group)), lambda m, v: F.struct(F.length(m).alias("n"), v.alias("value")))
+    else:
+        sized = F.transform(found, lambda m: F.struct(F.length(m).alias("n"), m.alias("value")))
+    # the piece behind the last match has no match
+    zipped = F.filter(F.zip_with(sized, pieces, lambda m, gap: F.struct(m["n"].alias("n"), gap.alias("gap"), m["value"].alias("value"))), lambda z: z["n"].isNotNull())
+    placed = _scan(zipped, "struct<n:int,gap:int,value:string>", lambda z: z["gap"] + z["n"], lambda x, y: x + y, F.lit(0), "int")
+    spans = F.transform(placed, lambda z: F.struct((z["before"] + z["m"]["gap"]).alias("start"), F.lit(rank).alias("rank"), (z["before"] + z["m"]["gap"] + z["m"]["n"]).alias("end"), F.lit(kind).alias("kind"), z["m"]["value"].alias("value")))
+    return F.when(text.rlike(pattern), spans)
 
 
 def _none_to_empty(spans: Column) -> Column:
-    return F.coalesce(spans, F.array().cast("array<struct<start:int,rank:int,end:int,kind:string,value:string>>"))
+    return F.coalesce(spans, F.array().cast(f"array<{SPAN}>"))
+
+
+def _without_inner(spans: Column) -> Column:
+    """Sorted spans without the candidates (rank 3) that overlap a base span."""
+    after = lambda z: F.when(z["rank"] < 3, z["end"]).otherwise(F.lit(0))
+    forth = _scan(spans, SPAN, after, F.greatest, F.lit(0), "int")
+    free = F.transform(F.filter(forth, lambda z: (z["m"]["rank"] < 3) | (z["before"] <= z["m"]["start"])), lambda z: z["m"])
+    first = lambda z: F.when(z["rank"] < 3, z["start"]).otherwise(F.lit(LONG))
+    back = _scan(F.reverse(free), SPAN, first, F.least, F.lit(LONG), "int")
+    return F.reverse(F.transform(F.filter(back, lambda z: (z["m"]["rank"] < 3) | (z["before"] >= z["m"]["end"])), lambda z: z["m"]))
 
 
 def _looks_random(v: Column) -> Column:
@@ -64,7 +115,7 @@ def scan(docs: DataFrame, keep: list[str], repository: str = "doc_id", owner: st
     half of all documents hold over all tasks, and partial aggregates leave one row for each value,
     owner and task. The text is read once; later steps see hashes and positions.
 
-    Null or empty text: no spans. Null owner or repository: one more. Equal values in one row count
+    Time is linear in the text and nearly so in its spans. Null or empty text: no spans. Null owner or repository: one more. Equal values in one row count
     once for it. Repeated rows: each gets the same answer; no rows: no rows.
     """
     text = F.coalesce(F.col("text"), F.lit(""))
@@ -75,19 +126,18 @@ def scan(docs: DataFrame, keep: list[str], repository: str = "doc_id", owner: st
         F.xxhash64(text).alias("text_hash"),
         text.alias("t"),
     )
-    rows = rows.select(
-        "*",
-        F.filter(_none_to_empty(_spans(F.col("t"), ASSIGN, "assign", 0, 2)), lambda s: F.length(s["value"]) >= 6).alias("a"),
-        _none_to_empty(_spans(F.col("t"), ACCESS, "access", 1)).alias("c"),
-        _none_to_empty(_spans(F.col("t"), HEX, "hex", 2)).alias("h"),
-        F.when(F.col("t").rlike(r"[A-Za-z0-9+/_-]*[0-9][A-Za-z0-9+/_-]*") & F.col("t").rlike(CANDIDATE), F.filter(_none_to_empty(_spans(F.col("t"), CANDIDATE, "live", 3)), lambda s: _looks_random(s["value"]))).alias("x"),
-    )
-    base = F.array_sort(F.concat("a", "c", "h"))
-    rows = rows.select(*[c for c in rows.columns if c not in ("t", "a", "c", "h", "x")], base.alias("base"), _none_to_empty(F.col("x")).alias("x"))
-    # a further token inside a base span is that span already
-    rows = rows.withColumn("x", F.filter("x", lambda s: ~F.exists("base", lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"]))))
-    hashed = lambda spans: F.transform(spans, lambda s: F.struct(s["start"].alias("start"), s["rank"].alias("rank"), s["end"].alias("end"), s["kind"].alias("kind"), F.xxhash64(s["value"]).alias("value")))
-    rows = checkpointed(rows.withColumn("base", hashed(F.col("base"))).withColumn("x", hashed(F.col("x"))))
+    t = F.col("t")
+    base = [
+        F.filter(_none_to_empty(_spans(t, ASSIGN, "assign", 0, 2)), lambda s: F.length(s["value"]) >= 6),
+        _none_to_empty(_spans(t, ACCESS, "access", 1)),
+        _none_to_empty(_spans(t, HEX, "hex", 2)),
+    ]
+    further = _none_to_empty(F.when(t.rlike("[0-9]"), F.filter(_none_to_empty(_spans(t, CANDIDATE, "live", 3)), lambda s: _looks_random(s["value"]))))
+    # a further token that overlaps a base span is that span already
+    spans = _let(F.concat(*base, further), lambda x: F.when(F.size(x) > 0, _without_inner(F.array_sort(x))).otherwise(x))
+    hashed = F.transform(spans, lambda s: F.struct(s["start"].alias("start"), s["rank"].alias("rank"), s["end"].alias("end"), s["kind"].alias("kind"), F.xxhash64(s["value"]).alias("value")))
+    rows = checkpointed(rows.withColumn("spans", hashed).drop("t"))
+    rows = rows.withColumn("base", F.filter("spans", lambda s: s["rank"] < 3)).withColumn("x", F.filter("spans", lambda s: s["rank"] == 3)).drop("spans")
     found = rows.where("size(base) > 0 or size(x) > 0").select("repository", "owner", "text_hash", F.explode(F.array_distinct(F.transform(F.concat("base", "x"), lambda s: s["value"]))).alias("value"))
     owners = found.select("value", "owner", "repository").distinct().groupBy("value", "owner").agg(F.count(F.lit(1)).alias("r")).groupBy("value").agg(F.count(F.lit(1)).alias("owners"), F.sum("r").alias("repositories"))
     owners = checkpointed(owners)  # the join below is then one of plain exchanges, whose hot values can be split
@@ -96,7 +146,17 @@ def scan(docs: DataFrame, keep: list[str], repository: str = "doc_id", owner: st
         wide = wide | (F.col("repositories") > MAX_OWNERS)
     verdicts = found.select("text_hash", "value").distinct().join(owners, "value").groupBy("text_hash").agg(F.collect_list(F.when(~wide, F.col("value"))).alias("own"), F.count(F.when(wide, 1)).alias("n_copied"))
     out = rows.join(verdicts, "text_hash", "left")
-    out = out.withColumn("own", F.coalesce("own", F.array().cast("array<bigint>"))).withColumn("live", F.filter("x", lambda s: F.array_contains(F.col("own"), s["value"])))
+    out = out.withColumn("own", F.coalesce("own", F.array().cast("array<bigint>")))
+    # own values and tokens sorted together: a token is live-looking if the last value before it is its own
+    mark = "struct<value:bigint,token:int,start:int,end:int>"
+    none = F.lit(None).cast("bigint")
+    owned = F.transform("own", lambda v: F.struct(v.alias("value"), F.lit(0).alias("token"), F.lit(0).alias("start"), F.lit(0).alias("end")))
+    tokens = F.transform("x", lambda s: F.struct(s["value"].alias("value"), F.lit(1).alias("token"), s["start"].alias("start"), s["end"].alias("end")))
+    seen = _scan(F.array_sort(F.concat(owned, tokens)), mark, lambda m: F.when(m["token"] == 0, m["value"]), lambda a, b: F.coalesce(b, a), none, "bigint")
+    live = F.filter(seen, lambda z: (z["m"]["token"] == 1) & (z["m"]["value"] == z["before"]))
+    live = F.array_sort(F.transform(live, lambda z: F.struct(z["m"]["start"].alias("start"), F.lit(3).alias("rank"), z["m"]["end"].alias("end"), F.lit("live").alias("kind"), z["m"]["value"].alias("value"))))
+    empty = F.array().cast("array<struct<start:int,rank:int,end:int,kind:string,value:bigint>>")
+    out = out.withColumn("live", F.when((F.size("own") > 0) & (F.size("x") > 0), live).otherwise(empty))
     return out.select(*[F.col(f"k_{c}").alias(c) for c in keep], "text_hash", "base", "live", F.size("own").cast("long").alias("n_owner_specific"), F.coalesce("n_copied", F.lit(0)).cast("long").alias("n_copied"))
 
 
@@ -141,23 +201,46 @@ def redact(docs: DataFrame, mark: str = "<secret>") -> DataFrame:
     """``docs`` with every base span and every live-looking token replaced by ``mark``; n_chars follows.
 
     Owners alone decide here: a credential of one source stays one in the third document that holds it.
-    Rows without a span are returned as they are. Rows are matched by id and text hash, so repeated
-    ids with other texts keep their own spans.
+    Overlapping spans leave one mark. Rows without a span are returned as they are, null and empty
+    texts among them. Rows are matched by id and text hash, so repeated ids with other texts keep
+    their own spans, repeated rows get equal texts, and null ids are matched as one id. Columns may
+    have any name. No rows: no rows.
     """
-    spans = scan(docs, ["doc_id"], owners_only=True).where("size(base) > 0 or size(live) > 0").select(F.col("doc_id").alias("_s_id"), F.col("text_hash").alias("_s_hash"), F.array_sort(F.concat("base", "live")).alias("_s")).dropDuplicates(["_s_id", "_s_hash"])
-    rows = docs.withColumn("_h", F.xxhash64(F.coalesce("text", F.lit(""))))
-    rows = rows.join(spans, F.col("doc_id").eqNullSafe(F.col("_s_id")) & (F.col("_h") == F.col("_s_hash")), "left")
-    cut = F.aggregate(
-        "_s",
-        F.struct(F.lit(0).alias("at"), F.lit("").alias("out")),
-        lambda acc, s: F.struct(
-            F.greatest(acc["at"], s["end"]).alias("at"),
-            F.when(s["end"] <= acc["at"], acc["out"]).otherwise(F.concat(acc["out"], F.substring(F.col("text"), acc["at"] + 1, F.greatest(s["start"] - acc["at"], F.lit(0))), F.when(s["start"] >= acc["at"], F.lit(mark)).otherwise(F.lit("")))).alias("out"),
-        ),
-        lambda acc: F.concat(acc["out"], F.substring(F.col("text"), acc["at"] + 1, F.lit(2**31 - 1))),
+    spans = scan(docs, ["doc_id"], owners_only=True).where("size(base) > 0 or size(live) > 0")
+    spans = spans.select(F.col("doc_id").alias("s_id"), F.col("text_hash").alias("s_hash"), F.array_sort(F.concat("base", "live")).alias("s")).dropDuplicates(["s_id", "s_hash"])
+    rows = docs.select(F.struct("*").alias("row"), F.col("doc_id").alias("id"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("h"), F.col("text").alias("t"))
+    rows = rows.join(spans, F.col("id").eqNullSafe(F.col("s_id")) & (F.col("h") == F.col("s_hash")), "left")
+    # disjoint spans: a span gives up what an earlier one has, and its mark if they touch
+    reach = _scan(F.transform("s", lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"))), "struct<start:int,end:int>", lambda x: x["end"], F.greatest, F.lit(0), "int")
+    spans = F.transform(
+        F.filter(reach, lambda z: z["m"]["end"] > z["before"]),
+        lambda z: F.struct(F.greatest(z["m"]["start"], z["before"]).alias("start"), z["m"]["end"].alias("end"), F.when(z["m"]["start"] >= z["before"], F.lit(mark)).otherwise(F.lit("")).alias("mark")),
     )
-    text = F.when(F.col("_s").isNull(), F.col("text")).otherwise(cut)
-    out = rows.withColumn("text", text)
-    if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("_s").isNull(), F.col("n_chars")).otherwise(F.length("text").cast(docs.schema["n_chars"].dataType)))
-    return out.select(*docs.columns)
+
+    def cut(chunks: Column) -> Column:
+        # a chunk has the text from its first span (the first chunk: from the start) to the next chunk's
+        bounds = F.concat(F.array(F.lit(0)), F.transform(F.slice(chunks, F.lit(2), F.greatest(F.size(chunks) - 1, F.lit(0))), lambda c: F.element_at(c, 1)["start"]), F.array(F.lit(LONG)))
+        ends = F.slice(bounds, F.lit(2), F.size(chunks))
+        parts = F.zip_with(F.zip_with(chunks, F.slice(bounds, F.lit(1), F.size(chunks)), lambda c, a: F.struct(c.alias("c"), a.alias("a"))), ends, lambda x, e: F.struct(x["c"].alias("c"), x["a"].alias("a"), F.substring(F.col("t"), x["a"] + 1, e - x["a"]).alias("part")))
+        done = F.transform(
+            parts,
+            lambda x: F.aggregate(
+                x["c"],
+                F.struct(x["a"].alias("at"), F.lit("").alias("out")),
+                lambda acc, s: F.struct(s["end"].alias("at"), F.concat(acc["out"], F.substring(x["part"], acc["at"] - x["a"] + 1, s["start"] - acc["at"]), s["mark"]).alias("out")),
+                lambda acc: F.concat(acc["out"], F.substring(x["part"], acc["at"] - x["a"] + 1, F.lit(LONG))),
+            ),
+        )
+        return F.array_join(done, "")
+
+    rows = rows.withColumn("new", F.when(F.col("s").isNotNull(), _let(spans, lambda arr: _let(_chunks(arr, 4 * CHUNK), cut))))
+
+    def value(c: str) -> Column:
+        old = F.col("row").getField(c)
+        if c == "text":
+            return F.when(F.col("s").isNull(), F.col("t")).otherwise(F.col("new"))
+        if c == "n_chars":
+            return F.when(F.col("s").isNull(), old).otherwise(F.length("new").cast(docs.schema["n_chars"].dataType))
+        return old
+
+    return rows.select(*[value(c).alias(c) for c in docs.columns])
