@@ -13,9 +13,9 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weftline.llm.neardup import forest
+from weftline.llm.neardup import full_forest
 from weftline.operators.graph import connected_components
-from weftline.session import bounded_batches, checkpointed, with_prefix
+from weftline.session import checkpointed, in_parts, with_prefix
 
 WORD = re.compile(r"\w+")
 N = 5
@@ -24,7 +24,7 @@ SIMILARITY = 0.8
 RECALL = 0.9995
 MOST_HASHES = 200
 #: What a block of documents holds: as many documents, or as many shingles, at most.
-BLOCK_DOCS, BLOCK_SHINGLES = 256, 400_000
+BLOCK_DOCS, BLOCK_SHINGLES = 1024, 400_000
 #: Ids that are sent to all tasks instead of shuffling the texts.
 MOST_SENT = 2_000_000
 MEMO = 500_000
@@ -137,15 +137,15 @@ def join(docs: DataFrame, similarity: float = SIMILARITY, n: int = N, recall: fl
     order is cut into blocks bounded in documents and shingles; a pair of blocks meets only if a
     bucket spans both, and then verifies every pair that shares a band on the full sets. A pair
     is seen in one block pair only. Blocks emit counts and a spanning forest, so a group of like
-    texts costs comparisons but never rows, and no task holds more than two blocks. The full sets
-    are made anew from the texts of step 2's documents.
+    texts costs comparisons but never rows, and no task holds more than two blocks. As links are
+    counted, a group of m different like texts costs m squared comparisons, and its sets meet in
+    (m / BLOCK_DOCS) squared block pairs. The full sets are made anew from the texts of step 2's
+    documents.
 
     Fewer than n words: one gram of all words. Null, empty and wordless texts: no links, a class of
     their own. Null ids never name a class unless all members are null. Repeated rows link to each
     other. No rows: no rows.
     """
-    spark = docs.sparkSession
-    bounded_batches(spark)
     bands, width = choose_bands(similarity, recall)
     hasher = MinHash(bands, width)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_hash"), F.col("text").alias("text"))
@@ -190,8 +190,10 @@ def join(docs: DataFrame, similarity: float = SIMILARITY, n: int = N, recall: fl
     def expand(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         words = _Words()
         for batch in batches:
-            s = [shingle_set(t, words, n) for t in batch["text"]]
-            yield pd.DataFrame({"cls": [hashlib.blake2b(x.tobytes(), digest_size=16).digest() for x in s], "grams": [x.tobytes() for x in s]})
+            texts = batch["text"].tolist()
+            for part in in_parts(texts):
+                s = [shingle_set(t, words, n) for t in texts[part]]
+                yield pd.DataFrame({"cls": [hashlib.blake2b(x.tobytes(), digest_size=16).digest() for x in s], "grams": [x.tobytes() for x in s]})
 
     grams = texts.mapInPandas(expand, "cls binary, grams binary").join(wanted, F.col("cls") == F.col("w_cls")).groupBy(F.col("w_uid").alias("uid")).agg(F.first("grams").alias("grams"))
     ready = placed.join(grams, "uid").join(active.select("uid", "times", "bands"), "uid")
@@ -213,14 +215,16 @@ def join(docs: DataFrame, similarity: float = SIMILARITY, n: int = N, recall: fl
         i, j = i[ok], j[ok]
         links = (np.bincount(i, times[j], len(g)) + np.bincount(j, times[i], len(g))).astype(np.int64)
         some = np.flatnonzero(links)
-        e = np.array(forest(len(g), i, j), np.int64).reshape(-1, 2)
+        e = np.array(full_forest(np.arange(len(g)), i, j), np.int64).reshape(-1, 2)
         return pd.DataFrame({"uid": np.r_[uid[some], uid[e[:, 0]]], "links": pd.array([*links[some], *[None] * len(e)], "Int64"), "other": pd.array([*[None] * len(some), *uid[e[:, 1]]], "Int64")})
 
     found = checkpointed(ends.join(ready, "block").groupBy("a", "b").applyInPandas(verify, "uid long, links long, other long"))
     links = found.where("links is not null").groupBy("uid").agg(F.sum("links").alias("links"))
     comp = connected_components(found.where("other is not null").select("uid", "other"), "uid", "other")
     named = classes.select("uid", "cls", "id", "times").join(links, "uid", "left").join(comp.withColumnRenamed("node", "uid"), "uid", "left").withColumn("component", F.coalesce("component", "uid"))
-    first = named.groupBy("component").agg(F.min("id").alias("class_id"))
+    named = checkpointed(named)
+    # checkpointed, so that the join below is one of plain exchanges, whose hot components can be split
+    first = checkpointed(named.groupBy("component").agg(F.min("id").alias("class_id")))
     named = named.join(first, "component").select(F.col("cls").alias("c_cls"), F.col("id").alias("copy_id"), (F.col("times") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), "class_id", "component")
     whole = every.where("cls is not null").select("doc_id", "text_hash", "cls").join(named, F.col("cls") == F.col("c_cls"))
     whole = whole.select("doc_id", "text_hash", "component", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("copy_id", "doc_id").alias("copy_id"), F.col("n_links").cast("long"))
@@ -237,20 +241,22 @@ def keep_one(docs: DataFrame) -> DataFrame:
 
     Rows that leave are matched by id. Ids that occur more than once, null among them, are settled by
     (id, text hash): of the rows of one component that hold the kept id, the smallest hash stays, so
-    unlinked texts that share an id all stay. Wordless texts are components of their own. Rows equal
-    in id and text leave one.
+    unlinked texts that share an id all stay, and ties go to the smallest id, then hash. Null and
+    wordless texts are components of their own. Rows equal in id and text leave one. Columns may have
+    any name. No rows: no rows.
     """
     got = checkpointed(join(docs.select("doc_id", "text")))
     ids = got.groupBy("doc_id").agg(F.count(F.lit(1)).alias("c"), F.max("kept").alias("k"))
     gone = checkpointed(ids.where("c > 1 or not k").select(F.col("doc_id").alias("g_id"), (F.col("c") > 1).alias("many")))
     sent = F.broadcast if gone.count() <= MOST_SENT else lambda d: d
-    simple = docs.join(sent(gone), docs["doc_id"].eqNullSafe(F.col("g_id")), "left_anti")
+    text = F.coalesce("text", F.lit(""))
+    rows = docs.select(F.struct("*").alias("row"), F.col("doc_id").alias("id"), F.xxhash64(text).alias("h"), F.col("text").isNull().alias("n"))
+    simple = rows.join(sent(gone), rows["id"].eqNullSafe(gone["g_id"]), "left_anti").select("row")
     many = gone.where("many")
-    if many.isEmpty():
-        return simple
-    kept = got.join(sent(many), got["doc_id"].eqNullSafe(F.col("g_id")), "left_semi").where("kept")
-    kept = kept.groupBy(F.col("doc_id").alias("r_id"), "component", F.when(F.col("component").isNull(), F.col("text_hash"))).agg(F.min("text_hash").alias("r_hash"))
-    one = kept.select("r_id", "r_hash").distinct()
-    again = docs.withColumn("_h", F.xxhash64(F.coalesce("text", F.lit("")))).withColumn("_n", F.col("text").isNull())
-    again = again.join(one, docs["doc_id"].eqNullSafe(F.col("r_id")) & (F.col("_h") == F.col("r_hash")), "left_semi").dropDuplicates(["doc_id", "_h", "_n"]).drop("_h", "_n")
-    return simple.unionByName(again)
+    if not many.isEmpty():
+        kept = got.join(sent(many), got["doc_id"].eqNullSafe(F.col("g_id")), "left_semi").where("kept")
+        kept = kept.groupBy(F.col("doc_id").alias("r_id"), "component", F.when(F.col("component").isNull(), F.col("text_hash"))).agg(F.min("text_hash").alias("r_hash"))
+        one = kept.select("r_id", "r_hash").distinct()
+        again = rows.join(one, F.col("id").eqNullSafe(F.col("r_id")) & (F.col("h") == F.col("r_hash")), "left_semi")
+        simple = simple.union(again.dropDuplicates(["id", "h", "n"]).select("row"))
+    return simple.select("row.*")
