@@ -10,9 +10,10 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import FloatType
 
 from weftline.operators.graph import connected_components
-from weftline.session import bounded_batches, checkpointed, with_prefix
+from weftline.session import checkpointed, with_prefix
 
 BITS = 63
 #: Rows that a block owns; each row meets every row up to WINDOW places behind it.
@@ -102,8 +103,8 @@ def near_duplicates(rows: DataFrame, cosine: float = 0.98, id_col: str = "vec_id
     are null, empty, zero or hold a null or non-finite component: no links. Different lengths do
     not link. Repeated rows link to each other. No rows: no rows.
     """
-    spark = rows.sparkSession
-    bounded_batches(spark, 4096)
+    # vectors travel in the precision in which they are stored, and are compared in double precision
+    kind = "<f4" if isinstance(getattr(rows.schema[vector].dataType, "elementType", None), FloatType) else "<f8"
     base = rows.select(F.col(id_col).cast("long").alias("vec_id"), F.col(label).cast("string").alias("label"), F.col(vector).cast("array<double>").alias("v"))
     count = base.count()
     passes = passes_for(count, cosine, target)
@@ -122,7 +123,7 @@ def near_duplicates(rows: DataFrame, cosine: float = 0.98, id_col: str = "vec_id
             for own in by_len.values():
                 x = np.stack([vs[i] for i in own]) + 0.0
                 for i, v, k in zip(own, x, hash_keys(x, passes).tolist(), strict=True):
-                    cls[i], keys[i], raw[i] = hashlib.blake2b(v.tobytes(), digest_size=16).digest(), k, v.tobytes()
+                    cls[i], keys[i], raw[i] = hashlib.blake2b(v.tobytes(), digest_size=16).digest(), k, v.astype(kind).tobytes()
             yield pd.DataFrame({"vec_id": batch["vec_id"], "label": batch["label"], "cls": cls, "keys": keys, "v": raw})
 
     every = checkpointed(base.mapInPandas(digest, "vec_id long, label string, cls binary, keys array<long>, v binary"))
@@ -161,7 +162,7 @@ def near_duplicates(rows: DataFrame, cosine: float = 0.98, id_col: str = "vec_id
         sizes = g["v"].str.len().to_numpy()
         for size in np.unique(sizes):
             own = np.flatnonzero(sizes == size)
-            x = np.frombuffer(b"".join(g["v"].iloc[own]), float).reshape(len(own), -1)
+            x = np.frombuffer(b"".join(g["v"].iloc[own]), kind).astype(float).reshape(len(own), -1)
             x = x / np.sqrt((x * x).sum(axis=1))[:, None]
             here = own[at[own] < (block + 1) * BLOCK]
             a, b = np.nonzero(x[: len(here)] @ x.T >= cosine)
@@ -188,7 +189,7 @@ def near_duplicates(rows: DataFrame, cosine: float = 0.98, id_col: str = "vec_id
     def compare_full(key: tuple, g: pd.DataFrame) -> pd.DataFrame:
         p, a, b = int(key[0]), int(key[-2]), int(key[-1])
         g = g.sort_values(["block", "uid"], ignore_index=True)
-        x = np.frombuffer(b"".join(g["v"]), float).reshape(len(g), -1)
+        x = np.frombuffer(b"".join(g["v"]), kind).astype(float).reshape(len(g), -1)
         x = x / np.sqrt((x * x).sum(axis=1))[:, None]
         times, first = g["n"].to_numpy(), int((g["block"] == a).sum())
         if p >= 0:
@@ -214,8 +215,9 @@ def near_duplicates(rows: DataFrame, cosine: float = 0.98, id_col: str = "vec_id
     links = found.where("links is not null").groupBy("uid").agg(F.sum("links").alias("links"))
     comp = connected_components(found.where("other is not null").select("uid", "other"), "uid", "other")
     named = classes.select("uid", "label", "cls", "id", "n").join(links, "uid", "left").join(comp.withColumnRenamed("node", "uid"), "uid", "left")
-    named = named.withColumn("component", F.coalesce("component", "uid"))
-    first = named.groupBy("component").agg(F.min("id").alias("component_id"))
+    named = checkpointed(named.withColumn("component", F.coalesce("component", "uid")))
+    # checkpointed, so that the join below is one of plain exchanges, whose hot components can be split
+    first = checkpointed(named.groupBy("component").agg(F.min("id").alias("component_id")))
     named = named.join(first, "component").select(F.col("label").alias("c_label"), F.col("cls").alias("c_cls"), (F.col("n") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), "component_id")
     # rows without a class are not hashed together on null
     whole = every.where("cls is not null").select("vec_id", "label", "cls").join(named, (F.col("label") == F.col("c_label")) & (F.col("cls") == F.col("c_cls")))
