@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from weftline.session import bounded_batches, checkpointed
+from weftline.session import checkpointed
 
 #: Rows, and of these queries, that a fit reads at most, first in order of a hash of the id.
 FIT_ROWS, FIT_QUERIES = 8000, 200
@@ -19,8 +19,6 @@ SUBSTRING = 8
 ROTATIONS = 15
 #: Share of the fit's true neighbours that must lie within the Hamming radius.
 TARGET = 0.97
-#: Index rows compared at once in a task.
-INDEX_BATCH = 8192
 
 
 class Index:
@@ -94,83 +92,84 @@ def nearest(rows: DataFrame, k: int = 10, every: int = 100, id_col: str = "vec_i
     Rotation and radius are fitted on a bounded sample of rows; every row is indexed, in the tables
     of its own batch, and meets the queries in blocks of QUERY_BLOCK, the only thing that is sent to
     all tasks; further blocks follow one after another, each with a checkpointed result. A task
-    keeps k ids for each query, so the last shuffle holds k rows for each query and task.
+    keeps k + 1 rows for each query, so the last shuffle holds as many for each query and task.
     A query with fewer than k rows inside the radius gets the rest by full comparison.
 
     Null ids, and vectors that are null, empty, zero or hold a null or non-finite component, take
-    no part; vectors of another length than the most common one neither. A query never finds its
-    own row; another row with the same id does not count either. Rows that share an id count once,
-    by the nearest of them. Equal vectors are told apart by id. No rows: no rows.
+    no part. Vectors are compared with those of their own length; each length has its own index.
+    Each row is a query and a candidate for itself: a query is not its own candidate, but another
+    row of the same id is, and rows that repeat an id or a vector each take a place. No rows: no rows.
     """
     spark = rows.sparkSession
-    bounded_batches(spark, INDEX_BATCH)
     v = F.col(vector).cast("array<double>")
     good = F.col(vector).isNotNull() & (F.size(v) > 0) & F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists(v, lambda x: x != 0)
-    base = rows.where(F.col(id_col).isNotNull()).where(good).select(F.col(id_col).cast("long").alias("id"), v.alias("v"))
-    length = base.groupBy(F.size("v").alias("d")).count().orderBy(F.desc("count"), "d").limit(1).collect()
-    out = "query_id long, rank int, vec_id long, score double"
-    if not length:
-        return spark.createDataFrame([], out)
-    base = base.where(F.size("v") == length[0]["d"])
-    sample = {r["id"]: r["v"] for r in base.orderBy(F.xxhash64("id"), "id").limit(FIT_ROWS).collect()}
-    index = Index(np.array(list(sample.values())), k, target)  # an id once: copies as neighbours would fit a radius of 0
-    queries = base.where(F.col("id") % every == 0)
-    count = queries.count()
-    blocks = -(-count // QUERY_BLOCK)
-
-    def search(block: DataFrame) -> DataFrame:
+    every_row = rows.where(F.col(id_col).isNotNull()).where(good).select(F.col(id_col).cast("long").alias("id"), v.alias("v"))
+    lengths = every_row.groupBy(F.size("v").alias("d")).agg(F.count_if(F.col("id") % every == 0).alias("n")).where("n > 0").orderBy("d").collect()
+    parts = []
+    for d, n in lengths:
+        base = every_row if len(lengths) == 1 else every_row.where(F.size("v") == d)
+        parts += _search(base.where(F.size("v") == d), k, every, target, -(-n // QUERY_BLOCK), d << 44)
+    if not parts:
+        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    found = parts[0]
+    for part in parts[1:]:
+        found = found.union(part)
+    # the query's own row is one of those with its id at distance 0, which are all alike
+    order = Window.partitionBy("q").orderBy("score", "vec_id")
+    found = found.withColumn("n", F.row_number().over(order)).where(F.col("n") <= k + 1)
+    own = (F.col("vec_id") == F.col("query_id")) & (F.col("score") == 0)
+    found = found.withColumn("mine", F.min(F.when(own, F.col("n"))).over(Window.partitionBy("q")))
+    rank = (F.col("n") - F.when(F.col("n") > F.col("mine"), 1).otherwise(0)).cast("int")
+    return found.where(F.col("mine").isNull() | (F.col("n") != F.col("mine"))).select("query_id", rank.alias("rank"), "vec_id", "score").where(F.col("rank") <= k)
+
+
+def _search(base: DataFrame, k: int, every: int, target: float, blocks: int, number: int) -> list[DataFrame]:
+    """(q, query_id, vec_id, score) of the nearest k + 1 rows of each task, a DataFrame for each block of queries."""
+    spark = base.sparkSession
+    sample = np.array([r["v"] for r in base.orderBy(F.xxhash64("id"), "id").limit(FIT_ROWS).collect()])
+    # different vectors only: copies as neighbours would fit a radius of 0
+    _, first = np.unique(sample, axis=0, return_index=True)
+    index = Index(sample[np.sort(first)], k, target)
+    queries, most = base.where(F.col("id") % every == 0), np.iinfo(np.int64).max
+
+    def search(n: int) -> DataFrame:
+        block = queries if blocks == 1 else queries.where(F.pmod(F.xxhash64("id"), F.lit(blocks)) == n)
         got = sorted((r["id"], r["v"]) for r in block.collect())
-        shared = spark.sparkContext.broadcast((index, np.array([g[0] for g in got]), np.array([g[1] for g in got])))
+        shared = spark.sparkContext.broadcast((index, np.array([g[0] for g in got], np.int64), np.array([g[1] for g in got])))
 
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             idx, ids, q = shared.value
+            if not len(ids):
+                return
             q_codes = idx.encode(q)
-            best_d, best_i = np.full((len(q), k), np.inf), np.full((len(q), k), np.iinfo(np.int64).max)
+            best_d, best_i = np.full((len(q), k + 1), np.inf), np.full((len(q), k + 1), most)
             far_d, far_i = best_d.copy(), best_i.copy()
 
-            def keep(d: np.ndarray, i: np.ndarray, at: int, new_d: np.ndarray, new_i: np.ndarray) -> None:
-                all_d, all_i = np.r_[d[at], new_d], np.r_[i[at], new_i]
-                order = np.lexsort((all_i, all_d))
-                # the nearest row of each id, then the k nearest ids; the empty slots share one id
-                _, first = np.unique(all_i[order], return_index=True)
-                top = order[np.sort(first)[:k]]
-                d[at], i[at] = np.inf, np.iinfo(np.int64).max
-                d[at, : len(top)], i[at, : len(top)] = all_d[top], all_i[top]
+            def keep(d: np.ndarray, i: np.ndarray, at: int, x: np.ndarray, own: np.ndarray) -> None:
+                new = np.sqrt(((x - q[at]) ** 2).sum(axis=1))
+                low = new <= d[at, -1]
+                all_d, all_i = np.r_[d[at], new[low]], np.r_[i[at], own[low]]
+                top = np.lexsort((all_i, all_d))[: k + 1]
+                d[at], i[at] = all_d[top], all_i[top]
 
             for batch in batches:
                 x, own = np.stack(batch["v"].to_list()), batch["id"].to_numpy()
-                codes = idx.encode(x)
-                for a, cand in probe(q_codes, codes, idx.radius):
-                    cand = cand[own[cand] != ids[a]]
-                    d = np.sqrt(((x[cand] - q[a]) ** 2).sum(axis=1))
-                    low = d <= best_d[a, -1]
-                    if low.any():
-                        keep(best_d, best_i, a, d[low], own[cand][low])
-                # few rows within the radius so far: all rows of the batch, so that k are found in the end
-                for a in np.flatnonzero(~np.isfinite(best_d[:, -1])):
-                    cand = np.flatnonzero(own != ids[a])
-                    d = np.sqrt(((x[cand] - q[a]) ** 2).sum(axis=1))
-                    keep(far_d, far_i, a, d, own[cand])
+                for a, cand in probe(q_codes, idx.encode(x), idx.radius):
+                    keep(best_d, best_i, a, x[cand], own[cand])
+                    # few rows within the radius so far: those outside it too, so that k are found in the end
+                    if not np.isfinite(best_d[a, -1]):
+                        rest = np.ones(len(x), bool)
+                        rest[cand] = False
+                        keep(far_d, far_i, a, x[rest], own[rest])
+            full = np.isfinite(best_d[:, -1])
+            far_d[full] = np.inf
             for d, i in ((best_d, best_i), (far_d, far_i)):
                 a, b = np.nonzero(np.isfinite(d))
-                yield pd.DataFrame({"query_id": ids[a], "vec_id": i[a, b], "score": d[a, b]})
+                yield pd.DataFrame({"q": number + (n << 24) + a.astype(np.int64), "query_id": ids[a], "vec_id": i[a, b], "score": d[a, b]})
 
-        return base.mapInPandas(run, "query_id long, vec_id long, score double")
+        return base.mapInPandas(run, "q long, query_id long, vec_id long, score double")
 
-    parts = []
-    for n in range(blocks):
-        block = queries if blocks == 1 else queries.where(F.pmod(F.xxhash64("id"), F.lit(blocks)) == n)
-        part = search(block)
-        parts.append(part if blocks == 1 else checkpointed(part))
-    if not parts:
-        return spark.createDataFrame([], out)
-    found = parts[0]
-    for part in parts[1:]:
-        found = found.union(part)
-    # a row that both ways found counts once
-    found = found.groupBy("query_id", "vec_id").agg(F.min("score").alias("score"))
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy("score", "vec_id"))
-    return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    return [search(n) if blocks == 1 else checkpointed(search(n)) for n in range(blocks)]
 
 
 def op3_ann(spark, sf_dir: str) -> DataFrame:
