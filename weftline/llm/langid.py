@@ -12,13 +12,12 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from weftline.llm.bpe import read_ranks
-from weftline.session import bounded_batches
+from weftline.session import carried, in_parts
 
 #: Labelled documents per language that a fit reads at most, whole, in order of a hash of the id.
 SAMPLE_PER_LANG = 120
-#: Letter runs are cut into stretches of this many letters; no piece crosses a cut.
-STRETCH = 32
-LONGEST_PIECE = 12
+#: Letter runs up to this length are summed in plain numbers, many at a time, longer ones in logarithms.
+PLAIN = 32
 ROUNDS = 2
 UNKNOWN = 1e-9
 MEMO = 500_000
@@ -27,26 +26,21 @@ LETTERS = re.compile(r"[^\W\d_]+")
 
 
 def public_pieces(path: str) -> list[str]:
-    """The lower-cased letter strings of at most LONGEST_PIECE letters among the pieces of a rank file."""
+    """The lower-cased letter strings among the pieces of a rank file."""
     found = set()
     for raw in read_ranks(path):
         try:
             piece = raw.decode("utf-8").strip().lower()
         except UnicodeDecodeError:
             continue
-        if piece.isalpha() and len(piece) <= LONGEST_PIECE:
+        if piece.isalpha():
             found.add(piece)
     return sorted(found)
 
 
-def stretches(text: str) -> Counter:
-    """Letter runs with their counts; long runs come in stretches."""
-    found = Counter(LETTERS.findall(text.lower()))
-    for w in [w for w in found if len(w) > STRETCH]:
-        n = found.pop(w)
-        for i in range(0, len(w), STRETCH):
-            found[w[i : i + STRETCH]] += n
-    return found
+def letter_runs(text: str) -> Counter:
+    """Letter runs of the lower-cased text with their counts."""
+    return Counter(LETTERS.findall(text.lower()))
 
 
 class Pieces:
@@ -54,7 +48,8 @@ class Pieces:
 
     def __init__(self, pieces: list[str]):
         h = np.zeros(len(pieces), np.uint64)
-        for m in range(LONGEST_PIECE):
+        self.longest = max(map(len, pieces), default=1)
+        for m in range(self.longest):
             c = np.array([ord(s[m]) if m < len(s) else 0 for s in pieces], np.uint64)
             h = np.where(c > 0, h * FACTOR + c, h)
         self.order = np.argsort(h)
@@ -83,7 +78,7 @@ class Lattice:
         chars = np.array(words, f"U{max(width, 1)}").view(np.uint32).reshape(n, max(width, 1)).astype(np.uint64)
         found = []
         h = np.zeros_like(chars)
-        for m in range(1, min(LONGEST_PIECE, width) + 1):
+        for m in range(1, min(pieces.longest, width) + 1):
             h = h[:, : width - m + 1] * FACTOR + chars[:, m - 1 :]
             owner, start = np.nonzero(np.arange(width - m + 1)[None, :] + m <= self.length[:, None])
             piece = pieces.find(h[owner, start])
@@ -130,6 +125,42 @@ class Lattice:
         return out
 
 
+def long_edges(word: str, pieces: Pieces) -> np.ndarray:
+    """edges[j, m]: the piece of m + 1 letters that ends behind letter j, or -1; single unknown letters have the last row."""
+    n = len(word)
+    chars = np.frombuffer(word.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+    edges = np.full((n, min(pieces.longest, n)), -1, np.int64)
+    h = np.zeros(n, np.uint64)
+    for m in range(edges.shape[1]):
+        h = h[: n - m] * FACTOR + chars[m:]
+        edges[m:, m] = pieces.find(h)
+    edges[:, 0] = np.where(edges[:, 0] < 0, pieces.n, edges[:, 0])
+    return edges
+
+
+def long_forward(edges: np.ndarray, logs: np.ndarray) -> np.ndarray:
+    """log alpha[position, language] of a run of any length: over all segmentations, as ``Lattice.forward``."""
+    a = np.zeros((len(edges) + 1, logs.shape[1]))
+    for j, row in enumerate(edges):
+        m = np.flatnonzero(row >= 0)
+        x = a[j - m] + logs[row[m]]
+        top = x.max(axis=0)
+        a[j + 1] = top + np.log(np.exp(x - top).sum(axis=0))
+    return a
+
+
+def long_expected(edges: np.ndarray, logs: np.ndarray, counts: np.ndarray, out: np.ndarray) -> None:
+    """Adds the expected uses of each piece in a long run that each language has ``counts`` times."""
+    a = long_forward(edges, logs)
+    b = np.full_like(a, -np.inf)
+    b[-1] = 0.0
+    for j in range(len(edges) - 1, -1, -1):
+        m = np.flatnonzero(edges[j] >= 0)
+        up = b[j + 1] + logs[edges[j, m]]
+        np.add.at(out, edges[j, m], np.exp(a[j - m] + up - a[-1]) * counts)
+        b[j - m] = np.logaddexp(b[j - m], up)
+
+
 class Model:
     """Piece probabilities by language over a fixed vocabulary; the last row is the unknown letter."""
 
@@ -146,7 +177,7 @@ class Model:
         """Log probabilities of words that the memo lacks, all in one lattice."""
         if self.used + len(words) > MEMO:
             self.memo, self.used = {}, 0
-        new = [w for w in words if w not in self.memo]
+        new = sorted((w for w in words if w not in self.memo), key=len)
         for i in range(0, len(new), 20_000):
             part = new[i : i + 20_000]
             lattice = Lattice(part, self.pieces)
@@ -160,15 +191,18 @@ class Model:
     def predict(self, texts: list[str | None]) -> list[tuple[str, float]]:
         if not self.langs:
             return [("und", 0.0)] * len(texts)
-        counted = [stretches(t) if t else Counter() for t in texts]
-        self.learn(list(set().union(*counted)))
+        counted = [letter_runs(t) if t else Counter() for t in texts]
+        words = set().union(*counted)
+        self.learn([w for w in words if len(w) <= PLAIN])
+        long = {w: long_forward(long_edges(w, self.pieces), np.log(self.p))[-1] for w in words if len(w) > PLAIN}
         out = []
         for c in counted:
             if not any(ch.isalpha() for w in c for ch in w):
                 out.append(("und", 0.0))
                 continue
-            rows = self.rows[np.fromiter(map(self.memo.__getitem__, c), np.int64, len(c))]
-            s = np.fromiter(c.values(), float, len(c)) @ rows
+            plain = [w for w in c if len(w) <= PLAIN]
+            s = np.fromiter((c[w] for w in plain), float, len(plain)) @ self.rows[np.fromiter(map(self.memo.__getitem__, plain), np.int64, len(plain))]
+            s = s + sum(c[w] * long[w] for w in c if len(w) > PLAIN)
             e = np.exp(s - s.max())
             k = int(np.argmax(s))
             out.append((self.langs[k], float(e[k] / e.sum())))
@@ -179,7 +213,9 @@ def fit(labelled: DataFrame, path: str, per_lang: int = SAMPLE_PER_LANG) -> Mode
     """Learn from (doc_id, text, lang): EM over all segmentations of the sample's words.
 
     The sample is bounded: at most ``per_lang`` whole documents of each language, the first in
-    order of a hash of the id. Ids are chosen on narrow rows; words are counted by the executors.
+    order of a hash of the id. Ids are chosen on narrow rows; words are counted by the executors, and
+    the driver gets the counts, which grow with the number of languages only. Null texts and null
+    languages teach nothing; equal rows of an id teach together. No rows: a model without languages.
     """
     labelled = labelled.select("doc_id", "text", "lang")
     narrow = labelled.where("lang is not null and text is not null").select("doc_id", "lang", F.xxhash64("doc_id", "text").alias("h"))
@@ -191,13 +227,14 @@ def fit(labelled: DataFrame, path: str, per_lang: int = SAMPLE_PER_LANG) -> Mode
         total: dict[str, Counter] = {}
         for batch in batches:
             for lang, text in zip(batch["lang"], batch["text"], strict=True):
-                total.setdefault(lang, Counter()).update(stretches(text))
+                total.setdefault(lang, Counter()).update(letter_runs(text))
         yield pd.DataFrame([(g, w, n) for g, c in total.items() for w, n in c.items()], columns=["lang", "word", "n"])
 
     words = texts.mapInPandas(count, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n")).toPandas()
     langs = sorted(set(words["lang"]))
     pieces = sorted(set(public_pieces(path)) | {c for w in set(words["word"]) for c in w})
-    vocabulary = words["word"].unique().tolist()
+    vocabulary = sorted(words["word"].unique().tolist(), key=lambda w: (len(w), w))
+    plain = sum(len(w) <= PLAIN for w in vocabulary)
     at = {w: i for i, w in enumerate(vocabulary)}
     counts = np.zeros((len(vocabulary), len(langs)))
     counts[words["word"].map(at).to_numpy(int), words["lang"].map({g: i for i, g in enumerate(langs)}).to_numpy(int)] = words["n"]
@@ -206,8 +243,11 @@ def fit(labelled: DataFrame, path: str, per_lang: int = SAMPLE_PER_LANG) -> Mode
     p = np.repeat((0.02 ** np.minimum(lengths, 4))[:, None], max(len(langs), 1), axis=1)
     for _ in range(ROUNDS if langs else 0):
         found = np.zeros_like(p)
-        for i in range(0, len(vocabulary), 20_000):
-            found += Lattice(vocabulary[i : i + 20_000], index).expected(p, counts[i : i + 20_000])
+        for i in range(0, plain, 20_000):
+            n = min(i + 20_000, plain)
+            found += Lattice(vocabulary[i:n], index).expected(p, counts[i:n])
+        for w, n in zip(vocabulary[plain:], counts[plain:], strict=True):
+            long_expected(long_edges(w, index), np.log(p), n, found)
         p = (found + 0.01) / (found.sum(axis=0) + 0.01 * len(p))
         p[-1] = UNKNOWN
     return Model(langs, pieces, p)
@@ -218,20 +258,23 @@ def predict(docs: DataFrame, model: Model, keep: list[str]) -> DataFrame:
 
     Null texts and texts without a letter: ``und``, 0; so is every text if no language was learned.
     Whole texts, one pass, no shuffle. Equal scores: the language first in code point order.
-    Repeated rows: equal answers. No rows: no rows.
+    Repeated rows: equal answers. No rows: no rows. A kept column named like a result comes back with
+    ``_in`` behind its name.
     """
     spark = docs.sparkSession
-    bounded_batches(spark)
     shared = spark.sparkContext.broadcast(model)
-    schema = docs.select(*keep).schema.add("lang_pred", "string").add("score", "double")
+    there, back = carried(keep, ["lang_pred", "score"])
+    rows = docs.select(*there, docs["text"].alias("text"))
+    schema = rows.drop("text").schema.add("lang_pred", "string").add("score", "double")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            got = shared.value.predict(batch.pop("_text").tolist())
+            texts = batch.pop("text").tolist()
+            got = [x for part in in_parts(texts) for x in shared.value.predict(texts[part])]
             batch["lang_pred"], batch["score"] = [g for g, _ in got], [s for _, s in got]
             yield batch
 
-    return docs.select(*keep, docs["text"].alias("_text")).mapInPandas(run, schema)
+    return rows.mapInPandas(run, schema).select(*back, "lang_pred", "score")
 
 
 def op2_langid(spark, sf_dir: str) -> DataFrame:
