@@ -15,7 +15,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql.types import ArrayType, IntegerType
 
-from weftline.session import bounded_batches
+from weftline.session import carried
+
 
 #: Pre-tokens kept with their ids in one task before the memo starts anew.
 MEMO = 500_000
@@ -178,12 +179,14 @@ def encode(docs: DataFrame, path: str, pattern: str, keep: list[str], with_ids:
     Each match of ``pattern`` is encoded by itself, without special tokens. One pass over whole
     texts, no shuffle; a task holds a batch of rows and its memo. Null and empty texts give no
     tokens; repeated rows the same ids; no rows no rows. Any text decodes to its own UTF-8 bytes.
+    A kept column named like a result comes back with ``_in`` behind its name.
     """
     spark = docs.sparkSession
-    bounded_batches(spark)
     shared = spark.sparkContext.broadcast(Codec(path, pattern))
-    rows = docs.select(*keep, docs["text"].alias("_text"))
-    schema = docs.select(*keep).schema.add("n_tokens", "long").add("ids_sha256", "string").add("decoded_sha256", "string")
+    results = ["n_tokens", "ids_sha256", "decoded_sha256", *(["ids"] if with_ids else [])]
+    there, back = carried(keep, results)
+    rows = docs.select(*there, docs["text"].alias("text"))
+    schema = rows.drop("text").schema.add("n_tokens", "long").add("ids_sha256", "string").add("decoded_sha256", "string")
     if with_ids:
         schema = schema.add("ids", ArrayType(IntegerType()))
 
@@ -192,12 +195,12 @@ def encode(docs: DataFrame, path: str, pattern: str, keep: list[str], with_ids:
         little = array("I", [1]).tobytes()[0] == 1
         for batch in batches:
             counts, ids_hash, text_hash, kept = [], [], [], []
-            for text in batch.pop("_text"):
+            for text in batch.pop("text"):
                 ids = codec.encode(text or "")
                 text_hash.append(hashlib.sha256(codec.decode(ids)).hexdigest())
                 counts.append(len(ids))
                 if with_ids:
-                    kept.append(ids.tolist())
+                    kept.append(np.array(ids, np.int32))
                 if not little:
                     ids.byteswap()
                 ids_hash.append(hashlib.sha256(ids.tobytes()).hexdigest())
@@ -206,7 +209,7 @@ def encode(docs: DataFrame, path: str, pattern: str, keep: list[str], with_ids:
                 batch["ids"] = kept
             yield batch
 
-    return rows.mapInPandas(run, schema)
+    return rows.mapInPandas(run, schema).select(*back, *results)
 
 
 def op4_bpe(spark, sf_dir: str) -> DataFrame:
