@@ -11,7 +11,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weftline.session import bounded_batches
+from weftline.session import carried
+
 
 #: Labelled documents of each class that a fit reads at most, whole, in order of a hash of the id.
 SAMPLE_PER_CLASS = 2500
@@ -148,10 +149,10 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = SAMPLE_PER_CLASS) -
 
     Bounded: of each class at most ``per_class`` documents, the first in order of a hash of the id,
     whole. Their indicators are made by the executors; the driver gets integers, never texts.
-    An id with contradicting labels counts as the worse one.
+    An id with contradicting labels counts as the worse one, labels of null ids and null labels not
+    at all; of an id with several rows one is read. Null texts are empty ones.
     """
     spark = docs.sparkSession
-    bounded_batches(spark)
     one = labels.where("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.min("quality").alias("q"))
     order = [F.xxhash64("doc_id"), F.col("doc_id")]
     chosen = one.where("q = 1").orderBy(*order).limit(per_class).union(one.where("q = 0").orderBy(*order).limit(per_class))
@@ -176,22 +177,25 @@ def score(docs: DataFrame, model: Model | None, keep: list[str]) -> DataFrame:
 
     Whole texts, one pass, no shuffle. Null and empty texts are scored as texts without a token.
     Without a model (no labelled row of one class) every score is 1: nothing is rejected unseen.
-    Repeated rows: equal scores. No rows: no rows.
+    Repeated rows: equal scores. No rows: no rows. A kept column named like a result comes back with
+    ``_in`` behind its name; a kept text is sent once.
     """
     spark = docs.sparkSession
-    bounded_batches(spark)
     shared = spark.sparkContext.broadcast(model)
-    schema = docs.select(*keep).schema.add("score", "double").add("predicted", "integer")
+    there, back = carried(keep, ["score", "predicted"])
+    rows = docs.select(*there) if "text" in keep else docs.select(*there, docs["text"].alias("t"))
+    text = f"k_{keep.index('text')}" if "text" in keep else "t"
+    schema = rows.drop("t").schema.add("score", "double").add("predicted", "integer")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             m = shared.value
-            s = [1.0 if m is None else m.score(t) for t in batch.pop("_text")]
+            s = [1.0 if m is None else m.score(t) for t in (batch[text] if text != "t" else batch.pop("t"))]
             batch["score"] = np.array(s, float)
             batch["predicted"] = (batch["score"] >= THRESHOLD).astype("int32")
             yield batch
 
-    return docs.select(*keep, docs["text"].alias("_text")).mapInPandas(run, schema)
+    return rows.mapInPandas(run, schema).select(*back, "score", "predicted")
 
 
 def held_out(doc_id):
