@@ -674,6 +674,33 @@ def test_pipeline_stage_by_stage(spark, tmp_path):
         assert r.decoded_sha256 == hashlib.sha256(text[r.doc_id].encode()).hexdigest()
 
 
+@pytest.mark.parametrize("rows", [[], ODD])
+def test_pipeline_stages_on_odd_and_empty_tables(spark, tmp_path, rows):
+    """Nulls, empty and long texts, repeats, and columns named like the stages' own, through every stage and ``run``."""
+    import corpus_pipeline as c
+
+    clash = "row string, hash string, copies string, id string, g_id string, score string, predicted string, _h string"
+    schema = "doc_id long, text string, lang string, source string, n_chars long, " + clash
+    docs = spark.createDataFrame([(*r[:5], *["mine"] * 8) for r in rows], schema)
+    labels = spark.createDataFrame([(2, 0, None), (4, 1, 0), (None, 1, 1), (9, None, None)] if rows else [], "doc_id long, quality int, toxic int")
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    labels.write.parquet(str(tmp_path / "labels.parquet"))
+    kept = docs
+    for k, (_, stage) in enumerate(c.STAGES):
+        stage(spark, kept, str(tmp_path)).write.parquet(str(tmp_path / f"out{k}"))
+        kept = spark.read.parquet(str(tmp_path / f"out{k}"))
+        if k < len(c.STAGES) - 1:
+            assert kept.columns == docs.columns
+            assert all(set(r[5:]) == {"mine"} for r in kept.collect())
+            if not rows:
+                assert kept.count() == 0
+        if k in (1, 3):
+            both = [(r["doc_id"], r["text"]) for r in kept.collect()]
+            assert len(both) == len(set(both)) or k == 3
+    assert kept.columns == ["doc_id", "source", "n_tokens", "ids_sha256", "decoded_sha256", "ids"]
+    assert c.run(spark, str(tmp_path)).count() == kept.count()
+
+
 @pytest.mark.parametrize("name", ["op1_mixing", "op8_neardup", "op9_urls", "op10_secrets"])
 def test_sql(spark, name):
     import duckdb
