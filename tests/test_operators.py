@@ -109,7 +109,35 @@ def test_assignment_is_optimal_in_large_frames(spark):
 def test_greedy_set(spark):
     df = spark.createDataFrame([("x", i) for i in range(4)], "b string, id long")
     e = spark.createDataFrame([(0, 1), (1, 2), (2, 3)], "a long, b long")
-    assert {r["id"] for r in dedup.greedy_independent(df, "b", "id", e).where("kept").collect()} == {0, 2}
+    assert {r["id"] for r in dedup.greedy_independent(df, "id", e).where("kept").collect()} == {0, 2}
+
+
+def test_greedy_set_against_a_visit_in_order(spark):
+    rng = np.random.default_rng(3)
+    pairs = {(int(min(a, b)), int(max(a, b))) for a, b in rng.integers(0, 60, (120, 2)) if a != b}
+    near = {i: {a + b - i for a, b in pairs if i in (a, b)} for i in range(60)}
+    kept = set()
+    for i in range(60):
+        kept |= set() if near[i] & kept else {i}
+    got = dedup.greedy_independent(spark.range(60), "id", spark.createDataFrame([*pairs], "a long, b long"))
+    assert {r["id"] for r in got.where("kept").collect()} == kept and got.count() == 60
+    assert dedup.greedy_independent(spark.range(3), "id", spark.createDataFrame([], "a long, b long")).where("kept").count() == 3
+
+
+def test_quantiles_and_ranks_in_groups(spark):
+    from weftline.operators import metrics, splits
+
+    rng = np.random.default_rng(4)
+    rows = [("g" if i % 3 else None, float(v)) for i, v in enumerate(rng.integers(0, 40, 500))] + [("one", 7.0), ("g", None)]
+    df = spark.createDataFrame(rows, "g string, v double")
+    got = {r["g"]: (r["a"], r["b"]) for r in metrics.quantiles(df, "g", "v", {"a": 0.5, "b": 0.95}).collect()}
+    for g in ("g", None, "one"):
+        v = [x for h, x in rows if h == g and x is not None]
+        assert got[g] == pytest.approx((np.quantile(v, 0.5), np.quantile(v, 0.95)))
+    ranked = splits.rank_in_group(df.where("v is not null").withColumn("id", F.monotonically_increasing_id()), ["g"], [F.col("v"), F.col("id")], "rk").collect()
+    for g in ("g", None, "one"):
+        own = sorted((r["rk"], r["v"], r["id"]) for r in ranked if r["g"] == g)
+        assert [o[0] for o in own] == list(range(1, len(own) + 1)) and [o[1:] for o in own] == sorted(o[1:] for o in own)
 
 
 def test_runs_and_caches(spark):
@@ -144,8 +172,12 @@ def test_png_sizes(spark, tmp_path):
 
     (tmp_path / "a.png").write_bytes(b"\x89PNG\r\n\x1a\n" + struct.pack(">I4sII", 13, b"IHDR", 640, 480) + b"\0" * 9)
     (tmp_path / "b.txt").write_bytes(b"x")
+    (tmp_path / "c.jpg").write_bytes(b"\xff\xd8\xff\xe0" + struct.pack(">H", 16) + b"JFIF" + b"\0" * 10 + b"\xff\xff\xc2" + struct.pack(">HBHHB", 17, 8, 333, 777, 3) + b"\0" * 9)
+    (tmp_path / "d.gif").write_bytes(b"GIF89a" + struct.pack("<HH", 12, 34))
+    (tmp_path / "e.bmp").write_bytes(b"BM" + b"\0" * 16 + struct.pack("<ii", 50, -60))
+    (tmp_path / "f.jpg").write_bytes(b"\xff\xd8\xff\xe0")
     got = {r["path"].rsplit("/", 1)[1]: (r["width"], r["height"]) for r in io.image_sizes(spark, str(tmp_path)).collect()}
-    assert got == {"a.png": (640, 480), "b.txt": (None, None)}
+    assert got == {"a.png": (640, 480), "b.txt": (None, None), "c.jpg": (777, 333), "d.gif": (12, 34), "e.bmp": (50, 60), "f.jpg": (None, None)}
 
 
 def test_stream_resumes(spark, tmp_path):
@@ -187,15 +219,42 @@ def test_lists_csv_and_summaries(spark, tmp_path):
 
 
 def test_service_seam_and_shards(spark):
-    def client(batches):
-        for b in batches:
-            b["answer"] = b["id"] * 2
-            yield b
+    def client(b):
+        b["answer"] = b["id"] * 2
+        return b
 
     rows = spark.range(20)
     got = io.call_service(rows, client, "id long, answer long", workers=3).collect()
     assert {(r["id"], r["answer"]) for r in got} == {(i, 2 * i) for i in range(20)}
     assert io.shard(rows, "id", 4).select("shard").distinct().count() <= 4
+    assert [r["id"] for r in io.bounded_rows(rows.orderBy("id"))] == list(range(20))
+
+
+def test_service_retries_and_times_out(spark, tmp_path):
+    mark = str(tmp_path / "tried")
+
+    def flaky(b):
+        import os
+
+        if not os.path.exists(mark):
+            open(mark, "w").close()
+            raise OSError("not yet")
+        return b.assign(answer="ok")
+
+    rows = spark.range(4)
+    got = io.call_service(rows, flaky, "id long, answer string", workers=1, wait=0.01).collect()
+    assert len(got) == 4 and {r["answer"] for r in got} == {"ok"}
+
+    def slow(b):
+        import time
+
+        time.sleep(1.0)
+        return b.assign(answer="late")
+
+    late = io.call_service(rows, slow, "id long, answer string", workers=1, timeout=0.05, retries=1, wait=0.01, failed=lambda b, e: b.assign(answer=type(e).__name__)).collect()
+    assert {r["answer"] for r in late} == {"TimeoutError"} and len(late) == 4
+    with pytest.raises(Exception, match="not today"):
+        io.call_service(rows, lambda b: (_ for _ in ()).throw(ValueError("not today")), "id long", workers=1, retries=0).collect()
 
 
 def test_row_digest_ignores_order(spark):

@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from weftline.operators.graph import connected_components
+from weftline.session import checkpointed
 
 #: Gates of the isolation from a test set, and inside a scene: Hamming alone, Hamming with cosine.
 ISOLATION = (8, 16, 0.88)
@@ -81,24 +81,21 @@ def cluster_summary(components: DataFrame) -> DataFrame:
     )
 
 
-def greedy_independent(df: DataFrame, block: str, key: str, edges: DataFrame) -> DataFrame:
-    """Keep a row unless a kept row of its block with a smaller id is its neighbour.
+def greedy_independent(df: DataFrame, key: str, edges: DataFrame) -> DataFrame:
+    """``df`` with ``kept``: a row is kept unless a kept row with a smaller id is its neighbour.
 
-    The visit order is the id. One group per block: blocks are expected to be small (a scene).
+    Rounds instead of a visit in order: a node without a smaller undecided neighbour is kept, its
+    neighbours leave, and their other edges with them. Each round settles all local minima at once;
+    only nodes that leave are collected, as a table.
     """
-    near = edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    rows = df.select(block, key).join(near.groupBy(F.col("a").alias(key)).agg(F.collect_set("b").alias("near")), key, "left")
-
-    def visit(g: pd.DataFrame) -> pd.DataFrame:
-        kept: set = set()
-        flags = []
-        g = g.sort_values(key)
-        for k, others in zip(g[key], g["near"], strict=True):
-            ok = others is None or not any(o in kept for o in others)
-            if ok:
-                kept.add(k)
-            flags.append(ok)
-        return pd.DataFrame({block: g[block], key: g[key], "kept": flags})
-
-    schema = df.select(block, key).schema.add("kept", "boolean")
-    return rows.groupBy(block).applyInPandas(visit, schema)
+    left = checkpointed(edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b").distinct())
+    gone = None
+    while not left.isEmpty():
+        kept = left.select("a").distinct().join(left.select(F.col("b").alias("a")).distinct(), "a", "left_anti")
+        lost = checkpointed(left.join(kept, "a", "left_semi").select(F.col("b").alias("lost")).distinct())
+        gone = lost if gone is None else gone.union(lost)
+        left = left.join(lost, left["a"] == lost["lost"], "left_anti").join(lost, left["b"] == lost["lost"], "left_anti")
+        left = checkpointed(left)
+    if gone is None:
+        return df.withColumn("kept", F.lit(True))
+    return df.join(gone.distinct(), df[key] == F.col("lost"), "left").withColumn("kept", F.col("lost").isNull()).drop("lost")

@@ -90,6 +90,56 @@ def win_tie_loss(df: DataFrame, ours: Column, theirs: Column) -> DataFrame:
     return df.agg(w.alias("win"), t.alias("tie"), lost.alias("loss"), (w - lost).alias("net"), F.round(F.when(w + lost > 0, w / (w + lost)).otherwise(0.0), 6).alias("win_rate"))
 
 
+def token_overlap(rows: DataFrame, key: list[str], a: str, b: str) -> DataFrame:
+    """``key``, shared, n_a, n_b of two token arrays, repeats counted; ``key`` tells rows apart.
+
+    One row for each different token and side, so a text costs its length, however long.
+    """
+    side = lambda c, n, m: rows.select(*key, F.explode(c).alias("w"), F.lit(n).cast("long").alias("x"), F.lit(m).cast("long").alias("y"))
+    words = side(a, 1, 0).unionByName(side(b, 0, 1)).groupBy(*key, "w").agg(F.sum("x").alias("x"), F.sum("y").alias("y"))
+    got = words.groupBy(*key).agg(F.sum(F.least("x", "y")).alias("shared"))
+    sizes = rows.select(*key, F.size(a).cast("long").alias("n_a"), F.size(b).cast("long").alias("n_b"))
+    return sizes.join(got, key, "left").withColumn("shared", F.coalesce("shared", F.lit(0)).cast("long"))
+
+
+def quantiles(df: DataFrame, group: str, value: str, shares: dict[str, float]) -> DataFrame:
+    """``group`` and one interpolated quantile of ``value`` for each name in ``shares``, exact.
+
+    Equal values are counted first and ranked by a distributed prefix sum, so a group's values never
+    meet in one task. Null values don't count.
+    """
+    counts = df.where(F.col(value).isNotNull()).groupBy(F.col(group).alias("g"), F.col(value).cast("double").alias("v")).agg(F.count(F.lit(1)).alias("c"))
+    ranked = with_prefix(counts, ["g", "v"], F.col("c"), "before")
+    totals = ranked.groupBy(F.col("g").alias("t_g")).agg(F.sum("c").alias("n"), F.min("before").alias("first"))
+    ranked = ranked.join(totals, F.col("g").eqNullSafe(F.col("t_g"))).select("g", "v", "n", (F.col("before") - F.col("first")).alias("low"), (F.col("before") - F.col("first") + F.col("c")).alias("high"))
+    out = []
+    for name, share in shares.items():
+        at = (F.col("n") - 1) * share
+        take = lambda k: F.max(F.when((F.col("low") <= k) & (k < F.col("high")), F.col("v")))
+        lower, upper = take(F.floor(at)), take(F.ceil(at))
+        out.append((lower + (upper - lower) * F.max(at - F.floor(at))).alias(name))
+    return ranked.groupBy(F.col("g").alias(group)).agg(*out)
+
+
+def rescore(stored: DataFrame, by: list[str], scorers: dict[str, Callable[[Column, Column], Column]]) -> DataFrame:
+    """Stored predictions (truth, gen) scored anew by each scorer, without new inference: ``by``, scorer, p, r, f1, fabrication."""
+    parts = [micro(attribute_outcomes(stored, s), by).withColumn("scorer", F.lit(n)) for n, s in scorers.items()]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
+def image_metrics(conf: DataFrame, image: str) -> DataFrame:
+    """Per image mIoU over its classes and pixel accuracy, from (image, truth, pred, n) rows."""
+    hit = F.col("truth") == F.col("pred")
+    long = conf.select(image, F.col("n"), hit.alias("hit"), F.explode(F.when(hit, F.array("truth")).otherwise(F.array("truth", "pred"))).alias("cls"))
+    per = long.groupBy(image, "cls").agg(F.sum(F.when(F.col("hit"), F.col("n")).otherwise(0)).alias("tp"), F.sum("n").alias("union"))
+    miou = per.groupBy(image).agg(F.round(F.avg(F.col("tp") / F.col("union")), 6).alias("miou"))
+    acc = conf.groupBy(image).agg(F.round(F.sum(F.when(hit, F.col("n")).otherwise(0)) / F.sum("n"), 6).alias("accuracy"))
+    return miou.join(acc, image)
+
+
 def draw_count(rep: Column, cluster: Column, clusters: Column) -> Column:
     """How often a cluster is drawn in a replicate: a Poisson(1) number from md5, equal in every engine.
 

@@ -37,9 +37,19 @@ def allocate(counts: DataFrame, group: str, total: int, big: int = 2, big_cap: i
     return raw.select(group, "n", quota.cast("long").alias("quota"))
 
 
+def rank_in_group(df: DataFrame, group: list[str], order: list[Column], name: str) -> DataFrame:
+    """Adds the rank from 1 of each row in its group: a distributed prefix sum, so no task sorts a whole group."""
+    cols = [f"o_{i}" for i in range(len(order))]
+    at = with_prefix(df.select("*", *[o.alias(c) for o, c in zip(order, cols, strict=True)]), [*group, *cols], name="o_at")
+    start = at.groupBy(*group).agg(F.min("o_at").alias("o_start"))
+    start = start.select(*[F.col(g).alias(f"s_{i}") for i, g in enumerate(group)], "o_start")
+    on = [F.col(g).eqNullSafe(F.col(f"s_{i}")) for i, g in enumerate(group)]
+    return at.join(start, on).select(*df.columns, (F.col("o_at") - F.col("o_start") + 1).cast("long").alias(name))
+
+
 def take_quota(df: DataFrame, quotas: DataFrame, group: str, order: list[Column]) -> DataFrame:
     """Rows of each group in ``order`` up to its quota, without replacement."""
-    ranked = df.withColumn("_rk", F.row_number().over(Window.partitionBy(group).orderBy(*order)))
+    ranked = rank_in_group(df, [group], order, "_rk")
     return ranked.join(quotas.select(group, "quota"), group).where(F.col("_rk") <= F.col("quota")).drop("_rk", "quota")
 
 

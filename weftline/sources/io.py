@@ -4,8 +4,12 @@ from __future__ import annotations
 
 import html
 import json
+import time
+from collections.abc import Iterator
+from concurrent.futures import ThreadPoolExecutor
 
-from pyspark.sql import Column, DataFrame, SparkSession
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 BOX = "struct<x1:double,y1:double,x2:double,y2:double>"
@@ -51,13 +55,41 @@ def read_split_list(spark: SparkSession, path: str, sep: str = " ") -> DataFrame
     return spark.read.schema(SPLIT_SCHEMA).option("sep", sep).csv(path)
 
 
+def picture_size(data: bytes) -> tuple[int | None, int | None]:
+    """(width, height) from the header of a PNG, JPEG, GIF, BMP or WebP file; nulls for anything else."""
+    number = lambda at, n, order="big": int.from_bytes(data[at : at + n], order)
+    if data[:8] == b"\x89PNG\r\n\x1a\n" and len(data) >= 24:
+        return number(16, 4), number(20, 4)
+    if data[:6] in (b"GIF87a", b"GIF89a") and len(data) >= 10:
+        return number(6, 2, "little"), number(8, 2, "little")
+    if data[:2] == b"BM" and len(data) >= 26:
+        return number(18, 4, "little"), abs(int.from_bytes(data[22:26], "little", signed=True))
+    if data[:4] == b"RIFF" and data[8:16] == b"WEBPVP8X" and len(data) >= 30:
+        return number(24, 3, "little") + 1, number(27, 3, "little") + 1
+    at = 2
+    while data[:2] == b"\xff\xd8" and at + 9 <= len(data):
+        if data[at] != 0xFF:
+            at += 1
+        elif data[at + 1] in (0x01, 0xFF, *range(0xD0, 0xDA)):  # markers without a length
+            at += 1 if data[at + 1] == 0xFF else 2
+        elif 0xC0 <= data[at + 1] <= 0xCF and data[at + 1] not in (0xC4, 0xC8, 0xCC):  # a frame header
+            return number(at + 7, 2), number(at + 5, 2)
+        else:
+            at += 2 + number(at + 2, 2)
+    return None, None
+
+
 def image_sizes(spark: SparkSession, path: str) -> DataFrame:
-    """(path, bytes, width, height) from PNG headers; other kinds have null sizes."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
-    head = F.hex(F.substring("content", 1, 24))
-    is_png = head.startswith("89504E470D0A1A0A")
-    side = lambda at: F.when(is_png, F.conv(F.substring(head, at, 8), 16, 10).cast("int"))
-    return files.select("path", F.col("length").alias("bytes"), side(33).alias("width"), side(41).alias("height"))
+    """(path, bytes, width, height) from the headers of pictures; other files have null sizes."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path", F.col("length").alias("bytes"), "content")
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            sizes = [picture_size(bytes(c)) for c in batch.pop("content")]
+            batch["width"], batch["height"] = pd.array([w for w, _ in sizes], "Int32"), pd.array([h for _, h in sizes], "Int32")
+            yield batch
+
+    return files.mapInPandas(run, "path string, bytes long, width int, height int")
 
 
 def fingerprints(spark: SparkSession, path: str) -> DataFrame:
@@ -172,6 +204,44 @@ def cached(requests: DataFrame, cache: DataFrame, key: Column, compute) -> tuple
     return answers, misses
 
 
-def call_service(df: DataFrame, client, schema: str, workers: int = 16) -> DataFrame:
-    """Rows through a pluggable client in at most ``workers`` tasks at once; ``client`` maps batches."""
-    return df.repartition(workers).mapInPandas(client, schema)
+def limits(regions: DataFrame, frame: str, order: list[Column], most_frames: int, most_regions: int) -> DataFrame:
+    """At most ``most_regions`` rows of each frame, first in ``order``, of the ``most_frames`` smallest frame ids."""
+    frames = regions.select(frame).distinct().orderBy(frame).limit(most_frames)
+    some = regions.join(F.broadcast(frames), frame, "left_semi")  # bounded by the parameter
+    return some.withColumn("_n", F.row_number().over(Window.partitionBy(frame).orderBy(*order))).where(F.col("_n") <= most_regions).drop("_n")
+
+
+def bounded_rows(df: DataFrame) -> Iterator:
+    """All rows in order on the driver, which holds two partitions at most, whatever the size of the table."""
+    return df.toLocalIterator(prefetchPartitions=True)
+
+
+def call_service(df: DataFrame, client, schema: str, workers: int = 16, timeout: float = 60.0, retries: int = 2, wait: float = 1.0, failed=None) -> DataFrame:
+    """Rows through a pluggable client in at most ``workers`` tasks at once, one batch each at a time.
+
+    ``client`` maps a batch (pandas) to a batch of ``schema``. A call that takes longer than
+    ``timeout`` seconds or raises is repeated ``retries`` times, after ``wait`` seconds that double
+    each time. A batch that still fails goes to ``failed`` (batch, error), whose answer stands in its
+    place; without ``failed`` the error ends the run.
+    """
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            yield answer(batch)
+
+    def answer(batch: pd.DataFrame) -> pd.DataFrame:
+        for attempt in range(retries + 1):
+            pool = ThreadPoolExecutor(1)
+            try:
+                return pool.submit(client, batch.copy()).result(timeout)
+            except Exception as error:
+                if attempt == retries and failed is not None:
+                    return failed(batch, error)
+                if attempt == retries:
+                    raise
+                time.sleep(wait * 2**attempt)
+            finally:
+                pool.shutdown(wait=False, cancel_futures=True)
+        raise AssertionError("unreachable")
+
+    return df.repartition(workers).mapInPandas(run, schema)
