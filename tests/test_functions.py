@@ -46,10 +46,35 @@ def test_invalid_output(spark, text, bad):
 def test_rouge_and_overlap(spark):
     a, b = F.split(F.lit("a b c d a"), " "), F.split(F.lit("b a d a x"), " ")
     assert one(spark, X.lcs_length(a, b)) == 3
-    assert one(spark, X.multiset_overlap(a, b)) == 4
     assert one(spark, X.rouge_l(a, b)) == pytest.approx(0.6)
 
 
+def test_overlap_counts_repeats(spark):
+    from weftline.operators import metrics
+
+    rows = spark.createDataFrame([(1, "a b c d a".split(), "b a d a x".split()), (2, [], ["a"]), (3, ["a"] * 50_000, ["a"] * 40_000)], "id long, a array<string>, b array<string>")
+    assert sorted(tuple(r) for r in metrics.token_overlap(rows, ["id"], "a", "b").collect()) == [(1, 5, 5, 4), (2, 0, 1, 0), (3, 50_000, 40_000, 40_000)]
+
+
+def test_attribute_traps(spark):
+    def found(text):
+        return {k for k, c in X.attributes(F.lit(text)).items() if one(spark, c)}
+
+    assert found("a woman in a black dress") == {"colour", "top", "bottom"}
+    assert found("red background, a man walking") == {"pose"}
+    assert found("holding a jacket") == {"held"} and found("wearing a jacket") == {"top"}
+    assert found("holding a backpack") == {"held"} and found("wearing a backpack") == {"carried"}
+    assert found("long curly hair and a bald spot") == {"hair"}
+    assert [one(spark, X.closed_colour(F.lit(t))) for t in ("light grey coat", "RED and blue", "teal", "blackened", "")] == ["gray", "red", "unknown", "unknown", "unknown"]
+
+
+@pytest.mark.parametrize(("rgb", "want"), [((255, 255, 255), (100, 0, 0)), ((0, 0, 0), (0, 0, 0)), ((255, 0, 0), (53.24, 80.09, 67.20)), ((0, 0, 255), (32.30, 79.19, -107.86))])
+def test_lab(spark, rgb, want):
+    from weftline.functions import geometry
+
+    assert [one(spark, c) for c in geometry.lab(*[F.lit(float(x)) for x in rgb])] == pytest.approx(want, abs=0.02)
+
+
 def test_snap_and_locs(spark):
     assert [one(spark, X.snap_score(F.lit(x))) for x in ("0.6", "0.7", "bad", "3", "-1")] == [0.5, 0.75, 0.0, 1.0, 0.0]
     parts = one(spark, X.parse_regions(F.lit("man <loc_1><loc_2><loc_3><loc_4><sep>dog <loc_1><loc_2><loc_3><sep>cat <loc_1><loc_2><loc_3><loc_1000>")))

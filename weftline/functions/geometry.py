@@ -56,3 +56,25 @@ def small_input(edge: Column, size: Column, least_edge: float = 96, least_area:
 
 #: Presets of the small-input gate: name, short edge, area.
 SMALL_PRESETS = (("loose", 80, 15_000), ("balanced", 96, 25_000), ("strict", 128, 40_000))
+
+
+def lab(r: Column, g: Column, b: Column) -> tuple[Column, Column, Column]:
+    """CIE L*, a*, b* (D65) of sRGB components from 0 to 255."""
+
+    def linear(c: Column) -> Column:
+        x = F.least(F.greatest(c, F.lit(0.0)), F.lit(255.0)) / 255
+        return F.when(x <= 0.04045, x / 12.92).otherwise(F.pow((x + 0.055) / 1.055, F.lit(2.4)))
+
+    def f(t: Column) -> Column:
+        return F.when(t > 216 / 24389, F.pow(t, F.lit(1 / 3))).otherwise((t * (24389 / 27) + 16) / 116)
+
+    x, y, z = linear(r), linear(g), linear(b)
+    fx = f((x * 0.4124564 + y * 0.3575761 + z * 0.1804375) / 0.95047)
+    fy = f(x * 0.2126729 + y * 0.7151522 + z * 0.0721750)
+    fz = f((x * 0.0193339 + y * 0.1191920 + z * 0.9503041) / 1.08883)
+    return 116 * fy - 16, 500 * (fx - fy), 200 * (fy - fz)
+
+
+def ab_bin(x: Column, bins: int = 128) -> Column:
+    """The bin of an a* or b* value from -128 to 128."""
+    return F.least(F.greatest(F.floor((F.round(x, 9) + 128) * (bins / 256)), F.lit(0)), F.lit(bins - 1)).cast("long")

@@ -21,12 +21,6 @@ def token_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(F.lower(text), F.lit(TOKEN)), F.lit(0)).cast("long")
 
 
-def multiset_overlap(a: Column, b: Column) -> Column:
-    """How many elements two arrays share, repeats counted: the length that ``array_except`` of numbered elements leaves."""
-    numbered = lambda x: F.transform(x, lambda w, i: F.concat_ws("#", w, F.size(F.filter(F.slice(x, 1, i + 1), lambda v: v == w)).cast("string")))
-    return F.size(F.array_intersect(numbered(a), numbered(b)))
-
-
 def precision_recall_f1(shared: Column, generated: Column, truth: Column) -> tuple[Column, Column, Column]:
     """From counts; every ratio without a denominator is 0."""
     p = F.when(generated > 0, shared / generated).otherwise(F.lit(0.0))
@@ -172,3 +166,45 @@ def sign_code(vector: Column) -> Column:
 
 def hamming(a: Column, b: Column) -> Column:
     return F.bit_count(a.bitwiseXOR(b))
+
+
+#: The twelve colour classes; ``unknown`` is the twelfth.
+COLOURS = ("black", "white", "gray", "red", "yellow", "green", "blue", "purple", "pink", "orange", "brown")
+
+
+def closed_colour(text: Column) -> Column:
+    """The first of the eleven named colours in a text (grey is gray), else ``unknown``."""
+    found = F.regexp_extract(F.regexp_replace(F.lower(text), r"\bgrey\b", "gray"), r"\b(" + "|".join(COLOURS) + r")\b", 1)
+    return F.when(found == "", F.lit("unknown")).otherwise(F.coalesce(found, F.lit("unknown")))
+
+
+#: Our own lexicon of attribute words.
+LEXICON = {
+    "hair": "hair|bald|ponytail|curly",
+    "face": "glasses|sunglasses|mask",
+    "top": "shirt|jacket|coat|sweater|dress",
+    "bottom": "trousers|jeans|skirt|shorts|dress",
+    "shoes": "shoes|boots|sandals|sneakers",
+    "colour": "|".join((*COLOURS, "grey")),
+    "pose": "standing|sitting|walking|running",
+}
+#: Words that may stand between a verb of holding and what is held.
+THING = r"(?:(?:a|an|the|his|her|their)\s+)?(?:[a-z]+\s+)?"
+CARRIED = "bag|handbag|backpack|umbrella|phone|jacket|coat"
+
+
+def attributes(text: Column) -> dict[str, Column]:
+    """Which attribute categories a description mentions, each at most once.
+
+    Traps: a colour before ``background`` or ``wall`` is none of the person's; a held garment isn't
+    worn; what is worn or on the back isn't held; a dress is both top and bottom; several details
+    of the hair are one attribute.
+    """
+    low = F.lower(text)
+    plain = F.regexp_replace(low, r"\b[a-z]+\s+(?:background|wall)\b", " ")
+    held = r"\b(?:holding|carrying)\s+" + THING + "(?:" + CARRIED + r")\b"
+    worn = F.regexp_replace(plain, held, " ")
+    out = {k: (plain if k in ("colour", "pose") else worn).rlike(r"\b(?:" + words + r")\b") for k, words in LEXICON.items()}
+    out["held"] = plain.rlike(held)
+    out["carried"] = worn.rlike(r"\b(?:wearing|with)\s+" + THING + r"(?:bag|handbag|backpack)\b")
+    return out

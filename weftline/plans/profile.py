@@ -19,12 +19,15 @@ def _(t):
     return g.withColumn("share", F.round(F.col("n") / F.sum("n").over(Window.partitionBy()), 6))
 
 
-@query("agg_2_pivot_with_total", """SELECT coalesce(source, 'total') AS source, count(*) FILTER (lang = 'de') AS de, count(*) FILTER (lang = 'en') AS en, count(*) FILTER (lang = 'es') AS es, count(*) FILTER (lang = 'fr') AS fr
-FROM documents GROUP BY ROLLUP (source)""")
+@query("agg_2_pivot_with_total", """SELECT coalesce(source, 'none') AS source, count(*) FILTER (lang = 'de') AS de, count(*) FILTER (lang = 'en') AS en, count(*) FILTER (lang = 'es') AS es, count(*) FILTER (lang = 'fr') AS fr,
+count(*) FILTER (lang IS NULL OR lang NOT IN ('de', 'en', 'es', 'fr')) AS other, count(*) AS n FROM documents GROUP BY 1
+UNION ALL SELECT 'total', count(*) FILTER (lang = 'de'), count(*) FILTER (lang = 'en'), count(*) FILTER (lang = 'es'), count(*) FILTER (lang = 'fr'), count(*) FILTER (lang IS NULL OR lang NOT IN ('de', 'en', 'es', 'fr')), count(*) FROM documents""")
 def _(t):
-    # one rollup instead of a pivot and a second pass for the total
-    cols = [F.count_if(F.col("lang") == g).alias(g) for g in ("de", "en", "es", "fr")]
-    return t.documents.rollup("source").agg(*cols).withColumn("source", F.coalesce("source", F.lit("total")))
+    # one rollup instead of a pivot and a second pass for the total; what no column names counts as other
+    known = ("de", "en", "es", "fr")
+    other = F.count_if(F.col("lang").isNull() | ~F.col("lang").isin(*known)).alias("other")
+    g = t.documents.rollup("source").agg(*[F.count_if(F.col("lang") == x).alias(x) for x in known], other, F.count(F.lit(1)).alias("n"), F.grouping("source").alias("all"))
+    return g.withColumn("source", F.when(F.col("all") == 1, "total").otherwise(F.coalesce("source", F.lit("none")))).drop("all")
 
 
 @query("agg_3_multi_label_share", "SELECT c_mktsegment, round(avg((n > 10)::INT), 6) AS multi FROM (SELECT c_mktsegment, c_custkey, count(o_orderkey) AS n FROM customer LEFT JOIN orders ON o_custkey = c_custkey GROUP BY 1, 2) GROUP BY 1")
@@ -44,9 +47,9 @@ def _(t):
 @query("agg_5_quantiles", """SELECT l_returnflag, round(median(l_extendedprice), 6) AS p50, round(quantile_cont(l_extendedprice, 0.95), 6) AS p95, round(avg(l_extendedprice), 6) AS mean, round(avg((l_quantity < 10)::INT), 6) AS under
 FROM lineitem GROUP BY 1""")
 def _(t):
-    return t.lineitem.groupBy("l_returnflag").agg(
-        F.round(F.percentile("l_extendedprice", F.lit(0.5)), 6).alias("p50"), F.round(F.percentile("l_extendedprice", F.lit(0.95)), 6).alias("p95"),
-        F.round(F.avg("l_extendedprice"), 6).alias("mean"), F.round(F.avg((F.col("l_quantity") < 10).cast("int")), 6).alias("under"))
+    q = metrics.quantiles(t.lineitem, "l_returnflag", "l_extendedprice", {"p50": 0.5, "p95": 0.95})
+    m = t.lineitem.groupBy(F.col("l_returnflag").alias("f")).agg(F.round(F.avg("l_extendedprice"), 6).alias("mean"), F.round(F.avg((F.col("l_quantity") < 10).cast("int")), 6).alias("under"))
+    return q.join(m, F.col("l_returnflag").eqNullSafe(F.col("f"))).select("l_returnflag", F.round("p50", 6).alias("p50"), F.round("p95", 6).alias("p95"), "mean", "under")
 
 
 @query("agg_6_duplicate_profile", """SELECT kind, count(*) AS frames FROM (SELECT l_orderkey, CASE WHEN count(DISTINCT l_suppkey) = count(*) THEN 'all_unique' WHEN count(DISTINCT l_suppkey) = 1 THEN 'all_same' ELSE 'part' END AS kind
@@ -96,9 +99,11 @@ def _(t):
     return g.where("boxes <> descriptions or boxes <> m + 1").drop("m")
 
 
-@query("fil_4_small_sources", "SELECT source, sum(octet_length(encode(text)))::BIGINT AS bytes FROM documents GROUP BY 1 HAVING sum(octet_length(encode(text))) >= 100000")
+@query("fil_4_small_files", "SELECT doc_id, octet_length(encode(text))::BIGINT AS bytes FROM documents WHERE octet_length(encode(text)) >= 1000")
 def _(t):
-    return t.documents.groupBy("source").agg(F.sum(F.octet_length("text")).alias("bytes")).where("bytes >= 100000")
+    """A document as a file: small ones are skipped by their own size. ``io.large_files`` does so from a listing."""
+    size = F.octet_length("text").cast("long")
+    return t.documents.where(size >= 1000).select("doc_id", size.alias("bytes"))
 
 
 @query("fil_5_confidence", "SELECT event_id, value FROM events WHERE value / 100 >= 0.3")
@@ -243,6 +248,15 @@ def _(t):
     return answers.select("p_partkey", "cache_key", "value")
 
 
+@query("run_7_limits", """WITH f AS (SELECT DISTINCT l_orderkey FROM lineitem ORDER BY 1 LIMIT 500)
+SELECT l_orderkey, l_linenumber, l_extendedprice FROM (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_extendedprice DESC, l_linenumber, l_partkey, l_suppkey) AS n FROM lineitem WHERE l_orderkey IN (SELECT l_orderkey FROM f)) WHERE n <= 3""")
+def _(t):
+    """The limit is the feature: at most 500 frames, and the three largest regions of each."""
+    rows = t.lineitem.select("l_orderkey", "l_linenumber", "l_extendedprice", "l_partkey", "l_suppkey")
+    order = [F.desc("l_extendedprice"), F.col("l_linenumber"), F.col("l_partkey"), F.col("l_suppkey")]
+    return io.limits(rows, "l_orderkey", order, 500, 3).select("l_orderkey", "l_linenumber", "l_extendedprice")
+
+
 @query("snk_1_row_digest")
 def _(t):
     return io.row_digest(t.part)

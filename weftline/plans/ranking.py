@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from weftline.functions import geometry as G
 from weftline.functions import text as X
 from weftline.operators import assign, dedup, splits
 from weftline.plans.base import query
-from weftline.plans.scalars import CODE_SQL
+from weftline.plans.scalars import BOX_SQL, CODE_SQL
 
 W = Window
 
@@ -121,11 +122,11 @@ def _(t):
 
 @query("smp_2_capped_stratum", "SELECT source, lang, doc_id FROM (SELECT source, lang, doc_id, n_chars < 500 AS tiny, row_number() OVER (PARTITION BY source, n_chars < 500 ORDER BY md5('weftline|' || doc_id), doc_id) AS rk, count(*) FILTER (n_chars >= 500) OVER (PARTITION BY source) AS big FROM documents) WHERE NOT tiny OR rk <= big // 3")
 def _(t):
-    tiny = F.col("n_chars") < 500
-    big = F.count_if(~tiny).over(W.partitionBy("source"))
-    d = t.documents.select("source", "lang", "doc_id", tiny.alias("tiny"), F.row_number().over(W.partitionBy("source", tiny).orderBy(splits.hash_order("doc_id"), "doc_id")).alias("rk"), big.alias("big"))
+    d = t.documents.select("source", "lang", "doc_id", (F.col("n_chars") < 500).alias("tiny"), splits.hash_order("doc_id").alias("h"))
+    ranked = splits.rank_in_group(d, ["source", "tiny"], [F.col("h"), F.col("doc_id")], "rk")
+    big = d.groupBy(F.col("source").alias("s")).agg(F.count_if(~F.col("tiny")).alias("big"))
     # tiny rows at most a quarter of what is kept
-    return d.where(~F.col("tiny") | (F.col("rk") <= F.floor(F.col("big") / 3))).select("source", "lang", "doc_id")
+    return ranked.join(big, F.col("source").eqNullSafe(F.col("s"))).where(~F.col("tiny") | (F.col("rk") <= F.floor(F.col("big") / 3))).select("source", "lang", "doc_id")
 
 
 @query("smp_3_rarity_priority", "SELECT source, doc_id FROM (SELECT source, doc_id, row_number() OVER (PARTITION BY source ORDER BY n, md5('weftline|' || doc_id), doc_id) AS rk FROM documents JOIN (SELECT lang, count(*) AS n FROM documents GROUP BY 1) USING (lang)) WHERE rk <= 10")
@@ -236,28 +237,64 @@ def _(t):
     return code_pairs(t, GATE)
 
 
-@query("joi_6_bucketed_hamming", GATE_SQL + " SELECT a.vec_id AS a, b.vec_id AS b, bit_count(xor(a.code, b.code))::INT AS d FROM c a JOIN c b ON a.vec_id < b.vec_id AND bit_count(xor(a.code, b.code)) <= 15")
+@query("joi_6_bucketed_hamming", GATE_SQL + " SELECT a.vec_id AS a, b.vec_id AS b FROM c a JOIN c b ON a.label = b.label AND a.vec_id < b.vec_id AND bit_count(xor(a.code, b.code)) <= 15")
 def _(t):
-    """Without a block: pigeonhole bands find every pair within the radius."""
-    c = coded(t).select("vec_id", "code", F.explode(dedup.hamming_bands(F.col("code"), 15)).alias("k")).select("vec_id", "code", "k.band", "k.value")
-    r = c.select(F.col("vec_id").alias("b"), F.col("code").alias("_c"), "band", "value")
-    p = c.join(r, ["band", "value"]).where("vec_id < b")
-    d = X.hamming(F.col("code"), F.col("_c"))
-    return p.where(d <= 15).select(F.col("vec_id").alias("a"), "b", d.alias("d")).distinct()
+    """Bucketed by a source field; inside a bucket every pair is compared, as radii this wide leave bands of a few bits."""
+    return dedup.blocked_pairs(coded(t), "vec_id", [F.col("label")], lambda a, b: X.hamming(F.col(f"{a}.code"), F.col(f"{b}.code")) <= 15)
 
 
-@query("joi_7_frame_similarity", """WITH w AS (SELECT conv_id, unnest(list_distinct(flatten(list(regexp_extract_all(lower(text), '[a-z0-9]+'))))) AS w FROM conversations GROUP BY 1), n AS (SELECT conv_id, count(*) AS n FROM w GROUP BY 1),
-f AS (SELECT w FROM w GROUP BY 1 HAVING count(*) <= 8), s AS (SELECT a.conv_id AS a, b.conv_id AS b, count(*) AS s FROM w a JOIN w b ON a.w = b.w AND a.conv_id < b.conv_id JOIN f ON f.w = a.w GROUP BY 1, 2)
-SELECT a, b, s AS shared, round(s / (x.n + y.n - s), 6) AS score FROM s JOIN n x ON x.conv_id = a JOIN n y ON y.conv_id = b WHERE s >= 5""")
+# Frames of a scene: the orders of a customer; regions: their line items, with a box and a part's name as
+# description; image hash: the sign code of a vector that the order number picks.
+FRAME_SQL = f"""WITH code AS (SELECT vec_id, code FROM ({CODE_SQL}) WHERE vec_id < 100),
+r AS (SELECT o_custkey AS scene, l_orderkey AS frame, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice)::INT AS pos, list_distinct(regexp_extract_all(lower(p_name), '[a-z0-9]+')) AS w, x1, y1, x2, y2, code
+  FROM ({BOX_SQL.replace('l_partkey,', 'l_partkey, l_suppkey, l_extendedprice,', 1)}) JOIN orders ON o_orderkey = l_orderkey JOIN part ON p_partkey = l_partkey LEFT JOIN code ON vec_id = o_orderkey % 100),
+m AS (SELECT a.frame AS a, b.frame AS b, a.pos AS i, b.pos AS j, bit_count(xor(a.code, b.code)) AS d, 2.0::DOUBLE * len(list_intersect(a.w, b.w)) / greatest(len(a.w) + len(b.w), 1) AS text,
+  greatest(least(a.x2, b.x2) - greatest(a.x1, b.x1), 0) * greatest(least(a.y2, b.y2) - greatest(a.y1, b.y1), 0) AS inter, (a.x2 - a.x1) * (a.y2 - a.y1) + (b.x2 - b.x1) * (b.y2 - b.y1) AS areas FROM r a JOIN r b ON a.scene = b.scene AND a.frame < b.frame),
+s AS (SELECT a, b, i, j, d, round(0.5 * text + 0.5 * inter / (areas - inter), 9) AS s FROM m),
+k AS (SELECT *, row_number() OVER (PARTITION BY a, b, i ORDER BY s DESC, j) AS ri, row_number() OVER (PARTITION BY a, b, j ORDER BY s DESC, i) AS rj FROM s),
+g AS (SELECT a, b, max(i) AS na, max(j) AS nb, any_value(d) AS d, count(*) FILTER (ri = 1 AND rj = 1 AND s >= 0.3) AS matched, coalesce(sum(s) FILTER (ri = 1 AND rj = 1 AND s >= 0.3), 0) AS total FROM k GROUP BY 1, 2),
+f AS (SELECT a, b, matched, round(matched / greatest(na, nb), 6) AS coverage, round(0.5 * total / greatest(na, nb) + 0.2 * matched / greatest(na, nb) + 0.3 * (1 - coalesce(d, 63) / 63), 6)::DOUBLE AS score FROM g)"""
+
+
+def frame_scores(t):
+    """(a, b, matched, coverage, score) of all frame pairs of a scene.
+
+    Region pairs weigh words and overlap alike; two regions match if each is the other's best (ties:
+    the first) at 0.3 or more, which is one to one. A frame pair weighs its matched regions, their
+    coverage of the larger frame, and the distance of the image hashes.
+    """
+    code = t.embeddings.where("vec_id < 100").select("vec_id", X.sign_code(F.col("embedding")).alias("code"))
+    x1, y1 = F.col("l_quantity") * 20, F.col("l_discount") * 5000
+    box = F.struct(x1.alias("x1"), y1.alias("y1"), (x1 + F.col("l_extendedprice") / 200).alias("x2"), (y1 + F.col("l_tax") * 4000 + 10).alias("y2"))
+    pos = F.row_number().over(W.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice"))
+    lines = t.lineitem.select("l_orderkey", "l_partkey", box.alias("box"), pos.alias("pos"))
+    names = t.part.select("p_partkey", F.array_distinct(X.tokens(F.col("p_name"))).alias("w"))
+    frames = t.orders.select("o_custkey", "o_orderkey", (F.col("o_orderkey") % 100).alias("k")).join(code, F.col("k") == F.col("vec_id"), "left")
+    r = lines.join(names, F.col("l_partkey") == F.col("p_partkey")).join(frames, F.col("l_orderkey") == F.col("o_orderkey"))
+    r = r.select(F.col("o_custkey").alias("scene"), F.col("o_orderkey").alias("frame"), "pos", "w", "box", "code")
+    a, b = r.alias("l"), r.alias("r")
+    m = a.join(b, (F.col("l.scene") == F.col("r.scene")) & (F.col("l.frame") < F.col("r.frame")))
+    dice = 2.0 * F.size(F.array_intersect("l.w", "r.w")) / F.greatest(F.size("l.w") + F.size("r.w"), F.lit(1))
+    s = F.round(0.5 * dice + 0.5 * G.iou(F.col("l.box"), F.col("r.box")), 9)
+    m = m.select(F.col("l.frame").alias("a"), F.col("r.frame").alias("b"), F.col("l.pos").alias("i"), F.col("r.pos").alias("j"), X.hamming(F.col("l.code"), F.col("r.code")).alias("d"), s.alias("s"))
+    first = lambda by, other: F.row_number().over(W.partitionBy("a", "b", by).orderBy(F.desc("s"), other)) == 1
+    m = m.withColumn("mine", first("i", "j")).withColumn("ok", first("j", "i") & F.col("mine") & (F.col("s") >= 0.3))
+    g = m.groupBy("a", "b").agg(F.greatest(F.max("i"), F.max("j")).alias("n"), F.first("d").alias("d"), F.count_if("ok").alias("matched"), F.coalesce(F.sum(F.when(F.col("ok"), F.col("s"))), F.lit(0.0)).alias("total"))
+    coverage = F.col("matched") / F.col("n")
+    score = 0.5 * F.col("total") / F.col("n") + 0.2 * coverage + 0.3 * (1 - F.coalesce("d", F.lit(63)) / 63)
+    return g.select("a", "b", "matched", F.round(coverage, 6).alias("coverage"), F.round(score, 6).alias("score"))
+
+
+@query("joi_7_frame_similarity", FRAME_SQL + " SELECT * FROM f WHERE score >= 0.35")
 def _(t):
-    """Frames that share at least five of their rare words; rare words are the block."""
-    w = t.conversations.select("conv_id", F.explode(X.tokens(F.col("text"))).alias("w")).distinct()
-    n = w.groupBy("conv_id").agg(F.count(F.lit(1)).alias("n"))
-    rare = w.groupBy("w").agg(F.count(F.lit(1)).alias("df")).where("df <= 8").select("w")
-    r = w.join(rare, "w")
-    s = r.select("w", F.col("conv_id").alias("a")).join(r.select("w", F.col("conv_id").alias("b")), "w").where("a < b").groupBy("a", "b").agg(F.count(F.lit(1)).alias("shared")).where("shared >= 5")
-    s = s.join(n.select(F.col("conv_id").alias("a"), F.col("n").alias("x")), "a").join(n.select(F.col("conv_id").alias("b"), F.col("n").alias("y")), "b")
-    return s.select("a", "b", "shared", F.round(F.col("shared") / (F.col("x") + F.col("y") - F.col("shared")), 6).alias("score"))
+    return frame_scores(t).where("score >= 0.35")
+
+
+@query("joi_15_residual_frames", FRAME_SQL + " SELECT count(*) AS checked, count(*) FILTER (score >= 0.35) AS alike, count(*) FILTER (score >= 0.3) AS looser, coalesce(sum(matched) FILTER (score >= 0.3), 0)::BIGINT AS regions FROM f")
+def _(t):
+    """The audit after dedup: frame pairs that were compared, and those that a looser threshold still finds."""
+    s = frame_scores(t)
+    return s.agg(F.count(F.lit(1)).alias("checked"), F.count_if(F.col("score") >= 0.35).alias("alike"), F.count_if(F.col("score") >= 0.3).alias("looser"), F.coalesce(F.sum(F.when(F.col("score") >= 0.3, F.col("matched"))), F.lit(0)).cast("long").alias("regions"))
 
 
 @query("joi_8_review_merge", """SELECT d.doc_id, CASE WHEN l.doc_id IS NULL THEN 'unreviewed' WHEN quality = 0 THEN 'removed' WHEN toxic = 1 THEN 'moved' ELSE 'kept' END AS state FROM documents d LEFT JOIN labels l ON l.doc_id = d.doc_id""")
@@ -320,7 +357,7 @@ def _(t):
 
 @query("gra_2_greedy_independent_set")
 def _(t):
-    return dedup.greedy_independent(t.embeddings.select(F.col("label").cast("string").alias("label"), "vec_id"), "label", "vec_id", code_pairs(t, GATE))
+    return dedup.greedy_independent(t.embeddings.select(F.col("label").cast("string").alias("label"), "vec_id"), "vec_id", code_pairs(t, GATE))
 
 
 @query("gra_3_assignment")
@@ -348,9 +385,42 @@ def _(t):
     return error_rows(t)
 
 
-@query("agg_18_region_rates", ERROR_SQL + " SELECT round(avg((kind IN ('matched', 'ambiguous'))::INT), 6) AS acceptable, round(avg((kind = 'matched')::INT), 6) AS confident, round(avg((kind = 'wrong_box')::INT), 6) AS wrong_box, (SELECT round(avg(ok::INT), 6) FROM (SELECT conv_id, bool_and(kind = 'matched') AS ok FROM e GROUP BY 1)) AS full_frames FROM e")
-def _(t):
-    e = error_rows(t)
-    frames = e.groupBy("conv_id").agg(F.count(F.lit(1)).alias("n"), *[F.count_if(F.col("kind") == k).alias(k) for k in ("matched", "ambiguous", "wrong_box")])
-    n = F.sum("n")
-    return frames.agg(F.round(F.sum(F.col("matched") + F.col("ambiguous")) / n, 6).alias("acceptable"), F.round(F.sum("matched") / n, 6).alias("confident"), F.round(F.sum("wrong_box") / n, 6).alias("wrong_box"), F.round(F.avg((F.col("matched") == F.col("n")).cast("int")), 6).alias("full_frames"))
+# Regions of a frame: the parts of an order's line items. What was generated for them: mostly the own
+# name, in each fourth frame the next region's (a wrong box), for some parts something else or nothing.
+REGION_SQL = """WITH g AS (SELECT l_orderkey AS frame, p_name AS truth, p_partkey, p_size, row_number() OVER w AS pos, lead(p_name) OVER w AS later FROM lineitem JOIN part ON p_partkey = l_partkey WINDOW w AS (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice)),
+t AS (SELECT frame, pos, list_distinct(regexp_extract_all(lower(truth), '[a-z0-9]+')) AS tw, list_distinct(regexp_extract_all(lower(gen), '[a-z0-9]+')) AS gw, gen, echo FROM (SELECT *, CASE WHEN p_partkey % 11 = 0 THEN NULL WHEN frame % 4 = 0 AND later IS NOT NULL THEN later WHEN p_partkey % 3 = 0 THEN 'no such thing' ELSE truth END AS gen, p_partkey % 5 <> 0 AS echo FROM g)),
+m AS (SELECT a.frame, a.pos AS i, b.pos AS j, round(2.0::DOUBLE * len(list_intersect(a.gw, b.tw)) / greatest(len(a.gw) + len(b.tw), 1), 9) AS s FROM t a JOIN t b ON a.frame = b.frame WHERE a.gen IS NOT NULL),
+o AS (SELECT frame, i, max(s) FILTER (i = j) AS own, coalesce(max(s) FILTER (i <> j), 0) AS other FROM m GROUP BY 1, 2),
+e AS (SELECT t.frame, pos, gen IS NOT NULL AS given, gen IS NOT NULL AND echo AS echo, coalesce(own, 0) AS own, greatest(coalesce(own, 0), coalesce(other, 0)) AS best, CASE WHEN own IS NULL THEN 'missing' WHEN own >= 0.5 AND own - other >= 0.1::DOUBLE THEN 'matched' WHEN own >= 0.5 AND own >= other THEN 'ambiguous' WHEN other >= 0.5 THEN 'wrong_box' ELSE 'mismatch' END AS kind FROM t LEFT JOIN o ON o.frame = t.frame AND o.i = t.pos)"""
+
+
+def region_outcomes(t):
+    """(frame, pos, given, echo, own, best, kind) of every region of every frame."""
+    w = W.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice")
+    g = t.lineitem.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice").join(t.part.select("p_partkey", "p_name"), F.col("l_partkey") == F.col("p_partkey"))
+    g = g.select(F.col("l_orderkey").alias("frame"), F.row_number().over(w).alias("pos"), F.col("p_name").alias("truth"), F.lead("p_name").over(w).alias("later"), "p_partkey")
+    gen = F.when(F.col("p_partkey") % 11 == 0, F.lit(None)).when((F.col("frame") % 4 == 0) & F.col("later").isNotNull(), F.col("later")).when(F.col("p_partkey") % 3 == 0, F.lit("no such thing")).otherwise(F.col("truth"))
+    g = g.select("frame", "pos", F.array_distinct(X.tokens(F.col("truth"))).alias("tw"), F.array_distinct(X.tokens(gen)).alias("gw"), gen.isNotNull().alias("given"), (gen.isNotNull() & (F.col("p_partkey") % 5 != 0)).alias("echo"))
+    dice = lambda a, b: F.round(2.0 * F.size(F.array_intersect(a, b)) / F.greatest(F.size(a) + F.size(b), F.lit(1)), 9)
+    m = assign.candidate_matrix(g.where("given").select("frame", "pos", F.col("gw").alias("value")), g.select("frame", "pos", F.col("tw").alias("value")), "frame", dice)
+    o = assign.own_and_other(m, "frame").withColumnRenamed("frame", "f")
+    e = g.select("frame", "pos", "given", "echo").join(o, (F.col("frame") == F.col("f")) & (F.col("pos") == F.col("i")), "left")
+    own, other = F.coalesce("own", F.lit(0.0)), F.coalesce("other", F.lit(0.0))
+    kind = F.when(~F.col("given"), "missing").otherwise(assign.error_type(F.col("own"), F.col("other")))
+    return e.select("frame", "pos", "given", "echo", own.alias("own"), F.greatest(own, other).alias("best"), kind.alias("kind"))
+
+
+@query("agg_18_region_rates", REGION_SQL + """, f AS (SELECT frame, count(*) AS n, bool_and(given) AS full_count, count(*) FILTER (echo) AS echo, sum(own) AS own, count(*) FILTER (best >= 0.5) AS content, count(*) FILTER (kind IN ('matched', 'ambiguous')) AS ok,
+count(*) FILTER (kind = 'matched') AS sure, count(*) FILTER (kind = 'wrong_box') AS wrong, count(*) FILTER (kind = 'mismatch') AS mism FROM e GROUP BY 1)
+SELECT n AS regions, count(*) AS frames, round(avg(full_count::INT), 6) AS count_match, round(sum(echo) / sum(n), 6) AS loc_echo, round(sum(own) / sum(n), 6) AS positional_f1, round(sum(content) / sum(n), 6) AS content_pass, round(sum(ok) / sum(n), 6) AS acceptable,
+round(sum(sure) / sum(n), 6) AS confident, round(sum(wrong) / sum(n), 6) AS wrong_box, round(sum(mism) / sum(n), 6) AS mismatch, round(avg((ok = n)::INT), 6) AS full_frames FROM f GROUP BY 1""")
+def _(t):
+    """By the number of regions in a frame: do counts and locations agree, does the text fit some region, its own, surely."""
+    kind = F.col("kind")
+    f = region_outcomes(t).groupBy("frame").agg(
+        F.count(F.lit(1)).alias("n"), F.count_if("given").alias("given"), F.count_if("echo").alias("echo"), F.sum("own").alias("own"), F.count_if(F.col("best") >= 0.5).alias("content"),
+        F.count_if(kind.isin("matched", "ambiguous")).alias("ok"), F.count_if(kind == "matched").alias("sure"), F.count_if(kind == "wrong_box").alias("wrong"), F.count_if(kind == "mismatch").alias("mism"))
+    rate = lambda c, n: F.round(F.sum(c) / F.sum("n"), 6).alias(n)
+    return f.groupBy(F.col("n").alias("regions")).agg(
+        F.count(F.lit(1)).alias("frames"), F.round(F.avg((F.col("given") == F.col("n")).cast("int")), 6).alias("count_match"), rate("echo", "loc_echo"), rate("own", "positional_f1"), rate("content", "content_pass"),
+        rate("ok", "acceptable"), rate("sure", "confident"), rate("wrong", "wrong_box"), rate("mism", "mismatch"), F.round(F.avg((F.col("ok") == F.col("n")).cast("int")), 6).alias("full_frames"))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from weftline.functions import geometry as G
 from weftline.functions import reward as R
 from weftline.functions import text as X
+from weftline.operators import metrics as M
 from weftline.plans.base import query
 
 #: A line item as a region: a box of pixels in an image of 1280 by 720.
@@ -113,8 +114,9 @@ n AS (SELECT conv_id, turn, coalesce(s, 0) AS s, len(regexp_extract_all(lower(x)
 SELECT conv_id, turn, round(CASE WHEN g > 0 THEN s / g ELSE 0 END, 6) AS p, round(CASE WHEN t > 0 THEN s / t ELSE 0 END, 6) AS r, round(CASE WHEN s > 0 THEN 2 * (s / g) * (s / t) / (s / g + s / t) ELSE 0 END, 6) AS f1 FROM n""")
 def _(t):
     rows = turns(t).select("conv_id", "turn", X.tokens(F.col("x")).alias("a"), X.tokens(F.col("y")).alias("b"))
-    p, r, f = X.precision_recall_f1(X.multiset_overlap(F.col("a"), F.col("b")).cast("double"), F.size("a"), F.size("b"))
-    return rows.select("conv_id", "turn", F.round(p, 6).alias("p"), F.round(r, 6).alias("r"), F.round(f, 6).alias("f1"))
+    got = M.token_overlap(rows, ["conv_id", "turn"], "a", "b")
+    p, r, f = X.precision_recall_f1(F.col("shared").cast("double"), F.col("n_a"), F.col("n_b"))
+    return got.select("conv_id", "turn", F.round(p, 6).alias("p"), F.round(r, 6).alias("r"), F.round(f, 6).alias("f1"))
 
 
 @query("str_3_rouge_l")
@@ -171,10 +173,28 @@ def _(t):
     return parts.select("p_partkey", "pos", "r.description", F.array_join(F.transform("r.loc", lambda x: x.cast("string")), ",").alias("loc"), "r.raw")
 
 
-@query("str_10_attribute_words", "SELECT doc_id, regexp_matches(lower(text), '\\b(the|of) \\w+') AS held, regexp_matches(lower(text), '\\bin the\\b') AS inside FROM documents WHERE lang = 'en'".replace("\\\\", "\\"))
+#: Sentences with the traps, around the first word of a part's name.
+PHRASES = (
+    "A woman in a {} dress, standing", "A man holding a {} jacket and wearing boots", "Someone wearing a {} backpack by a {} wall", "A person carrying the {} umbrella, {} background",
+    "Long curly black hair, bald spot, {} shirt", "A {} handbag", "A girl with a {} bag, sunglasses and a grey skirt, walking", "nothing {} here",
+)
+_WORDS = {k: v for k, v in X.LEXICON.items()}
+_HELD = r"\b(?:holding|carrying)\s+" + X.THING + "(?:" + X.CARRIED + r")\b"
+STR10_SQL = (
+    "WITH s AS (SELECT p_partkey, lower(replace(CASE p_partkey % 8 " + " ".join(f"WHEN {i} THEN '{p}'" for i, p in enumerate(PHRASES)) + " END, '{}', split_part(p_name, ' ', 1))) AS t FROM part), "
+    r"p AS (SELECT p_partkey, regexp_replace(t, '\b[a-z]+\s+(?:background|wall)\b', ' ', 'g') AS plain FROM s), "
+    "w AS (SELECT p_partkey, plain, regexp_replace(plain, '" + _HELD + "', ' ', 'g') AS worn FROM p) SELECT p_partkey, "
+    + ", ".join(f"regexp_matches({'plain' if k in ('colour', 'pose') else 'worn'}, '\\b(?:{v})\\b') AS {k}" for k, v in _WORDS.items())
+    + f", regexp_matches(plain, '{_HELD}') AS held, regexp_matches(worn, '" + r"\b(?:wearing|with)\s+" + X.THING + r"(?:bag|handbag|backpack)\b" + "') AS carried FROM w"
+)
+
+
+@query("str_10_attribute_words", STR10_SQL)
 def _(t):
-    low = F.lower("text")
-    return t.documents.where("lang = 'en'").select("doc_id", low.rlike(r"\b(the|of) \w+").alias("held"), low.rlike(r"\bin the\b").alias("inside"))
+    phrase = F.element_at(F.array(*[F.lit(p) for p in PHRASES]), (F.col("p_partkey") % 8 + 1).cast("int"))
+    text = F.replace(phrase, F.lit("{}"), F.split_part("p_name", F.lit(" "), F.lit(1)))
+    rows = t.part.select("p_partkey", text.alias("text"))
+    return rows.select("p_partkey", *[c.alias(k) for k, c in X.attributes(F.col("text")).items()])
 
 
 @query("str_11_snap_score", "SELECT event_id, coalesce(least(greatest(floor(try_cast(raw AS DOUBLE) * 4 + 0.5) / 4, 0.0), 1.0), 0.0)::DOUBLE AS s FROM (SELECT event_id, CASE WHEN event_id % 7 = 0 THEN 'n/a' ELSE (value / 100)::VARCHAR END AS raw FROM events)")
@@ -183,10 +203,11 @@ def _(t):
     return t.events.select("event_id", X.snap_score(raw).alias("s"))
 
 
-@query("str_12_closed_vocabulary", "SELECT p_partkey, CASE WHEN split_part(p_name, ' ', 1) IN ('red', 'blue', 'green', 'black', 'white') THEN split_part(p_name, ' ', 1) ELSE 'unknown' END AS colour FROM part")
+@query("str_12_closed_vocabulary", r"""SELECT p_partkey, CASE WHEN c = '' THEN 'unknown' ELSE coalesce(c, 'unknown') END AS colour
+FROM (SELECT p_partkey, regexp_extract(regexp_replace(lower(CASE WHEN p_partkey % 5 = 0 THEN 'Light Grey ' ELSE p_type || ' ' END || p_name), '\bgrey\b', 'gray', 'g'), '\b(black|white|gray|red|yellow|green|blue|purple|pink|orange|brown)\b', 1) AS c FROM part)""".replace("\\\\", "\\"))
 def _(t):
-    first = F.split_part("p_name", F.lit(" "), F.lit(1))
-    return t.part.select("p_partkey", F.when(first.isin("red", "blue", "green", "black", "white"), first).otherwise("unknown").alias("colour"))
+    text = F.concat(F.when(F.col("p_partkey") % 5 == 0, "Light Grey ").otherwise(F.concat("p_type", F.lit(" "))), "p_name")
+    return t.part.select("p_partkey", X.closed_colour(text).alias("colour"))
 
 
 @query("str_13_cache_key", "SELECT p_partkey, sha256(p_type || chr(1) || p_name || chr(1) || p_brand) AS k FROM part")

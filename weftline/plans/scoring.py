@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from weftline.functions import geometry as G
 from weftline.functions import text as X
 from weftline.operators import metrics as M
 from weftline.plans.base import query
-from weftline.plans.scalars import DICE_SQL
+from weftline.plans.scalars import DICE_SQL, TURNS_SQL, turns
 
 # Parts as samples: the next part's values stand for what was generated; some values mean "absent".
 PAIRS_SQL = """f AS (SELECT p_partkey, p_brand AS session, 'name' AS field, CASE WHEN p_size % 9 = 0 THEN 'unknown' ELSE p_name END AS v FROM part
@@ -112,6 +113,17 @@ def _(t):
     return M.kappa(conf(t))
 
 
+@query("agg_14_per_image", """WITH k AS (SELECT l_orderkey AS image, l_returnflag || l_linestatus AS truth, CASE WHEN l_quantity > 10 THEN l_returnflag ELSE 'N' END || CASE WHEN l_discount > 0.02 THEN l_linestatus ELSE 'O' END AS pred, count(*) AS n FROM lineitem GROUP BY 1, 2, 3),
+x AS (SELECT image, truth AS cls, CASE WHEN truth = pred THEN n ELSE 0 END AS tp, n AS u FROM k UNION ALL SELECT image, pred, 0, n FROM k WHERE truth <> pred),
+y AS (SELECT image, cls, sum(tp) / sum(u) AS iou FROM x GROUP BY 1, 2), m AS (SELECT image, round(avg(iou), 6) AS miou FROM y GROUP BY 1)
+SELECT image, miou, accuracy FROM m JOIN (SELECT image, round(coalesce(sum(n) FILTER (truth = pred), 0) / sum(n), 6) AS accuracy FROM k GROUP BY 1) USING (image)""")
+def _(t):
+    """An order as an image, its line items as pixels."""
+    pred = F.concat(F.when(F.col("l_quantity") > 10, F.col("l_returnflag")).otherwise("N"), F.when(F.col("l_discount") > 0.02, F.col("l_linestatus")).otherwise("O"))
+    conf = t.lineitem.groupBy(F.col("l_orderkey").alias("image"), F.concat("l_returnflag", "l_linestatus").alias("truth"), pred.alias("pred")).agg(F.count(F.lit(1)).alias("n"))
+    return M.image_metrics(conf, "image")
+
+
 PURITY_SQL = "c AS (SELECT l_orderkey AS roi, l_returnflag || l_linestatus AS colour, sum(l_quantity) AS px FROM lineitem GROUP BY 1, 2), q AS (SELECT roi, px, px / sum(px) OVER (PARTITION BY roi) AS ratio, sum(px) OVER (PARTITION BY roi) AS total, row_number() OVER (PARTITION BY roi ORDER BY px DESC, colour) AS rk FROM c), u AS (SELECT roi, any_value(total) AS px, max(ratio) FILTER (rk = 1) AS main, coalesce(max(ratio) FILTER (rk = 2), 0) AS second, coalesce(sum(ratio) FILTER (rk > 1), 0) AS minor, count(*) FILTER (ratio >= 0.05) AS effective FROM q GROUP BY 1)"
 
 
@@ -147,16 +159,59 @@ def histogram(t):
     return t.lineitem.groupBy(F.floor(F.col("l_discount") * 100).alias("a"), F.floor(F.col("l_tax") * 100).alias("b")).agg(F.count(F.lit(1)).alias("n"))
 
 
-def neighbourhood(h):
-    """Every bin beside its eight neighbours and itself: nine shifted copies, one aggregate, no theta join."""
-    shift = F.array(*[F.struct(F.lit(x).alias("x"), F.lit(y).alias("y")) for x in (-1, 0, 1) for y in (-1, 0, 1)])
-    spread = h.select("a", "b", "n", F.explode(shift).alias("s")).select((F.col("a") + F.col("s.x")).alias("a"), (F.col("b") + F.col("s.y")).alias("b"), "n", (F.abs("s.x") + F.abs("s.y")).alias("d"))
-    return spread.groupBy("a", "b").agg(F.sum(F.col("n") * F.when(F.col("d") == 0, 4).when(F.col("d") == 1, 2).otherwise(1)).alias("smooth"), F.max(F.when(F.col("d") > 0, F.col("n"))).alias("around"), F.max(F.when(F.col("d") == 0, F.col("n"))).alias("own"))
+LAB_SQL = """p AS (SELECT l_suppkey % 20 AS roi, l_quantity * 5 AS r, l_discount * 2550 AS g, l_tax * 3100 AS b FROM lineitem),
+l AS (SELECT roi, list_transform([r, g, b], lambda c: CASE WHEN least(greatest(c, 0), 255) / 255 <= 0.04045 THEN least(greatest(c, 0), 255) / 255 / 12.92 ELSE pow((least(greatest(c, 0), 255) / 255 + 0.055::DOUBLE) / 1.055::DOUBLE, 2.4::DOUBLE) END) AS c FROM p),
+x AS (SELECT roi, list_transform([(c[1] * 0.4124564::DOUBLE + c[2] * 0.3575761::DOUBLE + c[3] * 0.1804375::DOUBLE) / 0.95047::DOUBLE, c[1] * 0.2126729::DOUBLE + c[2] * 0.7151522::DOUBLE + c[3] * 0.0721750::DOUBLE, (c[1] * 0.0193339::DOUBLE + c[2] * 0.1191920::DOUBLE + c[3] * 0.9503041::DOUBLE) / 1.08883::DOUBLE],
+  lambda t: CASE WHEN t > 216.0::DOUBLE / 24389.0::DOUBLE THEN pow(t, 1.0::DOUBLE / 3.0::DOUBLE) ELSE (t * (24389.0::DOUBLE / 27.0::DOUBLE) + 16) / 116 END) AS f FROM l),
+h AS (SELECT roi, least(greatest(floor((round(500 * (f[1] - f[2]), 9) + 128) * 0.5), 0), 127)::BIGINT AS a, least(greatest(floor((round(200 * (f[2] - f[3]), 9) + 128) * 0.5), 0), 127)::BIGINT AS b, count(*) AS n FROM x GROUP BY 1, 2, 3)"""
+PEAK_SQL = LAB_SQL + """, d AS (SELECT * FROM range(-1, 2) i(da), range(-1, 2) j(db)), s AS (SELECT roi, a + da AS a, b + db AS b, sum(n * CASE abs(da) + abs(db) WHEN 0 THEN 4 WHEN 1 THEN 2 ELSE 1 END)::BIGINT AS s FROM h, d GROUP BY 1, 2, 3),
+top AS (SELECT x.roi, x.a, x.b, x.s FROM s x WHERE NOT EXISTS (SELECT 1 FROM s y WHERE y.roi = x.roi AND abs(y.a - x.a) <= 1 AND abs(y.b - x.b) <= 1 AND (y.s > x.s OR (y.s = x.s AND (y.a, y.b) < (x.a, x.b))))),
+peaks AS (SELECT x.* FROM top x WHERE NOT EXISTS (SELECT 1 FROM top y WHERE y.roi = x.roi AND abs(y.a - x.a) <= 4 AND abs(y.b - x.b) <= 4 AND (y.s > x.s OR (y.s = x.s AND (y.a, y.b) < (x.a, x.b)))))"""
+#: Reach of smoothing and of the merge of near peaks, in bins.
+NEAR_BINS, MERGE_BINS = 1, 4
+
+
+def lab_histogram(t):
+    """Line items as pixels of a region (20 of them), in bins of the a*b* plane."""
+    lab = G.lab(F.col("l_quantity") * 5, F.col("l_discount") * 2550, F.col("l_tax") * 3100)
+    return t.lineitem.groupBy((F.col("l_suppkey") % 20).alias("roi"), G.ab_bin(lab[1]).alias("a"), G.ab_bin(lab[2]).alias("b")).agg(F.count(F.lit(1)).alias("n"))
+
+
+def square(reach: int):
+    return F.array(*[F.struct(F.lit(x).alias("x"), F.lit(y).alias("y")) for x in range(-reach, reach + 1) for y in range(-reach, reach + 1)])
+
+
+def highest(bins, reach: int):
+    """Bins that no bin within ``reach`` outweighs (ties: the smaller bin): shifted copies and an aggregate, no theta join."""
+    key = F.struct(F.col("s").alias("s"), (-F.col("a")).alias("na"), (-F.col("b")).alias("nb"))
+    spread = bins.select("roi", "a", "b", key.alias("key"), F.explode(square(reach)).alias("d"))
+    best = spread.groupBy("roi", (F.col("a") + F.col("d.x")).alias("a"), (F.col("b") + F.col("d.y")).alias("b")).agg(F.max("key").alias("best"))
+    return bins.join(best, ["roi", "a", "b"]).where((F.col("best.na") == -F.col("a")) & (F.col("best.nb") == -F.col("b"))).select("roi", "a", "b", "s")
+
 
+def lab_peaks(t):
+    """Smoothed bins, their local peaks, and of near peaks the highest."""
+    spread = lab_histogram(t).select("roi", "a", "b", "n", F.explode(square(NEAR_BINS)).alias("d"))
+    weight = F.element_at(F.array(F.lit(4), F.lit(2), F.lit(1)), F.abs("d.x") + F.abs("d.y") + 1)
+    smooth = spread.groupBy("roi", (F.col("a") + F.col("d.x")).alias("a"), (F.col("b") + F.col("d.y")).alias("b")).agg(F.sum(F.col("n") * weight).cast("long").alias("s"))
+    return highest(highest(smooth, NEAR_BINS), MERGE_BINS)
 
-@query("prj_13_histogram_peaks", f"WITH {HIST_SQL}, p AS (SELECT x.a, x.b, x.n AS own, max(y.n) FILTER (y.a <> x.a OR y.b <> x.b) AS around, sum(y.n * CASE abs(x.a - y.a) + abs(x.b - y.b) WHEN 0 THEN 4 WHEN 1 THEN 2 ELSE 1 END) AS smooth FROM h x JOIN h y ON abs(x.a - y.a) <= 1 AND abs(x.b - y.b) <= 1 GROUP BY 1, 2, 3) SELECT a, b, own, smooth::BIGINT AS smooth FROM p WHERE own > coalesce(around, 0)")
+
+@query("prj_13_histogram_peaks", f"WITH {PEAK_SQL} SELECT roi, a, b, s FROM peaks")
 def _(t):
-    return neighbourhood(histogram(t)).where(F.col("own") > F.coalesce("around", F.lit(0))).select("a", "b", "own", "smooth")
+    return lab_peaks(t)
+
+
+@query("prj_13_purity", f"""WITH {PEAK_SQL}, m AS (SELECT roi, arg_max({{'a': a, 'b': b}}, (s, -a, -b)) AS p, count(*) AS peaks FROM peaks GROUP BY 1)
+SELECT h.roi, any_value(peaks) AS peaks, round(sum(n) FILTER (abs(a - p.a) <= 4 AND abs(b - p.b) <= 4) / sum(n), 6) AS purity, (any_value(peaks) <= 1 OR sum(n) FILTER (abs(a - p.a) <= 4 AND abs(b - p.b) <= 4) / sum(n) > 0.85) AS pure FROM h JOIN m ON m.roi = h.roi GROUP BY 1""")
+def _(t):
+    """Purity: the share of pixels within reach of the highest peak; pure if there is one peak or it holds most."""
+    key = F.struct("s", (-F.col("a")).alias("na"), (-F.col("b")).alias("nb"))
+    main = lab_peaks(t).groupBy(F.col("roi").alias("r")).agg(F.max(key).alias("p"), F.count(F.lit(1)).alias("peaks"))
+    j = lab_histogram(t).join(main, F.col("roi") == F.col("r"))
+    mine = (F.abs(F.col("a") + F.col("p.na")) <= MERGE_BINS) & (F.abs(F.col("b") + F.col("p.nb")) <= MERGE_BINS)
+    g = j.groupBy("roi").agg(F.first("peaks").alias("peaks"), (F.sum(F.when(mine, F.col("n"))) / F.sum("n")).alias("u"))
+    return g.select("roi", "peaks", F.round("u", 6).alias("purity"), ((F.col("peaks") <= 1) | (F.col("u") > 0.85)).alias("pure"))
 
 
 @query("prj_14_shadow_merge", f"WITH {HIST_SQL} SELECT CASE WHEN a <= 1 THEN 'neutral' ELSE 'chromatic' END AS kind, CASE WHEN a <= 1 THEN b ELSE a // 3 END AS cluster, sum(n)::BIGINT AS n FROM h GROUP BY 1, 2")
@@ -188,9 +243,35 @@ def _(t):
     return t.documents.groupBy("lang").agg(rate(F.lower("text").rlike(r"\bthe\b"), "the"), rate(F.lower("text").rlike(r"\bde\b"), "de"), rate(F.col("text").rlike("[0-9]"), "digits"))
 
 
-@query("agg_20_text_quality", "SELECT role, count(*) AS n, round(avg(length(text)), 6) AS chars, round(avg(len(regexp_extract_all(lower(text), '[a-z0-9]+'))), 6) AS tokens FROM conversations GROUP BY 1")
+@query("agg_20_text_quality", f"""WITH p AS (SELECT q.*, role FROM ({TURNS_SQL}) q JOIN conversations USING (conv_id, turn)), a AS (SELECT conv_id, turn, w, count(*) AS n FROM (SELECT conv_id, turn, unnest(regexp_extract_all(lower(x), '[a-z0-9]+')) AS w FROM p) GROUP BY 1, 2, 3),
+b AS (SELECT conv_id, turn, w, count(*) AS n FROM (SELECT conv_id, turn, unnest(regexp_extract_all(lower(y), '[a-z0-9]+')) AS w FROM p) GROUP BY 1, 2, 3),
+s AS (SELECT conv_id, turn, sum(least(a.n, b.n)) AS s FROM a JOIN b USING (conv_id, turn, w) GROUP BY 1, 2),
+n AS (SELECT role, length(x) AS cx, length(y) AS cy, coalesce(s, 0) AS s, len(regexp_extract_all(lower(x), '[a-z0-9]+')) AS g, len(regexp_extract_all(lower(y), '[a-z0-9]+')) AS t FROM p LEFT JOIN s USING (conv_id, turn))
+SELECT role, count(*) AS n, round(avg(CASE WHEN g > 0 THEN s / g ELSE 0 END), 6) AS p, round(avg(CASE WHEN t > 0 THEN s / t ELSE 0 END), 6) AS r, round(avg(CASE WHEN s > 0 THEN 2 * (s / g) * (s / t) / (s / g + s / t) ELSE 0 END), 6) AS f1,
+round(avg(cx), 6) AS chars, round(avg(cy), 6) AS ref_chars, round(avg(g), 6) AS tokens, round(avg(t), 6) AS ref_tokens FROM n GROUP BY 1""")
+def _(t):
+    """A turn as the generated text, the next one as its reference; means by the role of the turn."""
+    rows = turns(t).select("conv_id", "turn", F.length("x").alias("cx"), F.length("y").alias("cy"), X.tokens(F.col("x")).alias("a"), X.tokens(F.col("y")).alias("b"))
+    p, r, f = X.precision_recall_f1(F.col("shared").cast("double"), F.col("n_a"), F.col("n_b"))
+    got = M.token_overlap(rows, ["conv_id", "turn"], "a", "b").select("conv_id", "turn", p.alias("p"), r.alias("r"), f.alias("f1"), "n_a", "n_b")
+    j = got.join(rows.select("conv_id", "turn", "cx", "cy"), ["conv_id", "turn"]).join(t.conversations.select("conv_id", "turn", "role"), ["conv_id", "turn"])
+    mean = lambda c, n: F.round(F.avg(c), 6).alias(n)
+    return j.groupBy("role").agg(F.count(F.lit(1)).alias("n"), mean("p", "p"), mean("r", "r"), mean("f1", "f1"), mean("cx", "chars"), mean("cy", "ref_chars"), mean("n_a", "tokens"), mean("n_b", "ref_tokens"))
+
+
+@query("agg_20_sequence_quality")
+def _(t):
+    """The two means that SQL lacks: ROUGE-L of tokens and similarity of characters."""
+    rows = turns(t).select("conv_id", "turn", X.rouge_l(X.tokens(F.col("x")), X.tokens(F.col("y"))).alias("l"), X.char_similarity(F.col("x"), F.col("y")).alias("c"))
+    j = rows.join(t.conversations.select("conv_id", "turn", "role"), ["conv_id", "turn"])
+    return j.groupBy("role").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("l"), 6).alias("rouge_l"), F.round(F.avg("c"), 6).alias("char_similarity"))
+
+
+@query("run_6_rescore", f"WITH {PAIRS_SQL}, e AS (SELECT session, CASE WHEN t IS NOT NULL AND g IS NOT NULL THEN exact ELSE 0 END AS tp, CASE WHEN t IS NOT NULL AND g IS NOT NULL THEN 1 - exact ELSE 0 END AS fp, CASE WHEN t IS NOT NULL AND g IS NOT NULL THEN 1 - exact WHEN t IS NOT NULL THEN 1 ELSE 0 END AS fn, n_fab, n_gen FROM o) SELECT session, 'dice' AS scorer, coalesce({MICRO_SQL.replace(' AS p,', ', 0) AS p, coalesce(').replace(' AS r,', ', 0) AS r, coalesce(').replace(' AS f1,', ', 0) AS f1,')} FROM o GROUP BY 1 UNION ALL SELECT session, 'exact', coalesce({MICRO_SQL.replace(' AS p,', ', 0) AS p, coalesce(').replace(' AS r,', ', 0) AS r, coalesce(').replace(' AS f1,', ', 0) AS f1,')} FROM e GROUP BY 1")
 def _(t):
-    return t.conversations.groupBy("role").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg(F.length("text")), 6).alias("chars"), F.round(F.avg(X.token_count(F.col("text"))), 6).alias("tokens"))
+    """Stored predictions under two scorers: scoring is a function of two tables, no model runs again."""
+    stored = attribute_pairs(t)
+    return M.rescore(stored, ["session"], {"dice": X.token_dice, "exact": lambda a, b: (a == b).cast("double")})
 
 
 BOOT_SQL = """st AS (SELECT o_custkey % 40 AS cluster, sum((o_orderstatus = 'O')::INT)::DOUBLE AS a, sum((o_orderstatus = 'F')::INT)::DOUBLE AS b FROM orders GROUP BY 1), n AS (SELECT sum(a) + sum(b) AS z, (sum(a) - sum(b)) / (sum(a) + sum(b)) AS point FROM st),
