@@ -168,6 +168,71 @@ def test_language_of_texts_without_spaces(spark):
     assert 0 <= model.predict([make("x", 100_000)])[0][1] <= 1
 
 
+def brute_language_model(docs, pieces):
+    """Two EM rounds over all segmentations, word by word and language by language, with dictionaries."""
+    words = {}
+    for text, lang in docs:
+        for w in re.findall(r"[^\W\d_]+", text.lower()):
+            words.setdefault(lang, Counter())[w] += 1
+    langs = sorted(words)
+    pieces = sorted(set(pieces) | {c for own in words.values() for w in own for c in w})
+    longest = max(map(len, pieces))
+    p = {g: {**{s: 0.02 ** min(len(s), 4) for s in pieces}, None: 0.02} for g in langs}
+
+    def edges(w, j, q):
+        for m in range(1, min(longest, j) + 1):
+            s = w[j - m : j]
+            if s in q:
+                yield j - m, s
+            elif m == 1:
+                yield j - 1, None
+
+    for _ in range(langid.ROUNDS):
+        for g in langs:
+            found = dict.fromkeys(p[g], 0.0)
+            for w, n in words[g].items():
+                a, b = [1.0] + [0.0] * len(w), [0.0] * len(w) + [1.0]
+                for j in range(1, len(w) + 1):
+                    a[j] = sum(a[i] * p[g][s] for i, s in edges(w, j, p[g]))
+                for j in range(len(w), 0, -1):
+                    for i, s in edges(w, j, p[g]):
+                        b[i] += b[j] * p[g][s]
+                        found[s] += n * a[i] * p[g][s] * b[j] / a[-1]
+            total = sum(found.values()) + 0.01 * len(found)
+            p[g] = {s: (x + 0.01) / total for s, x in found.items()}
+            p[g][None] = langid.UNKNOWN
+
+    def score(text):
+        logs = []
+        for g in langs:
+            out = 0.0
+            for w in re.findall(r"[^\W\d_]+", text.lower()):
+                a = [1.0] + [0.0] * len(w)
+                for j in range(1, len(w) + 1):
+                    a[j] = sum(a[i] * p[g][s] for i, s in edges(w, j, p[g]))
+                out += np.log(a[-1])
+            logs.append(out)
+        e = np.exp(np.array(logs) - max(logs))
+        return langs[int(np.argmax(e))], float(e.max() / e.sum())
+
+    return langs, pieces, p, score
+
+
+def test_language_model_against_brute_force(spark):
+    """The whole operator, fit and prediction, against dictionaries."""
+    rows = [(r["doc_id"], r["text"][:400], r["lang"]) for r in spark.read.parquet(f"{SF}/documents.parquet").where("lang is not null and text is not null").orderBy("doc_id").limit(24).collect()]
+    rows[0] = (rows[0][0], "Donaudampfschifffahrtsgesellschaftskapitaenswitwe \u0153\u0111 x1y2", rows[0][2])
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = langid.fit(docs, RANKS)
+    langs, pieces, p, score = brute_language_model([(t, g) for _, t, g in rows], langid.public_pieces(RANKS))
+    assert model.langs == langs
+    want = np.array([[p[g][s] for g in langs] for s in [*pieces, None]])
+    assert np.allclose(model.p, want, rtol=1e-9, atol=0)
+    for r in langid.predict(docs, model, ["doc_id", "text"]).collect():
+        lang, share = score(r["text"])
+        assert r["lang_pred"] == lang and r["score"] == pytest.approx(share, abs=1e-9)
+
+
 # -- 3 nearest neighbours ------------------------------------------------------------------------
 
 
@@ -282,6 +347,51 @@ def test_dual_descent_separates():
     assert all((model.margin(x) > 0) == (t > 0) for x, t in zip(rows, y, strict=True))
 
 
+def test_dual_descent_against_a_dense_solver():
+    """Log-count ratios by counting, and the hinge-loss optimum by projected gradient on the dense dual."""
+    rng = np.random.default_rng(6)
+    rows = [np.unique(np.r_[rng.integers(0, 60, 12), rng.integers(60, 80, 3) if i % 3 else rng.integers(70, 90, 3)]).astype(np.int32) for i in range(90)]
+    y = np.where(np.arange(90) % 3 > 0, 1.0, -1.0)
+    r = quality.log_count_ratio(rows, y)
+    pos, neg = Counter(x for v, t in zip(rows, y, strict=True) if t > 0 for x in v.tolist()), Counter(x for v, t in zip(rows, y, strict=True) if t < 0 for x in v.tolist())
+    n, m = sum(pos.values()) + (1 << quality.BITS), sum(neg.values()) + (1 << quality.BITS)
+    assert all(r[k] == pytest.approx(np.log((pos[k] + 1) / n) - np.log((neg[k] + 1) / m)) for k in range(100))
+    x = np.zeros((90, 101))
+    for i, v in enumerate(rows):
+        x[i, v], x[i, 100] = r[v], 1.0
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    cost = np.where(y > 0, 90 / (2 * (y > 0).sum()), 90 / (2 * (y < 0).sum()))
+    q = (x @ x.T) * y[:, None] * y[None, :]
+    a, step = np.zeros(90), 1 / np.linalg.eigvalsh(q)[-1]
+    for _ in range(20_000):
+        a = np.clip(a - step * (q @ a - 1), 0, cost)
+    best = a.sum() - a @ q @ a / 2
+    w, b = quality.dual_descent(rows, y, r)
+    own = np.r_[w[:100], b]
+    primal = own @ own / 2 + (cost * np.maximum(0, 1 - y * (x @ own))).sum()
+    assert best <= primal <= 1.02 * best
+    assert np.mean((x @ own > 0) == (x @ (x.T @ (a * y)) > 0)) > 0.98
+    model = quality.Model(r, w, b, 2.0, -0.5)
+    for i, v in enumerate(rows):
+        assert model.margin(v) == pytest.approx(x[i] @ own, abs=1e-5)
+    text = "Some words, some 12 numbers!"
+    assert model.score(text) == pytest.approx(1 / (1 + np.exp(-(2.0 * model.margin(quality.features(text, quality._Codes())) - 0.5))))
+
+
+def test_kept_columns_named_like_results_come_back(spark):
+    docs = spark.createDataFrame([(1, "some text of a kind", "en", "mine")], "doc_id long, text string, lang string, score string")
+    docs = docs.selectExpr("*", "score as predicted", "score as lang_pred", "score as n_tokens", "score as k_0")
+    keep = ["doc_id", "score", "predicted", "lang_pred", "n_tokens", "k_0"]
+    own = {"doc_id": 1, "score": "mine", "predicted": "mine", "lang_pred": "mine", "n_tokens": "mine", "k_0": "mine"}
+    for got, results in (
+        (quality.score(docs, None, keep), {"score", "predicted"}),
+        (langid.predict(docs, langid.fit(docs, RANKS), keep), {"score", "lang_pred"}),
+        (bpe.encode(docs, RANKS, public_tokenizers.PATTERN, keep), {"n_tokens"}),
+    ):
+        r = got.first().asDict()
+        assert {c: r[f"{c}_in" if c in results else c] for c in keep} == own and not any(r[c] == "mine" for c in results)
+
+
 def test_quality_odd_rows(spark, odd, empty):
     labels = spark.createDataFrame([(2, 0), (2, 1), (4, 1), (None, 1), (9, None)], "doc_id long, quality int")
     model = quality.fit(odd, labels)
