@@ -54,13 +54,6 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def bounded_batches(spark: SparkSession, rows: int = 512) -> None:
-    """Bound what one Arrow batch holds, so that long texts do not meet in one batch."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(spark.conf.get(key)) <= rows:
-        spark.conf.set(key, str(rows))
-
-
 def in_parts(texts: list[str | None], chars: int = 4_000_000) -> Iterator[slice]:
     """Slices of a batch (which Spark bounds in bytes) of so many characters, for work that holds more than its texts."""
     start = held = 0
