@@ -287,6 +287,29 @@ def test_nearest_repeated_rows_take_their_places(spark, tight):
         assert [f[:2] for f in found] == [w[:2] for w in want]
 
 
+def test_probes_meet_every_code_within_the_radius():
+    rng = np.random.default_rng(16)
+    codes = rng.integers(0, 256, (3000, 8), dtype=np.uint8)
+    codes[:200] = codes[0] ^ np.where(rng.random((200, 8)) < 0.3, 1 << rng.integers(0, 8, (200, 8)), 0).astype(np.uint8)
+    for radius in (0, 1, 5, 8, 13, 22, 30, 64):
+        assert sum(r + 1 for r in ann.reaches(radius, 8)) == radius + 1
+        for k, rows, n in ann.probe(codes[:5], codes, radius):
+            d = ann.POPCOUNT[codes ^ codes[k]].sum(axis=1)
+            assert rows.tolist() == np.flatnonzero(d <= radius).tolist() and len(rows) <= n
+
+
+def test_probes_are_few_where_vectors_have_structure():
+    rng = np.random.default_rng(17)
+    centres = rng.standard_normal((400, 64))
+    x = centres[rng.integers(0, 400, 8000)] + 0.25 * rng.standard_normal((8000, 64))
+    index = ann.Index(x, 10)
+    codes, hit, share = index.encode(x), 0, 0
+    for k, rows, n in ann.probe(codes[:100], codes, index.radius):
+        near = np.argsort(((x - x[k]) ** 2).sum(axis=1))[1:11]
+        hit, share = hit + len(set(near.tolist()) & set(rows.tolist())), share + n / len(x)
+    assert hit >= 900 and share < 33
+
+
 def test_nearest_by_length(spark):
     rng = np.random.default_rng(15)
     rows = [(i, rng.standard_normal(3 if i % 2 else 4).tolist()) for i in range(40)] + [(101, [1.0] * 7)]

@@ -56,33 +56,42 @@ class Index:
 POPCOUNT = np.array([bin(i).count("1") for i in range(256)], np.uint8)
 
 
-def probe(queries: np.ndarray, codes: np.ndarray, radius: int) -> Iterator[tuple[int, np.ndarray]]:
-    """(query, rows whose code lies within the radius), by substring tables and the pigeonhole rule.
+def reaches(radius: int, substrings: int) -> list[int]:
+    """How far each substring is probed, -1 for not at all.
 
-    Each substring has a table from its 256 values to rows. A code within the radius agrees with
-    the query in some substring up to radius // substrings bits, so the union of the probed rows
-    holds every such code; whole codes decide. Probes are kept by substring and value.
+    If a code differs from the query by more than its reach in every substring, it differs by at
+    least sum(reach + 1) = radius + 1 bits: so every code within the radius is met, and no smaller
+    reaches would do.
+    """
+    return [(radius + 1) // substrings - 1 + (j < (radius + 1) % substrings) for j in range(substrings)]
+
+
+def probe(queries: np.ndarray, codes: np.ndarray, radius: int) -> Iterator[tuple[int, np.ndarray, int]]:
+    """(query, rows whose code lies within the radius, rows that were probed).
+
+    Each substring has a table from its 256 values to rows. By the pigeonhole rule the union of the
+    rows that are probed holds every code within the radius; whole codes decide. Probes are kept by
+    substring and value.
     """
-    m = codes.shape[1]
-    near = radius // m
-    ball = [np.flatnonzero(POPCOUNT[np.arange(256) ^ v] <= near) for v in range(256)]
     tables = []
-    for j in range(m):
+    for j, near in enumerate(reaches(radius, codes.shape[1])):
         order = np.argsort(codes[:, j], kind="stable")
-        starts = np.searchsorted(codes[order, j], np.arange(257))
-        tables.append((order, starts))
+        tables.append((near, order, np.searchsorted(codes[order, j], np.arange(257))))
+    values = np.arange(256)
     probed: dict[tuple[int, int], np.ndarray] = {}
     for k, q in enumerate(queries):
         hit = np.zeros(len(codes), bool)
         for j, v in enumerate(q.tolist()):
+            near, order, starts = tables[j]
+            if near < 0:
+                continue
             rows = probed.get((j, v))
             if rows is None:
-                order, starts = tables[j]
-                rows = np.concatenate([order[starts[s] : starts[s + 1]] for s in ball[v]])
+                rows = np.concatenate([order[starts[s] : starts[s + 1]] for s in np.flatnonzero(POPCOUNT[values ^ v] <= near)])
                 probed[j, v] = rows
             hit[rows] = True
         rows = np.flatnonzero(hit)
-        yield k, rows[POPCOUNT[codes[rows] ^ q].sum(axis=1) <= radius]
+        yield k, rows[POPCOUNT[codes[rows] ^ q].sum(axis=1) <= radius], len(rows)
 
 
 def nearest(rows: DataFrame, k: int = 10, every: int = 100, id_col: str = "vec_id", vector: str = "embedding", target: float = TARGET) -> DataFrame:
@@ -154,7 +163,7 @@ def _search(base: DataFrame, k: int, every: int, target: float, blocks: int, num
 
             for batch in batches:
                 x, own = np.stack(batch["v"].to_list()), batch["id"].to_numpy()
-                for a, cand in probe(q_codes, idx.encode(x), idx.radius):
+                for a, cand, _ in probe(q_codes, idx.encode(x), idx.radius):
                     keep(best_d, best_i, a, x[cand], own[cand])
                     # few rows within the radius so far: those outside it too, so that k are found in the end
                     if not np.isfinite(best_d[a, -1]):
