@@ -558,6 +558,10 @@ def test_html_template_texts_are_told_by_alignment(spark):
     stories = ["\n\n".join(f"Story {i} part {k} goes on and on" for k in range(1 + i % 3)) for i in range(9)]
     texts, wrapped = extracted(spark, bodies)
     assert texts == stories and all(wrapped)
+    # furniture beside them, and inside the article a text that every page has, another that some have
+    pages = ["<nav>Menu</nav><article>" + b.replace("</div>", "</div><p>Read on</p>" if i % 2 else "</div>", 1) + "</article><footer>End</footer>" for i, b in enumerate(bodies)]
+    texts, wrapped = extracted(spark, pages)
+    assert texts == [f"Read on\n\n{s}" if i % 2 else s for i, s in enumerate(stories)] and all(wrapped)
     alone, _ = extracted(spark, bodies, "http://h{}.org/")  # hosts of one page: no template is known
     assert alone == [f"We are open on all days\n\n{s}\n\nAll rights reserved" for s in stories]
     # a common value in a slot is data: the place decides, not how often a text occurs
@@ -599,12 +603,15 @@ def test_wrapper_alignment():
     w = wrappers.infer([a, b])
     assert ["?", ["<h", "#", ">h"]] in w and ["+", ["<p", "#", ">p"]] in w
     for page in (a, b, "<h # >h <p # >p <p # >p <f >f".split()):
-        assert wrappers.verdicts(w, page)[0]
-    assert not wrappers.verdicts(w, "<f >f <p # >p".split())[0]
+        assert wrappers.verdicts(wrappers.program(w), page)[0]
+    assert not wrappers.verdicts(wrappers.program(w), "<f >f <p # >p".split())[0]
+    # a group gives back what a later item needs
+    steps = wrappers.program([["+", ["<p", "#", ">p"]], "<p", "#", ">p", ["?", ["<q", ">q"]], "<q", ">q"])
+    assert wrappers.verdicts(steps, "<p # >p <p # >p <q >q".split())[0] and not wrappers.verdicts(steps, "<p # >p <q >q".split())[0]
     # texts that differ at one place are a slot, equal ones stay, a text that one side lacks is optional
     w = wrappers.infer(["<p =1 >p <q =2 >q".split(), "<p =1 >p <q =3 >q".split(), "<p =1 >p <u =4 >u <q # >q".split()])
     assert w == ["<p", "=1", ">p", ["?", ["<u", "=4", ">u"]], "<q", "#", ">q"]
-    assert wrappers.verdicts(w, "<p =1 >p <u =4 >u <q =2 >q".split()) == (True, ["", "t", "", "", "u", "", "", "d", ""])
+    assert wrappers.verdicts(wrappers.program(w), "<p =1 >p <u =4 >u <q =2 >q".split()) == (True, ["", "t", "", "", "u", "", "", "d", ""])
 
 
 # -- 8 vectors -----------------------------------------------------------------------------------
