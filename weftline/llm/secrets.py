@@ -208,7 +208,8 @@ def redact(docs: DataFrame, mark: str = "<secret>") -> DataFrame:
     """
     spans = scan(docs, ["doc_id"], owners_only=True).where("size(base) > 0 or size(live) > 0")
     spans = spans.select(F.col("doc_id").alias("s_id"), F.col("text_hash").alias("s_hash"), F.array_sort(F.concat("base", "live")).alias("s")).dropDuplicates(["s_id", "s_hash"])
-    rows = docs.select(F.struct("*").alias("row"), F.col("doc_id").alias("id"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("h"), F.col("text").alias("t"))
+    rest = F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != "text"])  # the text travels once
+    rows = docs.select(rest.alias("row"), F.col("doc_id").alias("id"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("h"), F.col("text").alias("t"))
     rows = rows.join(spans, F.col("id").eqNullSafe(F.col("s_id")) & (F.col("h") == F.col("s_hash")), "left")
     # disjoint spans: a span gives up what an earlier one has, and its mark if they touch
     reach = _scan(F.transform("s", lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"))), "struct<start:int,end:int>", lambda x: x["end"], F.greatest, F.lit(0), "int")
@@ -236,9 +237,9 @@ def redact(docs: DataFrame, mark: str = "<secret>") -> DataFrame:
     rows = rows.withColumn("new", F.when(F.col("s").isNotNull(), _let(spans, lambda arr: _let(_chunks(arr, 4 * CHUNK), cut))))
 
     def value(c: str) -> Column:
-        old = F.col("row").getField(c)
         if c == "text":
             return F.when(F.col("s").isNull(), F.col("t")).otherwise(F.col("new"))
+        old = F.col("row").getField(c)
         if c == "n_chars":
             return F.when(F.col("s").isNull(), old).otherwise(F.length("new").cast(docs.schema["n_chars"].dataType))
         return old
