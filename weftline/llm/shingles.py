@@ -24,7 +24,7 @@ SIMILARITY = 0.8
 RECALL = 0.9995
 MOST_HASHES = 200
 #: What a block of documents holds: as many documents, or as many shingles, at most.
-BLOCK_DOCS, BLOCK_SHINGLES = 1024, 400_000
+BLOCK_DOCS, BLOCK_SHINGLES = 512, 400_000
 #: Ids that are sent to all tasks instead of shuffling the texts.
 MOST_SENT = 2_000_000
 MEMO = 500_000
