@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from weftline.llm import ann, bpe, langid, mixing, neardup, quality, secrets, shingles, urlrules, wrappers
+from weftline.llm import ann, bpe, centroids, langid, licenses, mixing, neardup, quality, secrets, shingles, urlrules, whitening, wrappers
 
 QUERIES = {
     "op1_mixing": mixing.op1_mixing,
@@ -15,6 +15,9 @@ QUERIES = {
     "op8_neardup": neardup.op8_neardup,
     "op9_urls": urlrules.op9_urls,
     "op10_secrets": secrets.op10_secrets,
+    "op11_whitening": whitening.op11_whitening,
+    "op12_centroids": centroids.op12_centroids,
+    "op13_licenses": licenses.op13_licenses,
 }
 
 ORACLE_SQL = {
@@ -22,4 +25,5 @@ ORACLE_SQL = {
     "op8_neardup": neardup.OP8_SQL,
     "op9_urls": urlrules.OP9_SQL,
     "op10_secrets": secrets.OP10_SQL,
+    "op12_centroids": centroids.OP12_SQL,
 }
