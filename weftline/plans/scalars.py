@@ -221,8 +221,9 @@ def _(t):
     return t.events.select("event_id", F.coalesce(p["k"], F.lit(-1)).alias("k"), p["_corrupt"].isNull().alias("ok"))
 
 
-@query("jsn_2_flatten", "SELECT p_partkey, 'brand' AS field, p_brand AS value FROM part UNION ALL SELECT p_partkey, 'name', p_name FROM part UNION ALL SELECT p_partkey, 'type', p_type FROM part")
+@query("jsn_2_unpivot", "SELECT p_partkey, 'brand' AS field, p_brand AS value FROM part UNION ALL SELECT p_partkey, 'name', p_name FROM part UNION ALL SELECT p_partkey, 'type', p_type FROM part")
 def _(t):
+    """Fields that are columns already; ``jsn_2_flatten`` takes nested ones."""
     return t.part.select("p_partkey", F.col("p_brand").alias("brand"), F.col("p_name").alias("name"), F.col("p_type").alias("type")).unpivot(["p_partkey"], ["brand", "name", "type"], "field", "value")
 
 

@@ -12,12 +12,10 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from weftline.sources.manifest import read_manifest  # noqa: F401
+
 BOX = "struct<x1:double,y1:double,x2:double,y2:double>"
 FRAME_SCHEMA = f"frame_id string, scene string, regions array<struct<bbox:{BOX},crop_path:string,description:string,raw_text:string,status:string,error:string>>"
-MANIFEST_SCHEMA = (
-    "schema_version string, sample_id string, split string, task string, image string, prompt string, label string, scene string, session string, scale string, "
-    "bbox_xyxy array<double>, bbox_loc_0_999 array<int>, attributes map<string,array<string>>, _corrupt string"
-)
 SPLIT_SCHEMA = "image string, annotation string, color_label string"
 
 
@@ -28,16 +26,6 @@ def read_frames(spark: SparkSession, path: str) -> DataFrame:
     return rows.select("frame_id", "scene", "pos", F.when(F.col("pos").isNotNull(), F.concat_ws("#", F.concat_ws("/", "scene", "frame_id"), F.col("pos").cast("string"))).alias("sample_id"), "region.*")
 
 
-def read_manifest(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """(good rows, quarantined rows) of a JSONL manifest with the explicit schema."""
-    # the raw line is kept so that a bad row can be looked at, and no second read is needed
-    lines = spark.read.text(path)
-    row = F.from_json("value", MANIFEST_SCHEMA, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"})
-    parsed = lines.select("value", row.alias("r"))
-    bad = F.col("r._corrupt").isNotNull() | F.col("r.sample_id").isNull()
-    return parsed.where(~bad).select("r.*").drop("_corrupt"), parsed.where(bad).select("value")
-
-
 def write_jsonl(df: DataFrame, path: str) -> None:
     df.write.mode("errorifexists").json(path)
 
