@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from weftline.functions import text as X
-from weftline.session import with_prefix
+from weftline.session import checkpointed, with_prefix
 
 
 def attribute_outcomes(pairs: DataFrame, similarity: Callable[[Column, Column], Column] = X.token_dice) -> DataFrame:
@@ -140,35 +140,50 @@ def image_metrics(conf: DataFrame, image: str) -> DataFrame:
     return miou.join(acc, image)
 
 
-def draw_count(rep: Column, cluster: Column, clusters: Column) -> Column:
-    """How often a cluster is drawn in a replicate: a Poisson(1) number from md5, equal in every engine.
+def paired_bootstrap(stats: DataFrame, cluster: str, sums: list[str], statistics: dict[str, Callable[[dict[str, Column]], Column]], reps: int = 2000, seed: str = "boot") -> DataFrame:
+    """(statistic, point, low, high, reps) of functions of summed columns over whole clusters: 2.5% and 97.5% quantiles.
 
-    Poisson bootstrap: the expected number of drawn clusters is their count, no cluster needs to
-    know the others, so replicates are independent rows. ``clusters`` is kept for the signature of
-    an exact multinomial draw.
-    """
-    u = F.conv(F.substring(F.md5(F.concat_ws("|", F.lit("boot"), rep.cast("string"), cluster.cast("string"))), 1, 8), 16, 10).cast("double") / F.lit(4294967296.0)
-    out = F.lit(6)
-    # cumulative Poisson(1)
-    for k, c in reversed(list(enumerate((0.36787944, 0.73575888, 0.91969860, 0.98101184, 0.99634015, 0.99940582)))):
-        out = F.when(u < c, F.lit(k)).otherwise(out)
-    return out
-
-
-def clustered_bootstrap(stats: DataFrame, cluster: str, diff: Callable[[Column, Column], Column], reps: int = 2000) -> DataFrame:
-    """Point, 2.5% and 97.5% quantile of a statistic of summed columns ``a``, ``b`` over whole clusters.
-
-    ``stats`` has one row of sufficient statistics per cluster, so a replicate costs one row per
-    cluster, not per sample.
+    ``stats`` has one row of sufficient statistics for each cluster; the same draws serve all
+    statistics, so differences of candidates are paired. A replicate draws as many clusters as there
+    are, with replacement: draw d of replicate r takes the cluster at rank floor(u * clusters), u from
+    the md5 of seed, r and d, so every engine draws alike. Draws are joined with ranked clusters and
+    summed where they stand: a replicate costs a row for each cluster, not for each sample, and
+    nothing is collected.
     """
     spark = stats.sparkSession
-    rep = spark.range(reps).withColumnRenamed("id", "rep").withColumn("_k", F.lit(1))
-    drawn = stats.withColumn("_k", F.lit(1)).join(F.broadcast(rep), "_k").withColumn("w", draw_count(F.col("rep"), F.col(cluster), F.lit(0)))
-    per = drawn.where("w > 0").groupBy("rep").agg(F.sum(F.col("w") * F.col("a")).alias("a"), F.sum(F.col("w") * F.col("b")).alias("b"))
-    per = per.select("rep", diff(F.col("a"), F.col("b")).alias("d"))
-    point = stats.agg(F.sum("a").alias("a"), F.sum("b").alias("b")).select(diff(F.col("a"), F.col("b")).alias("point"))
-    return per.agg(F.percentile("d", F.lit(0.025)).alias("low"), F.percentile("d", F.lit(0.975)).alias("high"), F.count(F.lit(1)).alias("reps")).join(F.broadcast(point)).select(
-        F.round("point", 6).alias("point"), F.round("low", 6).alias("low"), F.round("high", 6).alias("high"), "reps")
+    ranked = checkpointed(with_prefix(stats.groupBy(cluster).agg(*[F.sum(c).alias(c) for c in sums]), [cluster], name="rank").withColumn("rank", F.col("rank").cast("long")))
+    n = ranked.count()
+    point = ranked.agg(*[F.sum(c).alias(c) for c in sums])
+    values = lambda: F.explode(F.array(*[F.struct(F.lit(name).alias("statistic"), f({c: F.col(c) for c in sums}).cast("double").alias("value")) for name, f in statistics.items()])).alias("s")
+    draws = spark.range(reps * n).select(F.floor(F.col("id") / max(n, 1)).alias("rep"), F.pmod("id", F.lit(max(n, 1))).alias("draw"))
+    hashed = F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(seed), F.col("rep").cast("string"), F.col("draw").cast("string"))), 1, 8), 16, 10).cast("long")
+    drawn = draws.select("rep", F.shiftright(hashed * n, 32).alias("rank")).join(ranked, "rank")
+    per = drawn.groupBy("rep").agg(*[F.sum(c).alias(c) for c in sums]).select(values()).select("s.*")
+    spread = per.groupBy("statistic").agg(F.percentile("value", F.lit(0.025)).alias("low"), F.percentile("value", F.lit(0.975)).alias("high"), F.count(F.lit(1)).alias("reps"))
+    points = point.select(values()).select(F.col("s.statistic").alias("_s"), F.col("s.value").alias("point"))
+    return spread.join(points, F.col("statistic") == F.col("_s")).select("statistic", F.round("point", 6).alias("point"), F.round("low", 6).alias("low"), F.round("high", 6).alias("high"), "reps")
+
+
+def field_pairs(truth: DataFrame, gen: DataFrame, key: str, field: str = "field", values: str = "values", extra: list[str] | None = None) -> DataFrame:
+    """(key, field, truth, gen, extra...): both sides' values of every field that either side has.
+
+    ``truth`` and ``gen`` are long forms with a list of strings; a generated list is one text of its
+    elements. A full outer join, null-safe in both keys: a field without a generation has a null
+    ``gen`` and will count as a miss, one without truth a null ``truth`` and may be a fabrication.
+    ``extra`` columns come from the truth, else from the generation.
+    """
+    extra = extra or []
+    t = truth.select(key, field, F.col(values).alias("truth"), *extra)
+    g = gen.select(F.col(key).alias("_k"), F.col(field).alias("_f"), F.array_join(values, " ").alias("gen"), *[F.col(c).alias(f"_{c}") for c in extra], F.lit(True).alias("_g"))
+    j = t.withColumn("_t", F.lit(True)).join(g, F.col(key).eqNullSafe(F.col("_k")) & F.col(field).eqNullSafe(F.col("_f")), "full_outer")
+    mine = lambda c, other: F.when(F.col("_t"), F.col(c)).otherwise(F.col(other))
+    return j.select(mine(key, "_k").alias(key), mine(field, "_f").alias(field), "truth", "gen", *[F.coalesce(c, f"_{c}").alias(c) for c in extra])
+
+
+def accuracy_and_macro(conf: DataFrame) -> DataFrame:
+    """Accuracy, and unweighted means over classes of precision, recall and F1, from (truth, pred, n) rows."""
+    per = class_metrics(conf)
+    return per.agg(F.round(F.sum("tp") / F.sum(F.col("tp") + F.col("fn")), 6).alias("accuracy"), *[F.round(F.avg(c), 6).alias(f"macro_{c}") for c in ("p", "r", "f1")], F.count(F.lit(1)).alias("classes"))
 
 
 def gate(structure: Column, structure_base: Column, leakage: Column, invalid: Column, invalid_base: Column, delta: Column, low: Column) -> Column:

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from weftline.session import with_prefix
+from weftline.operators.dedup import representatives
+from weftline.session import checkpointed, with_prefix
 
 SEED = "weftline"
 
@@ -15,26 +16,45 @@ def hash_order(*cols: str | Column, seed: str = SEED) -> Column:
     return F.md5(F.concat_ws("|", F.lit(seed), *[(F.col(c) if isinstance(c, str) else c).cast("string") for c in cols]))
 
 
+def fill(groups: DataFrame, group: str, total: int, weight: str = "weight", limit: str = "most") -> DataFrame:
+    """(group, quota): whole numbers that share ``total`` by ``weight``, none above its ``limit`` (a whole number).
+
+    Water-filling: what a full group cannot take goes to the others by weight, so the quotas add up
+    to the total, or to all limits where those are less. Groups in order of limit / weight fill one
+    after another; two prefix sums in that order tell which are full, and so the level of the rest.
+    Shares are rounded by largest remainder (ties to the smaller group). Groups without weight get
+    nothing. No task sees all groups.
+    """
+    rows = groups.where((F.col(weight) > 0) & (F.col(limit) > 0)).select(group, F.col(weight).cast("double").alias("w"), F.col(limit).cast("double").alias("m"))
+    rows = rows.withColumn("_r", F.col("m") / F.col("w"))
+    sums = rows.agg(F.sum("w").alias("w"), F.sum("m").alias("m")).first()
+    share = float(min(total, sums["m"] or 0))
+    run = with_prefix(with_prefix(rows, ["_r", group], F.col("m"), "_m"), ["_r", group], F.col("w"), "_w_before")
+    run = checkpointed(run.withColumn("full", share - F.col("_m") >= F.col("_r") * (F.lit(sums["w"]) - F.col("_w_before"))))
+    rest = run.where("not full").agg(F.sum("w").alias("w")).first()["w"]
+    taken = run.where("full").agg(F.sum("m").alias("m")).first()["m"] or 0.0
+    level = F.lit((share - taken) / rest if rest else 0.0)
+    run = run.withColumn("share", F.when(F.col("full"), F.col("m")).otherwise(F.least("m", level * F.col("w"))))
+    run = run.withColumn("base", F.floor(F.round("share", 9))).withColumn("_left", -F.round(F.col("share") - F.col("base"), 9))
+    spare = share - (run.agg(F.sum("base")).first()[0] or 0)
+    ranked = with_prefix(run.where("not full").select(group, "base", "_left"), ["_left", group], name="_at")
+    open_ = ranked.select(group, (F.col("base") + F.when(F.col("_at") < spare, 1).otherwise(0)).cast("long").alias("quota"))
+    return run.where("full").select(group, F.col("m").cast("long").alias("quota")).unionByName(open_)
+
+
 def allocate(counts: DataFrame, group: str, total: int, big: int = 2, big_cap: int | None = None) -> DataFrame:
     """(group, n, quota): the ``big`` largest groups capped, the rest shared by the square root of their count.
 
-    Shares are rounded by largest remainder (ties to the smaller group name) and never exceed a
-    group's rows.
+    What small groups cannot take goes to the others: quotas add up to ``total``, or to all that caps and rows allow.
     """
     big_cap = total // 4 if big_cap is None else big_cap
-    ranked = counts.withColumn("rk", F.row_number().over(Window.orderBy(F.desc("n"), group)))
-    ranked = ranked.withColumn("big", F.col("rk") <= big)
-    all_rows = Window.partitionBy()
-    taken = F.coalesce(F.sum(F.when(F.col("big"), F.least("n", F.lit(big_cap)))).over(all_rows), F.lit(0))
-    rest = F.lit(total) - taken
-    root = F.sum(F.when(~F.col("big"), F.sqrt("n"))).over(all_rows)
-    raw = ranked.withColumn("share", F.when(~F.col("big"), rest * F.sqrt("n") / root))
-    raw = raw.withColumn("base", F.floor("share")).withColumn("left", F.round(F.col("share") - F.col("base"), 9))
-    raw = raw.withColumn("rest_rk", F.when(~F.col("big"), F.row_number().over(Window.partitionBy("big").orderBy(F.desc("left"), group))))
-    spare = rest - F.sum(F.when(~F.col("big"), F.col("base"))).over(all_rows)
-    raw = raw.withColumn("spare", spare)
-    quota = F.when(F.col("big"), F.least("n", F.lit(big_cap))).otherwise(F.least(F.col("n"), F.col("base") + F.when(F.col("rest_rk") <= F.col("spare"), 1).otherwise(0)))
-    return raw.select(group, "n", quota.cast("long").alias("quota"))
+    top = counts.orderBy(F.desc("n"), group).limit(big).select(F.col(group).alias("_g"), F.least("n", F.lit(big_cap)).cast("long").alias("_q"))
+    marked = checkpointed(counts.join(F.broadcast(top), F.col(group).eqNullSafe(F.col("_g")), "left"))  # so many rows as ``big`` says
+    taken = marked.agg(F.sum("_q")).first()[0] or 0
+    rest = marked.where("_q is null").select(F.col(group).alias("_k"), F.sqrt("n").alias("weight"), F.col("n").alias("most"))
+    filled = fill(rest, "_k", total - taken)
+    out = marked.join(filled, F.col(group).eqNullSafe(F.col("_k")), "left")
+    return out.select(group, "n", F.coalesce("_q", "quota", F.lit(0)).cast("long").alias("quota"))
 
 
 def rank_in_group(df: DataFrame, group: list[str], order: list[Column], name: str) -> DataFrame:
@@ -56,12 +76,31 @@ def take_quota(df: DataFrame, quotas: DataFrame, group: str, order: list[Column]
 def grouped_split(groups: DataFrame, group: str, size: str = "n", share: float = 0.10) -> DataFrame:
     """(group, n, split): whole groups go to test in hash order while the running size stays within the share.
 
-    The running size is a distributed prefix sum: no task orders all groups.
+    A group larger than the share can never go and does not stop others, so the test side ends less
+    than one group below the share. The running size is a distributed prefix sum: no task orders all groups.
     """
     rows = groups.select(group, size, hash_order(group).alias("_h"))
     total = rows.agg(F.sum(size)).first()[0] or 0
-    run = with_prefix(rows, ["_h", group], F.col(size), "_before")
-    return run.select(group, size, F.when(F.col("_before") + F.col(size) <= total * share, F.lit("test")).otherwise(F.lit("train")).alias("split"))
+    fits = F.when(F.col(size) <= total * share, F.col(size)).otherwise(0)
+    run = with_prefix(rows, ["_h", group], fits, "_before")
+    test = (F.col(size) <= total * share) & (F.col("_before") + F.col(size) <= total * share)
+    return run.select(group, size, F.when(test, F.lit("test")).otherwise(F.lit("train")).alias("split"))
+
+
+def component_split(nodes: DataFrame, edges: DataFrame, key: str, size: Column | None = None, share: float = 0.10) -> DataFrame:
+    """(key, group_id, members, n, split, reason): similar rows never stand on both sides.
+
+    Components of ``edges`` (a, b) are the groups, rows without an edge groups of their own; ``size``
+    is what a row counts for (1). Groups go by ``grouped_split``. The manifest tells for each row its
+    group, how many rows and what size that has, and why it stands where it does: ``cluster`` or ``singleton``.
+    """
+    comp = representatives(nodes, edges, key).withColumnRenamed("component", "group_id")
+    comp = checkpointed(comp.join(nodes.select(F.col(key).alias("_k"), (F.lit(1) if size is None else size).alias("_s")), F.col(key) == F.col("_k")).drop("_k"))
+    groups = comp.groupBy("group_id").agg(F.count(F.lit(1)).alias("members"), F.sum("_s").alias("n"))
+    split = grouped_split(groups.select("group_id", "n"), "group_id", "n", share)
+    placed = groups.select(F.col("group_id").alias("_g"), "members").join(split, F.col("_g") == F.col("group_id")).drop("_g")
+    reason = F.when(F.col("members") > 1, F.lit("cluster")).otherwise(F.lit("singleton"))
+    return comp.select(key, "group_id").join(placed, "group_id").select(key, "group_id", "members", "n", "split", reason.alias("reason"))
 
 
 def leaks(edges: DataFrame, membership: DataFrame, key: str) -> DataFrame:

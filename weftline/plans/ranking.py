@@ -10,6 +10,8 @@ from weftline.functions import text as X
 from weftline.operators import assign, dedup, splits
 from weftline.plans.base import query
 from weftline.plans.scalars import BOX_SQL, CODE_SQL
+from weftline.session import checkpointed
+from weftline.sources import io
 
 W = Window
 
@@ -42,11 +44,18 @@ def _(t):
     return top(t.lineitem.select("l_orderkey", "l_extendedprice"), ["l_orderkey"], [F.desc("l_extendedprice")], 5)
 
 
-@query("win_4_region_orders", """SELECT conv_id, turn, row_number() OVER (PARTITION BY conv_id ORDER BY md5('weftline|' || conv_id || '|' || turn))::INT AS random, row_number() OVER (PARTITION BY conv_id ORDER BY length(text) DESC, turn)::INT AS by_area, row_number() OVER (PARTITION BY conv_id ORDER BY turn)::INT AS left_right FROM conversations""")
+@query("win_4_region_orders", f"""SELECT l_orderkey, l_linenumber, l_partkey, row_number() OVER (PARTITION BY l_orderkey ORDER BY md5('weftline|' || l_orderkey || '|' || l_linenumber || '|' || l_partkey), l_linenumber, l_partkey, l_suppkey, l_extendedprice)::INT AS random,
+row_number() OVER (PARTITION BY l_orderkey ORDER BY (x2 - x1) * (y2 - y1) DESC, l_linenumber, l_partkey, l_suppkey, l_extendedprice)::INT AS by_area, row_number() OVER (PARTITION BY l_orderkey ORDER BY (x1 + x2) / 2, l_linenumber, l_partkey, l_suppkey, l_extendedprice)::INT AS left_right,
+row_number() OVER (PARTITION BY l_orderkey ORDER BY (y1 + y2) / 2, l_linenumber, l_partkey, l_suppkey, l_extendedprice)::INT AS top_bottom FROM ({BOX_SQL.replace("l_partkey,", "l_partkey, l_suppkey, l_extendedprice,", 1)})""")
 def _(t):
-    w = W.partitionBy("conv_id")
-    n = F.row_number()
-    return t.conversations.select("conv_id", "turn", n.over(w.orderBy(splits.hash_order("conv_id", "turn"))).alias("random"), n.over(w.orderBy(F.desc(F.length("text")), "turn")).alias("by_area"), n.over(w.orderBy("turn")).alias("left_right"))
+    """The four orders of the regions of a frame: random, by area, and by either coordinate of the centre."""
+    w = W.partitionBy("l_orderkey")
+    x1, y1 = F.col("l_quantity") * 20, F.col("l_discount") * 5000
+    box = F.struct(x1.alias("x1"), y1.alias("y1"), (x1 + F.col("l_extendedprice") / 200).alias("x2"), (y1 + F.col("l_tax") * 4000 + 10).alias("y2"))
+    b = t.lineitem.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", box.alias("b"))
+    cx, cy = G.centre(F.col("b"))
+    n = lambda order: F.row_number().over(w.orderBy(order, "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice"))
+    return b.select("l_orderkey", "l_linenumber", "l_partkey", n(splits.hash_order("l_orderkey", "l_linenumber", "l_partkey")).alias("random"), n(F.desc(G.area(F.col("b")))).alias("by_area"), n(cx).alias("left_right"), n(cy).alias("top_bottom"))
 
 
 @query("win_5_global_exact_dedup", "SELECT min(doc_id) AS doc_id, count(*) AS copies FROM documents GROUP BY md5(text)")
@@ -103,10 +112,13 @@ def _(t):
 
 
 QUOTA_SQL = """c AS (SELECT source, count(*) AS n FROM documents GROUP BY 1), k AS (SELECT count(*) // 2 AS total FROM documents),
-r AS (SELECT *, row_number() OVER (ORDER BY n DESC, source) <= 2 AS big FROM c), s AS (SELECT r.*, total, sum(CASE WHEN big THEN least(n, total // 4) END) OVER () AS taken, sum(CASE WHEN NOT big THEN sqrt(n) END) OVER () AS root FROM r, k),
-f AS (SELECT *, floor((total - taken) * sqrt(n) / root) AS base, round((total - taken) * sqrt(n) / root - floor((total - taken) * sqrt(n) / root), 9) AS frac FROM s),
-h AS (SELECT *, row_number() OVER (PARTITION BY big ORDER BY frac DESC, source) AS rr, total - taken - sum(CASE WHEN NOT big THEN base END) OVER () AS spare FROM f),
-q AS (SELECT source, n, CASE WHEN big THEN least(n, total // 4) ELSE least(n, base + (rr <= spare)::INT) END::BIGINT AS quota FROM h)"""
+r AS (SELECT c.*, CASE WHEN row_number() OVER (ORDER BY n DESC, source) <= 2 THEN least(n, total // 4) END AS q, total FROM c, k), t AS (SELECT any_value(total) - sum(q) AS rest FROM r),
+g AS (SELECT source, n, sqrt(n) AS w, n / sqrt(n) AS reach, least(rest, sum(n) OVER ()) AS share, sum(sqrt(n)) OVER () AS sw FROM r, t WHERE q IS NULL),
+f AS (SELECT *, share - coalesce(sum(n) OVER o, 0) >= reach * (sw - coalesce(sum(w) OVER o, 0)) AS is_full FROM g WINDOW o AS (ORDER BY reach, source ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+l AS (SELECT (any_value(share) - coalesce(sum(n) FILTER (is_full), 0)) / sum(w) FILTER (NOT is_full) AS level FROM f),
+h AS (SELECT source, n, share, is_full, CASE WHEN is_full THEN n ELSE least(n, level * w) END AS x FROM f, l),
+v AS (SELECT *, floor(round(x, 9)) AS base, row_number() OVER (PARTITION BY is_full ORDER BY round(x - floor(round(x, 9)), 9) DESC, source) AS rk, share - sum(floor(round(x, 9))) OVER () AS spare FROM h),
+q AS (SELECT source, n, (base + (NOT is_full AND rk <= spare)::INT)::BIGINT AS quota FROM v UNION ALL SELECT source, n, q::BIGINT FROM r WHERE q IS NOT NULL)"""
 
 
 def quotas(t):
@@ -141,7 +153,7 @@ def _(t):
     return splits.take_quota(t.documents.select("source", "doc_id"), quotas(t), "source", [splits.hash_order("doc_id"), F.col("doc_id")])
 
 
-GROUP_SQL = "g AS (SELECT conv_id, count(*) AS n FROM conversations GROUP BY 1), s AS (SELECT conv_id, n, CASE WHEN sum(n) OVER (ORDER BY md5('weftline|' || conv_id), conv_id ROWS UNBOUNDED PRECEDING) <= sum(n) OVER () * 0.1::DOUBLE THEN 'test' ELSE 'train' END AS split FROM g)"
+GROUP_SQL = "g AS (SELECT conv_id, count(*) AS n FROM conversations GROUP BY 1), s AS (SELECT conv_id, n, CASE WHEN fits AND sum(CASE WHEN fits THEN n ELSE 0 END) OVER (ORDER BY md5('weftline|' || conv_id), conv_id ROWS UNBOUNDED PRECEDING) <= sum(n) OVER () * 0.1::DOUBLE THEN 'test' ELSE 'train' END AS split FROM (SELECT *, n <= sum(n) OVER () * 0.1::DOUBLE AS fits FROM g))"
 
 
 def conversation_split(t):
@@ -153,11 +165,6 @@ def _(t):
     return t.conversations.select("conv_id", "turn").join(conversation_split(t).select("conv_id", "split"), "conv_id")
 
 
-@query("smp_6_grouped_split", f"WITH {GROUP_SQL} SELECT * FROM s")
-def _(t):
-    return conversation_split(t)
-
-
 @query("smp_7_seeded_shuffle", "SELECT doc_id, md5('weftline|' || doc_id) AS k, (crc32_ % 4)::INT AS shard FROM (SELECT doc_id, ('0x' || substr(md5('shard|' || doc_id), 1, 8))::BIGINT AS crc32_ FROM documents)")
 def _(t):
     shard = F.pmod(F.conv(F.substring(splits.hash_order("doc_id", seed="shard"), 1, 8), 16, 10).cast("long"), F.lit(4)).cast("int")
@@ -190,9 +197,12 @@ def _(t):
     return conversation_split(t).where("split = 'train'").select("conv_id").join(t.conversations.where("turn >= 5").select("conv_id"), "conv_id", "left_anti")
 
 
-@query("joi_1_prediction_truth", "SELECT doc_id, quality, (n_chars > 1000)::INT AS pred FROM labels JOIN documents USING (doc_id)")
+@query("joi_1_prediction_truth", """WITH p AS (SELECT doc_id, (n_chars > 1000)::INT AS pred FROM documents WHERE doc_id % 11 <> 0), j AS (SELECT coalesce(l.doc_id, p.doc_id) AS doc_id, quality, pred, l.doc_id AS a, p.doc_id AS b FROM labels l FULL JOIN p ON l.doc_id = p.doc_id)
+SELECT doc_id, quality, pred, CASE WHEN a IS NULL THEN 'no_truth' WHEN b IS NULL THEN 'no_prediction' ELSE 'paired' END AS state FROM j""")
 def _(t):
-    return t.labels.select("doc_id", "quality").join(t.documents.select("doc_id", (F.col("n_chars") > 1000).cast("int").alias("pred")), "doc_id")
+    """Predictions beside truth, with the completeness check: what either side lacks stays, named as such."""
+    pred = t.documents.where("doc_id % 11 <> 0").select("doc_id", (F.col("n_chars") > 1000).cast("int").alias("pred"))
+    return io.paired(t.labels.select("doc_id", "quality"), pred, "doc_id")
 
 
 @query("joi_2_left_labels", "SELECT d.doc_id, source, coalesce(quality, -1)::INT AS quality, coalesce(toxic, -1)::INT AS toxic FROM documents d LEFT JOIN labels l ON l.doc_id = d.doc_id")
@@ -314,12 +324,6 @@ def _(t):
     return t.labels.select("doc_id").join(t.documents.select("doc_id"), "doc_id", "left_anti")
 
 
-@query("joi_11_leakage_invariant", PAIR_SQL + ", m AS (SELECT vec_id, CASE WHEN vec_id % 10 = 0 THEN 'test' ELSE 'train' END AS split FROM embeddings) SELECT a, b, x.split AS split_a, y.split AS split_b FROM p JOIN m x ON x.vec_id = a JOIN m y ON y.vec_id = b WHERE x.split <> y.split")
-def _(t):
-    m = t.embeddings.select("vec_id", F.when(F.col("vec_id") % 10 == 0, "test").otherwise("train").alias("split"))
-    return splits.leaks(code_pairs(t, GATE), m, "vec_id")
-
-
 @query("joi_12_cache_lookup", "SELECT p_partkey, hit FROM (SELECT p_partkey, p_type = 'SMALL' AS hit FROM part)")
 def _(t):
     cache = t.part.where("p_type = 'SMALL'").select("p_type", F.lit(True).alias("hit")).distinct()
@@ -345,6 +349,30 @@ def _(t):
     return dedup.representatives(t.embeddings, code_pairs(t, GATE), "vec_id")
 
 
+SPLIT_SQL = COMPONENT_SQL + """, z AS (SELECT component AS group_id, count(*) AS members FROM k GROUP BY 1), y AS (SELECT *, members <= sum(members) OVER () * 0.1::DOUBLE AS fits, sum(members) OVER () AS total FROM z),
+s AS (SELECT vec_id, group_id, members, members AS n, CASE WHEN fits AND before <= total * 0.1::DOUBLE THEN 'test' ELSE 'train' END AS split, CASE WHEN members > 1 THEN 'cluster' ELSE 'singleton' END AS reason
+FROM k JOIN (SELECT *, sum(CASE WHEN fits THEN members ELSE 0 END) OVER (ORDER BY md5('weftline|' || group_id), group_id ROWS UNBOUNDED PRECEDING) AS before FROM y) ON group_id = component)"""
+
+
+@query("smp_6_grouped_split", SPLIT_SQL + " SELECT * FROM s")
+def _(t):
+    """The manifest of a split of vectors by the components of their similar pairs."""
+    return splits.component_split(t.embeddings.select("vec_id"), code_pairs(t, GATE), "vec_id")
+
+
+@query("joi_11_leakage_invariant", SPLIT_SQL + """, m AS (SELECT 'components' AS checked, vec_id, split FROM s UNION ALL SELECT 'moved', vec_id, CASE WHEN vec_id % 7 = 0 THEN CASE split WHEN 'test' THEN 'train' ELSE 'test' END ELSE split END FROM s)
+SELECT x.checked, count(*) AS pairs, count(*) FILTER (x.split <> y.split) AS leaks FROM p JOIN m x ON x.vec_id = a JOIN m y ON y.vec_id = b AND y.checked = x.checked GROUP BY 1""")
+def _(t):
+    """Similar pairs across the sides of the component split: none; and after every seventh row has changed sides: some."""
+    pairs = checkpointed(code_pairs(t, GATE))
+    s = checkpointed(splits.component_split(t.embeddings.select("vec_id"), pairs, "vec_id").select("vec_id", "split"))
+    other = F.when(F.col("split") == "test", "train").otherwise("test")
+    moved = s.select("vec_id", F.when(F.col("vec_id") % 7 == 0, other).otherwise(F.col("split")).alias("split"))
+    count = lambda name, m: splits.leaks(pairs, m, "vec_id").agg(F.count(F.lit(1)).alias("leaks")).select(F.lit(name).alias("checked"), "leaks")
+    both = count("components", s).unionByName(count("moved", moved))
+    return both.join(F.broadcast(pairs.agg(F.count(F.lit(1)).alias("pairs"))))  # one row
+
+
 @query("win_6_cluster_representative", COMPONENT_SQL + " SELECT component AS vec_id, count(*) AS members FROM k GROUP BY 1")
 def _(t):
     return dedup.representatives(t.embeddings, code_pairs(t, GATE), "vec_id").groupBy(F.col("component").alias("vec_id")).agg(F.count(F.lit(1)).alias("members"))

@@ -14,7 +14,7 @@ from weftline.plans.scalars import DICE_SQL, TURNS_SQL, turns
 # Parts as samples: the next part's values stand for what was generated; some values mean "absent".
 PAIRS_SQL = """f AS (SELECT p_partkey, p_brand AS session, 'name' AS field, CASE WHEN p_size % 9 = 0 THEN 'unknown' ELSE p_name END AS v FROM part
 UNION ALL SELECT p_partkey, p_brand, 'type', CASE WHEN p_type = 'ECONOMY' THEN ' None ' ELSE p_type END FROM part),
-p AS (SELECT a.p_partkey AS id, a.session, a.field, a.v AS t, b.v AS g FROM f a JOIN f b ON b.p_partkey = a.p_partkey + 1 AND a.field = b.field),
+p AS (SELECT coalesce(a.p_partkey, b.p_partkey - 1) AS id, coalesce(a.session, b.session) AS session, coalesce(a.field, b.field) AS field, a.v AS t, b.v AS g FROM f a FULL JOIN f b ON b.p_partkey = a.p_partkey + 1 AND a.field = b.field),
 c AS (SELECT id, session, field, nullif(CASE WHEN lower(trim(t)) IN ('unknown', 'none', 'no') THEN '' ELSE lower(trim(t)) END, '') AS t, nullif(CASE WHEN lower(trim(g)) IN ('unknown', 'none', 'no') THEN '' ELSE lower(trim(g)) END, '') AS g FROM p),
 s AS (SELECT *, """ + DICE_SQL.format(a="regexp_extract_all(t, '[a-z0-9]+')", b="regexp_extract_all(g, '[a-z0-9]+')") + """::DOUBLE AS s FROM c),
 o AS (SELECT id, session, field, t, g, CASE WHEN t IS NOT NULL AND g IS NOT NULL THEN s ELSE 0 END AS tp, CASE WHEN t IS NOT NULL AND g IS NOT NULL THEN 1 - s ELSE 0 END AS fp,
@@ -29,10 +29,9 @@ def attribute_rows(t):
 
 
 def attribute_pairs(t):
-    f = attribute_rows(t)
-    g = f.select((F.col("p_partkey") - 1).alias("_k"), F.col("field").alias("_f"), F.col("v").alias("gen"))
-    j = f.join(g, (F.col("p_partkey") == F.col("_k")) & (F.col("field") == F.col("_f")))
-    return j.select(F.col("p_partkey").alias("id"), "session", "field", F.array("v").alias("truth"), "gen")
+    """Two-sided: the last part's fields have no generation, the first one's stand in for no truth."""
+    f = attribute_rows(t).select(F.col("p_partkey").alias("id"), "session", "field", F.array("v").alias("values"))
+    return M.field_pairs(f, f.withColumn("id", F.col("id") - 1), "id", extra=["session"])
 
 
 def outcomes(t):
@@ -70,11 +69,22 @@ def _(t):
     return g.withColumn("ratio", F.round(F.col("n_fab") / F.greatest(F.col("n_gen"), F.lit(1)), 6))
 
 
-@query("agg_11_joint_f1", f"WITH {PAIRS_SQL} SELECT session, round((2 * sum(tp) / (2 * sum(tp) + sum(fp) + sum(fn)) + sum(exact) / greatest(sum(n_truth), 1)) / 2, 6) AS joint FROM o GROUP BY 1 HAVING sum(tp) > 0")
+JUDGED_SQL = "s2 AS (SELECT *, floor((1 - levenshtein(t, g) / greatest(length(t), length(g))) * 4 + 0.5) / 4 AS j FROM o)"
+
+
+def judged(a, b):
+    """A second scorer in the place of a judge: similarity of characters, snapped to its five levels."""
+    return X.snap_score(X.char_similarity(a, b))
+
+
+@query("agg_11_joint_f1", f"""WITH {PAIRS_SQL}, {JUDGED_SQL}, x AS (SELECT session, sum(tp) AS tp, sum(fp + fn) AS off, sum(CASE WHEN t IS NOT NULL AND g IS NOT NULL THEN j ELSE 0 END) AS jtp, sum(CASE WHEN t IS NOT NULL AND g IS NOT NULL THEN 2 * (1 - j) WHEN t IS NOT NULL THEN 1 ELSE 0 END) AS joff FROM s2 GROUP BY 1),
+y AS (SELECT session, CASE WHEN tp > 0 THEN 2 * tp / (2 * tp + off) ELSE 0 END AS lexical, CASE WHEN jtp > 0 THEN 2 * jtp / (2 * jtp + joff) ELSE 0 END AS semantic FROM x) SELECT session, round(lexical, 6) AS lexical, round(semantic, 6) AS semantic, round((lexical + semantic) / 2, 6)::DOUBLE AS joint FROM y""")
 def _(t):
-    g = outcomes(t).groupBy("session").agg(*[F.sum(c).alias(c) for c in ("tp", "fp", "fn", "exact", "n_truth")]).where("tp > 0")
-    soft = M.f1(F.col("tp"), F.col("fp"), F.col("fn"))[2]
-    return g.select("session", F.round((soft + F.col("exact") / F.greatest(F.col("n_truth"), F.lit(1))) / 2, 6).alias("joint"))
+    """Half the micro F1 of the lexical scorer, half that of the judge; a group without a hit has 0."""
+    pairs = attribute_pairs(t)
+    part = lambda scorer, name: M.attribute_outcomes(pairs, scorer).groupBy("session").agg(*[F.sum(c).alias(c) for c in ("tp", "fp", "fn")]).select("session", M.f1(F.col("tp"), F.col("fp"), F.col("fn"))[2].alias(name))
+    j = part(X.token_dice, "lexical").join(part(judged, "semantic"), "session")
+    return j.select("session", F.round("lexical", 6).alias("lexical"), F.round("semantic", 6).alias("semantic"), F.round((F.col("lexical") + F.col("semantic")) / 2, 6).alias("joint"))
 
 
 @query("agg_12_win_tie_loss", "SELECT count(*) FILTER (a > b) AS win, count(*) FILTER (a = b) AS tie, count(*) FILTER (a < b) AS loss, count(*) FILTER (a > b) - count(*) FILTER (a < b) AS net, round(count(*) FILTER (a > b) / count(*) FILTER (a <> b), 6) AS win_rate FROM (SELECT p_size AS a, lead(p_size) OVER (ORDER BY p_partkey) AS b FROM part) WHERE b IS NOT NULL")
@@ -103,6 +113,11 @@ def _(t):
     return M.class_metrics(conf(t))
 
 
+@query("agg_13_macro", f"WITH {CONF_SQL}, {CLASS_SQL}, z AS (SELECT tp, fn, CASE WHEN tp + fp > 0 THEN tp / (tp + fp) ELSE 0 END AS p, CASE WHEN tp + fn > 0 THEN tp / (tp + fn) ELSE 0 END AS r, 2 * tp / (2 * tp + fp + fn) AS f1 FROM y) SELECT round(sum(tp) / sum(tp + fn), 6) AS accuracy, round(avg(round(p, 6)), 6) AS macro_p, round(avg(round(r, 6)), 6) AS macro_r, round(avg(round(f1, 6)), 6) AS macro_f1, count(*) AS classes FROM z")
+def _(t):
+    return M.accuracy_and_macro(conf(t))
+
+
 @query("agg_14_segmentation", f"WITH {CONF_SQL}, {CLASS_SQL} SELECT round(avg(round(tp / (tp + fp + fn), 6)), 6) AS miou, round(avg(round(2 * tp / (2 * tp + fp + fn), 6)), 6) AS dice, round(sum(tp) / sum(tp + fn), 6) AS pixel_acc FROM y")
 def _(t):
     return M.class_metrics(conf(t)).agg(F.round(F.avg("iou"), 6).alias("miou"), F.round(F.avg("f1"), 6).alias("dice"), F.round(F.sum("tp") / F.sum(F.col("tp") + F.col("fn")), 6).alias("pixel_acc"))
@@ -274,17 +289,35 @@ def _(t):
     return M.rescore(stored, ["session"], {"dice": X.token_dice, "exact": lambda a, b: (a == b).cast("double")})
 
 
-BOOT_SQL = """st AS (SELECT o_custkey % 40 AS cluster, sum((o_orderstatus = 'O')::INT)::DOUBLE AS a, sum((o_orderstatus = 'F')::INT)::DOUBLE AS b FROM orders GROUP BY 1), n AS (SELECT sum(a) + sum(b) AS z, (sum(a) - sum(b)) / (sum(a) + sum(b)) AS point FROM st),
-u AS (SELECT rep, a, b, ('0x' || substr(md5('boot|' || rep || '|' || cluster), 1, 8))::BIGINT / 4294967296.0::DOUBLE AS u FROM st, range(2000) r(rep)),
-w AS (SELECT rep, a, b, CASE WHEN u < 0.36787944 THEN 0 WHEN u < 0.73575888 THEN 1 WHEN u < 0.91969860 THEN 2 WHEN u < 0.98101184 THEN 3 WHEN u < 0.99634015 THEN 4 WHEN u < 0.99940582 THEN 5 ELSE 6 END AS w FROM u),
-d AS (SELECT rep, (sum(w * a) - sum(w * b)) / (sum(w * a) + sum(w * b)) AS d FROM w WHERE w > 0 GROUP BY 1)
-SELECT round(any_value(point), 6) AS point, round(quantile_cont(d, 0.025), 6) AS low, round(quantile_cont(d, 0.975), 6) AS high, count(*) AS reps FROM d, n"""
+# Two candidates for the same truth: the base's values are the next part's; the other candidate has the own ones for parts of even size.
+CANDIDATE_SQL = PAIRS_SQL + """, o2 AS (SELECT o.*, CASE WHEN t IS NULL THEN g WHEN p_size % 2 = 0 THEN t ELSE g END AS g2 FROM o LEFT JOIN part ON p_partkey = id),
+c2 AS (SELECT *, """ + DICE_SQL.format(a="regexp_extract_all(t, '[a-z0-9]+')", b="regexp_extract_all(g2, '[a-z0-9]+')") + """::DOUBLE AS s2 FROM o2),
+st AS (SELECT session, sum(tp) AS tp_a, sum(fp) AS fp_a, sum(fn) AS fn_a, sum(CASE WHEN t IS NOT NULL AND g2 IS NOT NULL THEN s2 ELSE 0 END) AS tp_b, sum(CASE WHEN t IS NOT NULL AND g2 IS NOT NULL THEN 1 - s2 ELSE 0 END) AS fp_b,
+sum(CASE WHEN t IS NOT NULL AND g2 IS NOT NULL THEN 1 - s2 WHEN t IS NOT NULL THEN 1 ELSE 0 END) AS fn_b FROM c2 GROUP BY 1)"""
+F1_DIFF_SQL = "2 * sum(tp_b) / (2 * sum(tp_b) + sum(fp_b) + sum(fn_b)) - 2 * sum(tp_a) / (2 * sum(tp_a) + sum(fp_a) + sum(fn_a))"
+BOOT_SQL = f"""{CANDIDATE_SQL}, rk AS (SELECT *, row_number() OVER (ORDER BY session) - 1 AS rank, count(*) OVER () AS n FROM st),
+d AS (SELECT rep, (('0x' || substr(md5('boot|' || rep || '|' || draw), 1, 8))::BIGINT * n) >> 32 AS rank FROM (SELECT DISTINCT n FROM rk), range(2000) r(rep), range((SELECT count(*) FROM st)) i(draw)),
+v AS (SELECT rep, {F1_DIFF_SQL} AS f1_diff, sum(fp_b) - sum(fp_a) AS fp_diff FROM d JOIN rk USING (rank) GROUP BY 1), pt AS (SELECT {F1_DIFF_SQL} AS f1_diff, sum(fp_b) - sum(fp_a) AS fp_diff FROM st)"""
+BOOT_SUMS = ["tp_a", "fp_a", "fn_a", "tp_b", "fp_b", "fn_b"]
+
+
+def candidate_sums(t):
+    """tp, fp, fn of the base (a) and the other candidate (b) by session."""
+    pairs = attribute_pairs(t).join(t.part.select(F.col("p_partkey").alias("id"), "p_size"), "id", "left")
+    other = F.when(F.col("truth").isNull(), F.col("gen")).when(F.col("p_size") % 2 == 0, F.col("truth")[0]).otherwise(F.col("gen"))
+    part = lambda rows, x: M.attribute_outcomes(rows).groupBy("session").agg(*[F.sum(c).alias(f"{c}_{x}") for c in ("tp", "fp", "fn")])
+    return part(pairs, "a").join(part(pairs.withColumn("gen", other), "b"), "session")
+
+
+def f1_difference(c):
+    return M.f1(c["tp_b"], c["fp_b"], c["fn_b"])[2] - M.f1(c["tp_a"], c["fp_a"], c["fn_a"])[2]
 
 
-@query("agg_21_clustered_bootstrap", f"WITH {BOOT_SQL}")
+@query("agg_21_clustered_bootstrap", f"""WITH {BOOT_SQL} SELECT 'f1_diff' AS statistic, round((SELECT f1_diff FROM pt), 6) AS point, round(quantile_cont(f1_diff, 0.025), 6) AS low, round(quantile_cont(f1_diff, 0.975), 6) AS high, count(*) AS reps FROM v
+UNION ALL SELECT 'fp_diff', round((SELECT fp_diff FROM pt), 6), round(quantile_cont(fp_diff, 0.025), 6), round(quantile_cont(fp_diff, 0.975), 6), count(*) FROM v""")
 def _(t):
-    st = t.orders.groupBy((F.col("o_custkey") % 40).alias("cluster")).agg(F.sum((F.col("o_orderstatus") == "O").cast("double")).alias("a"), F.sum((F.col("o_orderstatus") == "F").cast("double")).alias("b"))
-    return M.clustered_bootstrap(st, "cluster", lambda a, b: (a - b) / (a + b))
+    """Paired differences of two candidates: whole sessions drawn with replacement, 2,000 times."""
+    return M.paired_bootstrap(candidate_sums(t), "session", BOOT_SUMS, {"f1_diff": f1_difference, "fp_diff": lambda c: c["fp_b"] - c["fp_a"]})
 
 
 @query("agg_22_spearman", """WITH r AS (SELECT l_quantity, l_extendedprice, (rank() OVER (ORDER BY l_quantity) + rank() OVER (ORDER BY l_quantity) + count(*) OVER (PARTITION BY l_quantity) - 1) / 2 AS ra,

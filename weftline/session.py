@@ -6,9 +6,7 @@ import os
 import tempfile
 from collections.abc import Iterator
 
-import pandas as pd
-from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -79,25 +77,26 @@ def carried(keep: list[str], results: list[str]) -> tuple[list[Column], list[Col
 def with_prefix(df: DataFrame, order: list[str], weight: Column | None = None, name: str = "prefix") -> DataFrame:
     """Add the exclusive running sum of ``weight`` (1 for a rank) in the global order of ``order``.
 
-    ``order`` must be a total order up to identical rows. Rows are range-partitioned and sorted, so
-    no task sees more than its range; only one total for each partition reaches the driver.
+    ``order`` must be a total order up to identical rows. Rows are range-partitioned, sorted and
+    checkpointed, so no task sees more than its range; a row's place in its partition is its rank
+    there. A weighted sum is a window over each such partition, so pass narrow rows. Only one total
+    for each partition reaches the driver, and goes back as a join with so many rows.
     """
     spark = df.sparkSession
     rows = df.withColumn("_w", (F.lit(1) if weight is None else weight).cast("double"))
     n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
     rows = checkpointed(rows.repartitionByRange(n, *order).sortWithinPartitions(*order))
-    totals = {r[0]: r[1] for r in rows.groupBy(F.spark_partition_id().alias("p")).agg(F.sum("_w")).collect()}
-    start, offsets = 0.0, {}
+    rows = rows.withColumns({"_p": F.spark_partition_id(), "_at": F.monotonically_increasing_id().bitwiseAND(F.lit(2**33 - 1))})
+    totals = {r[0]: r[1] for r in rows.groupBy("_p").agg(F.sum("_w")).collect()}
+    start, offsets = 0.0, []
     for p in sorted(totals):
-        offsets[p], start = start, start + totals[p]
-    schema = df.schema.add(name, "double")
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        at = offsets.get(TaskContext.get().partitionId(), 0.0)
-        for batch in batches:
-            w = batch.pop("_w")
-            batch[name] = at + w.cumsum() - w
-            at += float(w.sum())
-            yield batch
-
-    return rows.mapInPandas(run, schema)
+        offsets.append((p, start))
+        start += totals[p]
+    before = F.broadcast(spark.createDataFrame(offsets, "_o int, _before double"))  # a row for each partition
+    if weight is None:
+        within = F.col("_at").cast("double")
+    else:
+        w = Window.partitionBy("_p").orderBy("_at").rowsBetween(Window.unboundedPreceding, -1)
+        within = F.coalesce(F.sum("_w").over(w), F.lit(0.0))
+    placed = rows.withColumn("_in", within).join(before, F.col("_p") == F.col("_o"))
+    return placed.select(*[F.col(f"`{c}`") for c in df.columns], (F.col("_before") + F.col("_in")).alias(name))

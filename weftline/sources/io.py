@@ -192,6 +192,15 @@ def cached(requests: DataFrame, cache: DataFrame, key: Column, compute) -> tuple
     return answers, misses
 
 
+def paired(truth: DataFrame, predictions: DataFrame, key: str) -> DataFrame:
+    """Both sides of every key with ``state``: paired, no_prediction or no_truth; complete if all are paired."""
+    t = truth.withColumn("_t", F.lit(True))
+    p = predictions.withColumnRenamed(key, "_k").withColumn("_p", F.lit(True))
+    j = t.join(p, F.col(key).eqNullSafe(F.col("_k")), "full_outer")
+    state = F.when(F.col("_t").isNull(), "no_truth").when(F.col("_p").isNull(), "no_prediction").otherwise("paired")
+    return j.withColumn("state", state).withColumn(key, F.when(F.col("_t"), F.col(key)).otherwise(F.col("_k"))).drop("_t", "_p", "_k")
+
+
 def limits(regions: DataFrame, frame: str, order: list[Column], most_frames: int, most_regions: int) -> DataFrame:
     """At most ``most_regions`` rows of each frame, first in ``order``, of the ``most_frames`` smallest frame ids."""
     frames = regions.select(frame).distinct().orderBy(frame).limit(most_frames)
