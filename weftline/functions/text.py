@@ -100,6 +100,20 @@ def one_sentence(text: Column, subject: str, within: int = 40) -> Column:
     return (sentence_ends(text) <= 1) & F.lower(F.substring(text, 1, within)).rlike(subject)
 
 
+#: Our own words for the subject of a caption and for what stands behind it.
+SUBJECT = r"\b(?:man|woman|person|boy|girl|child|adult|someone)\b"
+BACKGROUND = ("background", "wall", "street", "room", "building", "park", "floor", "indoors", "outdoors")
+
+
+def subject_first(text: Column, within: int = 40) -> Column:
+    return F.lower(F.substring(text, 1, within)).rlike(SUBJECT)
+
+
+def background(text: Column) -> Column:
+    """Whether a caption speaks of the place and not of the person."""
+    return F.lower(text).rlike(r"\b(?:" + "|".join(BACKGROUND) + r")\b")
+
+
 def length_score(words: Column) -> Column:
     return F.when((words >= 18) & (words <= 24), F.lit(1.0)).when(((words >= 12) & (words <= 17)) | ((words >= 25) & (words <= 28)), F.lit(-0.5)).otherwise(F.lit(-1.0))
 

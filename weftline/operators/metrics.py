@@ -197,6 +197,34 @@ def gate(structure: Column, structure_base: Column, leakage: Column, invalid: Co
     )
 
 
+def format_rates(rows: DataFrame, text: str, by: list[str]) -> DataFrame:
+    """Shares of texts by group: single sentence, subject first, the structure gate (both, and a valid output), background leakage, invalid output, 18 to 24 words."""
+    x, n = F.col(text), X.token_count(F.col(text))
+    rate = lambda c, name: F.round(F.avg(c.cast("int")), 6).alias(name)
+    return rows.groupBy(*by).agg(
+        F.count(F.lit(1)).alias("n"), rate(X.sentence_ends(x) <= 1, "single"), rate(X.subject_first(x), "subject_first"), rate(X.one_sentence(x, X.SUBJECT) & ~X.invalid_output(x), "structure"),
+        rate(X.background(x), "leakage"), rate(X.invalid_output(x), "invalid"), rate((n >= 18) & (n <= 24), "in_range"), F.round(F.avg(n), 6).alias("mean_words"))
+
+
+def keyword_hits(rows: DataFrame, keep: list[str], text: str, keywords: DataFrame, keyword: str) -> DataFrame:
+    """``keep`` and each word of the dimension table that the text has, once: an equi-join of words, so Spark broadcasts a small table only."""
+    words = rows.select(*keep, F.explode(F.array_distinct(X.tokens(F.col(text)))).alias(keyword))
+    return words.join(keywords.select(keyword).distinct(), keyword)
+
+
+def gated(rates: DataFrame, differences: DataFrame, candidate: str, base: str, of: Column) -> DataFrame:
+    """Format rates and joint differences of every candidate but the base, with the gate's verdict.
+
+    ``differences`` has ``attributes``, point, low and high (``paired_bootstrap``); ``of`` names the
+    row that is a candidate's. The low end of the interval is what the gate asks for.
+    """
+    b = rates.where(F.col(candidate) == base).select(F.col("structure").alias("_s"), F.col("invalid").alias("_i"))
+    j = rates.where(F.col(candidate) != base).join(F.broadcast(b))  # one row
+    j = j.join(differences, of == F.col("attributes"))
+    verdict = gate(F.col("structure"), F.col("_s"), F.col("leakage"), F.col("invalid"), F.col("_i"), F.col("point"), F.col("low"))
+    return j.select(candidate, "structure", "leakage", "invalid", F.col("point").alias("delta"), "low", "high", verdict.alias("verdict"))
+
+
 def greedy_extras(truth: Column, gen: Column, threshold: float = 0.5, similarity: Callable[[Column, Column], Column] = X.token_dice) -> Column:
     """Greedy matching of two lists: struct of soft (summed similarity), hits, n_fab, fn.
 

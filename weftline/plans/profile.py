@@ -141,11 +141,6 @@ def _(t):
     return t.documents.where(X.invalid_output(F.col("text"))).select("doc_id")
 
 
-@query("fil_12_background_words", "SELECT lang, count(*) AS n FROM documents WHERE regexp_matches(lower(text), '\\b(the|der|les|los)\\b') GROUP BY 1".replace("\\\\", "\\"))
-def _(t):
-    return t.documents.where(F.lower("text").rlike(r"\b(the|der|les|los)\b")).groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
-
-
 @query("fil_13_rare_single_label", """WITH c AS (SELECT source FROM documents GROUP BY 1 HAVING count(*) <= (SELECT avg(n) FROM (SELECT count(*) AS n FROM documents GROUP BY source))),
 m AS (SELECT md5(text) AS h FROM documents GROUP BY 1 HAVING count(DISTINCT source) = 1) SELECT doc_id, source FROM documents WHERE source IN (SELECT source FROM c) AND md5(text) IN (SELECT h FROM m)""")
 def _(t):
@@ -165,15 +160,6 @@ def _(t):
     return e.groupBy("event_type").agg(F.count_if(F.col("k").isNull()).alias("unparsed"), F.count_if(F.col("k") >= 90).alias("out_of_domain"), F.count_if(F.col("k") < 90).alias("good"))
 
 
-@query("fil_16_gate_verdict", """WITH s AS (SELECT lang, avg((n_chars > 100)::INT) AS st, avg((contains(text, '|'))::INT) AS inv, avg((contains(text, '@'))::INT) AS leak FROM documents GROUP BY 1), b AS (SELECT * FROM s WHERE lang = 'en')
-SELECT s.lang, CASE WHEN s.st < 0.95 OR s.st - b.st < -0.01 THEN 'structure' WHEN s.leak > 0.01 THEN 'leakage' WHEN s.inv - b.inv > 0.005 THEN 'invalid' WHEN s.st - b.st <= 0.005 OR s.st <= 0 THEN 'joint_f1' ELSE 'pass' END AS verdict FROM s, b""")
-def _(t):
-    s = t.documents.groupBy("lang").agg(F.avg((F.col("n_chars") > 100).cast("int")).alias("st"), F.avg(F.contains("text", F.lit("|")).cast("int")).alias("inv"), F.avg(F.contains("text", F.lit("@")).cast("int")).alias("leak"))
-    b = F.broadcast(s.where("lang = 'en'").select(F.col("st").alias("b_st"), F.col("inv").alias("b_inv")))  # one row
-    c = F.col
-    return s.join(b).select("lang", metrics.gate(c("st"), c("b_st"), c("leak"), c("inv"), c("b_inv"), c("st") - c("b_st"), c("st")).alias("verdict"))
-
-
 @query("fil_17_complete_rows", "SELECT doc_id FROM documents WHERE doc_id IS NOT NULL AND text IS NOT NULL AND lang IS NOT NULL AND source IS NOT NULL AND n_chars = length(text)")
 def _(t):
     return t.documents.na.drop().where(F.col("n_chars") == F.length("text")).select("doc_id")

@@ -252,12 +252,6 @@ def _(t):
     return t.part.where((F.size(loc) == 4) & F.forall(loc, lambda x: (x >= 0) & (x <= 999)) & (loc == asked)).select("p_partkey")
 
 
-@query("agg_19_mention_rate", r"SELECT lang, round(avg(regexp_matches(lower(text), '\bthe\b')::INT), 6) AS the, round(avg(regexp_matches(lower(text), '\bde\b')::INT), 6) AS de, round(avg(regexp_matches(text, '[0-9]')::INT), 6) AS digits FROM documents GROUP BY 1")
-def _(t):
-    rate = lambda c, n: F.round(F.avg(c.cast("int")), 6).alias(n)
-    return t.documents.groupBy("lang").agg(rate(F.lower("text").rlike(r"\bthe\b"), "the"), rate(F.lower("text").rlike(r"\bde\b"), "de"), rate(F.col("text").rlike("[0-9]"), "digits"))
-
-
 @query("agg_20_text_quality", f"""WITH p AS (SELECT q.*, role FROM ({TURNS_SQL}) q JOIN conversations USING (conv_id, turn)), a AS (SELECT conv_id, turn, w, count(*) AS n FROM (SELECT conv_id, turn, unnest(regexp_extract_all(lower(x), '[a-z0-9]+')) AS w FROM p) GROUP BY 1, 2, 3),
 b AS (SELECT conv_id, turn, w, count(*) AS n FROM (SELECT conv_id, turn, unnest(regexp_extract_all(lower(y), '[a-z0-9]+')) AS w FROM p) GROUP BY 1, 2, 3),
 s AS (SELECT conv_id, turn, sum(least(a.n, b.n)) AS s FROM a JOIN b USING (conv_id, turn, w) GROUP BY 1, 2),
@@ -326,14 +320,6 @@ def _(t):
     return M.spearman(t.lineitem, "l_quantity", "l_extendedprice")
 
 
-@query("agg_25_format_rates", r"""SELECT lang, round(avg((len(regexp_extract_all(text, '[.!?]')) <= 1)::INT), 6) AS single, round(avg(regexp_matches(lower(substr(text, 1, 40)), '(the|der|les|los)')::INT), 6) AS subject, round(avg(contains(text, '|')::INT), 6) AS piped,
-round(avg((len(regexp_extract_all(lower(text), '[a-z0-9]+')) BETWEEN 18 AND 24)::INT), 6) AS in_range FROM documents GROUP BY 1""")
-def _(t):
-    rate = lambda c, n: F.round(F.avg(c.cast("int")), 6).alias(n)
-    n = X.token_count(F.col("text"))
-    return t.documents.groupBy("lang").agg(rate(X.sentence_ends(F.col("text")) <= 1, "single"), rate(F.lower(F.substring("text", 1, 40)).rlike("(the|der|les|los)"), "subject"), rate(F.contains("text", F.lit("|")), "piped"), rate((n >= 18) & (n <= 24), "in_range"))
-
-
 @query("arr_2_greedy_extras")
 def _(t):
     truth = t.part.select("p_partkey", F.array("p_name", "p_brand", "p_type").alias("truth"))
