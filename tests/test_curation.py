@@ -105,3 +105,40 @@ def test_macro_means_of_classes(spark):
     p, c = (6 / 7, 1 / 3, 0), (6 / 8, 1, 0)
     f = [2 * x * y / (x + y) if x + y else 0 for x, y in zip(p, c)]
     assert (r["accuracy"], r["macro_p"], r["macro_r"], r["macro_f1"], r["classes"]) == (0.7, pytest.approx(sum(p) / 3, abs=1e-5), pytest.approx(sum(c) / 3, abs=1e-5), pytest.approx(sum(f) / 3, abs=1e-5), 3)
+
+
+def brute_matching(edges):
+    """Every one-to-one choice of edges."""
+    best = (0, 0)
+    stack = [(0, 0, 0, frozenset(), frozenset())]
+    while stack:
+        k, total, n, left, right = stack.pop()
+        if k == len(edges):
+            best = max(best, (total, n))
+            continue
+        i, j, s = edges[k]
+        stack.append((k + 1, total, n, left, right))
+        if i not in left and j not in right:
+            stack.append((k + 1, total + round(s * 1e9), n + 1, left | {i}, right | {j}))
+    return best
+
+
+def test_matching_is_optimal(spark):
+    from weftline.operators import assign
+
+    rng = random.Random(4)
+    edges = {k: sorted({(rng.randrange(6), rng.randrange(6)): rng.choice([0.3, 0.5, round(rng.random(), 9)]) for _ in range(rng.randrange(1, 11))}.items()) for k in range(60)}
+    edges = {k: [(i, j, s) for (i, j), s in e] for k, e in edges.items()}
+    edges[100] = [(0, 0, 0.9), (0, 1, 0.8), (1, 0, 0.85)]  # mutual best takes the 0.9 alone
+    edges[101] = [(i, (i * 5 + d) % 12, 0.5 + 0.01 * ((i * 7 + d * 3) % 11)) for i in range(12) for d in range(3)]  # more columns than the table takes
+    edges[102] = [(i, i + 50, 0.25) for i in range(40)]
+    rows = [(k, i, j, s) for k, e in edges.items() for i, j, s in e]
+    got = {r["k"]: (round(r["total"] * 1e9), r["matched"]) for r in assign.best_matching(spark.createDataFrame(rows, "k long, i int, j int, s double"), ["k"]).collect()}
+    assert got.keys() == edges.keys()
+    for k in range(60):
+        assert got[k] == brute_matching(edges[k]), edges[k]
+    assert got[100] == (1_650_000_000, 2) and got[102] == (10_000_000_000, 40)
+    score = np.zeros((12, 12))
+    for i, j, s in edges[101]:
+        score[i, j] = s
+    assert got[101][0] == round(sum(score[p] for p in assign.best_pairs(score)) * 1e9)

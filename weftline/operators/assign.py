@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -103,6 +105,66 @@ def assign(matrix: DataFrame, frame: str) -> DataFrame:
     return matrix.groupBy(frame).applyInPandas(best, matrix.select(frame, "i", "j", "s").schema)
 
 
+#: Sides of up to so many columns go through the subset table, larger ones through the Hungarian algorithm.
+MOST_COLUMNS = 8
+#: A matching's value: sums of scores in billionths, times this, plus the number of pairs.
+PAIRS_BELOW = 4096
+
+
+def _subset_best(rows: Column) -> Column:
+    """The best value of a one-to-one choice from ``rows`` (array of arrays of struct<bit, v>), one option at most from each.
+
+    The table maps a set of used columns (a bit mask) to the best value so far; each row may use a
+    free column or none. Of entries with one mask only the best goes on, so there are at most
+    2^columns of them, however many rows.
+    """
+    entry = lambda m, v: F.struct(m.alias("mask"), v.alias("v"))
+
+    def step(table: Column, options: Column) -> Column:
+        taken = F.flatten(F.transform(table, lambda t: F.transform(F.filter(options, lambda o: t["mask"].bitwiseAND(o["bit"]) == 0), lambda o: entry(t["mask"].bitwiseOR(o["bit"]), t["v"] + o["v"]))))
+        ordered = F.transform(F.array(F.array_sort(F.concat(table, taken))), lambda x: F.filter(x, lambda e, k: (k == F.size(x) - 1) | (F.get(x, k + 1)["mask"] != e["mask"])))
+        return F.get(ordered, 0)
+
+    start = F.array(entry(F.lit(0).cast("long"), F.lit(0).cast("long")))
+    return F.aggregate(rows, start, step, lambda table: F.array_max(F.transform(table, lambda t: t["v"])))
+
+
+def best_matching(edges: DataFrame, pair: list[str]) -> DataFrame:
+    """``pair``, matched, total: the one-to-one choice of edges (i, j, s) with the largest sum of scores, of equal ones that of more edges.
+
+    Exact in every case: pairs whose edges share no end need no choice; those with up to
+    MOST_COLUMNS different j are settled by a table over subsets in column functions; larger ones by
+    the Hungarian algorithm, a pair at a time. Scores count in billionths, so that sums are exact.
+    """
+    v = F.round(F.col("s") * 1e9).cast("long") * PAIRS_BELOW + 1
+    by_row = edges.select(*pair, "i", "j", v.alias("v")).groupBy(*pair, "i").agg(F.collect_list(F.struct("j", "v")).alias("options"))
+    g = by_row.groupBy(*pair).agg(F.collect_list(F.struct("i", "options")).alias("rows"))
+    columns = F.array_distinct(F.flatten(F.transform("rows", lambda r: F.transform(r["options"], lambda o: o["j"]))))
+    all_options = F.aggregate("rows", F.lit(0), lambda n, r: n + F.size(r["options"]))
+    g = g.withColumn("columns", columns).withColumn("simple", (F.size("rows") == all_options) & (F.size("columns") == all_options))
+    coded = F.transform("rows", lambda r: F.transform(r["options"], lambda o: F.struct(F.call_function("shiftleft", F.lit(1).cast("long"), (F.array_position(F.col("columns"), o["j"]) - 1).cast("int")).alias("bit"), o["v"].alias("v"))))
+    alone = F.aggregate(F.flatten(F.transform("rows", lambda r: F.transform(r["options"], lambda o: o["v"]))), F.lit(0).cast("long"), lambda a, b: a + b)
+    small = g.where(F.size("columns") <= MOST_COLUMNS).select(*pair, F.when(F.col("simple"), alone).otherwise(_subset_best(coded)).alias("best"))
+    simple = g.where((F.size("columns") > MOST_COLUMNS) & F.col("simple")).select(*pair, alone.alias("best"))
+    large = g.where((F.size("columns") > MOST_COLUMNS) & ~F.col("simple")).select(*pair, "rows")
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            best = []
+            for rows in batch.pop("rows"):
+                where = {j: k for k, j in enumerate(sorted({o["j"] for r in rows for o in r["options"]}))}
+                score = np.zeros((len(rows), len(where)))
+                for i, r in enumerate(sorted(rows, key=lambda r: r["i"])):
+                    for o in r["options"]:
+                        score[i, where[o["j"]]] = o["v"]
+                best.append(int(sum(score[x] for x in best_pairs(score))))
+            yield batch.assign(best=best)
+
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in edges.select(*pair).schema.fields)
+    done = small.unionByName(simple).unionByName(large.mapInPandas(run, f"{fields}, best long"))
+    return done.select(*pair, F.pmod("best", F.lit(PAIRS_BELOW)).alias("matched"), (F.floor(F.col("best") / PAIRS_BELOW) / 1e9).alias("total"))
+
+
 def own_and_other(matrix: DataFrame, frame: str) -> DataFrame:
     """(frame, i, own, other): the score with the own region and the best with any other."""
     return matrix.groupBy(frame, "i").agg(F.max(F.when(F.col("i") == F.col("j"), F.col("s"))).alias("own"), F.max(F.when(F.col("i") != F.col("j"), F.col("s"))).alias("other"))

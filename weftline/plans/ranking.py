@@ -255,41 +255,49 @@ def _(t):
 
 # Frames of a scene: the orders of a customer; regions: their line items, with a box and a part's name as
 # description; image hash: the sign code of a vector that the order number picks.
-FRAME_SQL = f"""WITH code AS (SELECT vec_id, code FROM ({CODE_SQL}) WHERE vec_id < 100),
-r AS (SELECT o_custkey AS scene, l_orderkey AS frame, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice)::INT AS pos, list_distinct(regexp_extract_all(lower(p_name), '[a-z0-9]+')) AS w, x1, y1, x2, y2, code
-  FROM ({BOX_SQL.replace('l_partkey,', 'l_partkey, l_suppkey, l_extendedprice,', 1)}) JOIN orders ON o_orderkey = l_orderkey JOIN part ON p_partkey = l_partkey LEFT JOIN code ON vec_id = o_orderkey % 100),
-m AS (SELECT a.frame AS a, b.frame AS b, a.pos AS i, b.pos AS j, bit_count(xor(a.code, b.code)) AS d, 2.0::DOUBLE * len(list_intersect(a.w, b.w)) / greatest(len(a.w) + len(b.w), 1) AS text,
+FRAME_SQL = f"""WITH RECURSIVE code AS (SELECT vec_id, code FROM ({CODE_SQL})), nv AS (SELECT count(*) AS nv FROM embeddings),
+r AS (SELECT o_custkey AS scene, l_orderkey AS frame, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice)::INT AS pos, list_distinct(regexp_extract_all(lower(p_name), '[a-z0-9]+')) AS w, x1, y1, x2, y2
+  FROM ({BOX_SQL.replace('l_partkey,', 'l_partkey, l_suppkey, l_extendedprice,', 1)}) JOIN orders ON o_orderkey = l_orderkey JOIN part ON p_partkey = l_partkey),
+fr AS (SELECT scene, frame, n, code FROM (SELECT scene, frame, count(*) AS n FROM r GROUP BY 1, 2), nv LEFT JOIN code ON vec_id = frame % nv),
+fp AS (SELECT x.frame AS a, y.frame AS b, greatest(x.n, y.n) AS n, bit_count(xor(x.code, y.code)) AS d FROM fr x JOIN fr y ON x.scene = y.scene AND x.frame < y.frame),
+m AS (SELECT a.frame AS a, b.frame AS b, a.pos AS i, b.pos AS j, 2.0::DOUBLE * len(list_intersect(a.w, b.w)) / greatest(len(a.w) + len(b.w), 1) AS text,
   greatest(least(a.x2, b.x2) - greatest(a.x1, b.x1), 0) * greatest(least(a.y2, b.y2) - greatest(a.y1, b.y1), 0) AS inter, (a.x2 - a.x1) * (a.y2 - a.y1) + (b.x2 - b.x1) * (b.y2 - b.y1) AS areas FROM r a JOIN r b ON a.scene = b.scene AND a.frame < b.frame),
-s AS (SELECT a, b, i, j, d, round(0.5 * text + 0.5 * inter / (areas - inter), 9) AS s FROM m),
-k AS (SELECT *, row_number() OVER (PARTITION BY a, b, i ORDER BY s DESC, j) AS ri, row_number() OVER (PARTITION BY a, b, j ORDER BY s DESC, i) AS rj FROM s),
-g AS (SELECT a, b, max(i) AS na, max(j) AS nb, any_value(d) AS d, count(*) FILTER (ri = 1 AND rj = 1 AND s >= 0.3) AS matched, coalesce(sum(s) FILTER (ri = 1 AND rj = 1 AND s >= 0.3), 0) AS total FROM k GROUP BY 1, 2),
-f AS (SELECT a, b, matched, round(matched / greatest(na, nb), 6) AS coverage, round(0.5 * total / greatest(na, nb) + 0.2 * matched / greatest(na, nb) + 0.3 * (1 - coalesce(d, 63) / 63), 6)::DOUBLE AS score FROM g)"""
+s AS (SELECT a, b, i, j, round(0.5 * text + 0.5 * inter / (areas - inter), 9) AS s FROM m),
+e AS MATERIALIZED (SELECT a, b, dense_rank() OVER (PARTITION BY a, b ORDER BY i) AS ri, 1 << (dense_rank() OVER (PARTITION BY a, b ORDER BY j) - 1) AS bit, round(s * 1e9)::BIGINT * 4096 + 1 AS v FROM s WHERE s >= 0.3),
+nr AS MATERIALIZED (SELECT a, b, max(ri) AS last FROM e GROUP BY 1, 2),
+tb AS (SELECT a, b, 0::BIGINT AS ri, 0::BIGINT AS mask, 0::BIGINT AS v FROM nr UNION ALL SELECT a, b, ri, mask, max(v)::BIGINT FROM (SELECT tb.a, tb.b, tb.ri + 1 AS ri, mask, v FROM tb JOIN nr ON nr.a = tb.a AND nr.b = tb.b WHERE tb.ri < last
+  UNION ALL SELECT tb.a, tb.b, e.ri, mask | bit, tb.v + e.v FROM tb JOIN e ON e.a = tb.a AND e.b = tb.b AND e.ri = tb.ri + 1 WHERE mask & bit = 0) GROUP BY 1, 2, 3, 4),
+bm AS (SELECT a, b, max(v) % 4096 AS matched, (max(v) // 4096) / 1e9 AS total FROM tb GROUP BY 1, 2),
+f AS (SELECT a, b, coalesce(matched, 0)::BIGINT AS matched, round(coalesce(matched, 0) / n, 6) AS coverage, round(0.5 * coalesce(total, 0) / n + 0.2 * coalesce(matched, 0) / n + 0.3 * (1 - coalesce(d, 63) / 63), 6)::DOUBLE AS score FROM fp LEFT JOIN bm USING (a, b))"""
 
 
 def frame_scores(t):
     """(a, b, matched, coverage, score) of all frame pairs of a scene.
 
-    Region pairs weigh words and overlap alike; two regions match if each is the other's best (ties:
-    the first) at 0.3 or more, which is one to one. A frame pair weighs its matched regions, their
-    coverage of the larger frame, and the distance of the image hashes.
+    Region pairs weigh words and overlap alike; regions are assigned one to one so that the sum of
+    scores of at least 0.3 is largest. A frame pair weighs its matched regions, their coverage of the
+    larger frame, and the distance of the image hashes.
     """
-    code = t.embeddings.where("vec_id < 100").select("vec_id", X.sign_code(F.col("embedding")).alias("code"))
+    codes = t.embeddings.select("vec_id", X.sign_code(F.col("embedding")).alias("code"))
+    count = t.embeddings.agg(F.count(F.lit(1)).alias("nv"))
     x1, y1 = F.col("l_quantity") * 20, F.col("l_discount") * 5000
     box = F.struct(x1.alias("x1"), y1.alias("y1"), (x1 + F.col("l_extendedprice") / 200).alias("x2"), (y1 + F.col("l_tax") * 4000 + 10).alias("y2"))
     pos = F.row_number().over(W.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice"))
     lines = t.lineitem.select("l_orderkey", "l_partkey", box.alias("box"), pos.alias("pos"))
     names = t.part.select("p_partkey", F.array_distinct(X.tokens(F.col("p_name"))).alias("w"))
-    frames = t.orders.select("o_custkey", "o_orderkey", (F.col("o_orderkey") % 100).alias("k")).join(code, F.col("k") == F.col("vec_id"), "left")
-    r = lines.join(names, F.col("l_partkey") == F.col("p_partkey")).join(frames, F.col("l_orderkey") == F.col("o_orderkey"))
-    r = r.select(F.col("o_custkey").alias("scene"), F.col("o_orderkey").alias("frame"), "pos", "w", "box", "code")
+    r = lines.join(names, F.col("l_partkey") == F.col("p_partkey")).join(t.orders.select("o_custkey", "o_orderkey"), F.col("l_orderkey") == F.col("o_orderkey"))
+    r = r.select(F.col("o_custkey").alias("scene"), F.col("o_orderkey").alias("frame"), "pos", "w", "box")
+    frames = r.groupBy("scene", "frame").agg(F.count(F.lit(1)).alias("n")).join(F.broadcast(count))  # one row
+    frames = frames.join(codes, F.pmod("frame", "nv") == F.col("vec_id"), "left").select("scene", "frame", "n", "code")
+    x, y = frames.alias("x"), frames.alias("y")
+    pairs = x.join(y, (F.col("x.scene") == F.col("y.scene")) & (F.col("x.frame") < F.col("y.frame")))
+    pairs = pairs.select(F.col("x.frame").alias("a"), F.col("y.frame").alias("b"), F.greatest("x.n", "y.n").alias("n"), X.hamming(F.col("x.code"), F.col("y.code")).alias("d"))
     a, b = r.alias("l"), r.alias("r")
-    m = a.join(b, (F.col("l.scene") == F.col("r.scene")) & (F.col("l.frame") < F.col("r.frame")))
     dice = 2.0 * F.size(F.array_intersect("l.w", "r.w")) / F.greatest(F.size("l.w") + F.size("r.w"), F.lit(1))
     s = F.round(0.5 * dice + 0.5 * G.iou(F.col("l.box"), F.col("r.box")), 9)
-    m = m.select(F.col("l.frame").alias("a"), F.col("r.frame").alias("b"), F.col("l.pos").alias("i"), F.col("r.pos").alias("j"), X.hamming(F.col("l.code"), F.col("r.code")).alias("d"), s.alias("s"))
-    first = lambda by, other: F.row_number().over(W.partitionBy("a", "b", by).orderBy(F.desc("s"), other)) == 1
-    m = m.withColumn("mine", first("i", "j")).withColumn("ok", first("j", "i") & F.col("mine") & (F.col("s") >= 0.3))
-    g = m.groupBy("a", "b").agg(F.greatest(F.max("i"), F.max("j")).alias("n"), F.first("d").alias("d"), F.count_if("ok").alias("matched"), F.coalesce(F.sum(F.when(F.col("ok"), F.col("s"))), F.lit(0.0)).alias("total"))
+    edges = a.join(b, (F.col("l.scene") == F.col("r.scene")) & (F.col("l.frame") < F.col("r.frame")) & (s >= 0.3))  # only edges leave the join
+    edges = edges.select(F.col("l.frame").alias("a"), F.col("r.frame").alias("b"), F.col("l.pos").alias("i"), F.col("r.pos").alias("j"), s.alias("s"))
+    g = pairs.join(assign.best_matching(edges, ["a", "b"]), ["a", "b"], "left").withColumns({"matched": F.coalesce("matched", F.lit(0)).cast("long"), "total": F.coalesce("total", F.lit(0.0))})
     coverage = F.col("matched") / F.col("n")
     score = 0.5 * F.col("total") / F.col("n") + 0.2 * coverage + 0.3 * (1 - F.coalesce("d", F.lit(63)) / 63)
     return g.select("a", "b", "matched", F.round(coverage, 6).alias("coverage"), F.round(score, 6).alias("score"))
