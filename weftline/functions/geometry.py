@@ -78,3 +78,18 @@ def lab(r: Column, g: Column, b: Column) -> tuple[Column, Column, Column]:
 def ab_bin(x: Column, bins: int = 128) -> Column:
     """The bin of an a* or b* value from -128 to 128."""
     return F.least(F.greatest(F.floor((F.round(x, 9) + 128) * (bins / 256)), F.lit(0)), F.lit(bins - 1)).cast("long")
+
+
+def chroma(a: Column, b: Column) -> Column:
+    return F.sqrt(a * a + b * b)
+
+
+def hue(a: Column, b: Column) -> Column:
+    """The angle of a colour in the a*b* plane, in degrees from 0 to 360."""
+    return F.round(F.pmod(F.degrees(F.atan2(b, a)), F.lit(360.0)), 9)
+
+
+def hue_distance(x: Column, y: Column) -> Column:
+    """Between two hues on the circle: 350 and 10 degrees are 20 apart."""
+    d = F.abs(x - y)
+    return F.least(d, F.lit(360.0) - d)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from weftline.functions import geometry as G
 from weftline.functions import text as X
+from weftline.operators import colours
 from weftline.operators import metrics as M
 from weftline.plans.base import query
 from weftline.plans.scalars import DICE_SQL, TURNS_SQL, turns
@@ -162,18 +163,6 @@ def _(t):
     return purity(t).groupBy(v.alias("verdict")).agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("fil_8_peak_gate", f"WITH {PURITY_SQL} SELECT (effective <= 1 OR main > 0.85) AS pure, count(*) AS n FROM u GROUP BY 1")
-def _(t):
-    return purity(t).groupBy(((F.col("effective") <= 1) | (F.col("main") > 0.85)).alias("pure")).agg(F.count(F.lit(1)).alias("n"))
-
-
-HIST_SQL = "h AS (SELECT floor(l_discount * 100)::BIGINT AS a, floor(l_tax * 100)::BIGINT AS b, count(*) AS n FROM lineitem GROUP BY 1, 2)"
-
-
-def histogram(t):
-    return t.lineitem.groupBy(F.floor(F.col("l_discount") * 100).alias("a"), F.floor(F.col("l_tax") * 100).alias("b")).agg(F.count(F.lit(1)).alias("n"))
-
-
 LAB_SQL = """p AS (SELECT l_suppkey % 20 AS roi, l_quantity * 5 AS r, l_discount * 2550 AS g, l_tax * 3100 AS b FROM lineitem),
 l AS (SELECT roi, list_transform([r, g, b], lambda c: CASE WHEN least(greatest(c, 0), 255) / 255 <= 0.04045 THEN least(greatest(c, 0), 255) / 255 / 12.92 ELSE pow((least(greatest(c, 0), 255) / 255 + 0.055::DOUBLE) / 1.055::DOUBLE, 2.4::DOUBLE) END) AS c FROM p),
 x AS (SELECT roi, list_transform([(c[1] * 0.4124564::DOUBLE + c[2] * 0.3575761::DOUBLE + c[3] * 0.1804375::DOUBLE) / 0.95047::DOUBLE, c[1] * 0.2126729::DOUBLE + c[2] * 0.7151522::DOUBLE + c[3] * 0.0721750::DOUBLE, (c[1] * 0.0193339::DOUBLE + c[2] * 0.1191920::DOUBLE + c[3] * 0.9503041::DOUBLE) / 1.08883::DOUBLE],
@@ -182,58 +171,93 @@ h AS (SELECT roi, least(greatest(floor((round(500 * (f[1] - f[2]), 9) + 128) * 0
 PEAK_SQL = LAB_SQL + """, d AS (SELECT * FROM range(-1, 2) i(da), range(-1, 2) j(db)), s AS (SELECT roi, a + da AS a, b + db AS b, sum(n * CASE abs(da) + abs(db) WHEN 0 THEN 4 WHEN 1 THEN 2 ELSE 1 END)::BIGINT AS s FROM h, d GROUP BY 1, 2, 3),
 top AS (SELECT x.roi, x.a, x.b, x.s FROM s x WHERE NOT EXISTS (SELECT 1 FROM s y WHERE y.roi = x.roi AND abs(y.a - x.a) <= 1 AND abs(y.b - x.b) <= 1 AND (y.s > x.s OR (y.s = x.s AND (y.a, y.b) < (x.a, x.b))))),
 peaks AS (SELECT x.* FROM top x WHERE NOT EXISTS (SELECT 1 FROM top y WHERE y.roi = x.roi AND abs(y.a - x.a) <= 4 AND abs(y.b - x.b) <= 4 AND (y.s > x.s OR (y.s = x.s AND (y.a, y.b) < (x.a, x.b)))))"""
-#: Reach of smoothing and of the merge of near peaks, in bins.
-NEAR_BINS, MERGE_BINS = 1, 4
 
 
-def lab_histogram(t):
-    """Line items as pixels of a region (20 of them), in bins of the a*b* plane."""
-    lab = G.lab(F.col("l_quantity") * 5, F.col("l_discount") * 2550, F.col("l_tax") * 3100)
-    return t.lineitem.groupBy((F.col("l_suppkey") % 20).alias("roi"), G.ab_bin(lab[1]).alias("a"), G.ab_bin(lab[2]).alias("b")).agg(F.count(F.lit(1)).alias("n"))
+def pixels(t):
+    """Line items as pixels of 20 regions."""
+    return t.lineitem.select((F.col("l_suppkey") % 20).alias("roi"), (F.col("l_quantity") * 5).alias("r"), (F.col("l_discount") * 2550).alias("g"), (F.col("l_tax") * 3100).alias("b"))
 
 
-def square(reach: int):
-    return F.array(*[F.struct(F.lit(x).alias("x"), F.lit(y).alias("y")) for x in range(-reach, reach + 1) for y in range(-reach, reach + 1)])
+@query("prj_13_histogram_peaks", f"WITH {PEAK_SQL} SELECT roi, a, b, s FROM peaks")
+def _(t):
+    return colours.peaks(colours.ab_histogram(pixels(t)))
 
 
-def highest(bins, reach: int):
-    """Bins that no bin within ``reach`` outweighs (ties: the smaller bin): shifted copies and an aggregate, no theta join."""
-    key = F.struct(F.col("s").alias("s"), (-F.col("a")).alias("na"), (-F.col("b")).alias("nb"))
-    spread = bins.select("roi", "a", "b", key.alias("key"), F.explode(square(reach)).alias("d"))
-    best = spread.groupBy("roi", (F.col("a") + F.col("d.x")).alias("a"), (F.col("b") + F.col("d.y")).alias("b")).agg(F.max("key").alias("best"))
-    return bins.join(best, ["roi", "a", "b"]).where((F.col("best.na") == -F.col("a")) & (F.col("best.nb") == -F.col("b"))).select("roi", "a", "b", "s")
+@query("prj_13_purity", f"""WITH {PEAK_SQL}, m AS (SELECT roi, arg_max({{'a': a, 'b': b}}, (s, -a, -b)) AS p, count(*) AS peaks FROM peaks GROUP BY 1)
+SELECT h.roi, any_value(peaks) AS peaks, round(sum(n) FILTER (abs(a - p.a) <= 4 AND abs(b - p.b) <= 4) / sum(n), 6) AS purity, (any_value(peaks) <= 1 OR sum(n) FILTER (abs(a - p.a) <= 4 AND abs(b - p.b) <= 4) / sum(n) > 0.85) AS pure FROM h JOIN m ON m.roi = h.roi GROUP BY 1""")
+def _(t):
+    """Purity: the share of pixels within reach of the highest peak; pure if there is one peak or it holds most."""
+    g = colours.purity(colours.ab_histogram(pixels(t)))
+    return g.select("roi", "peaks", F.round("u", 6).alias("purity"), ((F.col("peaks") <= 1) | (F.col("u") > 0.85)).alias("pure"))
 
 
-def lab_peaks(t):
-    """Smoothed bins, their local peaks, and of near peaks the highest."""
-    spread = lab_histogram(t).select("roi", "a", "b", "n", F.explode(square(NEAR_BINS)).alias("d"))
-    weight = F.element_at(F.array(F.lit(4), F.lit(2), F.lit(1)), F.abs("d.x") + F.abs("d.y") + 1)
-    smooth = spread.groupBy("roi", (F.col("a") + F.col("d.x")).alias("a"), (F.col("b") + F.col("d.y")).alias("b")).agg(F.sum(F.col("n") * weight).cast("long").alias("s"))
-    return highest(highest(smooth, NEAR_BINS), MERGE_BINS)
+# Orders as pixels of 50 regions: five colours and greys, each in four lights. Bins are coarse, with lightness (116 * fy - 16).
+PALETTE = ((200, 30, 30), (30, 30, 200), (30, 160, 60), (230, 220, 60), (20, 20, 20))
+PALETTE_SQL = "pal(colour, r, g, b) AS (VALUES " + ", ".join(str((i, *p)) for i, p in enumerate(PALETTE)) + ")"
+CLUSTER_SQL = f"""{PALETTE_SQL}, sh AS (SELECT o_custkey % 50 AS roi, ascii(o_orderpriority) % 5 AS colour, o_orderstatus = 'P' AS grey, (20 - 3 * (o_orderkey % 4)) / 20.0::DOUBLE AS light, 255 - 75 * (o_orderkey % 4) AS level FROM orders),
+p AS (SELECT roi, (CASE WHEN grey THEN level ELSE r * light END)::DOUBLE AS r, (CASE WHEN grey THEN level ELSE g * light END)::DOUBLE AS g, (CASE WHEN grey THEN level ELSE b * light END)::DOUBLE AS b FROM sh JOIN pal USING (colour)),""" + LAB_SQL[LAB_SQL.index("l AS (SELECT roi") : LAB_SQL.index("h AS (")] + """q AS (SELECT roi, least(greatest(floor(round(116 * f[2] - 16, 9) * 0.08::DOUBLE), 0), 7)::BIGINT AS l, least(greatest(floor((round(500 * (f[1] - f[2]), 9) + 128) * 0.125), 0), 31)::BIGINT AS a,
+  least(greatest(floor((round(200 * (f[2] - f[3]), 9) + 128) * 0.125), 0), 31)::BIGINT AS b FROM x),
+k AS (SELECT roi, (l * 32 + a) * 32 + b AS cluster, l, a, b, count(*) AS n FROM q GROUP BY ALL),
+z AS MATERIALIZED (SELECT *, sqrt(pow((a + 0.5) * 8 - 128, 2) + pow((b + 0.5) * 8 - 128, 2)) < 10 AS neutral, round((degrees(atan2((b + 0.5) * 8 - 128, (a + 0.5) * 8 - 128)) + 360) % 360, 9) AS hue FROM k)"""
 
 
-@query("prj_13_histogram_peaks", f"WITH {PEAK_SQL} SELECT roi, a, b, s FROM peaks")
+def palette(colour):
+    return F.element_at(F.array(*[F.struct(*[F.lit(float(v)).alias(c) for c, v in zip("rgb", p, strict=True)]) for p in PALETTE]), colour.cast("int") + 1)
+
+
+@query("prj_14_shadow_merge", f"""WITH RECURSIVE {CLUSTER_SQL}, e AS MATERIALIZED (SELECT x.roi, x.cluster AS u, y.cluster AS v FROM z x JOIN z y ON x.roi = y.roi AND x.cluster <> y.cluster AND x.neutral = y.neutral WHERE CASE WHEN x.neutral THEN x.l = y.l
+  ELSE abs(x.a - y.a) <= 2 AND abs(x.b - y.b) <= 2 AND least(abs(x.hue - y.hue), 360 - abs(x.hue - y.hue)) <= 15 END),
+w AS (SELECT roi, cluster AS u, cluster AS v FROM z UNION SELECT w.roi, w.u, e.v FROM w JOIN e ON e.roi = w.roi AND e.u = w.v), c AS (SELECT roi, u AS cluster, min(v) AS colour FROM w GROUP BY 1, 2),
+g AS (SELECT roi, colour, any_value(neutral) AS neutral, count(*) AS members, sum(n)::BIGINT AS n FROM z JOIN c USING (roi, cluster) GROUP BY 1, 2)
+SELECT roi, colour, CASE WHEN neutral THEN 'neutral' ELSE 'chromatic' END AS kind, members, n, round(n / sum(n) OVER (PARTITION BY roi), 6) AS share FROM g""")
 def _(t):
-    return lab_peaks(t)
+    """One colour in light and in shadow counts once; black, grey and white stay apart."""
+    grey, at = F.col("o_orderstatus") == "P", F.pmod("o_orderkey", F.lit(4))
+    light, level = (20 - 3 * at) / 20.0, (255 - 75 * at).cast("double")
+    rows = t.orders.select(F.pmod("o_custkey", F.lit(50)).alias("roi"), palette(F.pmod(F.ascii("o_orderpriority"), F.lit(5))).alias("p"), grey.alias("grey"), light.alias("light"), level.alias("level"))
+    shaded = rows.select("roi", *[F.when(F.col("grey"), F.col("level")).otherwise(F.col(f"p.{c}") * F.col("light")).alias(c) for c in "rgb"])
+    return colours.shadow_merge(colours.colour_clusters(shaded))
 
 
-@query("prj_13_purity", f"""WITH {PEAK_SQL}, m AS (SELECT roi, arg_max({{'a': a, 'b': b}}, (s, -a, -b)) AS p, count(*) AS peaks FROM peaks GROUP BY 1)
-SELECT h.roi, any_value(peaks) AS peaks, round(sum(n) FILTER (abs(a - p.a) <= 4 AND abs(b - p.b) <= 4) / sum(n), 6) AS purity, (any_value(peaks) <= 1 OR sum(n) FILTER (abs(a - p.a) <= 4 AND abs(b - p.b) <= 4) / sum(n) > 0.85) AS pure FROM h JOIN m ON m.roi = h.roi GROUP BY 1""")
+# Orders as pixels of regions of 16 by 16: plain, striped, checked, or coloured by what the order is.
+GRID_SQL = """gp AS (SELECT o_orderkey // 256 AS roi, (o_orderkey // 16) % 16 AS y, o_orderkey % 16 AS x, CASE (o_orderkey // 256) % 4 WHEN 0 THEN 0 WHEN 1 THEN (o_orderkey % 16) // 3 % 2 WHEN 2 THEN (o_orderkey % 16) // 2 % 2 + 2 * ((o_orderkey // 16) % 16 // 4 % 2)
+  ELSE ascii(o_orderpriority) % 5 END::BIGINT AS colour FROM orders), """ + PALETTE_SQL
+
+
+def _axis_sql(line: str, along: str) -> str:
+    """Runs by a change flag and its running sum; the most common inner length, the shorter of equal ones."""
+    return f"""{along}1 AS (SELECT *, coalesce((colour <> lag(colour) OVER o)::INT, 1) AS c FROM gp WINDOW o AS (PARTITION BY roi, {line} ORDER BY {along})),
+{along}2 AS (SELECT roi, {line}, run, count(*) AS n FROM (SELECT *, sum(c) OVER (PARTITION BY roi, {line} ORDER BY {along}) AS run FROM {along}1) GROUP BY 1, 2, 3),
+{along}3 AS (SELECT roi, n, run > 1 AND run < max(run) OVER (PARTITION BY roi, {line}) AS inside FROM {along}2), {along}4 AS (SELECT roi, n, count(*) FILTER (inside) AS k, count(*) AS m FROM {along}3 GROUP BY 1, 2),
+{along}5 AS (SELECT roi, sum(m) AS m, sum(k) AS k, max(k) AS best, arg_max(n, (k, -n)) AS length FROM {along}4 GROUP BY 1),
+{along}6 AS (SELECT roi, round(m / lines - 1, 6) AS {along}_changes, CASE WHEN k > 0 THEN 2 * length END AS {along}_period, round(CASE WHEN k > 0 THEN best / k ELSE 0 END, 6) AS {along}_regular FROM {along}5 JOIN (SELECT roi, count(DISTINCT {line}) AS lines FROM gp GROUP BY 1) USING (roi))"""
+
+
+TEXTURE_SQL = f"""{GRID_SQL}, {_axis_sql('y', 'x')}, {_axis_sql('x', 'y')}, tx AS (SELECT roi, x_changes, x_period, x_regular, y_changes, y_period, y_regular, CASE WHEN x_changes < 0.5 AND y_changes < 0.5 THEN 'plain' WHEN x_changes >= 0.5 AND x_regular >= 0.75 AND x_period >= 4 AND y_changes >= 0.5 AND y_regular >= 0.75 AND y_period >= 4 THEN 'plaid'
+WHEN (x_changes >= 0.5 AND x_regular >= 0.75 AND x_period >= 4 AND y_changes < 0.5) OR (y_changes >= 0.5 AND y_regular >= 0.75 AND y_period >= 4 AND x_changes < 0.5) THEN 'stripe' ELSE 'mixed' END AS texture FROM x6 JOIN y6 USING (roi))"""
+
+
+def grid(t):
+    key = F.col("o_orderkey")
+    roi, y, x = F.floor(key / 256), F.pmod(F.floor(key / 16), F.lit(16)), F.pmod(key, F.lit(16))
+    check = F.pmod(F.floor(x / 2), F.lit(2)) + 2 * F.pmod(F.floor(y / 4), F.lit(2))
+    kind = F.pmod(roi, F.lit(4))
+    colour = F.when(kind == 0, 0).when(kind == 1, F.pmod(F.floor(x / 3), F.lit(2))).when(kind == 2, check).otherwise(F.pmod(F.ascii("o_orderpriority"), F.lit(5))).cast("long")
+    return t.orders.select(roi.alias("roi"), y.alias("y"), x.alias("x"), colour.alias("colour"), palette(colour).alias("p")).select("roi", "y", "x", "colour", "p.*")
+
+
+@query("win_11_textures", f"WITH {TEXTURE_SQL} SELECT * FROM tx")
 def _(t):
-    """Purity: the share of pixels within reach of the highest peak; pure if there is one peak or it holds most."""
-    key = F.struct("s", (-F.col("a")).alias("na"), (-F.col("b")).alias("nb"))
-    main = lab_peaks(t).groupBy(F.col("roi").alias("r")).agg(F.max(key).alias("p"), F.count(F.lit(1)).alias("peaks"))
-    j = lab_histogram(t).join(main, F.col("roi") == F.col("r"))
-    mine = (F.abs(F.col("a") + F.col("p.na")) <= MERGE_BINS) & (F.abs(F.col("b") + F.col("p.nb")) <= MERGE_BINS)
-    g = j.groupBy("roi").agg(F.first("peaks").alias("peaks"), (F.sum(F.when(mine, F.col("n"))) / F.sum("n")).alias("u"))
-    return g.select("roi", "peaks", F.round("u", 6).alias("purity"), ((F.col("peaks") <= 1) | (F.col("u") > 0.85)).alias("pure"))
+    """Stripes and plaids by the lengths of runs along rows and columns."""
+    return colours.textures(grid(t))
 
 
-@query("prj_14_shadow_merge", f"WITH {HIST_SQL} SELECT CASE WHEN a <= 1 THEN 'neutral' ELSE 'chromatic' END AS kind, CASE WHEN a <= 1 THEN b ELSE a // 3 END AS cluster, sum(n)::BIGINT AS n FROM h GROUP BY 1, 2")
+@query("fil_8_peak_gate", f"""WITH {TEXTURE_SQL}, {PEAK_SQL.replace(PEAK_SQL[: PEAK_SQL.index("l AS (SELECT roi")], "p AS (SELECT roi, r, g, b FROM gp JOIN pal USING (colour))," + chr(10))}, m AS (SELECT roi, arg_max({{'a': a, 'b': b}}, (s, -a, -b)) AS p, count(*) AS peaks FROM peaks GROUP BY 1),
+u AS (SELECT h.roi, any_value(peaks) AS peaks, sum(n) FILTER (abs(a - p.a) <= 4 AND abs(b - p.b) <= 4) / sum(n) AS u FROM h JOIN m ON m.roi = h.roi GROUP BY 1)
+SELECT roi, peaks, round(u, 6) AS purity, texture, CASE WHEN peaks <= 1 OR u > 0.85 THEN 'pure' ELSE 'multi' END AS verdict, CASE WHEN peaks <= 1 OR u > 0.85 THEN 0 WHEN texture IN ('stripe', 'plaid') THEN 0.3 ELSE 0.6 END::DOUBLE AS penalty FROM u JOIN tx USING (roi)""")
 def _(t):
-    """Neutral bins keep their lightness; chromatic ones merge with near hues whatever their lightness."""
-    neutral = F.col("a") <= 1
-    return histogram(t).groupBy(F.when(neutral, "neutral").otherwise("chromatic").alias("kind"), F.when(neutral, F.col("b")).otherwise(F.floor(F.col("a") / 3)).alias("cluster")).agg(F.sum("n").alias("n"))
+    """Pure by peaks and purity; the penalty of many colours depends on the texture."""
+    return colours.peak_gate(grid(t))
 
 
 @query("prj_12_weighted_similarity", "SELECT a.p_partkey, round(0.5 * (a.p_type = b.p_type)::INT + 0.3 * (a.p_brand = b.p_brand)::INT + 0.2 * (1 - abs(a.p_size - b.p_size) / 50), 6)::DOUBLE AS score FROM part a JOIN part b ON b.p_partkey = a.p_partkey + 1")
