@@ -142,3 +142,67 @@ def test_matching_is_optimal(spark):
     for i, j, s in edges[101]:
         score[i, j] = s
     assert got[101][0] == round(sum(score[p] for p in assign.best_pairs(score)) * 1e9)
+
+
+def test_rarity_and_coverage(spark):
+    rng = random.Random(8)
+    rows = [(i, [rng.choice("abcdefghijklmnop") for _ in range(rng.randrange(0, 5))] + ([None] if i % 7 == 0 else [])) for i in range(80)] + [(200, None), (201, [])]
+    df = spark.createDataFrame(rows, "k long, v array<string>")
+    sets = {k: set(v or []) - {None} for k, v in rows}
+    freq = {x: sum(x in s for s in sets.values()) for s in sets.values() for x in s}
+    got = {r["k"]: r["rarity"] for r in splits.rarity(df, "k", "v").collect()}
+    assert got == {k: pytest.approx(sum(1 / freq[x] for x in s), abs=1e-8) for k, s in sets.items()}
+    open_, picks = set(freq), {}
+    while open_:
+        k = min(sets, key=lambda k: (-len(sets[k] & open_), k))
+        picks[k] = len(sets[k] & open_)
+        open_ -= sets[k]
+    assert {r["k"]: r["gain"] for r in splits.coverage_order(df, "k", "v").collect()} == picks
+    some = splits.diverse_subset(df, "k", "v", 3).orderBy("rk").collect()
+    assert [r["k"] for r in some] == sorted(picks, key=lambda k: (-picks[k], k))[:3]
+    assert splits.diverse_subset(df, "k", "v", 500).count() == 82 and splits.coverage_order(df.where("false"), "k", "v").count() == 0
+
+
+def test_review_merge_reconciles(spark):
+    from weftline.operators import review
+
+    rng = random.Random(9)
+    rows = [(i, rng.choice(["test", "train", "train"]), rng.choice(["reviewed", "reviewed", "rejected", "duplicate", "uncertain", "unreviewed"]), rng.choice(["regular", "second"]), rng.randrange(60)) for i in range(400)]
+    edges = {(a, b) for a, b in ((rng.randrange(400), rng.randrange(400)) for _ in range(150)) if a < b}
+    df = spark.createDataFrame(rows, "k long, split string, state string, origin string, content long")
+    merged = review.merge(df, "k", spark.createDataFrame([*edges], "a long, b long"), F.col("content"))
+    got = {r["k"]: r for r in merged.collect()}
+    place = {k: r["place"] for k, r in got.items()}
+    assert len(got) == 400
+    for k, split, state, origin, _ in rows:
+        r = got[k]
+        if state in ("duplicate", "rejected"):
+            assert (r["place"], r["rule"]) == ("removed", state)
+        elif state != "reviewed" and r["rule"] is None:
+            assert r["place"] == split
+        elif state == "reviewed" and origin == "regular" and r["rule"] == "reviewed":
+            assert r["place"] == "test"
+    halves = [r for r in got.values() if r["state"] == "reviewed" and r["origin"] == "second"]
+    assert sum(r["rule"] in ("halved", "leakage", "conflict") for r in halves) == len(halves)
+    assert not any({place[a], place[b]} == {"test", "train"} for a, b in edges)  # no pair crosses
+    content = {k: c for k, *_, c in rows}
+    trained = {content[k] for k, r in got.items() if r["place"] == "train" and r["rule"] == "halved"}
+    assert not any(r["place"] == "test" and content[k] in trained for k, r in got.items())
+    assert {r["rule"] for r in got.values()} == {*review.STEPS, None}
+    steps = sorted(review.ledger(merged).collect(), key=lambda r: r["step"])
+    assert [r["rule"] for r in steps] == list(review.STEPS) and steps[0]["rows_in"] == 400
+    for a, b in zip(steps, steps[1:]):
+        assert a["rows_in"] - a["removed"] == a["rows_out"] == b["rows_in"]
+    assert steps[-1]["rows_out"] == sum(p != "removed" for p in place.values()) and sum(r["claimed"] for r in steps) == sum(r["rule"] is not None for r in got.values())
+
+
+def test_violations_are_found(spark, tmp_path):
+    """FIL-3 and JOI-10 on tables with planted violations; on the given tables they have no rows."""
+    from weftline.plans import registry
+
+    turns = [("a", 0, "user", "x"), ("a", 1, "assistant", "y"), ("b", 0, "user", "x"), ("b", 1, "assistant", None), ("c", 0, "user", "x"), ("c", 2, "assistant", "y")]
+    spark.createDataFrame(turns, "conv_id string, turn long, role string, text string").write.parquet(str(tmp_path / "conversations.parquet"))
+    assert {r["conv_id"]: (r["boxes"], r["descriptions"]) for r in registry.QUERIES["fil_3_consistency"](spark, str(tmp_path)).collect()} == {"b": (2, 1), "c": (2, 2)}
+    spark.createDataFrame([(1,), (2,)], "doc_id long").write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(2,), (3,)], "doc_id long").write.parquet(str(tmp_path / "labels.parquet"))
+    assert [r["doc_id"] for r in registry.QUERIES["joi_10_subset_invariant"](spark, str(tmp_path)).collect()] == [3]

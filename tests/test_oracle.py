@@ -148,6 +148,26 @@ def digest(duck):
     return ["n", "digest"], [(table.num_rows, hashlib.sha256(str(total).encode()).hexdigest())]
 
 
+def diverse(duck):
+    rows = {}
+    for k, name, kind, size in duck.sql("SELECT p_partkey, p_name, p_type, p_size FROM part").fetchall():
+        v = {*name.split(" "), kind, *(["large"] if size >= 40 else ["tiny"] if size <= 5 else [])}
+        rows[k] = v | {f"{x}+{y}" for x in v for y in v if x < y}
+    freq = {}
+    for v in rows.values():
+        for x in v:
+            freq[x] = freq.get(x, 0) + 1
+    rarity = {k: round(sum(1 / freq[x] for x in v), 9) for k, v in rows.items()}
+    open_, picks = {x for v in rows.values() for x in v}, {}
+    while open_:  # one after another
+        k = min(rows, key=lambda k: (-len(rows[k] & open_), k))
+        picks[k] = len(rows[k] & open_)
+        open_ -= rows[k]
+    rest = sorted(rows.keys() - picks.keys(), key=lambda k: (-rarity[k], hashlib.md5(f"weftline|{k}".encode()).hexdigest(), k))
+    order = [*picks, *rest][: len(rows) // 5]
+    return ["p_partkey", "gain", "rarity", "rk"], [(k, picks.get(k, 0), rarity[k], i + 1) for i, k in enumerate(order)]
+
+
 BRUTE = {
     "str_3_rouge_l": rouge_rows,
     "agg_20_sequence_quality": sequence_means,
@@ -155,6 +175,7 @@ BRUTE = {
     "gra_2_greedy_independent_set": independent,
     "gra_3_assignment": assignment,
     "snk_1_row_digest": digest,
+    "smp_11_diverse_subset": diverse,
 }
 
 

@@ -103,6 +103,53 @@ def component_split(nodes: DataFrame, edges: DataFrame, key: str, size: Column |
     return comp.select(key, "group_id").join(placed, "group_id").select(key, "group_id", "members", "n", "split", reason.alias("reason"))
 
 
+def rarity(rows: DataFrame, key: str, values: str) -> DataFrame:
+    """(key, rarity): the sum over a row's different values of 1 / rows that have the value; 0 without values.
+
+    Frequencies are counted over all rows and checkpointed, so that the join takes plain exchanges and
+    a value of very many rows can be split.
+    """
+    long = rows.select(key, F.explode(F.array_distinct(values)).alias("value")).where("value is not null")
+    counts = checkpointed(long.groupBy("value").agg(F.count(F.lit(1)).alias("f")))
+    scored = long.join(counts, "value").groupBy(F.col(key).alias("_k")).agg(F.round(F.sum(1 / F.col("f")), 9).alias("rarity"))
+    return rows.select(key).join(scored, F.col(key) == F.col("_k"), "left").select(key, F.coalesce("rarity", F.lit(0.0)).alias("rarity"))
+
+
+def coverage_order(rows: DataFrame, key: str, values: str) -> DataFrame:
+    """(key, gain) of the rows that greedy coverage takes: each the row with most values that no row before it has (ties: the smallest key), until all values are covered.
+
+    Gains of the greedy order never rise, so sorting by gain and key gives that order, and its first k
+    rows are the greedy choice of k. It is found in rounds without a visit in order: a row that beats
+    every other row sharing an uncovered value with it cannot lose gain before its turn, so all such
+    rows are taken at once, and their values leave. Maxima are partial aggregates; no value's rows
+    meet in one task, and the lineage is cut in every round.
+    """
+    left = checkpointed(rows.select(F.col(key).alias("k"), F.explode(F.array_distinct(values)).alias("value")).where("value is not null"))
+    taken = None
+    while not left.isEmpty():
+        gains = checkpointed(left.groupBy("k").agg(F.count(F.lit(1)).alias("gain")))
+        rank = F.struct((-F.col("gain")).alias("g"), F.col("k").alias("k"))
+        best = checkpointed(left.join(gains, "k").groupBy("value").agg(F.min(rank).alias("b")).select("value", F.col("b.k").alias("k")))
+        wins = best.groupBy("k").agg(F.count(F.lit(1)).alias("won"))
+        picked = checkpointed(gains.join(wins, "k").where("won = gain").select("k", "gain"))
+        taken = picked if taken is None else taken.union(picked)
+        covered = left.join(picked, "k", "left_semi").select("value")
+        left = checkpointed(left.join(covered, "value", "left_anti"))
+    if taken is None:
+        return rows.select(key).where("false").withColumn("gain", F.lit(0).cast("long"))
+    return taken.select(F.col("k").alias(key), "gain")
+
+
+def diverse_subset(rows: DataFrame, key: str, values: str, k: int) -> DataFrame:
+    """(key, gain, rarity, rk) of ``k`` rows: the greedy cover of all values first, then rows by rarity; ties by hash order."""
+    cover = coverage_order(rows, key, values).withColumnRenamed(key, "_c")
+    scored = rarity(rows, key, values).join(cover, F.col(key) == F.col("_c"), "left").select(key, F.coalesce("gain", F.lit(0)).cast("long").alias("gain"), "rarity")
+    tie = F.when(F.col("gain") > 0, F.lit("")).otherwise(hash_order(key))
+    last = F.when(F.col("gain") > 0, 0.0).otherwise(-F.col("rarity"))
+    ranked = rank_in_group(scored.withColumn("_all", F.lit(1)), ["_all"], [-F.col("gain"), last, tie, F.col(key)], "rk")
+    return ranked.where(F.col("rk") <= k).select(key, "gain", "rarity", "rk")
+
+
 def leaks(edges: DataFrame, membership: DataFrame, key: str) -> DataFrame:
     """Edges whose ends stand in different splits; must be empty."""
     m = membership.select(key, "split")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from weftline.functions import geometry as G
 from weftline.functions import text as X
-from weftline.operators import assign, dedup, splits
+from weftline.operators import assign, dedup, review, splits
 from weftline.plans.base import query
 from weftline.plans.scalars import BOX_SQL, CODE_SQL
 from weftline.session import checkpointed
@@ -141,11 +141,21 @@ def _(t):
     return ranked.join(big, F.col("source").eqNullSafe(F.col("s"))).where(~F.col("tiny") | (F.col("rk") <= F.floor(F.col("big") / 3))).select("source", "lang", "doc_id")
 
 
-@query("smp_3_rarity_priority", "SELECT source, doc_id FROM (SELECT source, doc_id, row_number() OVER (PARTITION BY source ORDER BY n, md5('weftline|' || doc_id), doc_id) AS rk FROM documents JOIN (SELECT lang, count(*) AS n FROM documents GROUP BY 1) USING (lang)) WHERE rk <= 10")
+ATTRIBUTE_SQL = "a AS (SELECT p_partkey, p_brand, list_distinct(list_concat(string_split(p_name, ' '), [p_type, CASE WHEN p_size >= 40 THEN 'large' WHEN p_size <= 5 THEN 'tiny' END])) AS v FROM part), n AS (SELECT p_partkey, p_brand, unnest(v) AS x FROM a), f AS (SELECT x, count(*) AS f FROM n WHERE x IS NOT NULL GROUP BY 1), r AS (SELECT p_partkey, p_brand, round(sum(1 / f), 9) AS rarity FROM n JOIN f USING (x) GROUP BY 1, 2)"
+
+
+def attribute_lists(t):
+    """Parts with all their attributes: the words of the name, the type, a size class that most lack."""
+    size = F.when(F.col("p_size") >= 40, "large").when(F.col("p_size") <= 5, "tiny")
+    return t.part.select("p_partkey", "p_brand", F.concat(F.split("p_name", " "), F.array("p_type", size)).alias("v"))
+
+
+@query("smp_3_rarity_priority", f"WITH {ATTRIBUTE_SQL} SELECT p_brand, p_partkey, rarity FROM (SELECT *, row_number() OVER (PARTITION BY p_brand ORDER BY rarity DESC, md5('weftline|' || p_partkey), p_partkey) AS rk FROM r) WHERE rk <= 10")
 def _(t):
-    d = t.documents.select("source", "lang", "doc_id")
-    rare = d.groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
-    return top(d.join(rare, "lang"), ["source"], [F.col("n"), splits.hash_order("doc_id"), F.col("doc_id")], 10).select("source", "doc_id")
+    """Ten parts of each brand, those with rare attributes first."""
+    d = attribute_lists(t)
+    j = splits.rarity(d, "p_partkey", "v").join(d.select(F.col("p_partkey").alias("k"), "p_brand"), F.col("p_partkey") == F.col("k"))
+    return top(j, ["p_brand"], [F.desc("rarity"), splits.hash_order("p_partkey"), F.col("p_partkey")], 10).select("p_brand", "p_partkey", "rarity")
 
 
 @query("smp_4_quota_sample", f"WITH {QUOTA_SQL} SELECT source, doc_id FROM (SELECT source, doc_id, row_number() OVER (PARTITION BY source ORDER BY md5('weftline|' || doc_id), doc_id) AS rk FROM documents) JOIN q USING (source) WHERE rk <= quota")
@@ -187,9 +197,13 @@ def _(t):
     return t.labels.where("quality = 0").select("doc_id").orderBy(splits.hash_order("doc_id"), "doc_id").limit(30)
 
 
-@query("smp_11_diverse_subset", "SELECT lang, source, doc_id FROM (SELECT *, row_number() OVER (PARTITION BY lang, source ORDER BY n_chars DESC, doc_id) AS rk FROM documents) WHERE rk <= 3")
+@query("smp_11_diverse_subset")
 def _(t):
-    return top(t.documents.select("lang", "source", "doc_id", "n_chars"), ["lang", "source"], [F.desc("n_chars"), F.col("doc_id")], 3).select("lang", "source", "doc_id")
+    """A fifth of all parts: the greedy cover of all attributes and pairs of them, then the rarest."""
+    d = attribute_lists(t)
+    pairs = F.flatten(F.transform("v", lambda x: F.transform(F.filter("v", lambda y: y > x), lambda y: F.concat_ws("+", x, y))))
+    d = d.select("p_partkey", F.concat("v", pairs).alias("v"))
+    return splits.diverse_subset(d, "p_partkey", "v", t.part.count() // 5)
 
 
 @query("smp_13_reserve", f"WITH {GROUP_SQL} SELECT conv_id FROM s WHERE split = 'train' AND conv_id NOT IN (SELECT conv_id FROM conversations WHERE turn >= 5)")
@@ -315,12 +329,6 @@ def _(t):
     return s.agg(F.count(F.lit(1)).alias("checked"), F.count_if(F.col("score") >= 0.35).alias("alike"), F.count_if(F.col("score") >= 0.3).alias("looser"), F.coalesce(F.sum(F.when(F.col("score") >= 0.3, F.col("matched"))), F.lit(0)).cast("long").alias("regions"))
 
 
-@query("joi_8_review_merge", """SELECT d.doc_id, CASE WHEN l.doc_id IS NULL THEN 'unreviewed' WHEN quality = 0 THEN 'removed' WHEN toxic = 1 THEN 'moved' ELSE 'kept' END AS state FROM documents d LEFT JOIN labels l ON l.doc_id = d.doc_id""")
-def _(t):
-    j = t.documents.select("doc_id").join(t.labels.withColumn("_r", F.lit(1)), "doc_id", "left")
-    return j.select("doc_id", F.when(F.col("_r").isNull(), "unreviewed").when(F.col("quality") == 0, "removed").when(F.col("toxic") == 1, "moved").otherwise("kept").alias("state"))
-
-
 @query("joi_9_candidate_matrix", "SELECT a.conv_id, a.turn AS i, b.turn AS j, (length(a.text) - length(b.text))::INT AS s FROM conversations a JOIN conversations b USING (conv_id)")
 def _(t):
     side = t.conversations.select("conv_id", F.col("turn").alias("pos"), F.length("text").alias("value"))
@@ -349,6 +357,36 @@ def _(t):
     return code_pairs(t, (20, 24, 0.15))
 
 
+# Vectors as reviewed samples: every fifth stands in test; the state and the collection follow from the number, the content from the code.
+REVIEW_SQL = PAIR_SQL + """, s AS (SELECT vec_id, CASE WHEN vec_id % 5 = 0 THEN 'test' ELSE 'train' END AS split, CASE WHEN vec_id % 7 = 0 THEN 'duplicate' WHEN vec_id % 7 = 1 THEN 'rejected' WHEN vec_id % 7 = 2 THEN 'uncertain' WHEN vec_id % 7 = 3 THEN 'unreviewed' ELSE 'reviewed' END AS state,
+CASE WHEN vec_id % 2 = 0 THEN 'regular' ELSE 'second' END AS origin, code % 211 AS content FROM c),
+h AS (SELECT vec_id AS hid, row_number() OVER (PARTITION BY origin ORDER BY md5('weftline|' || vec_id), vec_id) % 2 = 1 AS odd FROM s WHERE state = 'reviewed' AND origin <> 'regular'),
+s1 AS (SELECT *, CASE WHEN rule IN ('duplicate', 'rejected') THEN 'removed' WHEN rule = 'reviewed' THEN 'test' WHEN rule = 'halved' THEN CASE WHEN odd THEN 'test' ELSE 'train' END ELSE split END AS place FROM
+  (SELECT s.*, odd, CASE WHEN state IN ('duplicate', 'rejected') THEN state WHEN state = 'reviewed' AND origin = 'regular' THEN 'reviewed' WHEN state = 'reviewed' THEN 'halved' END AS rule FROM s LEFT JOIN h ON hid = vec_id)),
+e AS (SELECT a, b FROM p UNION ALL SELECT b, a FROM p), s2 AS (SELECT * REPLACE (CASE WHEN leak THEN 'removed' ELSE place END AS place, CASE WHEN leak THEN 'leakage' ELSE rule END AS rule) FROM
+  (SELECT *, place = 'train' AND EXISTS (SELECT 1 FROM e JOIN s1 y ON y.vec_id = e.b AND y.place = 'test' WHERE e.a = x.vec_id) AS leak FROM s1 x)),
+s3 AS (SELECT * REPLACE (CASE WHEN hit THEN 'removed' ELSE place END AS place, CASE WHEN hit THEN 'conflict' ELSE rule END AS rule) FROM (SELECT *, place = 'test' AND content IN (SELECT content FROM s2 WHERE place = 'train' AND rule = 'halved') AS hit FROM s2))"""
+
+
+def reviewed(t):
+    k = F.col("vec_id")
+    state = F.element_at(F.array(*[F.lit(x) for x in ("duplicate", "rejected", "uncertain", "unreviewed", "reviewed", "reviewed", "reviewed")]), (k % 7 + 1).cast("int"))
+    rows = coded(t).select("vec_id", F.when(k % 5 == 0, "test").otherwise("train").alias("split"), state.alias("state"), F.when(k % 2 == 0, "regular").otherwise("second").alias("origin"), "code")
+    return review.merge(rows, "vec_id", code_pairs(t, GATE), F.col("code") % 211)
+
+
+@query("joi_8_review_merge", REVIEW_SQL + " SELECT vec_id, split, state, origin, place, rule FROM s3")
+def _(t):
+    """Where each sample ends, and which rule put it there: states first, then leakage, then conflicts."""
+    return reviewed(t)
+
+
+@query("joi_8_ledger", REVIEW_SQL + """, n AS (SELECT i AS step, k AS rule, (SELECT count(*) FROM s3 WHERE rule = k) AS claimed, (SELECT count(*) FROM s3 WHERE rule = k AND place = 'removed') AS removed FROM (VALUES (1, 'duplicate'), (2, 'rejected'), (3, 'reviewed'), (4, 'halved'), (5, 'leakage'), (6, 'conflict')) v(i, k))
+SELECT step, rule, ((SELECT count(*) FROM s3) - sum(removed) OVER (ORDER BY step) + removed)::BIGINT AS rows_in, claimed, removed, ((SELECT count(*) FROM s3) - sum(removed) OVER (ORDER BY step))::BIGINT AS rows_out FROM n""")
+def _(t):
+    return review.ledger(reviewed(t))
+
+
 COMPONENT_SQL = PAIR_SQL.replace("WITH c", "WITH RECURSIVE c") + ", e AS (SELECT a, b FROM p UNION SELECT b, a FROM p), reach AS (SELECT vec_id AS n, vec_id AS m FROM embeddings UNION SELECT r.n, e.b FROM reach r JOIN e ON e.a = r.m), k AS (SELECT n AS vec_id, min(m) AS component FROM reach GROUP BY 1)"
 
 
