@@ -215,13 +215,14 @@ def fit(labelled: DataFrame, path: str, per_lang: int = SAMPLE_PER_LANG) -> Mode
     The sample is bounded: at most ``per_lang`` whole documents of each language, the first in
     order of a hash of the id. Ids are chosen on narrow rows; words are counted by the executors, and
     the driver gets the counts, which grow with the number of languages only. Null texts and null
-    languages teach nothing; equal rows of an id teach together. No rows: a model without languages.
+    languages teach nothing; repeated rows take one place and teach once. No rows: a model without languages.
     """
     labelled = labelled.select("doc_id", "text", "lang")
-    narrow = labelled.where("lang is not null and text is not null").select("doc_id", "lang", F.xxhash64("doc_id", "text").alias("h"))
+    narrow = labelled.where("lang is not null and text is not null").select("doc_id", "lang", F.xxhash64("doc_id", "text").alias("h")).distinct()
     first = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id", "h")
-    chosen = narrow.withColumn("n", F.row_number().over(first)).where(F.col("n") <= per_lang).select("doc_id", "lang", "h").distinct()
-    texts = labelled.join(F.broadcast(chosen.withColumnRenamed("lang", "_l").withColumnRenamed("doc_id", "_i")), F.col("doc_id").eqNullSafe(F.col("_i")) & (F.xxhash64("doc_id", "text") == F.col("h")) & (F.col("lang") == F.col("_l"))).select("lang", "text")
+    chosen = narrow.withColumn("n", F.row_number().over(first)).where(F.col("n") <= per_lang).select("doc_id", "lang", "h")
+    texts = labelled.join(F.broadcast(chosen.withColumnRenamed("lang", "_l").withColumnRenamed("doc_id", "_i")), F.col("doc_id").eqNullSafe(F.col("_i")) & (F.xxhash64("doc_id", "text") == F.col("h")) & (F.col("lang") == F.col("_l")))
+    texts = texts.groupBy("lang", "doc_id", "h").agg(F.first("text").alias("text")).select("lang", "text")  # a repeated row teaches once
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         total: dict[str, Counter] = {}

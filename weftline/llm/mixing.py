@@ -7,7 +7,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from weftline.session import checkpointed
+from weftline.session import carried, checkpointed, with_prefix
 
 #: Slices of the key range in each source, at least, and rows for each further one. Only the slice
 #: that holds the cut is sorted.
@@ -70,18 +70,22 @@ def mix(docs: DataFrame, size: Column, weight: Column, budget: float = 1.5, cap:
     small keys come first. A source's target first pays whole epochs; what is left selects rows in
     key order until their prefix sum reaches it, the row at the cut if that comes nearer.
     Keys are cut into slices by their uniform rank. Sums per slice decide all slices but the one at
-    the cut, so only that slice of each source is sorted, whatever a source's share of all rows.
+    the cut, so only that slice of each source is sorted, whatever a source's share of all rows; it is
+    sorted over all tasks by a distributed prefix sum, so rows that share an id, or have none, may be many.
 
     Null text or no words: size 0, nothing taken, and as many copies as whole epochs. Null source: a
     source of its own, last. Null doc_id: one more id. Weights that are null or not positive count as
     a very small rate. Repeated rows each count; ties of keys are broken by id, size and text hash.
-    Columns of ``docs`` may have any name. No rows: no rows.
+    Columns of ``docs`` may have any name; a kept one named like a result comes back with ``_in``
+    behind its name. No rows: no rows.
     """
     keep = keep or ["doc_id"]
+    results = ["size", "source_size", "target", "copies", "taken"]
+    there, back = carried(keep, results)
     digest = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))))
     u = (F.conv(F.substring(digest, 1, 12), 16, 10).cast("double") + F.lit(1.0)) / F.lit(float(2**48 + 1))
     rate = F.greatest(F.coalesce(weight.cast("double"), F.lit(0.0)), F.lit(1e-9))
-    rows = docs.select(*[F.col(c).alias(f"k_{c}") for c in keep], F.col("doc_id").alias("_id"), F.col("source").alias("source"), size.alias("size"), (-F.log(u) / rate).alias("key"), F.xxhash64("text").alias("_tie"))
+    rows = docs.select(*there, F.col("doc_id").alias("_id"), F.col("source").alias("source"), size.alias("size"), (-F.log(u) / rate).alias("key"), F.xxhash64("text").alias("_tie"))
     rows = checkpointed(rows)  # narrow: the texts are read and counted once, whatever follows
     slice_count = max(LEAST_SLICES, rows.count() // SLICE_ROWS)
     spread = (F.lit(1.0) - F.exp(-F.col("key") * TYPICAL_WEIGHT) + F.least(F.log1p("key") / math.log1p(LARGEST_KEY), F.lit(1.0))) / 2
@@ -98,14 +102,14 @@ def mix(docs: DataFrame, size: Column, weight: Column, budget: float = 1.5, cap:
         (F.col("before") + F.col("s_size") <= F.col("left")).alias("all_in"), (F.col("before") >= F.col("left")).alias("none_in"),
     )
     dealt = rows.join(plan, F.col("source").eqNullSafe(F.col("p_source")) & (F.col("slice") == F.col("p_slice")))
-    names = [f"k_{c}" for c in keep]
     sure = dealt.where("all_in or none_in").withColumn("extra", F.when(F.col("all_in") & (F.col("size") > 0), 1).otherwise(0))
     order = ["key", "_id", "size", "_tie"]
-    upto = Window.partitionBy("source", "slice").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    cut = dealt.where("not all_in and not none_in").withColumn("at", F.col("before") + F.coalesce(F.sum("size").over(upto), F.lit(0)))
+    cut = with_prefix(dealt.where("not all_in and not none_in").withColumn("_none", F.col("source").isNull()), ["_none", "source", *order], F.col("size"), "_upto")
+    start = cut.groupBy(F.col("source").alias("c_source")).agg(F.min("_upto").alias("_from"))
+    cut = cut.join(start, F.col("source").eqNullSafe(F.col("c_source"))).withColumn("at", F.col("before") + F.col("_upto") - F.col("_from")).drop("_none", "_upto", "_from", "c_source")
     cut = cut.withColumn("extra", F.when((F.col("at") + F.col("size") / 2 <= F.col("left")) & (F.col("size") > 0), 1).otherwise(0)).drop("at")
     out = sure.unionByName(cut).withColumn("copies", (F.col("epochs") + F.col("extra")).cast("long"))
-    return out.select(*[F.col(n).alias(c) for n, c in zip(names, keep, strict=True)], "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
+    return out.select(*back, "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
 
 
 def op1_mixing(spark, sf_dir: str) -> DataFrame:

@@ -157,17 +157,18 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = SAMPLE_PER_CLASS) -
     order = [F.xxhash64("doc_id"), F.col("doc_id")]
     chosen = one.where("q = 1").orderBy(*order).limit(per_class).union(one.where("q = 0").orderBy(*order).limit(per_class))
     chosen = chosen.select(F.col("doc_id").alias("_id"), F.col("q").cast("int").alias("q"))
-    # of an id with several rows one is read: the one with the smallest text hash
+    # of an id with several rows one is read, the smallest by hash, then text: the driver gets a row for each chosen id
     texts = docs.join(F.broadcast(chosen), docs["doc_id"] == F.col("_id")).select("_id", "q", F.coalesce("text", F.lit("")).alias("text"))
+    texts = texts.groupBy("_id", "q").agg(F.min(F.struct(F.xxhash64("text").alias("h"), "text")).alias("t")).select("_id", "q", "t.h", "t.text")
 
     def extract(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         codes = _Codes()
         for batch in batches:
             x = [features(t, codes) for t in batch["text"]]
-            yield pd.DataFrame({"id": batch["_id"], "q": batch["q"], "h": [zlib.crc32(t.encode("utf-8", "surrogatepass")) for t in batch["text"]], "x": [v.tobytes() for v in x]})
+            yield pd.DataFrame({"id": batch["_id"], "q": batch["q"], "h": batch["h"], "x": [v.tobytes() for v in x]})
 
     got = texts.mapInPandas(extract, "id long, q int, h long, x binary").toPandas()
-    got = got.sort_values(["id", "h"]).drop_duplicates("id").sort_values("h", kind="stable")
+    got = got.sort_values(["h", "id"], kind="stable")
     rows = [np.frombuffer(x, np.int32) for x in got["x"]]
     return train(rows, np.where(got["q"].to_numpy(int) == 1, 1.0, -1.0))
 

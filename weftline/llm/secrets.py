@@ -7,15 +7,17 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from weftline.session import checkpointed
+from weftline.session import carried, checkpointed
 
 # Fixed patterns, in the order in which kinds are listed. Candidates are the method's own kind.
 ASSIGN = r"""((?:[Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])["']?\x20*[:=]\x20*["']?)([A-Za-z0-9+/_.=-]+)"""
 ACCESS = r"AKIA[A-Z0-9]{16,}"
 HEX = r"[0-9a-f]{24,}"
 CANDIDATE = r"[A-Za-z0-9+/_-]{20,}"
-#: A candidate value seen under more owners or repositories than this is a widely copied example.
+#: A candidate value of more owners than this is a widely copied example, whatever its copies.
 MAX_OWNERS = 2
+#: So is one that owners share in more repositories (different texts); one owner's copies never count against it.
+MAX_SHARED = 4
 
 
 SPAN = "struct<start:int,rank:int,end:int,kind:string,value:string>"
@@ -103,26 +105,30 @@ def joined(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
 
 
-def scan(docs: DataFrame, keep: list[str], repository: str = "doc_id", owner: str = "source", owners_only: bool = False) -> DataFrame:
+def scan(docs: DataFrame, keep: list[str], owner: str = "source") -> DataFrame:
     """``keep`` columns, text hash, ``base`` and ``live`` span arrays and the counts of both verdicts.
 
     Base spans (assign, access, hex) always stay. Every value, and every further random-looking
     token (kind ``live``), is a candidate: its hash is counted by distinct owners and repositories
-    over the whole corpus. A further token owned by at most ``MAX_OWNERS`` owners and repositories
-    is owner-specific, hence live-looking, and becomes a span; one copied more widely is an example.
-    With ``owners_only`` repositories don't matter: however often its owners copy a token, it is theirs.
+    over the whole corpus; a repository is a different text, so copies of a document are one. Owners
+    decide first: a value of one owner is owner-specific, hence live-looking, however often that
+    owner copies it; a value of more than ``MAX_OWNERS`` owners, or one that several owners share in
+    more than ``MAX_SHARED`` repositories, is a widely copied example. Live-looking further tokens become spans.
     Counting is exact: (value, owner, repository) rows are made distinct, which spreads a value that
     half of all documents hold over all tasks, and partial aggregates leave one row for each value,
-    owner and task. The text is read once; later steps see hashes and positions.
+    owner and task. The text is read once; later steps see hashes and positions, and rows without a
+    span take no part in the last join.
 
-    Time is linear in the text and nearly so in its spans. Null or empty text: no spans. Null owner or repository: one more. Equal values in one row count
-    once for it. Repeated rows: each gets the same answer; no rows: no rows.
+    Time is linear in the text and nearly so in its spans. Null or empty text: no spans. Null owner: one more. Equal values in one row count
+    once for it. Repeated rows: each gets the same answer; no rows: no rows. A kept column named like
+    a result comes back with ``_in`` behind its name.
     """
+    results = ["text_hash", "base", "live", "n_owner_specific", "n_copied"]
+    there, back = carried(keep, results)
     text = F.coalesce(F.col("text"), F.lit(""))
     rows = docs.select(
-        *[F.col(c).alias(f"k_{c}") for c in keep],
-        F.coalesce(F.col(repository).cast("string"), F.lit("")).alias("repository"),
-        F.coalesce(F.col(owner).cast("string"), F.lit("")).alias("owner"),
+        *there,
+        F.coalesce(F.col(f"`{owner}`").cast("string"), F.lit("")).alias("owner"),
         F.xxhash64(text).alias("text_hash"),
         text.alias("t"),
     )
@@ -138,14 +144,16 @@ def scan(docs: DataFrame, keep: list[str], repository: str = "doc_id", owner: st
     hashed = F.transform(spans, lambda s: F.struct(s["start"].alias("start"), s["rank"].alias("rank"), s["end"].alias("end"), s["kind"].alias("kind"), F.xxhash64(s["value"]).alias("value")))
     rows = checkpointed(rows.withColumn("spans", hashed).drop("t"))
     rows = rows.withColumn("base", F.filter("spans", lambda s: s["rank"] < 3)).withColumn("x", F.filter("spans", lambda s: s["rank"] == 3)).drop("spans")
-    found = rows.where("size(base) > 0 or size(x) > 0").select("repository", "owner", "text_hash", F.explode(F.array_distinct(F.transform(F.concat("base", "x"), lambda s: s["value"]))).alias("value"))
-    owners = found.select("value", "owner", "repository").distinct().groupBy("value", "owner").agg(F.count(F.lit(1)).alias("r")).groupBy("value").agg(F.count(F.lit(1)).alias("owners"), F.sum("r").alias("repositories"))
-    owners = checkpointed(owners)  # the join below is then one of plain exchanges, whose hot values can be split
-    wide = F.col("owners") > MAX_OWNERS
-    if not owners_only:
-        wide = wide | (F.col("repositories") > MAX_OWNERS)
-    verdicts = found.select("text_hash", "value").distinct().join(owners, "value").groupBy("text_hash").agg(F.collect_list(F.when(~wide, F.col("value"))).alias("own"), F.count(F.when(wide, 1)).alias("n_copied"))
-    out = rows.join(verdicts, "text_hash", "left")
+    some = rows.where("size(base) > 0 or size(x) > 0")
+    found = some.select("owner", "text_hash", F.explode(F.array_distinct(F.transform(F.concat("base", "x"), lambda s: s["value"]))).alias("value")).distinct()
+    owners = found.groupBy("value", "owner").agg(F.count(F.lit(1)).alias("r")).groupBy("value").agg(F.count(F.lit(1)).alias("owners"), F.sum("r").alias("repositories"))
+    owners = checkpointed(owners)  # the joins are then of plain exchanges, whose hot keys can be split
+    wide = (F.col("owners") > MAX_OWNERS) | ((F.col("owners") > 1) & (F.col("repositories") > MAX_SHARED))
+    verdicts = found.select("text_hash", "value").distinct().join(owners, "value").groupBy(F.col("text_hash").alias("v_hash")).agg(F.collect_list(F.when(~wide, F.col("value"))).alias("own"), F.count(F.when(wide, 1)).alias("n_copied"))
+    verdicts = checkpointed(verdicts)
+    out = some.join(verdicts, F.col("text_hash") == F.col("v_hash"), "left").drop("v_hash")
+    none = rows.where("size(base) = 0 and size(x) = 0").withColumns({"own": F.array().cast("array<bigint>"), "n_copied": F.lit(0).cast("long")})
+    out = out.unionByName(none)
     out = out.withColumn("own", F.coalesce("own", F.array().cast("array<bigint>")))
     # own values and tokens sorted together: a token is live-looking if the last value before it is its own
     mark = "struct<value:bigint,token:int,start:int,end:int>"
@@ -157,7 +165,7 @@ def scan(docs: DataFrame, keep: list[str], repository: str = "doc_id", owner: st
     live = F.array_sort(F.transform(live, lambda z: F.struct(z["m"]["start"].alias("start"), F.lit(3).alias("rank"), z["m"]["end"].alias("end"), F.lit("live").alias("kind"), z["m"]["value"].alias("value"))))
     empty = F.array().cast("array<struct<start:int,rank:int,end:int,kind:string,value:bigint>>")
     out = out.withColumn("live", F.when((F.size("own") > 0) & (F.size("x") > 0), live).otherwise(empty))
-    return out.select(*[F.col(f"k_{c}").alias(c) for c in keep], "text_hash", "base", "live", F.size("own").cast("long").alias("n_owner_specific"), F.coalesce("n_copied", F.lit(0)).cast("long").alias("n_copied"))
+    return out.select(*back, "text_hash", "base", "live", F.size("own").cast("long").alias("n_owner_specific"), F.coalesce("n_copied", F.lit(0)).cast("long").alias("n_copied"))
 
 
 def op10_secrets(spark, sf_dir: str) -> DataFrame:
@@ -180,13 +188,13 @@ def _op10_sql() -> str:
     parts = {k: _sql_spans(p, k, r, v) for k, p, r, v in (("assign", ASSIGN, 0, "2"), ("access", ACCESS, 1, "0"), ("hex", HEX, 2, "0"), ("live", CANDIDATE, 3, "0"))}
     text = "array_to_string(list_transform({}, lambda s: s.kind || ':' || s.start || ':' || s.end), ',')"
     return f"""
-WITH d AS (SELECT doc_id, coalesce(source, '') AS owner, coalesce(doc_id::VARCHAR, '') AS repository, coalesce(text, '') AS t FROM documents),
-m AS (SELECT doc_id, owner, repository, md5(t) AS h, {', '.join(c for _, c in parts.values())} FROM d),
-b AS (SELECT doc_id, owner, repository, h, list_sort(list_concat(list_filter({parts['assign'][0]}, lambda s: length(s.value) >= 6), {parts['access'][0]}, {parts['hex'][0]})) AS base,
+WITH d AS (SELECT doc_id, coalesce(source, '') AS owner, coalesce(text, '') AS t FROM documents),
+m AS (SELECT doc_id, owner, md5(t) AS h, {', '.join(c for _, c in parts.values())} FROM d),
+b AS (SELECT doc_id, owner, h, list_sort(list_concat(list_filter({parts['assign'][0]}, lambda s: length(s.value) >= 6), {parts['access'][0]}, {parts['hex'][0]})) AS base,
   list_filter({parts['live'][0]}, lambda s: regexp_matches(s.value, '[0-9]') AND regexp_matches(s.value, '[a-z]') AND regexp_matches(s.value, '[A-Z]')) AS x FROM m),
-r AS (SELECT doc_id, owner, repository, h, base, list_filter(x, lambda s: len(list_filter(base, lambda k: k.start < s.end AND s.start < k.end)) = 0) AS x FROM b),
-f AS (SELECT DISTINCT owner, repository, h, unnest(list_transform(list_concat(base, x), lambda s: s.value)) AS value FROM r),
-w AS (SELECT value, count(DISTINCT owner) > {MAX_OWNERS} OR count(DISTINCT (owner, repository)) > {MAX_OWNERS} AS wide FROM f GROUP BY 1),
+r AS (SELECT doc_id, owner, h, base, list_filter(x, lambda s: len(list_filter(base, lambda k: k.start < s.end AND s.start < k.end)) = 0) AS x FROM b),
+f AS (SELECT DISTINCT owner, h, unnest(list_transform(list_concat(base, x), lambda s: s.value)) AS value FROM r),
+w AS (SELECT value, count(DISTINCT owner) > {MAX_OWNERS} OR (count(DISTINCT owner) > 1 AND count(*) > {MAX_SHARED}) AS wide FROM f GROUP BY 1),
 v AS (SELECT h, list(value) FILTER (NOT wide) AS own, count(*) FILTER (wide) AS n_copied FROM (SELECT DISTINCT h, value FROM f) JOIN w USING (value) GROUP BY 1),
 o AS (SELECT r.*, coalesce(own, []) AS own, coalesce(n_copied, 0) AS n_copied, list_filter(x, lambda s: list_contains(coalesce(own, []), s.value)) AS live FROM r LEFT JOIN v ON v.h = r.h)
 SELECT doc_id, len(list_filter(base, lambda s: s.kind = 'assign'))::BIGINT AS n_assign, len(list_filter(base, lambda s: s.kind = 'access'))::BIGINT AS n_access, len(list_filter(base, lambda s: s.kind = 'hex'))::BIGINT AS n_hex,
@@ -200,13 +208,12 @@ OP10_SQL = _op10_sql()
 def redact(docs: DataFrame, mark: str = "<secret>") -> DataFrame:
     """``docs`` with every base span and every live-looking token replaced by ``mark``; n_chars follows.
 
-    Owners alone decide here: a credential of one source stays one in the third document that holds it.
     Overlapping spans leave one mark. Rows without a span are returned as they are, null and empty
     texts among them. Rows are matched by id and text hash, so repeated ids with other texts keep
     their own spans, repeated rows get equal texts, and null ids are matched as one id. Columns may
     have any name. No rows: no rows.
     """
-    spans = scan(docs, ["doc_id"], owners_only=True).where("size(base) > 0 or size(live) > 0")
+    spans = scan(docs, ["doc_id"]).where("size(base) > 0 or size(live) > 0")
     spans = spans.select(F.col("doc_id").alias("s_id"), F.col("text_hash").alias("s_hash"), F.array_sort(F.concat("base", "live")).alias("s")).dropDuplicates(["s_id", "s_hash"])
     rest = F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != "text"])  # the text travels once
     rows = docs.select(rest.alias("row"), F.col("doc_id").alias("id"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("h"), F.col("text").alias("t"))

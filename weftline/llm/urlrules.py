@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from weftline.session import carried
+
 #: Rules that a task may hold; beyond it the rules are joined by key instead.
 MOST_HELD = 200_000
 #: The rules of the registered query: host, path, verdict.
@@ -84,22 +86,26 @@ def judge(pages: DataFrame, rules: list[tuple[str, str, str]] | DataFrame, keep:
     wins, then the longest path; of equal rules the one with the greatest verdict in code point order
     (block before allow), so the order of rules is of no account; null parts make no rule. Urls are sorted by reversed host and path
     over all partitions (a hot host spreads over as many as it needs), then swept against the rules.
-    ``rules`` as a list is held by each task and bounded by MOST_HELD; as a DataFrame (host, path,
-    verdict) of more rows it is joined on every suffix of the host instead, with the same result.
+    ``rules`` (a list, or a DataFrame of host, path, verdict) are held by each task up to MOST_HELD;
+    more are joined on every suffix of the host instead, with the same result.
     Null urls and urls without ``://``: host and path empty, no rule. Repeated rows: equal answers.
-    No rows: no rows; no rules: the default everywhere.
+    No rows: no rows; no rules: the default everywhere. A kept column named like a result comes back
+    with ``_in`` behind its name.
     """
-    rows = pages.select(*[F.col(c).alias(f"k_{c}") for c in keep], host(F.col(url)).alias("host"), path(F.col(url)).alias("path"))
+    there, back = carried(keep, ["host", "path", "rule", "verdict"])
+    rows = pages.select(*there, host(F.col(f"`{url}`")).alias("host"), path(F.col(f"`{url}`")).alias("path"))
     if isinstance(rules, DataFrame):
         rules = rules.select("host", "path", "verdict").where("host is not null and path is not null and verdict is not null")
         some = rules.limit(MOST_HELD + 1).collect()
         if len(some) > MOST_HELD:
-            return _joined(rows, rules, keep, default)
+            return _joined(rows, rules, back, default)
         rules = [tuple(r) for r in some]
+    elif len(rules) > MOST_HELD:
+        return _joined(rows, pages.sparkSession.createDataFrame(rules, "host string, path string, verdict string").dropna(), back, default)
     held = grouped([r for r in rules if None not in r])
     names = [k for k, _ in held]
     n = int(pages.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    spread = F.xxhash64(*[f"k_{c}" for c in keep])
+    spread = F.xxhash64(*[f"k_{i}" for i in range(len(keep))])
     rows = rows.withColumn("key", reversed_host(F.col("host"))).withColumn("_spread", spread)
     rows = rows.repartitionByRange(n, "key", "path", "_spread").sortWithinPartitions("key", "path")
     out = rows.drop("_spread", "key").schema.add("rule", "string").add("verdict", "string")
@@ -113,10 +119,10 @@ def judge(pages: DataFrame, rules: list[tuple[str, str, str]] | DataFrame, keep:
             yield batch
 
     done = rows.mapInPandas(run, out)
-    return done.select(*[F.col(f"k_{c}").alias(c) for c in keep], "host", "path", "rule", "verdict")
+    return done.select(*back, "host", "path", "rule", "verdict")
 
 
-def _joined(rows: DataFrame, rules: DataFrame, keep: list[str], default: str) -> DataFrame:
+def _joined(rows: DataFrame, rules: DataFrame, back: list[Column], default: str) -> DataFrame:
     """The way for rule tables of any size: an equi-join on each suffix of the host."""
     urls = rows.select("host", "path").distinct()
     labels = F.split("host", r"\.", -1)
@@ -125,7 +131,7 @@ def _joined(rows: DataFrame, rules: DataFrame, keep: list[str], default: str) ->
     near = urls.withColumn("r_host", F.explode(suffixes)).join(r, "r_host").where(F.col("path").startswith(F.col("r_path")))
     best = near.groupBy("host", "path").agg(F.max(F.struct(F.length("r_host").alias("a"), F.length("r_path").alias("b"), "r_host", "r_path", "r_verdict")).alias("m"))
     out = rows.join(best, ["host", "path"], "left")
-    return out.select(*[F.col(f"k_{c}").alias(c) for c in keep], "host", "path", F.concat("m.r_host", "m.r_path").alias("rule"), F.coalesce("m.r_verdict", F.lit(default)).alias("verdict"))
+    return out.select(*back, "host", "path", F.concat("m.r_host", "m.r_path").alias("rule"), F.coalesce("m.r_verdict", F.lit(default)).alias("verdict"))
 
 
 def op9_urls(spark, sf_dir: str) -> DataFrame:
