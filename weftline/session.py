@@ -43,10 +43,14 @@ def shared_folder(spark: SparkSession) -> str:
     return tempfile.mkdtemp(prefix="weftline-")
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """Cut the lineage through the shared checkpoint folder.
+def remove_folder(spark: SparkSession, path: str) -> None:
+    """Delete what a run has left in a folder of its own, on whatever store holds it."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
 
-    """
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """Cut the lineage through the shared checkpoint folder."""
     if df.sparkSession.sparkContext.getCheckpointDir() is None:
         df.sparkSession.sparkContext.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint(eager=True)
