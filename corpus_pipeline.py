@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weftline.llm import bpe, mixing, quality, secrets, shingles
-from weftline.session import shared_folder
+from weftline.session import remove_folder, shared_folder
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -90,7 +90,7 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``; results between stages go to the shared checkpoint folder.
+    """All stages over ``documents``; results between stages go to the shared checkpoint folder, and leave it but for the last.
 
     An empty table passes through every stage; null texts as each stage says.
     """
@@ -102,4 +102,6 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
             return out
         out.write.parquet(f"{folder}/{k}")
         docs = spark.read.parquet(f"{folder}/{k}")
+        if k:  # nothing reads the stage before this one any more
+            remove_folder(spark, f"{folder}/{k - 1}")
     return docs
