@@ -243,6 +243,6 @@ def _(t):
     return io.limits(rows, "l_orderkey", order, 500, 3).select("l_orderkey", "l_linenumber", "l_extendedprice")
 
 
-@query("snk_1_row_digest")
+@query("snk_1_row_digest", """SELECT count(*) AS n, sha256(coalesce(sum(h), 0)::VARCHAR) AS digest FROM (SELECT ('0x' || substr(sha256(to_json({'p_brand': p_brand, 'p_name': p_name, 'p_partkey': p_partkey, 'p_retailprice': p_retailprice, 'p_size': p_size, 'p_type': p_type})::VARCHAR), 1, 15))::BIGINT::HUGEINT AS h FROM part)""")
 def _(t):
     return io.row_digest(t.part)

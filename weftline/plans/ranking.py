@@ -197,7 +197,13 @@ def _(t):
     return t.labels.where("quality = 0").select("doc_id").orderBy(splits.hash_order("doc_id"), "doc_id").limit(30)
 
 
-@query("smp_11_diverse_subset")
+@query("smp_11_diverse_subset", f"""WITH RECURSIVE {ATTRIBUTE_SQL}, w AS MATERIALIZED (SELECT p_partkey, list_filter(v, lambda x: x IS NOT NULL) AS v FROM a),
+b AS MATERIALIZED (SELECT p_partkey, list_concat(v, flatten(list_transform(v, lambda x: list_transform(list_filter(v, lambda y: y > x), lambda y: x || '+' || y)))) AS v FROM w),
+bn AS (SELECT p_partkey, unnest(v) AS x FROM b), bf AS (SELECT x, count(*) AS f FROM bn GROUP BY 1), br AS (SELECT p_partkey, round(sum(1 / f), 9) AS rarity FROM bn JOIN bf USING (x) GROUP BY 1),
+g AS (SELECT 0 AS i, NULL::BIGINT AS k, 1::BIGINT AS gain, []::VARCHAR[] AS covered UNION ALL SELECT i + 1, arg_min(p_partkey, (-n, p_partkey)), max(n)::BIGINT, list_distinct(list_concat(any_value(covered), arg_min(v, (-n, p_partkey))))
+  FROM (SELECT i, covered, p_partkey, v, len(v) - len(list_intersect(v, covered)) AS n FROM g, b WHERE g.gain > 0) GROUP BY i HAVING max(n) > 0),
+o AS (SELECT p_partkey, coalesce(gain, 0)::BIGINT AS gain, rarity, row_number() OVER (ORDER BY coalesce(gain, 0) DESC, CASE WHEN gain > 0 THEN 0 ELSE -rarity END, CASE WHEN gain > 0 THEN '' ELSE md5('weftline|' || p_partkey) END, p_partkey) AS rk FROM br LEFT JOIN g ON k = p_partkey)
+SELECT * FROM o WHERE rk <= (SELECT count(*) // 5 FROM part)""")
 def _(t):
     """A fifth of all parts: the greedy cover of all attributes and pairs of them, then the rarest."""
     d = attribute_lists(t)
@@ -429,12 +435,21 @@ def _(t):
     return dedup.cluster_summary(dedup.representatives(t.embeddings, code_pairs(t, GATE), "vec_id"))
 
 
-@query("gra_2_greedy_independent_set")
+@query("gra_2_greedy_independent_set", PAIR_SQL.replace("WITH c", "WITH RECURSIVE c") + """, n AS MATERIALIZED (SELECT vec_id, label::VARCHAR AS label, row_number() OVER (ORDER BY vec_id) AS i, coalesce((SELECT list(a) FROM p WHERE p.b = vec_id), []) AS before FROM embeddings),
+g AS (SELECT 0::BIGINT AS i, []::BIGINT[] AS kept UNION ALL SELECT n.i, CASE WHEN len(list_intersect(kept, before)) = 0 THEN list_append(kept, vec_id) ELSE kept END FROM g JOIN n ON n.i = g.i + 1),
+k AS (SELECT kept FROM g ORDER BY i DESC LIMIT 1) SELECT label, vec_id, list_contains(kept, vec_id) AS kept FROM n, k""")
 def _(t):
     return dedup.greedy_independent(t.embeddings.select(F.col("label").cast("string").alias("label"), "vec_id"), "vec_id", code_pairs(t, GATE))
 
 
-@query("gra_3_assignment")
+@query("gra_3_assignment", """WITH RECURSIVE w AS (SELECT conv_id, turn, role, list_distinct(regexp_extract_all(lower(text), '[a-z0-9]+')) AS v, row_number() OVER (PARTITION BY conv_id, role ORDER BY turn) AS pos, count(*) OVER (PARTITION BY conv_id, role) AS n FROM conversations),
+u AS MATERIALIZED (SELECT * FROM w WHERE role = 'user'), b AS MATERIALIZED (SELECT * FROM w WHERE role = 'assistant'),
+s AS MATERIALIZED (SELECT u.conv_id, u.pos AS i, b.pos AS j, u.turn AS ti, b.turn AS tj, u.n AS m, b.n AS n, round(CASE WHEN len(u.v) + len(b.v) > 0 THEN len(list_intersect(u.v, b.v)) / (len(u.v) + len(b.v) - len(list_intersect(u.v, b.v))) ELSE 0 END, 6)::DOUBLE AS s FROM u JOIN b USING (conv_id)),
+o AS MATERIALIZED (SELECT conv_id, i, j, m, n, s FROM s UNION ALL SELECT DISTINCT conv_id, i, n + 1, m, n, 0 FROM s WHERE m > n),
+g AS (SELECT DISTINCT conv_id, 0::BIGINT AS i, []::BIGINT[] AS js, 0.0::DOUBLE AS total, m, n FROM s UNION ALL
+SELECT g.conv_id, o.i, list_append(js, o.j), total + o.s, g.m, g.n FROM g JOIN o ON o.conv_id = g.conv_id AND o.i = g.i + 1 WHERE CASE WHEN o.j <= g.n THEN NOT list_contains(js, o.j) ELSE len(list_filter(js, lambda x: x > g.n)) < g.m - g.n END),
+t AS (SELECT conv_id, js FROM g WHERE i = m QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY round(total, 9) DESC, js) = 1)
+SELECT s.conv_id, ti AS i, tj AS j, s FROM t JOIN s ON s.conv_id = t.conv_id AND s.j = js[s.i]""")
 def _(t):
     a = t.conversations.where("role = 'user'").select("conv_id", F.col("turn").alias("pos"), "text")
     b = t.conversations.where("role = 'assistant'").select("conv_id", F.col("turn").alias("pos"), "text")

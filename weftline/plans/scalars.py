@@ -119,7 +119,16 @@ def _(t):
     return got.select("conv_id", "turn", F.round(p, 6).alias("p"), F.round(r, 6).alias("r"), F.round(f, 6).alias("f1"))
 
 
-@query("str_3_rouge_l")
+# Longest common subsequence: places of equal words, by the first text and backwards by the second, of which the longest rising
+# sequence is taken by the smallest ends of sequences of every length.
+ROUGE_SQL = f"""p AS (SELECT q.*, role FROM ({TURNS_SQL}) q JOIN conversations USING (conv_id, turn)), w AS (SELECT *, regexp_extract_all(lower(x), '[a-z0-9]+') AS a, regexp_extract_all(lower(y), '[a-z0-9]+') AS b FROM p),
+e AS (SELECT conv_id, turn, unnest(a) AS w, unnest(range(1, len(a) + 1)) AS i FROM w), f AS (SELECT conv_id, turn, unnest(b) AS w, unnest(range(1, len(b) + 1)) AS j FROM w),
+h AS (SELECT conv_id, turn, list([j] ORDER BY i, j DESC) AS hits FROM e JOIN f USING (conv_id, turn, w) GROUP BY 1, 2),
+l AS (SELECT w.conv_id, w.turn, role, len(a) AS na, len(b) AS nb, length(x) AS cx, x, y, CASE WHEN hits IS NULL THEN 0 ELSE len(list_reduce(list_prepend([]::BIGINT[], hits), lambda tails, h: list_concat(list_filter(tails, lambda z: z < h[1]), [h[1]], tails[len(list_filter(tails, lambda z: z < h[1])) + 2:]))) END AS n FROM w LEFT JOIN h USING (conv_id, turn)),
+r AS (SELECT conv_id, turn, role, x, y, CASE WHEN n > 0 THEN 2 * (n / na) * (n / nb) / (n / na + n / nb) ELSE 0 END AS l FROM l)"""
+
+
+@query("str_3_rouge_l", f"WITH {ROUGE_SQL} SELECT conv_id, turn, round(l, 6)::DOUBLE AS rouge_l FROM r")
 def _(t):
     rows = turns(t).select("conv_id", "turn", X.tokens(F.col("x")).alias("a"), X.tokens(F.col("y")).alias("b"))
     return rows.select("conv_id", "turn", F.round(X.rouge_l(F.col("a"), F.col("b")), 6).alias("rouge_l"))

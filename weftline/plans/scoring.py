@@ -10,7 +10,7 @@ from weftline.functions import text as X
 from weftline.operators import colours
 from weftline.operators import metrics as M
 from weftline.plans.base import query
-from weftline.plans.scalars import DICE_SQL, TURNS_SQL, turns
+from weftline.plans.scalars import DICE_SQL, ROUGE_SQL, TURNS_SQL, turns
 
 # Parts as samples: the next part's values stand for what was generated; some values mean "absent".
 PAIRS_SQL = """f AS (SELECT p_partkey, p_brand AS session, 'name' AS field, CASE WHEN p_size % 9 = 0 THEN 'unknown' ELSE p_name END AS v FROM part
@@ -292,9 +292,16 @@ def _(t):
     return j.groupBy("role").agg(F.count(F.lit(1)).alias("n"), mean("p", "p"), mean("r", "r"), mean("f1", "f1"), mean("cx", "chars"), mean("cy", "ref_chars"), mean("n_a", "tokens"), mean("n_b", "ref_tokens"))
 
 
+@query("agg_20_rouge_l", f"WITH {ROUGE_SQL} SELECT role, count(*) AS n, round(avg(l), 6) AS rouge_l FROM r GROUP BY 1")
+def _(t):
+    """ROUGE-L of tokens by the role of the turn."""
+    rows = turns(t).select("conv_id", "turn", X.rouge_l(X.tokens(F.col("x")), X.tokens(F.col("y"))).alias("l")).join(t.conversations.select("conv_id", "turn", "role"), ["conv_id", "turn"])
+    return rows.groupBy("role").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("l"), 6).alias("rouge_l"))
+
+
 @query("agg_20_sequence_quality")
 def _(t):
-    """The two means that SQL lacks: ROUGE-L of tokens and similarity of characters."""
+    """ROUGE-L of tokens and similarity of characters; DuckDB's edit distance counts bytes, so the second has no SQL."""
     rows = turns(t).select("conv_id", "turn", X.rouge_l(X.tokens(F.col("x")), X.tokens(F.col("y"))).alias("l"), X.char_similarity(F.col("x"), F.col("y")).alias("c"))
     j = rows.join(t.conversations.select("conv_id", "turn", "role"), ["conv_id", "turn"])
     return j.groupBy("role").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("l"), 6).alias("rouge_l"), F.round(F.avg("c"), 6).alias("char_similarity"))
@@ -344,7 +351,12 @@ def _(t):
     return M.spearman(t.lineitem, "l_quantity", "l_extendedprice")
 
 
-@query("arr_2_greedy_extras")
+@query("arr_2_greedy_extras", """WITH RECURSIVE p AS (SELECT a.p_partkey, [a.p_name, a.p_brand, a.p_type] AS truth, [b.p_name, b.p_brand] AS gen FROM part a JOIN part b ON b.p_partkey = a.p_partkey + 1),
+m AS (SELECT p_partkey, i, j, """ + DICE_SQL.format(a="regexp_extract_all(lower(gen[i]), '[a-z0-9]+')", b="regexp_extract_all(lower(truth[j]), '[a-z0-9]+')") + """::DOUBLE AS s FROM p, range(1, 3) x(i), range(1, 4) y(j)),
+o AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY p_partkey ORDER BY s DESC, i, j) AS rk FROM m WHERE s >= 0.5),
+g AS (SELECT p_partkey, 0::BIGINT AS rk, []::BIGINT[] AS ui, []::BIGINT[] AS uj, 0.0::DOUBLE AS soft FROM p UNION ALL
+SELECT g.p_partkey, o.rk, CASE WHEN free THEN list_append(ui, o.i) ELSE ui END, CASE WHEN free THEN list_append(uj, o.j) ELSE uj END, CASE WHEN free THEN soft + o.s ELSE soft END FROM (SELECT g.*, o.i, o.j, o.s, o.rk AS ork, NOT list_contains(ui, o.i) AND NOT list_contains(uj, o.j) AS free FROM g JOIN o ON o.p_partkey = g.p_partkey AND o.rk = g.rk + 1) g JOIN o ON o.p_partkey = g.p_partkey AND o.rk = ork),
+l AS (SELECT p_partkey, arg_max(ui, rk) AS ui, arg_max(uj, rk) AS uj, arg_max(soft, rk) AS soft FROM g GROUP BY 1) SELECT p_partkey, round(soft, 6) AS soft, len(ui)::INT AS hits, (2 - len(ui))::INT AS n_fab, (3 - len(uj))::INT AS fn FROM l""")
 def _(t):
     truth = t.part.select("p_partkey", F.array("p_name", "p_brand", "p_type").alias("truth"))
     gen = t.part.select((F.col("p_partkey") - 1).alias("k"), F.array("p_name", "p_brand").alias("gen"))
