@@ -40,6 +40,12 @@ def f1(tp: Column, fp: Column, fn: Column) -> tuple[Column, Column, Column]:
     return X.precision_recall_f1(tp, tp + fp, tp + fn)
 
 
+def soft_f1(tp: Column, fp: Column, fn: Column) -> Column:
+    """2 tp / (2 tp + fp + fn), 0 without a denominator: the F1 of ``f1`` as one division."""
+    below = 2 * tp + fp + fn
+    return F.when(below > 0, 2 * tp / below).otherwise(F.lit(0.0))
+
+
 def micro(outcomes: DataFrame, by: list[str] | None = None) -> DataFrame:
     """Soft micro precision, recall, F1 and the fabrication ratio, by group or overall."""
     g = outcomes.groupBy(*(by or [])).agg(F.sum("tp").alias("tp"), F.sum("fp").alias("fp"), F.sum("fn").alias("fn"), F.sum("n_fab").alias("fab"), F.sum("n_gen").alias("gen"))

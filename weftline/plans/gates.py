@@ -82,7 +82,7 @@ def joint_sums(t):
 
 
 def joint_difference(c):
-    f = lambda k: M.f1(c[f"tp_{k}"], c[f"fp_{k}"], c[f"fn_{k}"])[2]
+    f = lambda k: M.soft_f1(c[f"tp_{k}"], c[f"fp_{k}"], c[f"fn_{k}"])
     return (f("lb") + f("jb") - f("la") - f("ja")) / 2
 
 

@@ -335,7 +335,7 @@ def candidate_sums(t):
 
 
 def f1_difference(c):
-    return M.f1(c["tp_b"], c["fp_b"], c["fn_b"])[2] - M.f1(c["tp_a"], c["fp_a"], c["fn_a"])[2]
+    return M.soft_f1(c["tp_b"], c["fp_b"], c["fn_b"]) - M.soft_f1(c["tp_a"], c["fp_a"], c["fn_a"])
 
 
 @query("agg_21_clustered_bootstrap", f"""WITH {BOOT_SQL} SELECT 'f1_diff' AS statistic, round((SELECT f1_diff FROM pt), 6) AS point, round(quantile_cont(f1_diff, 0.025), 6) AS low, round(quantile_cont(f1_diff, 0.975), 6) AS high, count(*) AS reps FROM v
