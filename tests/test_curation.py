@@ -206,3 +206,25 @@ def test_violations_are_found(spark, tmp_path):
     spark.createDataFrame([(1,), (2,)], "doc_id long").write.parquet(str(tmp_path / "documents.parquet"))
     spark.createDataFrame([(2,), (3,)], "doc_id long").write.parquet(str(tmp_path / "labels.parquet"))
     assert [r["doc_id"] for r in registry.QUERIES["joi_10_subset_invariant"](spark, str(tmp_path)).collect()] == [3]
+
+
+@pytest.mark.parametrize(("radius", "bands"), [(0, True), (3, True), (8, True), (20, False)])
+def test_hamming_pairs_find_all(spark, radius, bands):
+    from weftline.operators import dedup
+
+    rng = random.Random(radius)
+    codes = [rng.getrandbits(63) for _ in range(150)]
+    for c in codes[:60]:
+        for b in rng.sample(range(63), rng.randrange(0, 12)):
+            c ^= 1 << b
+        codes.append(c)
+    rows = [(i, "xy"[i % 2] if i % 9 else None, c) for i, c in enumerate(codes)] + [(900, "x", codes[1]), (901, "x", None)]
+    classes = dedup.code_classes(spark.createDataFrame(rows, "id long, block string, code long"), "id", "block", "code")
+    got, used = dedup.hamming_pairs(classes, radius)
+    by = {}
+    for i, b, c in rows:
+        if c is not None:
+            by.setdefault((b, c), []).append(i)
+    groups = [(b, c, min(v), len(v)) for (b, c), v in by.items()]
+    want = {(x[2], y[2], (x[1] ^ y[1]).bit_count(), x[3], y[3]) for x in groups for y in groups if x[0] == y[0] and x[2] < y[2] and (x[1] ^ y[1]).bit_count() <= radius}
+    assert {tuple(r) for r in got.collect()} == want and got.count() == len(want) and used is bands

@@ -78,9 +78,10 @@ def token_jaccard(x: Column, y: Column) -> Column:
 
 def hashed_vector(text: Column, dims: int = 256) -> Column:
     """Counts of words and word pairs by the first 8 hex digits of their md5, modulo ``dims``: bucket -> count, sparse."""
-    t = tokens(text)
-    pairs = F.when(F.size(t) > 1, F.transform(F.sequence(F.lit(1), F.greatest(F.size(t) - 1, F.lit(1))), lambda i: F.concat_ws(" ", F.element_at(t, i), F.element_at(t, i + 1)))).otherwise(F.array().cast("array<string>"))
-    return F.transform(F.concat(t, pairs), lambda g: F.pmod(F.conv(F.substring(F.md5(g), 1, 8), 16, 10).cast("long"), F.lit(dims)).cast("int"))
+    # bound as elements of arrays of one, so that each is computed once and not for every word
+    pairs = lambda t: F.transform(F.slice(t, F.lit(2), F.size(t)), lambda w, i: F.concat_ws(" ", F.get(t, i), w))
+    grams = F.transform(F.array(tokens(text)), lambda t: F.concat(t, pairs(t)))
+    return F.get(F.transform(grams, lambda g: F.transform(g, lambda x: F.pmod(F.conv(F.substring(F.md5(x), 1, 8), 16, 10).cast("long"), F.lit(dims)).cast("int"))), 0)
 
 
 def cosine(a: Column, b: Column) -> Column:
@@ -178,6 +179,13 @@ def sign_code(vector: Column) -> Column:
     )
 
 
+def text_code(text: Column) -> Column:
+    """A 63-bit code of a text: the ``sign_code`` of its counts of words and word pairs in 64 hashed buckets; null without a word."""
+    # bound as elements of arrays of one, so that each is computed once
+    counts = F.transform(F.array(hashed_vector(text, 64)), lambda b: F.transform(F.sequence(F.lit(0), F.lit(63)), lambda i: F.size(F.filter(b, lambda x: x == i))))
+    return F.when(token_count(text) > 0, F.get(F.transform(counts, sign_code), 0))
+
+
 def hamming(a: Column, b: Column) -> Column:
     return F.bit_count(a.bitwiseXOR(b))
 

@@ -58,6 +58,32 @@ def hamming_bands(code: Column, radius: int, bits: int = 63) -> Column:
     return F.array(*[F.struct(F.lit(k).alias("band"), F.shiftright(code, i).bitwiseAND(F.lit(2**n - 1)).alias("value")) for k, (i, n) in enumerate(bands)])
 
 
+def code_classes(df: DataFrame, key: str, block: str, code: str) -> DataFrame:
+    """(block, code, rep, members): rows of one block with equal codes are one class, named by its smallest key; null codes are none."""
+    return df.where(F.col(code).isNotNull()).groupBy(F.col(block).alias("block"), F.col(code).alias("code")).agg(F.min(key).alias("rep"), F.count(F.lit(1)).alias("members"))
+
+
+def hamming_pairs(classes: DataFrame, radius: int, bits: int = 63) -> tuple[DataFrame, bool]:
+    """(a, b, d, members_a, members_b) of classes of one block within ``radius``, and whether bands were used.
+
+    Exact either way: codes within the radius agree in one of radius + 1 bands of bits, so an equi-join
+    on (block, band, value) finds all of them; where bands are so narrow that they would join more
+    rows than whole blocks do, blocks are joined. The counts that decide are measured.
+    """
+    kept = checkpointed(classes)
+    banded = kept.withColumn("k", F.explode(hamming_bands(F.col("code"), radius, bits)))
+    pairs = lambda df, by: df.groupBy(*by).agg(F.count(F.lit(1)).cast("double").alias("n")).agg(F.sum(F.col("n") * (F.col("n") - 1))).first()[0] or 0.0
+    use_bands = pairs(banded, ["block", "k"]) < pairs(kept, ["block"])
+    side, by = (banded, ["block", "k"]) if use_bands else (kept, ["block"])
+    x, y = side.alias("x"), side.alias("y")
+    on = F.col("x.rep") < F.col("y.rep")
+    for c in by:
+        on = on & (F.col(f"x.{c}").eqNullSafe(F.col(f"y.{c}")))
+    d = F.bit_count(F.col("x.code").bitwiseXOR(F.col("y.code")))
+    found = x.join(y, on & (d <= radius)).select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b"), d.alias("d"), F.col("x.members").alias("members_a"), F.col("y.members").alias("members_b"))
+    return (found.distinct() if use_bands else found), use_bands
+
+
 def isolate(train: DataFrame, similar: DataFrame, key: str) -> DataFrame:
     """``train`` without the ids that stand on the left of ``similar``."""
     return train.join(similar.select(F.col("a").alias(key)).distinct(), key, "left_anti")

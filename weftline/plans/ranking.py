@@ -273,6 +273,19 @@ def _(t):
     return dedup.blocked_pairs(coded(t), "vec_id", [F.col("label")], lambda a, b: X.hamming(F.col(f"{a}.code"), F.col(f"{b}.code")) <= 15)
 
 
+TEXT_CODE_SQL = """tk AS (SELECT doc_id, lang, regexp_extract_all(lower(text), '[a-z0-9]+') AS w FROM documents), tb AS (SELECT doc_id, lang, list_transform(list_concat(w, list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])), lambda g: ('0x' || substr(md5(g), 1, 8))::BIGINT % 64) AS b FROM tk WHERE len(w) > 0),
+tv AS (SELECT doc_id, lang, list_transform(range(64), lambda i: len(list_filter(b, lambda x: x = i))) AS v FROM tb),
+tc AS (SELECT doc_id, lang, list_reduce(list_prepend(0::BIGINT, list_transform(range(1, 64), lambda i: (v[i + 1] > v[i])::BIGINT)), lambda a, x: a * 2 + x) AS code FROM tv),
+cl AS (SELECT lang, code, min(doc_id) AS rep, count(*) AS members FROM tc GROUP BY 1, 2)"""
+
+
+@query("joi_6_text_codes", f"WITH {TEXT_CODE_SQL} SELECT x.rep AS a, y.rep AS b, bit_count(xor(x.code, y.code))::INT AS d, x.members AS members_a, y.members AS members_b FROM cl x JOIN cl y ON x.lang IS NOT DISTINCT FROM y.lang AND x.rep < y.rep AND bit_count(xor(x.code, y.code)) <= 8")
+def _(t):
+    """Whole texts by 63-bit codes, bucketed by language, at the report's own radius: equal codes are one class, near ones pairs of classes."""
+    rows = t.documents.select("doc_id", "lang", X.text_code(F.col("text")).alias("code"))
+    return dedup.hamming_pairs(dedup.code_classes(rows, "doc_id", "lang", "code"), 8)[0]
+
+
 # Frames of a scene: the orders of a customer; regions: their line items, with a box and a part's name as
 # description; image hash: the sign code of a vector that the order number picks.
 FRAME_SQL = f"""WITH RECURSIVE code AS (SELECT vec_id, code FROM ({CODE_SQL})), nv AS (SELECT count(*) AS nv FROM embeddings),
