@@ -741,11 +741,11 @@ def test_rules_against_brute_force(spark):
     odd = spark.createDataFrame(both, "host string, path string, verdict string")
     plain = rows.select(F.col("page_id").alias("k_page_id"), urlrules.host(F.col("url")).alias("host"), urlrules.path(F.col("url")).alias("path"))
     assert pick(urlrules.judge(rows, table, ["page_id"])) == want
-    assert pick(urlrules._joined(plain, table, ["page_id"], "allow")) == want
+    assert pick(urlrules._joined(plain, table, [F.col("k_page_id").alias("page_id")], "allow")) == want
     # of contradicting rules block wins in every way
     found = pick(urlrules.judge(rows, both, ["page_id"]))
     assert found == pick(urlrules.judge(rows, odd, ["page_id"])) == pick(urlrules.judge(rows, both[::-1], ["page_id"]))
-    assert found == pick(urlrules._joined(plain, odd.where("host is not null"), ["page_id"], "allow"))
+    assert found == pick(urlrules._joined(plain, odd.where("host is not null"), [F.col("k_page_id").alias("page_id")], "allow"))
     assert {v[3] for v in found.values() if v[2] in ("example.org/es/", "com/fr/")} == {"block"}
     assert urlrules.judge(rows.limit(0), urlrules.RULES, ["page_id"]).count() == 0
 
