@@ -18,6 +18,10 @@ from weftline.llm import bpe, mixing, quality, secrets, shingles
 from weftline.session import remove_folder, shared_folder
 
 
+#: Tokens that a task of a stage remembers: workers of all stages live side by side with one long-running session.
+MEMO = 100_000
+
+
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier accepts, as they are.
 
@@ -26,6 +30,8 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     """
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "quality")
     model = quality.fit(docs.select("doc_id", "text"), labels.where(~quality.held_out(F.col("doc_id"))))
+    if model is not None:
+        model.codes.most = MEMO
     names = docs.columns
     rest = [c for c in names if c != "text"]
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in rest]).alias("row"), "text")
@@ -74,7 +80,7 @@ def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def tokens_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of every row, with their digests; null and empty texts have none."""
-    return bpe.encode(docs, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN, ["doc_id", "source"], with_ids=True)
+    return bpe.encode(docs, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN, ["doc_id", "source"], with_ids=True, memo=MEMO)
 
 
 STAGES = [

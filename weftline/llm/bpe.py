@@ -15,11 +15,13 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql.types import ArrayType, IntegerType
 
-from weftline.session import carried
+from weftline.session import carried, in_parts
 
 
 #: Pre-tokens kept with their ids in one task before the memo starts anew.
 MEMO = 500_000
+#: Characters of the texts whose results a task hands over at once.
+PART = 1_000_000
 
 
 class PerfectHash:
@@ -157,7 +159,7 @@ class Codec:
 
     def learn(self, words: set[str]) -> None:
         """Resolve pre-tokens that the memo lacks: all at once by the hash, misses by merging."""
-        if len(self.memo) + len(words) > MEMO:
+        if len(self.memo) + len(words) > self.most:
             self.memo = {}
         new = [w for w in words if w not in self.memo]
         raw = [w.encode("utf-8", "surrogatepass") for w in new]
@@ -173,16 +175,18 @@ class Codec:
         return b"".join(map(self.pieces.__getitem__, ids))
 
 
-def encode(docs: DataFrame, path: str, pattern: str, keep: list[str], with_ids: bool = False) -> DataFrame:
+def encode(docs: DataFrame, path: str, pattern: str, keep: list[str], with_ids: bool = False, memo: int = MEMO) -> DataFrame:
     """``keep`` columns, n_tokens, ids_sha256, decoded_sha256 and, on request, the ids.
 
     Each match of ``pattern`` is encoded by itself, without special tokens. One pass over whole
     texts, no shuffle; a task holds a batch of rows and its memo. Null and empty texts give no
-    tokens; repeated rows the same ids; no rows no rows. Any text decodes to its own UTF-8 bytes.
+    tokens; repeated rows the same ids; no rows no rows. ``memo`` bounds the pre-tokens a task remembers. Any text decodes to its own UTF-8 bytes.
     A kept column named like a result comes back with ``_in`` behind its name.
     """
     spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast(Codec(path, pattern))
+    codec = Codec(path, pattern)
+    codec.most = memo
+    shared = spark.sparkContext.broadcast(codec)
     results = ["n_tokens", "ids_sha256", "decoded_sha256", *(["ids"] if with_ids else [])]
     there, back = carried(keep, results)
     rows = docs.select(*there, docs["text"].alias("text"))
@@ -194,20 +198,23 @@ def encode(docs: DataFrame, path: str, pattern: str, keep: list[str], with_ids:
         codec = shared.value
         little = array("I", [1]).tobytes()[0] == 1
         for batch in batches:
-            counts, ids_hash, text_hash, kept = [], [], [], []
-            for text in batch.pop("text"):
-                ids = codec.encode(text or "")
-                text_hash.append(hashlib.sha256(codec.decode(ids)).hexdigest())
-                counts.append(len(ids))
+            texts = batch.pop("text").tolist()
+            for part in in_parts(texts, PART):  # results leave part by part, so a task holds one part's ids
+                counts, ids_hash, text_hash, kept = [], [], [], []
+                for text in texts[part]:
+                    ids = codec.encode(text or "")
+                    text_hash.append(hashlib.sha256(codec.decode(ids)).hexdigest())
+                    counts.append(len(ids))
+                    if with_ids:
+                        kept.append(np.array(ids, np.int32))
+                    if not little:
+                        ids.byteswap()
+                    ids_hash.append(hashlib.sha256(ids.tobytes()).hexdigest())
+                done = batch.iloc[part].copy()
+                done["n_tokens"], done["ids_sha256"], done["decoded_sha256"] = counts, ids_hash, text_hash
                 if with_ids:
-                    kept.append(np.array(ids, np.int32))
-                if not little:
-                    ids.byteswap()
-                ids_hash.append(hashlib.sha256(ids.tobytes()).hexdigest())
-            batch["n_tokens"], batch["ids_sha256"], batch["decoded_sha256"] = counts, ids_hash, text_hash
-            if with_ids:
-                batch["ids"] = kept
-            yield batch
+                    done["ids"] = kept
+                yield done
 
     return rows.mapInPandas(run, schema).select(*back, *results)
 

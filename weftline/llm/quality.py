@@ -25,7 +25,9 @@ MEMO = 1_000_000
 
 
 class _Codes(dict):
-    """token -> lexical hash (20 bits) with its shape above; computed once per token."""
+    """token -> lexical hash (20 bits) with its shape above; computed once per token, of ``most`` tokens."""
+
+    most = MEMO
 
     def __missing__(self, token: str) -> int:
         first = token[0]
@@ -38,7 +40,7 @@ class _Codes(dict):
         else:
             shape = 8 + zlib.crc32(token[:3].encode()) % 240
         code = (zlib.crc32(token.lower().encode()) & 0xFFFFF) | shape << 20
-        if len(self) < MEMO:
+        if len(self) < self.most:
             self[token] = code
         return code
 
@@ -99,7 +101,9 @@ class Model:
         self.codes = _Codes()
 
     def __getstate__(self):
-        return self.__dict__ | {"codes": _Codes()}
+        codes = _Codes()
+        codes.most = self.codes.most
+        return self.__dict__ | {"codes": codes}
 
     def margin(self, x: np.ndarray) -> float:
         v = self.r[x].astype(float)
