@@ -145,6 +145,7 @@ class Codec:
         for k, v in self.ranks.items():
             self.pieces[v] = k
         self.memo: dict[str, tuple[int, ...]] = {}
+        self.most = MEMO
         self.compiled = None
 
     def __getstate__(self):
