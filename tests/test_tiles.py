@@ -7,7 +7,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from weftline.operators import frames
+from weftline.functions import text as X
+from weftline.operators import dedup, frames, tiles
 from weftline.operators.assign import PAIRS_BELOW
 
 
@@ -59,3 +60,48 @@ def test_frame_pairs_of_hot_scenes(spark, monkeypatch, chunk):
         best = max(sum(v for *_, v in c) for r in range(min(len(p), len(q)) + 1) for c in itertools.combinations(edges, r) if len({i for i, *_ in c}) == len(c) == len({j for _, j, _ in c}))
         want[a, b] = (max(len(p), len(q)), (c ^ e).bit_count() if c is not None and e is not None else 63, best % PAIRS_BELOW, best // PAIRS_BELOW)
     assert got == want
+
+
+def vector_rows(n):
+    rng = random.Random(11)
+    rows = []
+    for k in range(n):
+        v = [float(rng.randrange(-3, 4)) for _ in range(8)]
+        v = None if k % 41 == 0 else [*v[:3], None, *v[4:]] if k % 31 == 0 else [0.0] * 8 if k % 29 == 0 else v[:7] if k % 23 == 0 else [float("nan"), *v[1:]] if k % 37 == 0 else v
+        rows.append((k * 7 % n, None if k % 19 == 0 else "xy"[k % 3 == 0], None if k % 43 == 0 else rng.getrandbits(16) - (1 << 15), v))
+    return rows
+
+
+@pytest.mark.parametrize("chunk", [20, 8192])
+def test_near_pairs_as_the_plain_join(spark, monkeypatch, chunk):
+    """What a join of whole blocks on the gate gives, for one tile of a block and for many."""
+    monkeypatch.setattr(tiles, "VECTOR_CHUNK", chunk)
+    monkeypatch.setattr(tiles, "CODE_CHUNK", chunk)
+    df = spark.createDataFrame(vector_rows(220), "id long, label string, code long, v array<double>").cache()
+    gate = (4, 7, 0.2)
+    within = lambda a, b: dedup.near(X.hamming(F.col(f"{a}.code"), F.col(f"{b}.code")), X.cosine(F.col(f"{a}.v"), F.col(f"{b}.v")), gate)
+    want = {tuple(r) for r in dedup.blocked_pairs(df, "id", [F.col("label")], within).collect()}
+    got = [tuple(r) for r in tiles.near_pairs(df.where("label is not null"), ["label"], "id", "code", gate, "v").select("a", "b").collect()]
+    assert set(got) == want and len(got) == len(want) > 300
+    plain = {tuple(r) for r in dedup.blocked_pairs(df, "id", [F.col("label")], lambda a, b: X.hamming(F.col(f"{a}.code"), F.col(f"{b}.code")) <= 5).collect()}
+    got = tiles.near_pairs(df.withColumn("twice", F.col("id") * 2), ["label"], "id", "code", (5, 5, 0.0), carry="twice").collect()
+    assert {(r["a"], r["b"]) for r in got} > plain and all((r["twice_a"], r["twice_b"]) == (2 * r["a"], 2 * r["b"]) for r in got)  # nulls are a block
+    codes = {r[0]: r[2] for r in vector_rows(220)}
+    assert all(r["d"] == ((codes[r["a"]] ^ codes[r["b"]]) & (2**64 - 1)).bit_count() for r in got)
+
+
+@pytest.mark.parametrize("chunk", [20, 8192])
+def test_links_have_the_components_of_all_pairs(spark, monkeypatch, chunk):
+    monkeypatch.setattr(tiles, "VECTOR_CHUNK", chunk)
+    df = spark.createDataFrame(vector_rows(220), "id long, label string, code long, v array<double>").where("label is not null").cache()
+    for gate in ((1, 3, 0.5), (4, 5, 0.2)):
+        pairs, links = (tiles.near_pairs(df, ["label"], "id", "code", gate, "v", links=x) for x in (False, True))
+        of = lambda edges: {tuple(r) for r in dedup.representatives(df, edges, "id").collect()}
+        assert of(links) == of(pairs) and links.count() <= pairs.count() > 0
+
+
+def test_a_tile_of_copies_gives_few_links(spark):
+    """Copies are all pairs of each other, but need only so many links as rows."""
+    df = spark.range(1000).select("id", F.lit("x").alias("label"), F.lit(5).cast("long").alias("code"), F.array(F.lit(1.0), F.lit(2.0)).alias("v"))
+    assert tiles.near_pairs(df, ["label"], "id", "code", (0, 0, 0.0), "v").count() == 499_500
+    assert {tuple(r)[:2] for r in tiles.near_pairs(df, ["label"], "id", "code", (0, 0, 0.0), "v", links=True).collect()} == {(0, k) for k in range(1, 1000)}

@@ -46,7 +46,8 @@ def merge(rows: DataFrame, key: str, edges: DataFrame, content: Column) -> DataF
     """
     placed = checkpointed(by_state(rows.withColumn("_content", content), key))
     side = placed.select(F.col(key).alias("n"), "place")
-    both = edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    # both directions of an edge from one reading: to find the edges may be the dearest part
+    both = edges.select(F.explode(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))).alias("e")).select("e.a", "e.b")
     test = side.where("place = 'test'").select(F.col("n").alias("b"))
     near_test = both.join(test, "b", "left_semi").select(F.col("a").alias(key))
     train = placed.where("place = 'train'").select(key)
