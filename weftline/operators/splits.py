@@ -124,7 +124,9 @@ def coverage_order(rows: DataFrame, key: str, values: str) -> DataFrame:
     rows are taken at once, and their values leave. Maxima are partial aggregates; no value's rows
     meet in one task, and the lineage is cut in every round.
     """
-    left = checkpointed(rows.select(F.col(key).alias("k"), F.explode(F.array_distinct(values)).alias("value")).where("value is not null"))
+    # of rows with the same values only that of the smallest key can ever gain
+    sets = rows.groupBy(F.array_sort(F.array_distinct(F.filter(values, lambda v: v.isNotNull()))).alias("values")).agg(F.min(key).alias("k"))
+    left = checkpointed(sets.select("k", F.explode("values").alias("value")))
     taken = None
     while not left.isEmpty():
         gains = checkpointed(left.groupBy("k").agg(F.count(F.lit(1)).alias("gain")))
