@@ -218,6 +218,12 @@ def keyword_hits(rows: DataFrame, keep: list[str], text: str, keywords: DataFram
     return words.join(keywords.select(keyword).distinct(), keyword)
 
 
+def keyword_counts(rows: DataFrame, by: list[str], text: str, keywords: DataFrame, keyword: str) -> DataFrame:
+    """``by``, word of the dimension table and n: how many texts have it. Words are counted before the join, so it sees one row for each group and word, however hot."""
+    words = rows.select(*by, F.explode(F.array_distinct(X.tokens(F.col(text)))).alias(keyword)).groupBy(*by, keyword).agg(F.count(F.lit(1)).alias("n"))
+    return words.join(keywords.select(keyword).distinct(), keyword)
+
+
 def gated(rates: DataFrame, differences: DataFrame, candidate: str, base: str, of: Column) -> DataFrame:
     """Format rates and joint differences of every candidate but the base, with the gate's verdict.
 
