@@ -1,7 +1,9 @@
 """Pairs inside blocks by tiles, and frame pairs of a scene, against brute force."""
 
+import hashlib
 import itertools
 import random
+import re
 
 import numpy as np
 import pytest
@@ -105,3 +107,21 @@ def test_a_tile_of_copies_gives_few_links(spark):
     df = spark.range(1000).select("id", F.lit("x").alias("label"), F.lit(5).cast("long").alias("code"), F.array(F.lit(1.0), F.lit(2.0)).alias("v"))
     assert tiles.near_pairs(df, ["label"], "id", "code", (0, 0, 0.0), "v").count() == 499_500
     assert {tuple(r)[:2] for r in tiles.near_pairs(df, ["label"], "id", "code", (0, 0, 0.0), "v", links=True).collect()} == {(0, k) for k in range(1, 1000)}
+
+
+def test_text_codes_are_counted_in_arrays(spark):
+    """The code of hashed counts, as column functions give it, without a pass over the text for each bucket."""
+    texts = [None, "", " !", "one", "The cat, the CAT and the dog", "İx K9 café", "a b " * 500]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "id long, t string")
+
+    def want(t):
+        w = re.findall("[a-z0-9]+", (t or "").lower())
+        v = [0] * 64
+        for g in [*w, *(f"{a} {b}" for a, b in itertools.pairwise(w))]:
+            v[int(hashlib.md5(g.encode()).hexdigest()[:8], 16) % 64] += 1
+        return sum((v[i + 1] > v[i]) << (62 - i) for i in range(63)) if w else None
+
+    got = df.select("id", X.text_code(F.col("t")).alias("code")).orderBy("id")
+    assert [r["code"] for r in got.collect()] == [want(t) for t in texts]
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "ArrowEvalPython" in plan and "lambdafunction" not in plan

@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
+import hashlib
+import re
+from itertools import chain, pairwise
+
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType
 
 TOKEN = "([a-z0-9]+)"
+WORDS = re.compile(TOKEN)
 #: Values that mean "absent".
 ABSENT = ("unknown", "none", "no", "")
 
@@ -180,10 +186,34 @@ def sign_code(vector: Column) -> Column:
 
 
 def text_code(text: Column) -> Column:
-    """A 63-bit code of a text: the ``sign_code`` of its counts of words and word pairs in 64 hashed buckets; null without a word."""
-    # bound as elements of arrays of one, so that each is computed once
-    counts = F.transform(F.array(hashed_vector(text, 64)), lambda b: F.transform(F.sequence(F.lit(0), F.lit(63)), lambda i: F.size(F.filter(b, lambda x: x == i))))
-    return F.when(token_count(text) > 0, F.get(F.transform(counts, sign_code), 0))
+    """A 63-bit code of a text: the ``sign_code`` of its counts of words and word pairs in 64 hashed buckets; null without a word.
+
+    Buckets as in ``hashed_vector``, counted in arrays: work is linear in the text, whatever the number of buckets.
+    """
+
+    @F.pandas_udf("long")
+    def code(lowered: pd.Series) -> pd.Series:
+        buckets: dict[str, int] = {}
+        bits = 1 << np.arange(62, -1, -1, dtype=np.int64)
+        out = []
+        for x in lowered:
+            words = WORDS.findall(x) if x is not None else []
+            if not words:
+                out.append(None)
+                continue
+            if len(buckets) > 500_000:
+                buckets.clear()
+            found = bytearray()
+            for g in chain(words, map(" ".join, pairwise(words))):
+                k = buckets.get(g)
+                if k is None:  # 8 hex digits modulo 64 are the low bits of the fourth byte
+                    k = buckets[g] = hashlib.md5(g.encode()).digest()[3] & 63
+                found.append(k)
+            n = np.bincount(np.frombuffer(found, np.uint8), minlength=64)
+            out.append(int(bits[n[1:] > n[:-1]].sum()))
+        return pd.Series(out, dtype="Int64")
+
+    return code.asNondeterministic()(F.lower(text))  # else a filter on the code would compute it twice
 
 
 def hamming(a: Column, b: Column) -> Column:
