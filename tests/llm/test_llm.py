@@ -1,6 +1,7 @@
 """The training-data operators against brute force, round trips, held-out accuracy and edge rows."""
 
 import hashlib
+import itertools
 import random
 import re
 from collections import Counter
@@ -656,6 +657,47 @@ def test_wrapper_alignment():
     assert wrappers.verdicts(wrappers.program(w), "<p =1 >p <u =4 >u <q =2 >q".split()) == (True, ["", "t", "", "", "u", "", "", "d", ""])
 
 
+@pytest.mark.parametrize("carried", [100_000, 50])
+def test_html_long_forms_are_aligned(spark, monkeypatch, carried):
+    """Forms of thousands of items that don't fold: template leaves, a common value in a slot stays, beside short pages too."""
+    monkeypatch.setattr(wrappers, "MOST_CARRIED", carried)
+    rng = random.Random(3)
+    names = [rng.choice(("p", "h2", "div", "section", "blockquote", "dl", "pre")) for _ in range(900)]
+
+    def page(i, n):
+        own = [f"Story {i} of part {k} goes on" if k % 9 or i % 3 == 0 else "yes, as on many pages" for k in range(n)]
+        parts = [f"<{names[k]}>{t}</{names[k]}>" for k, t in enumerate(own)]
+        parts[300] += "<div><div>Share this story</div></div>"
+        return "<article>" + "".join(parts) + "</article>", "\n\n".join(own)
+
+    made = [page(i, 900 if i % 4 else 700 + i) for i in range(9)]
+    texts, wrapped = extracted(spark, [m[0] for m in made])
+    assert all(wrapped) and texts == [m[1] for m in made]
+    form, _ = wrappers.folded((p := wrappers.Page(made[1][0])).stream, ["#"] * len(p.texts))
+    assert len(form) > 2000
+
+
+def test_common_subsequence_and_match_in_parts(monkeypatch):
+    """Tables beyond the bound are made in parts, with the same result."""
+    rng = random.Random(5)
+    a, b = ([rng.choice("abcde") for _ in range(n)] for n in (90, 70))
+    steps = wrappers.program(["x", ["?", ["a", "#"]], ["+", ["b", ["?", ["#"]], ["+", ["c"]]]], "=1", ["?", ["#"]], "=1"])
+    streams = ["x a # b c c b # c =1 =1".split(), "x b =1 c =1 # =1".split(), "x b c b c b c =1 =1 =1".split(), "x a b c =1 =1".split()]
+    found = []
+    for most in (1 << 27, 1):
+        monkeypatch.setattr(wrappers, "MOST_BITS", most)
+        pairs = wrappers.subsequence(a, b)
+        assert all(a[i] == b[j] for i, j in pairs) and all(x < y and u < v for (x, u), (y, v) in itertools.pairwise(pairs))
+        found.append((len(pairs), [wrappers.match(steps, s, strict) for s in streams for strict in (True, False)]))
+    length = [0] * (len(b) + 1)
+    for x in a:
+        before = length[:]
+        for j, y in enumerate(b):
+            length[j + 1] = before[j] + 1 if x == y else max(before[j + 1], length[j])
+    assert found[0] == found[1] and found[0][0] == length[-1]
+    assert [k is not None for k in found[0][1]] == [True, True, False, True, False, True, False, False]
+
+
 # -- 8 vectors -----------------------------------------------------------------------------------
 
 

@@ -5,9 +5,10 @@ from __future__ import annotations
 import html as entities
 import json
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from difflib import SequenceMatcher
 
+import numpy as np
 import pandas as pd
 import xxhash
 from pyspark.sql import DataFrame
@@ -20,10 +21,14 @@ from weftline.session import carried, checkpointed
 MOST_SENT = 64_000_000
 #: Longest repeated stretch of a page's stream and longest repeated group of a wrapper, in tokens.
 LONGEST_STRETCH, LONGEST_GROUP = 16, 40
-#: Forms that one task aligns; the wrappers of such shares are aligned in further rounds.
-SHARE = 64
-#: Items of a form or wrapper beyond which alignment leaves it alone; such a page counts as unmatched.
-MOST_ITEMS = 1000
+#: A wrapper longer than this meets the pages of its host in groups of about so many characters, not row by row.
+MOST_CARRIED, GROUP_CHARS = 100_000, 32_000_000
+#: Forms, and about how many characters of them, that one task aligns; wrappers of such shares are aligned in further rounds.
+SHARE, SHARE_CHARS = 64, 16_000_000
+#: Items of a form or wrapper beyond which a longest common subsequence aligns it, in bits and not item by item.
+LONG = 1000
+#: Bits of a table that one step holds; larger ones are made in parts.
+MOST_BITS = 1 << 27
 #: A text can be part of a host's template if so many different pages, and this share of all, have it.
 LEAST_PAGES, LEAST_SHARE = 4, 0.25
 #: Such texts are no template where they make up more than this share of a page, or half of a host.
@@ -257,7 +262,10 @@ def fold(items: list[Item]) -> list[Item]:
     changed = True
     while changed:
         changed = False
+        ids = numbers(items)
         for size in range(1, min(LONGEST_GROUP, len(items)) + 1):
+            if not _repeats(ids, size):
+                continue
             out: list[Item] = []
             i = 0
             while i < len(items):
@@ -280,6 +288,18 @@ def fold(items: list[Item]) -> list[Item]:
     return items
 
 
+def numbers(items: list[Item], of: dict[str, int] | None = None) -> np.ndarray:
+    """A number for each item, equal for equal items."""
+    of = {} if of is None else of
+    return np.array([of.setdefault(x if isinstance(x, str) else json.dumps(x), len(of)) for x in items], np.int64)
+
+
+def _repeats(ids: np.ndarray, size: int) -> bool:
+    """Whether some stretch of so many items stands twice in a row."""
+    same = np.concatenate([[0], np.cumsum(ids[size:] == ids[:-size])])
+    return bool((same[size:] - same[:-size] == size).any())
+
+
 def shape(x: Item | list[Item]) -> Item | list[Item]:
     """An item or list of items with every text generalised."""
     if isinstance(x, str):
@@ -315,6 +335,97 @@ def optional(items: list[Item]) -> list[Item]:
     return items if len(items) == 1 and isinstance(items[0], list) and items[0][0] == "?" else [["?", items]]
 
 
+def places(tokens: list[str]) -> Callable[[str], int]:
+    """The places of a token as the bits of an integer; of rare ones only the places are kept."""
+    at: dict[str, list[int]] = {}
+    for i, t in enumerate(tokens):
+        at.setdefault(t, []).append(i)
+    ready: dict[str, int] = {}
+
+    def bits(token: str) -> int:
+        found = ready.get(token)
+        if found is None:
+            few = at.get(token, ())
+            found = 0
+            if len(few) > 16:
+                raw = np.zeros(len(tokens), np.uint8)
+                raw[few] = 1
+                found = ready[token] = int.from_bytes(np.packbits(raw, bitorder="little").tobytes(), "little")
+            else:
+                for i in few:
+                    found |= 1 << i
+        return found
+
+    return bits
+
+
+def _rows(a: list[str], b: list[str]) -> Iterator[int]:
+    """For each prefix of ``b`` the bits of ``a``: a zero where one more item makes the common subsequence longer."""
+    bits = places(a)
+    full = (1 << len(a)) - 1
+    v = full
+    for w in b:
+        u = v & bits(w)
+        v = (v + u | v - u) & full
+        yield v
+
+
+def subsequence(a: list[str], b: list[str]) -> list[tuple[int, int]]:
+    """Places of a longest common subsequence, by a table of bits; one beyond MOST_BITS is made in halves of ``b``."""
+    start = 0
+    while start < min(len(a), len(b)) and a[start] == b[start]:
+        start += 1
+    end = 0
+    while end < min(len(a), len(b)) - start and a[-1 - end] == b[-1 - end]:
+        end += 1
+    out = [(i, i) for i in range(start)]
+    tail = [(len(a) - i, len(b) - i) for i in range(end, 0, -1)]
+    a, b = a[start : len(a) - end], b[start : len(b) - end]
+    if len(a) * len(b) <= MOST_BITS or len(b) < 2:
+        rows = [(1 << len(a)) - 1, *_rows(a, b)]
+        i, j, found = len(a), len(b), []
+        while i and j:
+            if rows[j] >> (i - 1) & 1:
+                i -= 1
+            else:
+                j -= 1
+                if rows[j] >> (i - 1) & 1:
+                    i -= 1
+                    found.append((start + i, start + j))
+        return out + found[::-1] + tail
+    half = len(b) // 2
+
+    def lengths(x: list[str], y: list[str]) -> np.ndarray:
+        last = 0
+        for last in _rows(x, y):  # noqa: B007
+            pass
+        raw = np.frombuffer(last.to_bytes(len(x) // 8 + 1, "little"), np.uint8)
+        return np.concatenate([[0], np.cumsum(1 - np.unpackbits(raw, bitorder="little")[: len(x)].astype(np.int64))])
+
+    cut = int(np.argmax(lengths(a, b[:half]) + lengths(a[::-1], b[half:][::-1])[::-1]))
+    out += [(start + i, start + j) for i, j in subsequence(a[:cut], b[:half])]
+    return out + [(start + cut + i, start + half + j) for i, j in subsequence(a[cut:], b[half:])] + tail
+
+
+def opcodes(a: list[str], b: list[str]) -> list[tuple[str, int, int, int, int]]:
+    """Stretches that are equal, replaced, or only on one side, in order."""
+    if max(len(a), len(b)) <= LONG:
+        return SequenceMatcher(None, a, b, autojunk=False).get_opcodes()
+    out: list[tuple[str, int, int, int, int]] = []
+    i = k = 0
+    for x, y in [*subsequence(a, b), (len(a), len(b))]:
+        if i < x or k < y:
+            out.append(("delete" if k == y else "insert" if i == x else "replace", i, x, k, y))
+        if x < len(a) and y < len(b):
+            if out and out[-1][0] == "equal":
+                _, p, _, q, _ = out.pop()
+                out.append(("equal", p, x + 1, q, y + 1))
+            else:
+                out.append(("equal", x, x + 1, y, y + 1))
+        i, k = x + 1, y + 1
+    return out
+
+
 def align(a: list[Item], b: list[Item], texts: bool = True) -> list[Item]:
     """One wrapper for both: common items stay, first with equal texts, between them with any.
 
@@ -325,7 +436,7 @@ def align(a: list[Item], b: list[Item], texts: bool = True) -> list[Item]:
         a, b = regroup(a, groups), regroup(b, groups)
     key = core if texts else lambda x: core(shape(x))
     out: list[Item] = []
-    for op, i, j, k, n in SequenceMatcher(None, [key(x) for x in a], [key(x) for x in b], autojunk=False).get_opcodes():
+    for op, i, j, k, n in opcodes([key(x) for x in a], [key(x) for x in b]):
         if op == "equal":
             out += [unify(x, y) for x, y in zip(a[i:j], b[k:n], strict=True)]
         elif op == "replace" and texts:
@@ -337,18 +448,30 @@ def align(a: list[Item], b: list[Item], texts: bool = True) -> list[Item]:
 
 def regroup(items: list[Item], groups: list[list[Item]]) -> list[Item]:
     """Single occurrences of a repeated group become that group, longest first, so that both sides align."""
-    for body in sorted(groups, key=lambda g: (-len(g), json.dumps(g))):
+    of: dict[str, int] = {}
+    ids = numbers(items, of).tolist()
+    beside = set(zip(ids, ids[1:], strict=False))
+    for _, body in sorted({json.dumps(g): g for g in groups}.items(), key=lambda g: (-len(g[1]), g[0])):
+        own = numbers(body, of).tolist()
+        if len(own) > 1 and (own[0], own[1]) not in beside:
+            continue
+        group = ["+", body]
+        [number] = numbers([group], of).tolist()
         out: list[Item] = []
+        out_ids: list[int] = []
         i = 0
-        while i < len(items):
-            if items[i : i + len(body)] == body:
-                i += len(body)
-                if not out or out[-1] != ["+", body]:
-                    out.append(["+", body])
-            else:
-                out.append(items[i])
-                i += 1
-        items = out
+        for at in [k for k, x in enumerate(ids) if x == own[0] and ids[k : k + len(own)] == own]:
+            if at < i:
+                continue
+            out += items[i:at]
+            out_ids += ids[i:at]
+            i = at + len(own)
+            if out_ids[-1:] != [number]:
+                out.append(group)
+                out_ids.append(number)
+        if i:
+            items, ids = out + items[i:], out_ids + ids[i:]
+            beside = set(zip(ids, ids[1:], strict=False))
     return items
 
 
@@ -357,16 +480,11 @@ def length(items: list[Item]) -> int:
 
 
 def infer(parts: list[list[Item]]) -> list[Item]:
-    """One wrapper from forms or wrappers: a regular expression without unions.
-
-    Small ones come first. One whose alignment would pass MOST_ITEMS stays out of the wrapper.
-    """
+    """One wrapper from forms or wrappers, all of them, small ones first: a regular expression without unions."""
     wrapper: list[Item] | None = None
     for part in sorted(parts, key=lambda p: (length(p), json.dumps(p))):
         part = fold(list(part))
-        new = part if wrapper is None else align(wrapper, part)
-        if wrapper is None or length(new) <= MOST_ITEMS:
-            wrapper = new
+        wrapper = part if wrapper is None else align(wrapper, part)
     return wrapper or []
 
 
@@ -398,41 +516,83 @@ def match(steps: list[Step], stream: list[str], strict: bool) -> list[str] | Non
     """What the wrapper makes of each token: ``d`` text in a slot, ``t`` template text, ``u`` template
     text of an optional group, empty for tags; None if the stream has not the wrapper's form.
 
-    No step is tried twice at one token, so time is bounded by steps times tokens. ``strict`` keeps
-    texts that may be template out of slots, so that a template item further on can have them.
+    From the last step to the first: the places of the stream from which the rest of the wrapper
+    takes the rest of the stream, as bits; then one walk that prefers each first next step that can
+    still end. No step is tried in vain, and parts between groups bound what is held to MOST_BITS
+    (or one group's). ``strict`` keeps texts that may be template out of slots, so that a template
+    item further on can have them.
     """
+    bits = places(stream)
+    slot = bits("#")
+    if not strict:
+        raw = np.array([t[:1] == "=" for t in stream], np.uint8)
+        slot |= int.from_bytes(np.packbits(raw, bitorder="little").tobytes(), "little")
+    loops: dict[int, list[int]] = {}
+    inside = np.zeros(len(steps) + 1, np.int64)
+    for k, (x, y) in enumerate(steps):
+        if isinstance(x, int):
+            low, high = min(x, k), max(k, y - 1)
+            inside[low + 1] += 1
+            inside[high + 1] -= 1
+            if x <= k:
+                loops.setdefault(x, []).append(k)
+    apart = max(MOST_BITS // (len(stream) + 1), 1)
+    cuts = [0]
+    for k in (np.flatnonzero(np.cumsum(inside) == 0)).tolist():
+        if k - cuts[-1] >= apart:
+            cuts.append(k)
+    if cuts[-1] != len(steps):
+        cuts.append(len(steps))
+
+    def part(low: int, high: int, after: int) -> list[int]:
+        can = [0] * (high - low) + [after]
+        k = high - 1
+        while k >= low:
+            x, y = steps[k]
+            if not isinstance(x, int):
+                can[k - low] = can[k - low + 1] >> 1 & (slot if x == "#" else bits(x))
+            elif x > k:
+                can[k - low] = can[x - low] | can[y - low]
+            else:
+                can[k - low] |= can[y - low]
+            again = next((e for e in loops.get(k, ()) if can[k - low] & ~can[e - low]), None)
+            if again is not None:  # once more through the group, which can end at more places
+                can[again - low] |= can[k - low]
+                k = again
+            k -= 1
+        return can
+
+    ends = {len(steps): 1 << len(stream)}
+    can = [1 << len(stream)]
+    for low, high in zip(cuts[-2::-1], cuts[:0:-1], strict=True):
+        can = part(low, high, ends[high])
+        ends[low] = can[0]
+    if not ends[0] & 1:
+        return None
     kinds: list[str] = []
-    seen: set[tuple[int, int]] = set()
-    todo = [(0, 0)]
-    while todo:
-        step, at = todo.pop()
-        del kinds[at:]
-        while (step, at) not in seen:
-            seen.add((step, at))
-            if step == len(steps):
-                if at == len(stream):
-                    return kinds
-                break
-            x, y = steps[step]
+    last: dict[int, int] = {}
+    at = 0
+    for low, high in zip(cuts, cuts[1:], strict=False):
+        if low:
+            can = part(low, high, ends[high])
+        k = low
+        while k < high:
+            if k in loops:
+                last[k] = at
+            x, y = steps[k]
             if isinstance(x, int):
-                todo.append((y, at))
-                step = x
+                # a group that has taken nothing isn't entered again
+                k = x if can[x - low] >> at & 1 and (x > k or last[x] != at) else y
                 continue
-            t = stream[at] if at < len(stream) else None
-            if t == x:
-                kinds.append("d" if x == "#" else "" if x[:1] != "=" else "t" if y else "u")
-            elif x == "#" and t is not None and t[:1] == "=" and not strict:
-                kinds.append("d")
-            else:
-                break
-            step, at = step + 1, at + 1
-    return None
+            kinds.append("d" if x == "#" else "" if x[:1] != "=" else "t" if y else "u")
+            k, at = k + 1, at + 1
+    return kinds
 
 
 def verdicts(steps: list[Step] | None, stream: list[str]) -> tuple[bool, list[str]]:
     """Whether the form matches, and ``match``'s kinds; unmatched, texts that may be template count as optional."""
     kinds = None
-    if steps is not None and len(stream) <= MOST_ITEMS:
+    if steps is not None:
         kinds = match(steps, stream, True)
         if kinds is None:
             kinds = match(steps, stream, False)
@@ -478,7 +638,8 @@ def extract(pages: DataFrame, url: str = "url", html: str = "html", keep: list[s
     SHARE of them are aligned in a task, and the wrappers of such shares in further rounds, until
     each host has one: a regular expression of tags, literal texts, slots, and optional and
     repeated groups. A literal that differs from what other pages have at its place becomes a slot.
-    Pass two matches each page against it, which tells its template texts from its own.
+    All forms take part, long ones too: beyond LONG items their alignment is a longest common
+    subsequence in bits, and a wrapper beyond MOST_CARRIED meets its pages in groups. Pass two matches each page against it, which tells its template texts from its own.
 
     Of a page's texts these are the article: not in furniture by their tags (an article inside an
     article is a comment); inside the page's own article or main, or anywhere (but for list items
@@ -489,8 +650,8 @@ def extract(pages: DataFrame, url: str = "url", html: str = "html", keep: list[s
 
     Null and empty html: empty text. Null urls and urls without host share a host without a name.
     Repeated rows: equal answers, and one page as evidence. No rows: no rows. Very long or deeply
-    nested pages take linear time and memory; forms of more than MOST_ITEMS items are not aligned. A
-    kept column named like a result comes back with ``_in`` behind its name.
+    nested pages take linear time and memory where their forms fold; else an alignment takes the product
+    of both forms, and a match that of wrapper and form, in bits, with bounded memory. A kept column named like a result comes back with ``_in`` behind its name.
     """
     keep = keep or ["page_id", url]
     there, back = carried(keep, ["text", "n_chars", "wrapped"])
@@ -522,8 +683,7 @@ def extract(pages: DataFrame, url: str = "url", html: str = "html", keep: list[s
             for h, stream, hashes, raw in zip(batch["host"], batch["stream"], batch["texts"], batch["common"], strict=True):
                 may = set(json.loads(raw)) if raw else ()
                 form, _ = folded(stream.split(" ") if stream else [], [f"={x}" if x in may else "#" for x in hashes.tolist()])
-                if len(form) <= MOST_ITEMS:
-                    found.add((h, json.dumps(form)))
+                found.add((h, json.dumps(form)))
             if found:
                 yield pd.DataFrame(sorted(found), columns=["host", "wrapper"])
 
@@ -535,7 +695,9 @@ def extract(pages: DataFrame, url: str = "url", html: str = "html", keep: list[s
     more = True
     while more:
         parts = checkpointed(parts)
-        shares = parts.groupBy(F.col("host").alias("s_host")).agg(F.ceil(F.count(F.lit(1)) / SHARE).alias("shares"))
+        n = F.count(F.lit(1))
+        # at least two to a share on average, so that each round leaves fewer
+        shares = parts.groupBy(F.col("host").alias("s_host")).agg(F.least(F.greatest(F.ceil(n / SHARE), F.ceil(F.sum(F.length("wrapper")) / SHARE_CHARS)), F.ceil(n / 2)).alias("shares"))
         more = not shares.where("shares > 1").isEmpty()
         shares = checkpointed(shares)  # the join is then of plain exchanges, and a hot host can be split
         parts = parts.join(shares, F.col("host") == F.col("s_host")).withColumn("share", F.pmod(F.xxhash64("wrapper"), F.col("shares")))
@@ -543,17 +705,20 @@ def extract(pages: DataFrame, url: str = "url", html: str = "html", keep: list[s
     wrappers = checkpointed(parts.withColumnRenamed("host", "w_host"))
     wrappers = wrappers.join(common.withColumnRenamed("w_host", "c_host"), F.col("w_host") == F.col("c_host"), "left")
     wrappers = checkpointed(wrappers.select("w_host", F.concat_ws("\n", "wrapper", F.coalesce("common", F.lit("[]"))).alias("wrapper")))
-    joined = _by_host(rows, wrappers, "wrapper").drop("host")
-    schema = joined.drop("html", "wrapper").schema.add("text", "string").add("n_chars", "long").add("wrapped", "boolean")
+    long = wrappers.where(F.length("wrapper") > MOST_CARRIED)
+    schema = rows.drop("html", "host").schema.add("text", "string").add("n_chars", "long").add("wrapped", "boolean")
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         ready: dict[str, tuple[list[Step] | None, set[int], dict]] = {}
+        held = 0  # characters of wrappers and tokens of forms in the memo
         for batch in batches:
             found, wrapped = [], []
             for raw, w in zip(batch.pop("html"), batch.pop("wrapper"), strict=True):
                 if w not in ready:
-                    if len(ready) > 2000:
+                    if len(ready) > 2000 or held > 4_000_000:
                         ready.clear()
+                        held = 0
+                    held += len(w or "")
                     items, may = (w or "null\n[]").split("\n")
                     items = json.loads(items)
                     ready[w] = (None if items is None else program(items), set(json.loads(may)), {})
@@ -562,8 +727,11 @@ def extract(pages: DataFrame, url: str = "url", html: str = "html", keep: list[s
                 form, place = folded(page.stream, literals(page, may))
                 key = tuple(form)
                 if key not in memo:
-                    if len(memo) > 2000:
+                    if len(memo) > 2000 or held > 4_000_000:
+                        ready.clear()
                         memo.clear()
+                        held = 0
+                    held += len(form)
                     memo[key] = verdicts(steps, form)
                 ok, kinds = memo[key]
                 found.append(main_text(page, place, kinds))
@@ -571,7 +739,24 @@ def extract(pages: DataFrame, url: str = "url", html: str = "html", keep: list[s
             batch["text"], batch["n_chars"], batch["wrapped"] = found, [len(t) for t in found], wrapped
             yield batch
 
-    done = joined.mapInPandas(read, schema)
+    if long.isEmpty():
+        done = _by_host(rows, wrappers, "wrapper").drop("host").mapInPandas(read, schema)
+        return done.select(*back, "text", "n_chars", "wrapped")
+
+    def group(some: pd.DataFrame, own: pd.DataFrame) -> pd.DataFrame:
+        if some.empty:
+            return pd.DataFrame(columns=schema.names)
+        return next(read(iter([some.drop(columns=["host", "share"]).assign(wrapper=own["wrapper"].iloc[0])])))
+
+    few = rows.join(long.select("w_host"), F.col("host") == F.col("w_host"), "left_anti")
+    done = _by_host(few, wrappers.where(F.length("wrapper") <= MOST_CARRIED), "wrapper").drop("host").mapInPandas(read, schema)
+    # a long wrapper goes once to each group of pages
+    many = rows.join(long.select("w_host"), F.col("host") == F.col("w_host")).groupBy("w_host").agg((F.floor(F.sum(F.length("html")) / GROUP_CHARS) + 1).alias("shares"))
+    many = checkpointed(many)
+    kept = [c for c in rows.columns if c != "host"]
+    split = rows.join(many, F.col("host") == F.col("w_host")).withColumn("share", F.pmod(F.xxhash64(*kept), F.col("shares"))).select("host", "share", *kept)
+    own = long.join(many, "w_host").select("w_host", F.explode(F.sequence(F.lit(0).cast("long"), F.col("shares") - 1)).alias("share"), "wrapper")
+    done = done.unionByName(split.groupBy("host", "share").cogroup(own.groupBy("w_host", "share")).applyInPandas(group, schema))
     return done.select(*back, "text", "n_chars", "wrapped")
 
 
