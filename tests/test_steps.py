@@ -1,5 +1,6 @@
 """Steps that must not grow faster than their input."""
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
@@ -36,3 +37,23 @@ def test_refused_rows_cost_one_more_call_a_batch(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(type(batch), "groupby", lambda *a, **k: groups.append(a) or pytest.fail("row by row"))
     got = kept["failed"](batch, ValueError())
     assert dict(zip(got["p_partkey"], got["answer"], strict=True)) == {k: "failed" if k == 13 else "a t n" for k in range(50)}
+
+
+@pytest.mark.parametrize("most", [1024, 3])
+def test_regions_of_a_frame_meet_without_a_join_of_pairs(spark, tmp_path, monkeypatch, most):
+    """As the SQL has it, with null names and hot frames; a plan of one join, unless frames are hot."""
+    from weftline.plans import ranking, registry
+
+    monkeypatch.setattr(ranking, "MOST_REGIONS", most)
+    names = ["red ring", "Red bolt", "blue cap of tin", "", None, "ring", "!", "red ring bolt"]
+    spark.range(60).select(F.col("id").alias("p_partkey"), F.get(F.array(*[F.lit(n) for n in names]), (F.col("id") % 8).cast("int")).alias("p_name"), F.lit(1).alias("p_size")).write.parquet(str(tmp_path / "part.parquet"))
+    lines = spark.range(400).select(F.when(F.col("id") < 360, F.floor(F.sqrt(F.col("id") * 3))).alias("l_orderkey"), F.pmod(F.xxhash64("id"), F.lit(61)).alias("l_partkey"), F.lit(1).cast("long").alias("l_suppkey"), F.col("id").cast("int").alias("l_linenumber"), F.lit(2.0).alias("l_extendedprice"))
+    lines.unionByName(spark.range(5).select(F.lit(7).cast("long").alias("l_orderkey"), "id", F.lit(2).cast("long").alias("l_suppkey"), F.lit(500).alias("l_linenumber"), F.lit(1.0).alias("l_extendedprice")).withColumnRenamed("id", "l_partkey")).write.parquet(str(tmp_path / "lineitem.parquet"))
+    got = registry.QUERIES["agg_18_region_rates"](spark, str(tmp_path))
+    db = duckdb.connect()
+    for table in ("part", "lineitem"):
+        db.execute(f"CREATE VIEW {table} AS SELECT * FROM '{tmp_path}/{table}.parquet/*.parquet'")
+    want = db.execute(registry.ORACLE_SQL["agg_18_region_rates"]).fetchall()
+    assert sorted(tuple(r) for r in got.collect()) == sorted(want) and len(want) > 5
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert most == 3 or plan.count("Join ") == 1

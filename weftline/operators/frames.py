@@ -7,6 +7,7 @@ from decimal import ROUND_HALF_UP, Decimal
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -194,3 +195,71 @@ def frame_matches(frames: DataFrame) -> DataFrame:
 
     found = rows.mapInArrow(run, "a long, b long, n long, d int, best long")
     return found.select("a", "b", "n", "d", F.pmod("best", F.lit(PAIRS_BELOW)).alias("matched"), (F.floor(F.col("best") / PAIRS_BELOW) / 1e9).alias("total"))
+
+
+#: What ``frame_outcomes`` counts in a frame, beside the sum of its own scores in billionths.
+COUNTS = ("n", "given", "echo", "own", "content", "ok", "sure", "wrong", "mism")
+
+
+def word_lists(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, pa.Array]:
+    """Of texts of words with a space between: whether there is one, how many words it has, and all words in order."""
+    lists = pc.split_pattern(pc.if_else(pc.equal(texts, ""), pa.scalar(None, texts.type), texts), " ")
+    return texts.is_valid().to_numpy(zero_copy_only=False), lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64), lists.flatten()
+
+
+def outcomes(batch: pa.RecordBatch) -> pa.RecordBatch:
+    """The counts of each frame of a batch: a word of a generated text meets the regions of its frame that have it."""
+    lists = batch.column("regions")
+    sizes = lists.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+    regions = lists.flatten()
+    total = len(regions)
+    frame = np.repeat(np.arange(len(sizes)), sizes)
+    given, n_g, words_g = word_lists(regions.field("g"))
+    known, n_t, words_t = word_lists(regions.field("t"))
+    codes = pa.concat_arrays([words_g, words_t]).dictionary_encode()
+    distinct, code = len(codes.dictionary), codes.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+    of_g, of_t = np.repeat(np.arange(total), n_g), np.repeat(np.arange(total), n_t)
+    key_g, key_t = frame[of_g] * distinct + code[: len(of_g)], frame[of_t] * distinct + code[len(of_g) :]
+    order = np.argsort(key_t, kind="stable")
+    key_t, of_t = key_t[order], of_t[order]
+    low = np.searchsorted(key_t, key_g, "left")
+    count = np.searchsorted(key_t, key_g, "right") - low
+    reach, ends = np.concatenate([[0], np.cumsum(count)]), np.concatenate([[0], np.cumsum(n_g)])
+    own, other = np.zeros(total, np.int64), np.zeros(total, np.int64)
+    at = 0
+    while at < total:
+        end = max(int(np.searchsorted(reach[ends], reach[ends[at]] + REGION_STEP, "right")) - 1, at + 1)
+        words = slice(ends[at], ends[end])
+        at = end
+        owner, number = expand(count[words])
+        pair, common = np.unique(of_g[words][owner] * total + of_t[low[words][owner] + number], return_counts=True)
+        i, j = pair // total, pair % total
+        score = billionths(2.0 * common / np.maximum(n_g[i] + n_t[j], 1))
+        same = i == j
+        own[i[same]] = score[same]
+        np.maximum.at(other, i[~same], score[~same])
+    half = 500_000_000
+    scored, good = given & known, own >= half
+    sure = good & (own / 1e9 - other / 1e9 >= 0.1)
+    ok = good & (sure | (own >= other))
+    wrong = scored & ~ok & (other >= half)
+    echo = regions.field("echo").fill_null(False).to_numpy(zero_copy_only=False)
+    columns = (np.ones(total), given, given & echo, own, np.maximum(own, other) >= half, ok, sure, wrong, scored & ~ok & ~wrong)
+    return pa.RecordBatch.from_arrays([pa.array(np.bincount(frame, c.astype(float), len(sizes)).astype(np.int64)) for c in columns], names=list(COUNTS))
+
+
+def frame_outcomes(frames: DataFrame) -> DataFrame:
+    """COUNTS of each row of ``regions`` (array of struct g, t, echo; g and t different words with a space between, or null).
+
+    A region's text g is held against the t of its own and of all other regions by the Dice
+    coefficient, rounded to nine digits. ``content`` counts regions whose text fits some region
+    (0.5 or more), ``ok`` those whose own fits at least as well as any other, ``sure`` those where it
+    does by 0.1, ``wrong`` those where only another fits, ``mism`` those where none does. Pairs exist
+    only in the task that counts them, and only such as share a word.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield outcomes(batch)
+
+    return frames.select("regions").mapInArrow(run, ", ".join(f"{c} long" for c in COUNTS))
