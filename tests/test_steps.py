@@ -57,3 +57,29 @@ def test_regions_of_a_frame_meet_without_a_join_of_pairs(spark, tmp_path, monkey
     assert sorted(tuple(r) for r in got.collect()) == sorted(want) and len(want) > 5
     plan = got._jdf.queryExecution().optimizedPlan().toString()
     assert most == 3 or plan.count("Join ") == 1
+
+
+def test_shared_tokens_need_no_shuffle_of_words(spark):
+    """A row counts what its two texts share; rows of one key count together, as do those with a null in it."""
+    words = lambda n, w: F.array_repeat(F.lit(w), n)
+    rows = spark.range(6).select(F.when(F.col("id") < 4, F.col("id")).otherwise(F.lit(9)).alias("k"), F.col("id").alias("kept"), F.concat(words(3, "x"), words(2, "y")).alias("a"), F.when(F.col("id") != 2, F.concat(words(2, "x"), words(5, "z"))).alias("b"))
+    once = metrics.token_overlap(rows.where("k < 4"), ["k"], "a", "b", ["kept"])
+    assert sorted(tuple(r) for r in once.collect()) == [(k, 5, None if k == 2 else 7, 0 if k == 2 else 2, k) for k in range(4)]
+    plan = once._jdf.queryExecution().optimizedPlan().toString()
+    assert "Generate" not in plan and "Aggregate" not in plan and "Join" not in plan
+    assert sorted(tuple(r) for r in metrics.token_overlap(rows, ["k"], "a", "b", ["kept"]).collect())[-2:] == [(9, 5, 7, 4, 4), (9, 5, 7, 4, 5)]
+    null = rows.select(F.lit(None).cast("long").alias("k"), "a", "b").limit(2)
+    assert [tuple(r) for r in metrics.token_overlap(null, ["k"], "a", "b").collect()] == [(None, 5, 7, 4)] * 2
+
+
+def test_text_quality_with_repeated_turns(spark, tmp_path):
+    """Turns that occur more than once, null texts and roles: as the SQL has it."""
+    from weftline.plans import registry
+
+    rows = [(1, 1, "user", "a b a c"), (1, 2, "assistant", "a a d"), (1, 2, "assistant", "b d"), (1, 3, "user", None), (2, 1, "user", ""), (2, 2, None, "x"), (2, 3, "user", "x x"), (None, 1, "user", "q"), (3, 1, "user", "One"), (3, 2, "user", "one TWO")]
+    spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").write.parquet(str(tmp_path / "conversations.parquet"))
+    db = duckdb.connect()
+    db.execute(f"CREATE VIEW conversations AS SELECT * FROM '{tmp_path}/conversations.parquet/*.parquet'")
+    for name in ("agg_20_text_quality", "str_2_word_f1"):
+        got, want = registry.QUERIES[name](spark, str(tmp_path)).collect(), db.execute(registry.ORACLE_SQL[name]).fetchall()
+        assert sorted(map(repr, map(tuple, got))) == sorted(map(repr, want))

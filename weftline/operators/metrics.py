@@ -96,16 +96,29 @@ def win_tie_loss(df: DataFrame, ours: Column, theirs: Column) -> DataFrame:
     return df.agg(w.alias("win"), t.alias("tie"), lost.alias("loss"), (w - lost).alias("net"), F.round(F.when(w + lost > 0, w / (w + lost)).otherwise(0.0), 6).alias("win_rate"))
 
 
-def token_overlap(rows: DataFrame, key: list[str], a: str, b: str) -> DataFrame:
-    """``key``, shared, n_a, n_b of two token arrays, repeats counted; ``key`` tells rows apart.
+def token_overlap(rows: DataFrame, key: list[str], a: str, b: str, keep: list[str] | None = None) -> DataFrame:
+    """``key``, n_a, n_b, shared of two token arrays, repeats counted, and ``keep``.
 
-    One row for each different token and side, so a text costs its length, however long.
+    Both texts are in one row, so the row counts what they share, without a shuffle, and costs its
+    length, however long. Rows of one key, if there are any, count all their words together.
     """
-    side = lambda c, n, m: rows.select(*key, F.explode(c).alias("w"), F.lit(n).cast("long").alias("x"), F.lit(m).cast("long").alias("y"))
+    keep = keep or []
+    sizes = [F.size(a).cast("long").alias("n_a"), F.size(b).cast("long").alias("n_b")]
+    alone = lambda r: r.select(*key, *sizes, F.coalesce(X.shared_tokens(F.col(a), F.col(b)), F.lit(0)).cast("long").alias("shared"), *keep)
+    names = [f"_k{i}" for i in range(len(key))]
+    repeated = rows.groupBy(*[F.col(k).alias(n) for k, n in zip(key, names, strict=True)]).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > 1).select(*names)
+    repeated = checkpointed(repeated)
+    if repeated.isEmpty():
+        return alone(rows)
+    on = F.lit(True)
+    for k, n in zip(key, names, strict=True):
+        on = on & F.col(k).eqNullSafe(F.col(n))
+    some = rows.join(repeated, on, "left_semi")
+    side = lambda c, n, m: some.select(*key, F.explode(c).alias("w"), F.lit(n).cast("long").alias("x"), F.lit(m).cast("long").alias("y"))
     words = side(a, 1, 0).unionByName(side(b, 0, 1)).groupBy(*key, "w").agg(F.sum("x").alias("x"), F.sum("y").alias("y"))
-    got = words.groupBy(*key).agg(F.sum(F.least("x", "y")).alias("shared"))
-    sizes = rows.select(*key, F.size(a).cast("long").alias("n_a"), F.size(b).cast("long").alias("n_b"))
-    return sizes.join(got, key, "left").withColumn("shared", F.coalesce("shared", F.lit(0)).cast("long"))
+    got = words.groupBy(*[F.col(k).alias(n) for k, n in zip(key, names, strict=True)]).agg(F.sum(F.least("x", "y")).alias("shared"))
+    together = some.select(*key, *sizes, *keep).join(got, on, "left").select(*key, "n_a", "n_b", F.coalesce("shared", F.lit(0)).cast("long").alias("shared"), *keep)
+    return alone(rows.join(repeated, on, "left_anti")).unionByName(together)
 
 
 def quantiles(df: DataFrame, group: str, value: str, shares: dict[str, float]) -> DataFrame:

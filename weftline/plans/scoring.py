@@ -284,10 +284,10 @@ SELECT role, count(*) AS n, round(avg(CASE WHEN g > 0 THEN s / g ELSE 0 END), 6)
 round(avg(cx), 6) AS chars, round(avg(cy), 6) AS ref_chars, round(avg(g), 6) AS tokens, round(avg(t), 6) AS ref_tokens FROM n GROUP BY 1""")
 def _(t):
     """A turn as the generated text, the next one as its reference; means by the role of the turn."""
-    rows = turns(t).select("conv_id", "turn", F.length("x").alias("cx"), F.length("y").alias("cy"), X.tokens(F.col("x")).alias("a"), X.tokens(F.col("y")).alias("b"))
+    rows = turns(t).join(t.conversations.select("conv_id", "turn", "role"), ["conv_id", "turn"])
+    rows = rows.select("conv_id", "turn", "role", F.length("x").alias("cx"), F.length("y").alias("cy"), X.tokens(F.col("x")).alias("a"), X.tokens(F.col("y")).alias("b"))
     p, r, f = X.precision_recall_f1(F.col("shared").cast("double"), F.col("n_a"), F.col("n_b"))
-    got = M.token_overlap(rows, ["conv_id", "turn"], "a", "b").select("conv_id", "turn", p.alias("p"), r.alias("r"), f.alias("f1"), "n_a", "n_b")
-    j = got.join(rows.select("conv_id", "turn", "cx", "cy"), ["conv_id", "turn"]).join(t.conversations.select("conv_id", "turn", "role"), ["conv_id", "turn"])
+    j = M.token_overlap(rows, ["conv_id", "turn"], "a", "b", ["role", "cx", "cy"]).select("role", "cx", "cy", p.alias("p"), r.alias("r"), f.alias("f1"), "n_a", "n_b")
     mean = lambda c, n: F.round(F.avg(c), 6).alias(n)
     return j.groupBy("role").agg(F.count(F.lit(1)).alias("n"), mean("p", "p"), mean("r", "r"), mean("f1", "f1"), mean("cx", "chars"), mean("cy", "ref_chars"), mean("n_a", "tokens"), mean("n_b", "ref_tokens"))
 
