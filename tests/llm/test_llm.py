@@ -978,6 +978,31 @@ def test_pipeline_stages_on_odd_and_empty_tables(spark, tmp_path, rows):
     assert c.run(spark, str(tmp_path)).count() == kept.count()
 
 
+def test_text_parts_cover_a_batch_in_bounded_slices():
+    import pyarrow as pa
+
+    from weftline.session import text_parts
+
+    texts = ["a" * 40, None, "", "\u00e9" * 30, "b" * 500, "c" * 60, "d" * 40, "e", None]
+    batch = pa.RecordBatch.from_pydict({"id": list(range(len(texts))), "text": texts}).slice(1)
+    parts = list(text_parts(batch, "text", 100))
+    assert pa.Table.from_batches(parts).equals(pa.Table.from_batches([batch]))
+    sizes = [sum(len((t or "").encode()) for t in p.column("text").to_pylist()) for p in parts]
+    assert [p.num_rows for p in parts] == [3, 1, 2, 2] and sizes == [60, 500, 100, 1]
+    assert list(text_parts(batch.slice(0, 0), "text")) == []
+
+
+def test_prefix_starts_no_python_worker(spark):
+    from weftline.session import with_prefix
+
+    rows = with_prefix(spark.range(10).withColumn("w", F.col("id") + 1), ["id"], F.col("w"))
+    assert "PythonRDD" not in rows._jdf.queryExecution().toRdd().toDebugString()
+    assert [(r["id"], r["prefix"]) for r in rows.orderBy("id").collect()] == [(i, i * (i + 1) / 2) for i in range(10)]
+    joined = [line for line in rows._jdf.queryExecution().executedPlan().toString().split("\n") if "_before" in line and "Scan" in line]
+    assert joined and all("LocalTableScan" in line for line in joined)
+    assert with_prefix(spark.range(0), ["id"]).count() == 0
+
+
 @pytest.mark.parametrize("name", ["op1_mixing", "op8_neardup", "op9_urls", "op10_secrets"])
 def test_sql(spark, name):
     import duckdb

@@ -10,17 +10,17 @@ from collections.abc import Iterator
 from itertools import chain
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql.types import ArrayType, IntegerType
 
-from weftline.session import carried, in_parts
+from weftline.session import carried, text_parts
 
 
 #: Pre-tokens kept with their ids in one task before the memo starts anew.
 MEMO = 500_000
-#: Characters of the texts whose results a task hands over at once.
+#: Bytes of the texts whose results a task hands over at once.
 PART = 1_000_000
 
 
@@ -180,7 +180,7 @@ def encode(docs: DataFrame, path: str, pattern: str, keep: list[str], with_ids:
     """``keep`` columns, n_tokens, ids_sha256, decoded_sha256 and, on request, the ids.
 
     Each match of ``pattern`` is encoded by itself, without special tokens. One pass over whole
-    texts, no shuffle; a task holds a batch of rows and its memo. Null and empty texts give no
+    texts, no shuffle; a task holds a batch of rows, the results of a part of it and its memo. Null and empty texts give no
     tokens; repeated rows the same ids; no rows no rows. ``memo`` bounds the pre-tokens a task remembers. Any text decodes to its own UTF-8 bytes.
     A kept column named like a result comes back with ``_in`` behind its name.
     """
@@ -191,18 +191,18 @@ def encode(docs: DataFrame, path: str, pattern: str, keep: list[str], with_ids:
     results = ["n_tokens", "ids_sha256", "decoded_sha256", *(["ids"] if with_ids else [])]
     there, back = carried(keep, results)
     rows = docs.select(*there, docs["text"].alias("text"))
+    names = [c for c in rows.columns if c != "text"]
     schema = rows.drop("text").schema.add("n_tokens", "long").add("ids_sha256", "string").add("decoded_sha256", "string")
     if with_ids:
         schema = schema.add("ids", ArrayType(IntegerType()))
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = shared.value
         little = array("I", [1]).tobytes()[0] == 1
         for batch in batches:
-            texts = batch.pop("text").tolist()
-            for part in in_parts(texts, PART):  # results leave part by part, so a task holds one part's ids
+            for part in text_parts(batch, "text", PART):  # results leave part by part, so a task holds one part's ids
                 counts, ids_hash, text_hash, kept = [], [], [], []
-                for text in texts[part]:
+                for text in part.column("text").to_pylist():
                     ids = codec.encode(text or "")
                     text_hash.append(hashlib.sha256(codec.decode(ids)).hexdigest())
                     counts.append(len(ids))
@@ -211,13 +211,12 @@ def encode(docs: DataFrame, path: str, pattern: str, keep: list[str], with_ids:
                     if not little:
                         ids.byteswap()
                     ids_hash.append(hashlib.sha256(ids.tobytes()).hexdigest())
-                done = batch.iloc[part].copy()
-                done["n_tokens"], done["ids_sha256"], done["decoded_sha256"] = counts, ids_hash, text_hash
+                done = [pa.array(counts, pa.int64()), pa.array(ids_hash, pa.string()), pa.array(text_hash, pa.string())]
                 if with_ids:
-                    done["ids"] = kept
-                yield done
+                    done.append(pa.array(kept, pa.list_(pa.int32())))
+                yield pa.RecordBatch.from_arrays([*map(part.column, names), *done], [*names, *results])
 
-    return rows.mapInPandas(run, schema).select(*back, *results)
+    return rows.mapInArrow(run, schema).select(*back, *results)
 
 
 def op4_bpe(spark, sf_dir: str) -> DataFrame:

@@ -8,10 +8,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weftline.session import carried
+from weftline.session import carried, text_parts
 
 
 #: Labelled documents of each class that a fit reads at most, whole, in order of a hash of the id.
@@ -180,7 +181,7 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = SAMPLE_PER_CLASS) -
 def score(docs: DataFrame, model: Model | None, keep: list[str]) -> DataFrame:
     """``keep`` columns, score and predicted (1 if score >= THRESHOLD).
 
-    Whole texts, one pass, no shuffle. Null and empty texts are scored as texts without a token.
+    Whole texts, one pass, no shuffle; strings and results leave slice by slice. Null and empty texts are scored as texts without a token.
     Without a model (no labelled row of one class) every score is 1: nothing is rejected unseen.
     Repeated rows: equal scores. No rows: no rows. A kept column named like a result comes back with
     ``_in`` behind its name; a kept text is sent once.
@@ -192,15 +193,16 @@ def score(docs: DataFrame, model: Model | None, keep: list[str]) -> DataFrame:
     text = f"k_{keep.index('text')}" if "text" in keep else "t"
     schema = rows.drop("t").schema.add("score", "double").add("predicted", "integer")
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    names = [c for c in rows.columns if c != "t"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m = shared.value
         for batch in batches:
-            m = shared.value
-            s = [1.0 if m is None else m.score(t) for t in (batch[text] if text != "t" else batch.pop("t"))]
-            batch["score"] = np.array(s, float)
-            batch["predicted"] = (batch["score"] >= THRESHOLD).astype("int32")
-            yield batch
+            for part in text_parts(batch, text):
+                s = np.array([1.0 if m is None else m.score(t) for t in part.column(text).to_pylist()], float)
+                yield pa.RecordBatch.from_arrays([*map(part.column, names), pa.array(s), pa.array((s >= THRESHOLD).astype(np.int32))], [*names, "score", "predicted"])
 
-    return rows.mapInPandas(run, schema).select(*back, "score", "predicted")
+    return rows.mapInArrow(run, schema).select(*back, "score", "predicted")
 
 
 def held_out(doc_id):

@@ -9,13 +9,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from weftline.llm.neardup import full_forest
 from weftline.operators.graph import connected_components
-from weftline.session import checkpointed, in_parts, with_prefix
+from weftline.session import checkpointed, text_parts, with_prefix
 
 WORD = re.compile(r"\w+")
 N = 5
@@ -27,7 +28,8 @@ MOST_HASHES = 200
 BLOCK_DOCS, BLOCK_SHINGLES = 512, 400_000
 #: Ids that are sent to all tasks instead of shuffling the texts.
 MOST_SENT = 2_000_000
-MEMO = 500_000
+#: Words that a task remembers with their hashes.
+MEMO = 100_000
 
 
 def choose_bands(similarity: float, recall: float, most: int = MOST_HASHES) -> tuple[int, int]:
@@ -150,19 +152,20 @@ def join(docs: DataFrame, similarity: float = SIMILARITY, n: int = N, recall: fl
     hasher = MinHash(bands, width)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_hash"), F.col("text").alias("text"))
 
-    def sign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = _Words()
         for batch in batches:
-            cls, sig, size = [], [], []
-            for t in batch.pop("text"):
-                s = shingle_set(t, words, n)
-                size.append(len(s))
-                cls.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None)
-                sig.append(hasher.band_hashes(s).tolist() if len(s) else None)
-            batch["cls"], batch["size"], batch["bands"] = cls, size, sig
-            yield batch
-
-    every = checkpointed(rows.mapInPandas(sign, "doc_id long, text_hash long, cls binary, size long, bands array<long>"))
+            for part in text_parts(batch, "text"):
+                cls, sig, size = [], [], []
+                for t in part.column("text").to_pylist():
+                    s = shingle_set(t, words, n)
+                    size.append(len(s))
+                    cls.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None)
+                    sig.append(hasher.band_hashes(s) if len(s) else None)
+                done = [pa.array(cls, pa.binary()), pa.array(size, pa.int64()), pa.array(sig, pa.list_(pa.int64()))]
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("text_hash"), *done], ["doc_id", "text_hash", "cls", "size", "bands"])
+
+    every = checkpointed(rows.mapInArrow(sign, "doc_id long, text_hash long, cls binary, size long, bands array<long>"))
     classes = every.where("cls is not null").groupBy("cls").agg(F.min("doc_id").alias("id"), F.count(F.lit(1)).alias("times"), F.first("size").alias("size"), F.first("bands").alias("bands"))
     classes = checkpointed(classes.withColumn("uid", F.monotonically_increasing_id()))
     spots = classes.select("uid", F.posexplode("bands").alias("band", "h"))
@@ -187,15 +190,14 @@ def join(docs: DataFrame, similarity: float = SIMILARITY, n: int = N, recall: fl
         sent = F.broadcast(sent)
     texts = rows.join(sent, rows["doc_id"].eqNullSafe(F.col("w_id")), "left_semi").select("text")
 
-    def expand(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def expand(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = _Words()
         for batch in batches:
-            texts = batch["text"].tolist()
-            for part in in_parts(texts):
-                s = [shingle_set(t, words, n) for t in texts[part]]
-                yield pd.DataFrame({"cls": [hashlib.blake2b(x.tobytes(), digest_size=16).digest() for x in s], "grams": [x.tobytes() for x in s]})
+            for part in text_parts(batch, "text"):
+                s = [shingle_set(t, words, n).tobytes() for t in part.column("text").to_pylist()]
+                yield pa.RecordBatch.from_arrays([pa.array([hashlib.blake2b(x, digest_size=16).digest() for x in s], pa.binary()), pa.array(s, pa.binary())], ["cls", "grams"])
 
-    grams = texts.mapInPandas(expand, "cls binary, grams binary").join(wanted, F.col("cls") == F.col("w_cls")).groupBy(F.col("w_uid").alias("uid")).agg(F.first("grams").alias("grams"))
+    grams = texts.mapInArrow(expand, "cls binary, grams binary").join(wanted, F.col("cls") == F.col("w_cls")).groupBy(F.col("w_uid").alias("uid")).agg(F.first("grams").alias("grams"))
     ready = placed.join(grams, "uid").join(active.select("uid", "times", "bands"), "uid")
     ends = pairs.select("a", "b", F.explode(F.array_distinct(F.array("a", "b"))).alias("block"))
 
